@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .quality import quality_rules
 from .simhash import simhash_components
 from .topk import exact_top_k
+from .toxicity import toxicity_scores
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +29,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op9_simhash_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_toxicity, op5_quality_rules, op9_simhash_dedup, op10_topk_search)}
 
 
 def oracle_sql() -> dict[str, str]:
