@@ -39,3 +39,97 @@ def test_quality_verdict(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(prose + junk)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in quality_rules(df, rules=QualityRules(max_repeat_percent=100)).collect()}
     assert all(got[i]["kept"] for i in range(28)) and not got[28]["kept"]
+
+
+def slow_intervals(words, rules):
+    """Matches of every rule over the words, by Python's regular expressions, and what containment leaves of them."""
+    line = " " + " ".join(words) + " "
+    found = []
+    for rank, (label, keyword, priority, pattern) in enumerate(rules):
+        if keyword not in line:
+            continue
+        for m in re.finditer(f"( {pattern})(?= )", line):
+            found.append((label, priority, rank, line[: m.start()].count(" "), line[: m.end()].count(" ")))
+    inside = lambda a, b: b[3] <= a[3] and a[4] <= b[4] and a[2] != b[2] and (
+        b[1] > a[1] or b[1] == a[1] and (b[4] - b[3] > a[4] - a[3] or b[4] - b[3] == a[4] - a[3] and b[2] < a[2]))
+    return [a for a in found if not any(inside(a, b) for b in found)]
+
+
+LICENSE_TEXTS = [
+    "This work is licensed under the GNU General Public License, version 3.", "GNU Lesser General Public License v2.1 or later. All\nrights reserved",
+    "Licensed under CC BY-NC 4.0. cc_by cc by cc BY", "Released under the MIT License. MIT license MIT license", "Apache License, Version 2.0; apache license apache  license",
+    "SPDX-License-Identifier: BSD-3-Clause and SPDX-License-Identifier: GPL-2.0-only", "https://creativecommons.org/licenses/by-sa/4.0/ Creative Commons Attribution-ShareAlike 4.0 International",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "gnu general public licensee", "émit license mit licenseé", "cc0 1.0 Universal copyright (c) 2019",
+    "redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the X Y nor may be used to endorse or promote products",
+]
+
+
+def test_license_scan_by_plain_loops(spark):
+    from quillrank.llm.licenses import BASE_PHRASES, GATE, license_scan, signature_rules
+
+    rules = signature_rules()
+    assert len(rules) > 250
+    table = [r["text"] for r in docs(spark, False).select("text").collect()] + LICENSE_TEXTS + [" ... ".join(LICENSE_TEXTS * 3)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(table)], "doc_id long, text string").selectExpr("*", "'x' as line", "1 as found", "2 as n_base", "'k' as kept")
+    got = {r["doc_id"]: r for r in license_scan(df).collect()}
+    assert len(got) == len(table)
+    for i, t in enumerate(table):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(k, label) for phrase, label in BASE_PHRASES for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places)), t
+        starts = [k for k, _ in places]
+        assert (r["first_word"], r["last_word"]) == (min(starts, default=None), max(starts, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
+        kept = slow_intervals(words, rules) if re.search(GATE, t or "") else []
+        assert r["labels"] == ",".join(sorted({x for _, x in places} | {a[0] for a in kept})), t
+        assert r["n_signatures"] == len(kept) and 0 <= r["score"] <= 1
+    assert license_scan(df.where("false")).count() == 0
+
+
+def test_every_rule_has_a_gate_word():
+    from quillrank.llm.licenses import BASE_PHRASES, GATE, signature_rules
+
+    for _, keyword, _, pattern in signature_rules():
+        plain = pattern.replace("licen[cs]e", "license")
+        assert re.search(GATE, plain), pattern
+        assert keyword in plain or keyword in ("later", "library"), pattern
+    assert all(re.search(GATE, p) for p, _ in BASE_PHRASES)
+
+
+def test_poisson_inversion_and_rates(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from quillrank.llm.mixing import MixParams, mix_sources, poisson_count, source_rates
+
+    us = [0.0, 0.05, 0.3, 0.5, 0.77, 0.9, 0.999, 1 - 2**-52]
+    rows = [(u, rate) for u in us for rate in (0.0, 0.2, 1.0, 3.7, 40.0, 480.0)]
+    df = spark.createDataFrame(rows, "u double, rate double").withColumn("k", poisson_count(lambda j: F.col("u"), F.col("rate")))
+    for r in df.collect():
+        k, p = 0, math.exp(-r["rate"])
+        c = p
+        while r["rate"] and r["u"] >= c and k < 2000:
+            k += 1
+            p *= r["rate"] / k
+            if c + p == c and k > r["rate"]:
+                break
+            c += p
+        assert r["k"] == k or r["u"] > 1 - 1e-9
+    big = spark.range(200).select(F.rand(1).alias("u"), F.lit(2000.0).alias("rate")).withColumn("k", poisson_count(lambda j: (F.col("u") * 977 + j * 0.618) % 1, F.col("rate")))
+    assert abs(big.agg(F.avg("k")).first()[0] - 2000) < 30
+    table = spark.range(3000).selectExpr("id as doc_id", "concat('t', id) as text", "case when id % 3 > 0 then 'big' when id % 7 = 0 then null else 'small' end as source", "1 as rate", "2 as copy", "3 as u", "4 as copies")
+    params = MixParams(weights={"big": 1.0, "small": 3.0}, size=6000)
+    rates = {r["mix_source"]: r["rate"] for r in source_rates(table, params).collect()}
+    n = {r["source"]: r["n"] for r in table.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert math.isclose(rates["big"], 6000 * 0.25 / n["big"]) and math.isclose(rates["small"], 6000 * 0.75 / n["small"]) and rates[""] == 0
+    mixed = mix_sources(table, params)
+    got = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert set(got) == {"big", "small"} and abs(got["big"] - 1500) < 150 and abs(got["small"] - 4500) < 300
+    first = [r["doc_id"] for r in mixed.limit(60).collect()]
+    assert first != sorted(first) and sorted(map(str, mixed.collect())) == sorted(map(str, mix_sources(table.repartition(7), params).collect()))
+    odd = docs(spark)
+    assert mix_sources(odd).where("text is null and doc_id is null").count() == 0
+    assert mix_sources(odd.where("false")).count() == 0
