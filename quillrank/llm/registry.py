@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .licenses import license_scan
 from .mixing import MixParams, mix_sources
+from .pieces import encoding_digests
 from .quality import quality_rules
 from .simhash import simhash_components
 from .topk import exact_top_k
@@ -19,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -41,7 +46,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op5_quality_rules, op6_license_scan, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op5_quality_rules, op6_license_scan, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
 
 
 MIXING_SQL = """
