@@ -12,6 +12,7 @@ from .mixing import MixParams, mix_sources
 from .pieces import encoding_digests
 from .quality import quality_rules
 from .simhash import simhash_components
+from .substrings import cut_digests
 from .topk import exact_top_k
 from .toxicity import toxicity_scores
 
@@ -32,6 +33,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), MixParams())
     return mixed.withColumn("rate", F.round("rate", 6))
@@ -46,7 +51,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op5_quality_rules, op6_license_scan, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
 
 
 MIXING_SQL = """
