@@ -19,9 +19,10 @@ BASE_PHRASES = (("gnu general public license", "gpl"), ("apache license", "apach
 _SEP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Every phrase and rule has one of these words in it; a text without any is not looked at further.
-GATE = (r"(?i)licen[cs]e|copyright|(?<![0-9a-z])cc(?![0-9a-z])|cc0|creative|domain|all[^0-9a-z]+rights|proprietary|permission|redistribut|advertising"
-        r"|endorse|misrepresented|opensource|clause|warranties")
+#: Every phrase and rule has one of these in it, or the word ``cc``; a text without any is not looked at further.
+GATE = ("licens", "licenc", "copyright", "cc0", "creative", "domain", "rights", "proprietary", "permission", "redistribut", "advertising", "endorse", "misrepresented",
+        "opensource", "clause", "warranties")
+GATE_WORD = "(?i)(?<![0-9a-z])cc(?![0-9a-z])"
 
 #: Each family: label, keyword, names as they are written out, identifiers as their words stand, versions.
 FAMILIES = (
@@ -148,9 +149,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rules = signature_rules()
     keywords = sorted({k for _, k, _, _ in rules})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.lower(text).alias("low"))
     lowered = F.translate("t", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    gated = F.when(F.col("t").rlike(GATE), F.regexp_replace(F.regexp_replace(lowered, f"^{_SEP}|{_SEP}$", ""), _SEP, "  "))
+    has = reduce(lambda a, b: a | b, [F.contains(F.col("low"), F.lit(w)) for w in GATE])
+    has = has | (F.contains(F.col("low"), F.lit("cc")) & F.col("t").rlike(GATE_WORD))
+    gated = F.when(has, F.regexp_replace(F.regexp_replace(lowered, f"^{_SEP}|{_SEP}$", ""), _SEP, "  "))
     rows = rows.select("doc_id", F.regexp_count("t", F.lit(_WORD)).cast("long").alias("n_words"), gated.alias("body"))
     rows = rows.withColumn("padded", F.when(F.length("body") > 0, F.concat(F.lit(" "), "body", F.lit(" ")))).drop("body")
     padded = F.col("padded")
@@ -172,7 +175,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The gaps before the matches and the matches give each interval's words; a match starts at a space and ends before one.
     rows = rows.withColumn("found", F.expr(r"""
         flatten(transform(tried, r -> zip_with(
-            regexp_extract_all(line, concat('(?s)(.*?)( ', r.pattern, ')(?= )'), 1), regexp_extract_all(line, concat('(?s).*?( ', r.pattern, ')(?= )'), 1),
+            regexp_extract_all(line, concat('(?s)\\G(.*?)( ', r.pattern, ')(?= )'), 1), regexp_extract_all(line, concat('(?s)\\G.*?( ', r.pattern, ')(?= )'), 1),
             (gap, hit) -> struct(r.label as label, r.priority as priority, r.rank as rank,
                                  length(gap) - length(replace(gap, ' ', '')) as gap, length(hit) - length(replace(hit, ' ', '')) as size))))"""))
     rows = rows.withColumn("found", F.expr("""

@@ -397,8 +397,8 @@ def cut_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
             a, b = x.bounds[d], x.bounds[d + 1]
             prior = np.concatenate([[x.offsets[d]], ends[a : b - 1]])
             flags = keep[a:b]
-            body = b"".join(raw[p:e] for p, e in zip(prior[flags].tolist(), ends[a:b][flags].tolist()))
-            texts[d] = body.decode("utf-8", "replace").lstrip(" \t\n\x0b\x0c\r")
+            left = b"".join(raw[p:e] for p, e in zip(prior[flags].tolist(), ends[a:b][flags].tolist()))
+            texts[d] = left.decode("utf-8", "replace").lstrip(" \t\n\x0b\x0c\r")
         at = kept.schema.get_field_index(body)
         return kept.set_column(at, kept.schema.field(at), pa.array(texts, kept.schema.field(at).type))
 

@@ -55,6 +55,12 @@ def slow_intervals(words, rules):
     return [a for a in found if not any(inside(a, b) for b in found)]
 
 
+def gated(text):
+    from quillrank.llm.licenses import GATE, GATE_WORD
+
+    return any(w in text.lower() for w in GATE) or bool(re.search(GATE_WORD, text))
+
+
 LICENSE_TEXTS = [
     "This work is licensed under the GNU General Public License, version 3.", "GNU Lesser General Public License v2.1 or later. All\nrights reserved",
     "Licensed under CC BY-NC 4.0. cc_by cc by cc BY", "Released under the MIT License. MIT license MIT license", "Apache License, Version 2.0; apache license apache  license",
@@ -65,7 +71,7 @@ LICENSE_TEXTS = [
 
 
 def test_license_scan_by_plain_loops(spark):
-    from quillrank.llm.licenses import BASE_PHRASES, GATE, license_scan, signature_rules
+    from quillrank.llm.licenses import BASE_PHRASES, license_scan, signature_rules
 
     rules = signature_rules()
     assert len(rules) > 250
@@ -82,20 +88,20 @@ def test_license_scan_by_plain_loops(spark):
         starts = [k for k, _ in places]
         assert (r["first_word"], r["last_word"]) == (min(starts, default=None), max(starts, default=None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
-        kept = slow_intervals(words, rules) if re.search(GATE, t or "") else []
+        kept = slow_intervals(words, rules) if gated(t or "") else []
         assert r["labels"] == ",".join(sorted({x for _, x in places} | {a[0] for a in kept})), t
         assert r["n_signatures"] == len(kept) and 0 <= r["score"] <= 1
     assert license_scan(df.where("false")).count() == 0
 
 
 def test_every_rule_has_a_gate_word():
-    from quillrank.llm.licenses import BASE_PHRASES, GATE, signature_rules
+    from quillrank.llm.licenses import BASE_PHRASES, signature_rules
 
     for _, keyword, _, pattern in signature_rules():
         plain = pattern.replace("licen[cs]e", "license")
-        assert re.search(GATE, plain), pattern
+        assert gated(plain), pattern
         assert keyword in plain or keyword in ("later", "library"), pattern
-    assert all(re.search(GATE, p) for p, _ in BASE_PHRASES)
+    assert all(gated(p) for p, _ in BASE_PHRASES)
 
 
 def test_poisson_inversion_and_rates(spark):
