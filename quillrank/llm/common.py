@@ -55,6 +55,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def batches_of(docs: DataFrame, batch_bytes: int) -> int:
+    """How many batches of documents of about ``batch_bytes`` there are, by the size that Spark knows or else by the rows."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 52:  # unknown
+        size = docs.count() * 2048
+    return max(1, -(-size // batch_bytes))
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each; a longer text is alone in its slice."""
     for batch in batches:

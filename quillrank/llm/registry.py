@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .licenses import license_scan
+from .lm import lm_scores
 from .mixing import MixParams, mix_sources
 from .pieces import encoding_digests
 from .quality import quality_rules
@@ -25,6 +26,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -51,7 +56,7 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_lm_scoring, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
 
 
 MIXING_SQL = """

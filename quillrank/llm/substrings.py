@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, span_hashes, string_buffers, text_chunks, window_hashes, word_spans
+from .common import batches_of, mix, span_hashes, string_buffers, text_chunks, window_hashes, word_spans
 
 _U = np.uint64
 
@@ -66,14 +66,6 @@ def anchors(words: np.ndarray, bounds: np.ndarray, params: RepeatParams) -> tupl
     return at, grams[at]
 
 
-def _batches(docs: DataFrame, params: RepeatParams) -> int:
-    """How many batches of documents, from the size that Spark knows or else from the rows."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 52:  # unknown
-        size = docs.count() * 2048
-    return max(1, -(-size // params.batch_bytes))
-
-
 class _Batch:
     """Words of one batch of documents."""
 
@@ -313,7 +305,7 @@ def _rows(docs: DataFrame, params: RepeatParams, id_col: str, text_col: str) ->
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(id_col).isNull().alias("missing"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rk = F.xxhash64("doc_id", "text")
-    return rows.select(F.pmod(rk, F.lit(_batches(docs, params))).cast("int").alias("b"), rk.alias("rk"), "doc_id", "text", "missing").repartition("b")
+    return rows.select(F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes))).cast("int").alias("b"), rk.alias("rk"), "doc_id", "text", "missing").repartition("b")
 
 
 def _keep_mask(x: _Batch, rks: np.ndarray, marks: pa.Table, params: RepeatParams) -> np.ndarray:
@@ -376,7 +368,7 @@ def cut_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
     ident, body = inner[id_col], inner[text_col]
     rk_id, rk_text = F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1)), F.coalesce(F.col(body).cast("string"), F.lit(""))
     rk = F.xxhash64(rk_id, rk_text)
-    keyed = keyed.select(*[a for a in inner.values() if a != body], F.pmod(rk, F.lit(_batches(docs, params))).cast("int").alias("b"), rk.alias("rk"), rk_id.alias("doc_id"),
+    keyed = keyed.select(*[a for a in inner.values() if a != body], F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes))).cast("int").alias("b"), rk.alias("rk"), rk_id.alias("doc_id"),
                          rk_text.alias("text"), F.col(body).isNull().alias("none")).repartition("b")
     fields = [T.StructField(inner[f.name], f.dataType) for f in docs.schema.fields]
 
