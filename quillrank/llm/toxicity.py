@@ -31,9 +31,9 @@ class FtrlParams:
     bits: int = 20
     alpha: float = 2.0
     beta: float = 1.0
-    l1: float = 6.0
+    l1: float = 4.0
     l2: float = 0.0
-    epochs: int = 5
+    epochs: int = 8
     max_rows: int = 12_000
     threshold: float = 0.7
     seed: int = 11
@@ -158,3 +158,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, params: FtrlParams = Ftr
     model = fit(labelled_texts(docs, labels, id_col, text_col), params)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return score(rows, model, params).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= params.threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` below the threshold, with all their columns."""
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
+    model = fit(labelled_texts(docs, labels, id_col, text_col), params)
+    kept = score(rows, model, params, inner[text_col], "score").where(F.col("score") < params.threshold)
+    return kept.select(*[F.col(a).alias(c) for c, a in inner.items()])
