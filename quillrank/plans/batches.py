@@ -20,11 +20,14 @@ def build(spark: SparkSession, inputs: dict[str, str], output: str | Path, param
     if output.exists():
         raise FileExistsError(f"{output} exists")
     stage = output.with_name(output.name + ".stage")
+    held = []
     try:
         triplets = union_all([numbered(read_json_lines_strict(spark, path, schemas.TRIPLETS)).withColumn("source", F.lit(name)) for name, path in inputs.items()])
         rows = classify(triplets, params).cache()  # read once for candidates, once for quarantine
+        held.append(rows)
         candidates = rows.where("reason is null")
         packed = pack(candidates, params).cache()
+        held.append(packed)
         plan = plan_rows(packed)
         broken = {k: v for k, v in plan_violations(plan, params).first().asDict().items() if v}
         if broken:
@@ -42,4 +45,6 @@ def build(spark: SparkSession, inputs: dict[str, str], output: str | Path, param
         stage.rename(output)
         return summary
     finally:
+        for table in held:
+            table.unpersist()
         shutil.rmtree(stage, ignore_errors=True)

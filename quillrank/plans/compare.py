@@ -31,9 +31,17 @@ def load_passages(spark: SparkSession, candidates: dict[str, dict]) -> DataFrame
 def compare(spark: SparkSession, candidates: dict[str, dict], ineligible: list[str] = (), contract: dict | None = None, summaries: dict[str, dict] | None = None,
             resampling: Resampling = Resampling(), output: str | Path | None = None) -> dict:
     """Fails with all that is wrong; otherwise metrics, selection and pairs.  Without ``output`` nothing is written."""
-    models = list(candidates)
-    choices, passages = load_choices(spark, candidates).cache(), load_passages(spark, candidates).cache()
-    issues = summary_issues(summaries, contract or {}) if summaries else []
+    held = load_choices(spark, candidates).cache(), load_passages(spark, candidates).cache()  # read by every step
+    try:
+        return _compare(spark, *held, list(candidates), list(ineligible), contract or {}, summaries, resampling, output)
+    finally:
+        for table in held:  # files may change before the next call
+            table.unpersist()
+
+
+def _compare(spark: SparkSession, choices: DataFrame, passages: DataFrame, models: list[str], ineligible: list[str], contract: dict, summaries: dict[str, dict] | None, resampling: Resampling,
+             output: str | Path | None) -> dict:
+    issues = summary_issues(summaries, contract) if summaries else []
     for evidence in (choices, passages):
         try:
             require_evidence(evidence, models)
@@ -43,8 +51,8 @@ def compare(spark: SparkSession, candidates: dict[str, dict], ineligible: list[s
         raise EvidenceError(issues)
     metrics = exact_metrics(choices, passages)
     order = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model_key string, position int")
-    chosen = [r.asDict() for r in selection(metrics, order, list(ineligible)).orderBy(F.col("place").asc_nulls_last(), "model_key").collect()]
-    pairs = holm(pairwise(choices, resampling), []).cache()
+    chosen = [r.asDict() for r in selection(metrics, order, ineligible).orderBy(F.col("place").asc_nulls_last(), "model_key").collect()]
+    pairs = holm(pairwise(choices, resampling), [])
     eligible = [r["model_key"] for r in chosen if r["eligible"]]
     report = {"metrics": [r.asDict() for r in metrics.orderBy("model_key").collect()], "selection": chosen, "pairs": [r.asDict() for r in pairs.orderBy("model_a", "model_b").collect()],
               "winner": eligible[0] if eligible else None, "label": superiority(pairs, *eligible[:2]) if len(eligible) > 1 else "no comparison", "statements": list(STATEMENTS)}

@@ -17,11 +17,12 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructTy
 
 
 def read_json_lines_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As :func:`read_json_lines`; a line that is not a JSON object fails, named by file and text."""
-    rows = spark.read.schema(StructType([*schema.fields, StructField(_BAD, StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).json(path)
-    bad = F.col(_BAD).isNotNull()
-    check = F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON in "), F.input_file_name(), F.lit(": "), F.col(_BAD)))).otherwise(F.lit(True))
-    return rows.where(check).drop(_BAD)
+    """As :func:`read_json_lines`; a line that is not a JSON object of the schema fails, named by file and text."""
+    parsed = F.from_json("value", StructType([*schema.fields, StructField(_BAD, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.input_file_name().alias("file"), parsed.alias("row"))
+    bad = F.col("row").isNull() | F.col(f"row.{_BAD}").isNotNull() | ~F.ltrim("value").startswith("{")
+    check = F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(": "), "value"))).otherwise(F.lit(True))
+    return rows.where(check).select(*[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def numbered(rows: DataFrame, column: str = "seq") -> DataFrame:
