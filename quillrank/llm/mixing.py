@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class MixParams:
@@ -26,6 +28,9 @@ class MixParams:
 
 
 MAX_RATE = 500
+#: Sources up to this many are sent to every executor; more are joined, the larger ones' rows dealt over :data:`SALTS` keys.
+BROADCAST_SOURCES = 20_000
+SALTS = 64
 #: A null source counts as the source of this name.
 NO_SOURCE = ""
 
@@ -82,10 +87,15 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
     copies.  A null source is a source of its own.  Partitions and the rows in them are in hash order, which no property of
     a row but its id sets.  An empty table gives no rows.  Columns named ``copy``, ``rate`` or ``mix_key`` are replaced.
     """
-    rates = source_rates(docs, params, source_col)
+    rates = cut(source_rates(docs, params, source_col))
     names = [c for c in docs.columns if c.lower() not in ("copy", "rate", "mix_key", "mix_source")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("row_source"))
-    drawn = keyed.join(rates, F.col("row_source") == F.col("mix_source"))
+    if rates.count() <= BROADCAST_SOURCES:
+        drawn = keyed.join(F.broadcast(rates), F.col("row_source") == F.col("mix_source"))
+    else:  # a row of any source goes to one of SALTS tasks, by its id
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(params.seed)), F.lit(SALTS)).cast("int"))
+        every = rates.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = salted.join(every, (F.col("row_source") == F.col("mix_source")) & (F.col("salt") == F.col("of_salt")))
     drawn = drawn.withColumn("copies", poisson_count(lambda j: uniform(params.seed, "count", F.col(id_col), j), F.col("rate"))).where("copies > 0")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("mix_key", uniform(params.seed, "order", F.col(id_col), F.col("copy")))

@@ -104,7 +104,7 @@ def test_every_rule_has_a_gate_word():
     assert all(gated(p) for p, _ in BASE_PHRASES)
 
 
-def test_poisson_inversion_and_rates(spark):
+def test_poisson_inversion_and_rates(spark, monkeypatch):
     import math
 
     from pyspark.sql import functions as F
@@ -136,6 +136,12 @@ def test_poisson_inversion_and_rates(spark):
     assert set(got) == {"big", "small"} and abs(got["big"] - 1500) < 150 and abs(got["small"] - 4500) < 300
     first = [r["doc_id"] for r in mixed.limit(60).collect()]
     assert first != sorted(first) and sorted(map(str, mixed.collect())) == sorted(map(str, mix_sources(table.repartition(7), params).collect()))
+    from quillrank.llm import mixing
+
+    whole = sorted(map(str, mixed.collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)  # many sources: the salted join
+    assert sorted(map(str, mix_sources(table, params).collect())) == whole
+    monkeypatch.undo()
     odd = docs(spark)
     assert mix_sources(odd).where("text is null and doc_id is null").count() == 0
     assert mix_sources(odd.where("false")).count() == 0
