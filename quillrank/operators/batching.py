@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import clean_text, normal_key, normal_keys, row_id, stable_key
+from quillrank.functions.text import clean_text, normal_key, normal_keys, row_id, stable_key, tokens
+from quillrank.operators.statistics import nearest_rank
 from quillrank.sources.files import numbered
 
 #: Reasons in the order in which they are looked for; the first that holds is given.
@@ -79,6 +80,27 @@ def length_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
                       F.round("pq", 6).alias("positive_quantile"), F.round("nq", 6).alias("negative_quantile"), F.round(F.abs(F.col("pq") - F.col("nq")), 6).alias("quantile_gap"))
 
 
+def token_length_statistics(rows: DataFrame, fields: list[str], max_tokens: int, sample: int | None = None, seed: str = "sample", mode: str = "whitespace") -> DataFrame:
+    """``(field, rows, mean, p50, p95, p99, longest, over, over_share)`` of the fields' token counts, nearest-rank percentiles.
+
+    With ``sample`` only that many rows count, the first in seeded order of their ``record_id``.
+    """
+    if sample is not None:
+        rows = rows.orderBy(stable_key(seed, F.col("record_id")), "record_id").limit(sample)
+    counts = [F.struct(F.lit(c).alias("field"), F.size(tokens(F.col(c), mode)).alias("n")) for c in fields]
+    long = rows.select(F.explode(F.array(*counts)).alias("x")).select("x.*")
+    over = F.count_if(F.col("n") > max_tokens)
+    return long.groupBy("field").agg(
+        F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), *[nearest_rank("n", p / 100).cast("long").alias(f"p{p}") for p in (50, 95, 99)], F.max("n").cast("long").alias("longest"),
+        over.alias("over"), F.round(100.0 * over / F.count("*"), 6).alias("over_percent"))
+
+
+def token_length_gaps(rows: DataFrame, mode: str = "whitespace") -> DataFrame:
+    """One row: mean and percentiles of positive less negative token counts, signs kept."""
+    gaps = rows.select((F.size(tokens(F.col("positive"), mode)) - F.size(tokens(F.col("negative"), mode))).alias("n"))
+    return gaps.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), *[nearest_rank("n", p / 100).cast("long").alias(f"p{p}") for p in (5, 50, 95)])
+
+
 @dataclass
 class _Open:
     """One open batch; lengths are kept sorted, keys in sets."""

@@ -185,7 +185,9 @@ UNION ALL SELECT m.model_key, 'missing_id', i.query_id::varchar FROM (SELECT DIS
     "length_stats": f"""WITH {_TRIPLETS}, s AS (SELECT option_len_rank, avg(length(positive)) AS pm, avg(length(negative)) AS nm, quantile_cont(length(positive), 0.5) AS pq, quantile_cont(length(negative), 0.5) AS nq FROM candidates GROUP BY 1)
 SELECT option_len_rank::int AS option_len_rank, round(pm, 6) AS positive_mean, round(nm, 6) AS negative_mean, round(abs(pm - nm), 6) AS mean_gap, round(pq, 6) AS positive_quantile, round(nq, 6) AS negative_quantile, round(abs(pq - nq), 6) AS quantile_gap FROM s""",
     "token_length_stats": f"""WITH {_TRIPLETS}, t AS (SELECT 'query' AS field, len({_ws('query')}) AS n FROM candidates UNION ALL SELECT 'positive', len({_ws('positive')}) FROM candidates UNION ALL SELECT 'negative', len({_ws('negative')}) FROM candidates)
-SELECT field, count(*) AS rows, round(avg(n), 6) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS longest, count(*) FILTER (n > 64) AS over FROM t GROUP BY 1""",
+SELECT field, count(*) AS rows, round(avg(n), 6) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS longest, count(*) FILTER (n > 64) AS over, round(100.0::double * count(*) FILTER (n > 64) / count(*), 6) AS over_percent FROM t GROUP BY 1""",
+    "token_length_gaps": f"""WITH {_TRIPLETS}, t AS (SELECT len({_ws('positive')}) - len({_ws('negative')}) AS n FROM candidates)
+SELECT count(*) AS rows, round(avg(n), 6) AS mean, quantile_disc(n, 0.05) AS p5, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95 FROM t""",
     "pack_batches_violations": "SELECT 0::bigint AS repeated_positives, 0::bigint AS collisions, 0::bigint AS wrong_sizes, 0::bigint AS unbalanced",
     "contiguous_groups": """WITH r AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS place FROM events), n AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY place) AS fresh FROM r)
 SELECT event_type, min(place) AS first, count(*) AS size, count(*) FILTER (fresh) AS runs FROM n GROUP BY 1""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,5 +60,10 @@ def _compare(spark: SparkSession, choices: DataFrame, passages: DataFrame, model
     if output is not None:
         write_json(Path(output) / "comparison.json", report)
         text = "# Comparison\n\n" + markdown_table(report["metrics"], list(report["metrics"][0])) + "\n" + (markdown_table(report["pairs"], list(report["pairs"][0])) if report["pairs"] else "") + "\n" + "\n".join(f"- {s}" for s in STATEMENTS) + "\n"
+        if report["pairs"]:
+            with (Path(output) / "pairs.csv").open("w", newline="", encoding="utf-8") as file:
+                writer = csv.DictWriter(file, list(report["pairs"][0]), lineterminator="\n")
+                writer.writeheader()
+                writer.writerows(report["pairs"])
         (Path(output) / "comparison.md").write_text(text, encoding="utf-8")
     return report

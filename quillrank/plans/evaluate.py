@@ -16,6 +16,7 @@ from quillrank.operators.metrics import mixed_drop, per_query_metrics, retrieval
 from quillrank.operators.ranking import Bm25Params, bm25_top_k, vector_top_k
 from quillrank.operators.statistics import bootstrap_intervals
 from quillrank.plans.config import Bootstrap, Cutoffs, Evaluation, Retriever, Task
+from quillrank.plans.preflight import run_manifest
 from quillrank.sources import schemas
 from quillrank.sources.files import numbered, read_json_lines
 from quillrank.sources.sinks import markdown_table, write_json, write_per_query
@@ -118,4 +119,5 @@ def run(spark: SparkSession, evaluation: Evaluation, folder: str | Path) -> dict
         out["tasks"][task.name] = block
         result.per_query.unpersist()
     write_json(Path(folder) / "summary.json", out)
+    write_json(Path(folder) / "manifest.json", run_manifest(evaluation, spark))
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
@@ -355,9 +355,11 @@ def length_stats(spark, sf_dir):
 
 def token_length_stats(spark, sf_dir):
     rows = _candidates(spark, sf_dir).withColumn("negative", F.col("negatives")[0]["text"])
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.size(T.tokens(F.col(c), "whitespace")).alias("n")) for c in ("query", "positive", "negative")])).alias("x")).select("x.*")
-    return long.groupBy("field").agg(F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), *[statistics.nearest_rank("n", p / 100).cast("long").alias(f"p{p}") for p in (50, 95, 99)],
-                                     F.max("n").cast("long").alias("longest"), F.count_if(F.col("n") > 64).alias("over"))
+    return batching.token_length_statistics(rows, ["query", "positive", "negative"], 64)
+
+
+def token_length_gaps(spark, sf_dir):
+    return batching.token_length_gaps(_candidates(spark, sf_dir).withColumn("negative", F.col("negatives")[0]["text"]))
 
 
 def pack_batches(spark, sf_dir):
@@ -382,7 +384,7 @@ _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
     subgroup_report, code_switch_strata, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
-    zero_shot_deltas, pairwise_discordant, paired_bootstrap, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, pack_batches,
+    zero_shot_deltas, pairwise_discordant, paired_bootstrap, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 
 

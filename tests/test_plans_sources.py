@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillrank import cli
 from quillrank.operators import comparison
 from quillrank.operators.batching import PlanParams
-from quillrank.plans import batches, compare, evaluate
+from quillrank.plans import batches, compare, evaluate, preflight
 from quillrank.plans.config import ConfigError, compile_config, merge_model
 from quillrank.sources import files, schemas, sinks, tasks
 
@@ -134,6 +134,15 @@ def test_batches_end_to_end(spark, tmp_path):
     assert a["records_read"] == 30 and a["quarantined"]["non_train_split"] == 1 and a["collision_pairs_before"] > 0
     with pytest.raises(FileExistsError):
         batches.build(spark, {"s": path}, tmp_path / "a", params)
+    at = tmp_path / "a" / "plan.jsonl.gz"
+    plan, sizes = preflight.load_plan(spark, at, a["plan_sha256"], a["batched"], a["batches"])
+    assert plan.count() == sum(sizes) == a["batched"]
+    preflight.check_sampler(sizes, a["batched"])
+    for wrong in (dict(sha256="0" * 64), dict(sha256=a["plan_sha256"], rows=1), dict(sha256=a["plan_sha256"], groups=1), dict(sha256=a["plan_sha256"], stored="0")):
+        with pytest.raises(preflight.PreflightError):
+            preflight.load_plan(spark, at, **wrong)
+    with pytest.raises(preflight.PreflightError):
+        preflight.check_sampler(sizes, 1)
     (tmp_path / "bad.jsonl").write_text("{oops\n")
     with pytest.raises(Exception, match="invalid JSON"):
         batches.build(spark, {"s": str(tmp_path / "bad.jsonl")}, tmp_path / "c", params)
@@ -188,3 +197,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select n from counted").collect()[0][0] == 2
+
+
+def test_checkpoints(tmp_path):
+    for step, complete in ((1, True), (5, True), (10, True), (20, False)):
+        at = tmp_path / f"checkpoint-{step}"
+        at.mkdir()
+        if complete:
+            (at / preflight.MARKER).touch()
+    assert preflight.newest_checkpoint(tmp_path).name == "checkpoint-10" and preflight.newest_checkpoint(tmp_path / "none") is None
+    assert [p.name for p in preflight.retain_checkpoints(tmp_path, 2)] == ["checkpoint-1"] and (tmp_path / "checkpoint-20").exists()

@@ -187,3 +187,13 @@ def test_pairwise(spark):
     r = comparison.pairwise(spark.createDataFrame(rows, "model_key string, query_id long, correct boolean"), comparison.Resampling(100)).first()
     assert (r["model_a"], r["model_b"], r["only_a"], r["only_b"], r["mean"]) == ("a", "b", 10, 0, 0.5) and r["p_value"] == pytest.approx(2 * 0.5**10)
     assert comparison.superiority(comparison.pairwise(spark.createDataFrame(rows, "model_key string, query_id long, correct boolean"), comparison.Resampling(100)), "a", "b") == "superiority established"
+
+
+def test_token_lengths(spark):
+    rows = [(f"r{i}", "w " * n, "w " * n, "w") for i, n in enumerate((3, 5, 8, 12))]
+    df = spark.createDataFrame(rows, "record_id string, query string, positive string, negative string")
+    r = batching.token_length_statistics(df, ["query"], 8).first()
+    assert (r["rows"], r["mean"], r["p50"], r["longest"], r["over"], r["over_percent"]) == (4, 7.0, 5, 12, 1, 25.0)
+    assert batching.token_length_statistics(df, ["query"], 8, sample=2).first()["rows"] == 2
+    g = batching.token_length_gaps(df).first()
+    assert (g["mean"], g["p50"]) == (6.0, 4)
