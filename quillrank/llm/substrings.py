@@ -72,10 +72,19 @@ class _Batch:
     def __init__(self, table: pa.Table | pa.RecordBatch, text: str):
         column = table.column(text)
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        self.column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        self.data, self.offsets = string_buffers(self.column)
-        starts, ends, self.bounds = word_spans(self.data, self.offsets)
-        self.words = span_hashes(self.data, starts, ends)
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        self.data, self.offsets = string_buffers(column)
+        # Hashes take many bytes for one of text, so they are made a chunk at a time.
+        parts, self.ends, counts, at = [], [], [np.zeros(1, np.int64)], 0
+        for chunk in text_chunks([pa.RecordBatch.from_arrays([column], ["text"])], 0):
+            data, offsets = string_buffers(chunk.column(0))
+            starts, ends, bounds = word_spans(data, offsets)
+            parts.append(span_hashes(data, starts, ends))
+            self.ends.append(ends + at)
+            counts.append(np.diff(bounds))
+            at += len(data)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.bounds = np.cumsum(np.concatenate(counts))
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.bounds))
 
 
@@ -381,7 +390,7 @@ def cut_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
             return kept
         x = _Batch(table, "text")
         keep = _keep_mask(x, _column(table, "rk"), marks, params)
-        starts, ends, _ = word_spans(x.data, x.offsets)
+        ends = np.concatenate(x.ends)
         lost = np.diff(np.concatenate([[0], np.cumsum(~keep)])[x.bounds]) > 0
         raw = x.data.tobytes()
         texts = kept.column(body).to_pylist()
