@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
 from quillrank.functions import vectors as V
-from quillrank.operators import batching, choice, comparison, encoding, metrics, ranking, statistics
+from quillrank.operators import batching, choice, comparison, containment, encoding, metrics, ranking, statistics
 from quillrank.sources.tasks import pairs_tables
 
 WHITESPACE = ranking.Bm25Params(mode="whitespace")
@@ -38,8 +38,8 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = ranking.spread(_documents(spark, sf_dir)), _items(spark, sf_dir).select("query_id", F.col("text").alias("passage"))
-    return docs.join(items, F.contains("text", "passage")).select("query_id", "doc_id", F.lit(1.0).alias("grade"))
+    pairs = containment.containment_pairs(ranking.spread(_documents(spark, sf_dir)), _items(spark, sf_dir))
+    return pairs.withColumn("grade", F.lit(1.0))
 
 
 def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,17 @@ def test_encoders_are_registered_and_checked(spark):
         encoding.ENCODERS.pop("sizes")
     with pytest.raises(encoding.EncoderError, match="unknown"):
         encoding.encode(docs(spark), "nothing", "query")
+
+
+def test_containment(spark):
+    import random
+
+    from quillrank.operators.containment import containment_pairs
+
+    rng = random.Random(2)
+    say = lambda n: " ".join(rng.choice(["ab", "b", "cab", "", "d\ne"]) for _ in range(n))
+    texts = [say(rng.randrange(0, 40)) for _ in range(80)]
+    asked = ["", "b", "ab b", *[t[rng.randrange(0, 5) :][: rng.randrange(1, 60)] for t in texts if len(t) > 10]]
+    docs_ = frame(spark, list(enumerate(texts)) + [(999, None)], "doc_id long, text string")
+    got = {tuple(r) for r in containment_pairs(docs_, frame(spark, list(enumerate(asked)), "query_id long, text string")).collect()}
+    assert got == {(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p in t}
