@@ -184,11 +184,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 array_append(s.out, struct(x.label as label, x.priority as priority, x.rank as rank,
                     (case when s.rank = x.rank then s.at else 0 end) + x.gap as start, (case when s.rank = x.rank then s.at else 0 end) + x.gap + x.size as stop)) as out,
                 x.rank as rank, (case when s.rank = x.rank then s.at else 0 end) + x.gap + x.size as at), s -> s.out)"""))
+    # By start, longer first, then higher priority: whatever contains an interval stands before it, and is still open there.
+    rows = rows.withColumn("found", F.expr("""
+        sort_array(transform(found, x -> struct(x.start as start, -x.stop as minus_stop, -x.priority as minus_priority, x.rank as rank, x.label as label)))"""))
     rows = rows.withColumn("kept", F.expr("""
-        filter(found, a -> not exists(found, b -> b.start <= a.start and a.stop <= b.stop and b.rank <> a.rank and (b.priority > a.priority or (b.priority = a.priority
-            and (b.stop - b.start > a.stop - a.start or (b.stop - b.start = a.stop - a.start and b.rank < a.rank))))))"""))
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce(F.transform("kept", lambda x: x["label"]), F.array().cast("array<string>")))))
-    best = F.array_max(F.transform("kept", lambda x: x["priority"]))
+        aggregate(found, struct(cast(array() as array<string>) as labels, 0 as best, 0L as n, cast(array() as array<struct<stop: int, size: int, priority: int, rank: int>>) as open),
+            (s, x) -> struct(
+                case when exists(s.open, b -> {inside}) then s.labels else array_union(s.labels, array(x.label)) end as labels,
+                case when exists(s.open, b -> {inside}) then s.best else greatest(s.best, -x.minus_priority) end as best,
+                case when exists(s.open, b -> {inside}) then s.n else s.n + 1 end as n,
+                array_append(filter(s.open, b -> b.stop > x.start), struct(-x.minus_stop as stop, -x.minus_stop - x.start as size, -x.minus_priority as priority, x.rank as rank)) as open))""".format(
+        inside="b.stop >= -x.minus_stop and b.rank <> x.rank and (b.priority > -x.minus_priority or (b.priority = -x.minus_priority and (b.size > -x.minus_stop - x.start "
+               "or (b.size = -x.minus_stop - x.start and b.rank < x.rank))))")))
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("kept.labels", F.array().cast("array<string>")))))
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
-                       F.array_join(labels, ",").alias("labels"), F.greatest(F.coalesce(best / 100.0, F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).cast("double").alias("score"),
-                       F.coalesce(F.size("kept"), F.lit(0)).cast("long").alias("n_signatures"))
+                       F.array_join(labels, ",").alias("labels"), F.greatest(F.coalesce(F.col("kept.best") / 100.0, F.lit(0.0)), F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).cast("double").alias("score"),
+                       F.coalesce("kept.n", F.lit(0)).cast("long").alias("n_signatures"))
