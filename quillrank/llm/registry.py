@@ -11,6 +11,7 @@ from .htmltext import extract_main_text
 from .licenses import license_scan
 from .lm import lm_scores
 from .mixing import MixParams, mix_sources
+from .oracles import ORACLES
 from .pieces import encoding_digests
 from .quality import quality_rules
 from .simhash import simhash_components
@@ -36,7 +37,8 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,20 +66,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_sentencepiece, op4_lm_scoring, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
 
 
-MIXING_SQL = """
-WITH counts AS (SELECT coalesce(source, '') AS s, count(*)::double AS n FROM documents GROUP BY 1),
-rates AS (SELECT s, (sum(n) OVER ()) * (n ** 0.5 / sum(n ** 0.5) OVER ()) / n AS rate FROM counts),
-cdf AS (SELECT s, rate, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY s ORDER BY k) AS c FROM rates, range(0, 400) r(k)),
-tables AS (SELECT s, rate, list(c ORDER BY k) AS cs FROM cdf GROUP BY ALL),
-drawn AS (
-  SELECT d.*, rate, len(list_filter(cs, lambda c: c <= ('0x' || substr(md5('17|count|' || coalesce(doc_id::varchar, 'null') || '|0'), 1, 13))::bigint / 4503599627370496.0)) AS copies
-  FROM documents d JOIN tables ON coalesce(source, '') = s),
-copied AS (SELECT * EXCLUDE (copies), unnest(range(copies))::int AS copy FROM drawn)
-SELECT * EXCLUDE (rate), round(rate, 6) AS rate,
-  ('0x' || substr(md5('17|order|' || coalesce(doc_id::varchar, 'null') || '|' || copy), 1, 13))::bigint / 4503599627370496.0 AS mix_key
-FROM copied
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": MIXING_SQL}
+    return dict(ORACLES)
