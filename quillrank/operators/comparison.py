@@ -95,9 +95,9 @@ def selection(metrics: DataFrame, order: DataFrame, ineligible: list[str], crite
 
 def model_pairs(evidence: DataFrame, value: str) -> DataFrame:
     """``(model_a, model_b, id, a, b)`` of every unordered pair of models on the ids that both have."""
-    a = evidence.select(F.col("model_key").alias("model_a"), F.col("query_id").alias("id"), F.col(value).alias("a"))
-    b = evidence.select(F.col("model_key").alias("model_b"), F.col("query_id").alias("id"), F.col(value).alias("b"))
-    return a.join(b, "id").where("model_a < model_b")
+    held = evidence.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct(F.col("model_key").alias("m"), F.col(value).alias("v"))).alias("ms"))  # a query's models
+    pair = F.expr("explode(flatten(transform(ms, a -> transform(filter(ms, b -> a.m < b.m), b -> struct(a.m as model_a, b.m as model_b, a.v as a, b.v as b)))))")
+    return held.select("id", pair.alias("p")).select("p.model_a", "p.model_b", "id", "p.a", "p.b")
 
 
 @dataclass(frozen=True)

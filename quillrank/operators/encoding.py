@@ -25,7 +25,8 @@ def hashed_slots(docs: DataFrame, dim: int, max_length: int | None = None, mode:
     """``(doc_id, slot, c)``: how many tokens of a text, or of its first ``max_length`` characters, fall into each slot."""
     text = F.col("text") if max_length is None else F.substring("text", 1, max_length)
     rows = docs.select("doc_id", F.explode(tokens(text, mode, scripts)).alias("t"))
-    return rows.groupBy("doc_id", md5_slot(F.col("t"), dim).alias("slot")).agg(F.count("*").alias("c"))
+    terms = rows.groupBy("doc_id", "t").agg(F.count("*").alias("n"))  # one digest for each distinct token of a text
+    return terms.groupBy("doc_id", md5_slot(F.col("t"), dim).alias("slot")).agg(F.sum("n").alias("c"))
 
 
 def hashed_vectors(docs: DataFrame, dim: int, max_length: int | None = None, mode: str = "char_bigram") -> DataFrame:

@@ -30,7 +30,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranking.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = containment.containment_pairs(ranking.spread(_documents(spark, sf_dir)), _items(spark, sf_dir))
+    pairs = containment.containment_pairs(_documents(spark, sf_dir), _items(spark, sf_dir))
     return pairs.withColumn("grade", F.lit(1.0))
 
 
@@ -137,7 +137,7 @@ def bm25_topk_bigram(spark, sf_dir):
 
 
 def bm25_topk_joined(spark, sf_dir):
-    scores = ranking.bm25_scores(ranking.spread(_documents(spark, sf_dir)), _items(spark, sf_dir), WHITESPACE)
+    scores = ranking.bm25_scores(_documents(spark, sf_dir), _items(spark, sf_dir), WHITESPACE)
     return ranking.top_k(scores.withColumn("score", F.round("score", ranking.SCORE_DECIMALS)), 10, ["query_id"])
 
 
