@@ -63,6 +63,12 @@ def batches_of(docs: DataFrame, batch_bytes: int) -> int:
     return max(1, -(-size // batch_bytes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that would be read in fewer parts than there are cores is dealt out evenly; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``limit`` bytes of text each; a longer text is alone in its slice."""
     for batch in batches:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
 from .htmltext import extract_main_text
 from .licenses import license_scan
 from .lm import lm_scores
@@ -20,46 +21,50 @@ from .topk import exact_top_k
 from .toxicity import toxicity_scores
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract_main_text(_table(spark, sf_dir, "pages"))
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encoding_digests(_table(spark, sf_dir, "documents"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return lm_scores(_table(spark, sf_dir, "documents"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    rows = quality_rules(_table(spark, sf_dir, "documents"))
     return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_scan(_table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return cut_digests(_table(spark, sf_dir, "documents"))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"), MixParams())
+    mixed = mix_sources(_table(spark, sf_dir, "documents"), MixParams())
     return mixed.withColumn("rate", F.round("rate", 6))
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return simhash_components(_table(spark, sf_dir, "documents"))
 
 
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=50, k=5)
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
