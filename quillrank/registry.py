@@ -306,7 +306,7 @@ def zero_shot_deltas(spark, sf_dir):
     rows = comparison.exact_metrics(_choices(spark, sf_dir))
     base = rows.where("model_key = 'bm25'").drop("model_key").crossJoin(_order(spark).select("model_key"))  # one row with each model
     out = comparison.zero_shot_deltas(rows, base, ["accuracy", "exam_mrr"])
-    return out.select("model_key", *[F.round(c, 9).alias(c) for c in ("accuracy_delta", "exam_mrr_delta")])
+    return out.select("model_key", *[(F.round(c, 9) + 0.0).alias(c) for c in ("accuracy_delta", "exam_mrr_delta")])
 
 
 def pairwise_discordant(spark, sf_dir):
@@ -317,7 +317,7 @@ def pairwise_discordant(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     pairs = comparison.model_pairs(_choices(spark, sf_dir), "reciprocal_rank")
     rows = statistics.paired_bootstrap(pairs, ["model_a", "model_b"], 200, 0.95, "0")
-    return rows.select("model_a", "model_b", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+    return rows.select("model_a", "model_b", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("mean", "low", "high")])  # no negative zero
 
 
 def holm_adjusted(spark, sf_dir):
