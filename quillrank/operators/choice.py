@@ -23,8 +23,10 @@ def bm25_option_scores(questions: DataFrame, params: Bm25Params = Bm25Params())
     bags = rows.select("question_id", "idx", tokens(F.col("option"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
     stats = bags.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_len"))
     asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term"))
-    postings = bags.select("question_id", "idx", "dl", F.explode("ts").alias("term")).groupBy("question_id", "idx", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = postings.withColumn("df", F.count("*").over(Window.partitionBy("question_id", "term"))).join(asked, ["question_id", "term"]).join(stats, "question_id")
+    # Tokens are cut to the question's own before they are counted; lengths and averages are of whole options.
+    postings = bags.select("question_id", "idx", "dl", F.explode("ts").alias("term")).join(asked, ["question_id", "term"])
+    postings = postings.groupBy("question_id", "idx", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = postings.withColumn("df", F.count("*").over(Window.partitionBy("question_id", "term"))).join(stats, "question_id")
     norm = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
     weight = idf(F.col("df"), F.col("n")) * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * norm))
     return hits.groupBy("question_id", "idx").agg(F.round(F.sum(weight), SCORE_DECIMALS).alias("score"))
