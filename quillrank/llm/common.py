@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step works on.  A longer document is a step of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -82,6 +82,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = C
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers go on to other stages
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +131,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(max(n, 1024), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + 1024:  # a longer document's table is not kept
             _powers[int(base)] = have
     return have[:n]
 

@@ -29,7 +29,7 @@ _DENSE = 1024
 #: Longer parts are merged one by one with a heap.
 LONG = 192
 #: Distinct parts that a worker remembers before it starts anew.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 18
 
 
 class Pieces:
