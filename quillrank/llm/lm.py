@@ -1,13 +1,14 @@
 """Language-model scoring with a gated recurrent network in numpy.
 
-Words are known by 64-bit hashes.  The frequent ones of a training sample are outputs of their own, in classes by
+Words are known by 64-bit hashes.  The frequent ones of all training documents are outputs of their own, in classes by
 frequency; all others share a few shape classes (accents, last character, length).  The network gives the class of the next
 token and, for a frequent word, the word in its class; within a shape class words follow their add-one counts over the whole
 corpus, with one place for unseen words.  So probabilities over all words sum to one, and the counts, which every document
 contributes to, grow with the corpus.
 
 Training is truncated backpropagation through windows of parallel streams, state carried from window to window and reset
-between documents.  Scoring runs a batch of documents in step, longest first, state carried through each whole document.
+between documents.  All training documents are dealt to shards by a hash of id and text; in each round every shard trains the
+same network on its next part, and the means of the weights by tokens start the next round.  An epoch is a pass over all.  Scoring runs a batch of documents in step, longest first, state carried through each whole document.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, lower_ascii, span_hashes, string_buffers, text_chunks, word_spans
+from .common import batches_of, lower_ascii, span_hashes, string_buffers, text_chunks, word_spans, written
 
 #: The hash that stands for the end of a document.
 END = np.uint64(0x5DEECE66D5DEECE6)
@@ -30,8 +31,8 @@ SHAPES = 16
 
 @dataclass(frozen=True)
 class LmParams:
-    """``max_docs`` bounds the documents whose sequences train the network: a sample by id hash of about that many.  Counts
-    are of all training documents.  ``batch_bytes``: stored input of a batch of documents that are scored in step."""
+    """``max_docs``: training documents of a shard, about; all documents train the network, in as many shards as that takes.
+    ``rounds``: means of the shards' weights in each epoch.  ``batch_bytes``: stored input of a batch of documents that are scored in step."""
 
     words: int = 2048
     per_class: int = 64
@@ -42,6 +43,7 @@ class LmParams:
     rate: float = 0.01
     clip: float = 1.0
     max_docs: int = 3000
+    rounds: int = 2
     seed: int = 5
     batch_bytes: int = 3 << 20
 
@@ -167,24 +169,31 @@ class Network:
             h = new
         out, grads, dout = self.outputs(np.concatenate(states), targets.ravel(), True)
         dout = dout.reshape(steps, -1, n)
-        dgx = np.zeros_like(gx)
-        du, back = np.zeros_like(self.w["u"]), np.zeros_like(h0)
+        before, z, r, c, hun = (np.stack(x) for x in zip(*saved))
+        of_c = (1 - z) * (1 - c * c)
+        of_z, of_r = (before - c) * z * (1 - z), hun * r * (1 - r)
+        dgx, dhu = np.empty_like(gx), np.empty_like(gx)
+        back, ut = np.zeros_like(h0), np.ascontiguousarray(self.w["u"].T)
         for t in range(steps - 1, -1, -1):
-            h, z, r, c, hun = saved[t]
             d = dout[t] + back
-            dz, dc = d * (h - c) * z * (1 - z), d * (1 - z) * (1 - c * c)
-            dr = dc * hun * r * (1 - r)
-            dhu = np.concatenate([dz, dr, dc * r], 1)
-            dgx[t] = np.concatenate([dz, dr, dc], 1)
-            du += h.T @ dhu
-            back = np.where(fresh[t][:, None], np.float32(0), d * z + dhu @ self.w["u"].T)
+            dc = d * of_c[t]
+            dhu[t, :, :n], dhu[t, :, n : 2 * n], dhu[t, :, 2 * n :] = d * of_z[t], dc * of_r[t], dc * r[t]
+            dgx[t, :, 2 * n :] = dc
+            back = d * z[t] + dhu[t] @ ut
+            back[fresh[t]] = 0
+        dgx[:, :, : 2 * n] = dhu[:, :, : 2 * n]
+        flat = inputs.ravel()
+        order = np.argsort(flat, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
         dx = np.zeros_like(self.w["x"])
-        np.add.at(dx, inputs.ravel(), dgx.reshape(-1, 3 * n))
-        grads |= {"x": dx, "u": du, "b": dgx.sum((0, 1))}
+        dx[flat[order[at]]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at, axis=0)
+        grads |= {"x": dx, "u": before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n), "b": dgx.sum((0, 1))}
         return -float(out.sum()), grads, states[-1]
 
-    def train(self, stream: np.ndarray, fresh: np.ndarray) -> float:
-        """Adam over windows of parallel streams; ``stream`` holds symbols of whole documents, one after another.  The last epoch's loss per token."""
+    def train(self, stream: np.ndarray, fresh: np.ndarray, epochs: int | None = None, part: tuple[int, int] = (0, 1)) -> float:
+        """Adam over windows of parallel streams; ``stream`` holds symbols of whole documents, one after another.  The last epoch's loss per token.
+
+        ``epochs``: those of the parameters if not given.  ``part`` (i, n): this is the i-th of n calls that share a falling rate."""
         p = self.params
         streams = max(1, min(p.streams, len(stream) // (2 * p.window)))
         size = len(stream) // streams
@@ -198,17 +207,18 @@ class Network:
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         done, loss = 0, 0.0
         windows = [(a, min(a + p.window, size)) for a in range(0, size, p.window)]
-        total = p.epochs * len(windows)
-        for _ in range(p.epochs):
+        epochs = p.epochs if epochs is None else epochs
+        total = epochs * len(windows)
+        for _ in range(epochs):
             h, loss = np.zeros((streams, p.hidden), np.float32), 0.0
             for a, b in windows:
-                part, grads, h = self.window_gradient(before[a:b], grid[a:b], first[a:b], h)
-                loss += part
+                summed, grads, h = self.window_gradient(before[a:b], grid[a:b], first[a:b], h)
+                loss += summed
                 n = (b - a) * streams
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
                 scale = np.float32(min(1.0, p.clip / max(norm, 1e-9)) / n)
                 done += 1
-                rate = p.rate * min(1.0, done / 20) * (1 - 0.9 * done / total)
+                rate = p.rate * min(1.0, done / 20) * (1 - 0.9 * (part[0] + done / total) / part[1])
                 fix1, fix2 = 1 - 0.9**done, 1 - 0.99**done
                 for k, g in grads.items():
                     g = g * scale
@@ -267,32 +277,107 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def fit_network(train: DataFrame, params: LmParams) -> Network:
-    """The network from a bounded sample of ``train(doc_id, text)``, trained in one task."""
-    n = train.count()
-    share = int(min(1.0, params.max_docs / max(1, n)) * 1_000_000)
-    key = F.xxhash64("doc_id", "text", F.lit(params.seed))
-    sample = train.select("text", key.alias("o")).where(F.pmod("o", F.lit(1_000_000)) < share + (share == 1_000_000)).repartition(1).sortWithinPartitions("o", "text")
+def frequent_words(train: DataFrame, most: int) -> np.ndarray:
+    """The ``most`` most frequent words (hashes) of all texts of ``train(text)``, ties by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hs, shapes, firsts = [], [], []
+        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "c"])
+
+        for chunk in text_chunks(batches, 0):
+            h, shape, _ = tokens(*string_buffers(chunk.column(0)))
+            more, n = np.unique(h[shape < SHAPES], return_counts=True)
+            h, c = np.concatenate([words, more]), np.concatenate([counts, n])
+            order = np.argsort(h, kind="stable")
+            h, c = h[order], c[order]
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+            words, counts = h[at], np.add.reduceat(c, at) if len(h) else c
+            if len(words) > 1 << 20:
+                yield rows()
+                words, counts = words[:0], counts[:0]
+        yield rows()
+
+    total = train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    rows = total.orderBy(F.desc("c"), F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))).limit(most).collect()  # as unsigned
+    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
+
+
+def fit_network(train: DataFrame, params: LmParams) -> Network:
+    """The network from all of ``train(doc_id, text)``: shards of about ``max_docs`` documents train it in rounds and are averaged."""
+    net = Network(frequent_words(train, params.words), params)
+    shards = max(1, round(train.count() / max(1, params.max_docs)))
+    parts = params.rounds if shards > 1 else 1  # one shard has nothing to be averaged with
+    calls = params.epochs * parts if shards > 1 else 1
+    sc = train.sparkSession.sparkContext
+    kind = np.dtype(np.uint16 if net.k + SHAPES < 1 << 16 else np.uint32)
+    end = net.k + SHAPES
+    start = sc.broadcast(net.dump())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Network.from_bytes(start.value, params)
         for chunk in text_chunks(batches, 0):
             h, shape, bounds = tokens(*string_buffers(chunk.column(0)))
-            first = np.zeros(len(h), bool)
-            first[bounds[:-1]] = True
-            hs.append(h)
-            shapes.append(shape)
-            firsts.append(first)
-        h, shape = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((hs, np.uint64), (shapes, np.int8)))
-        words, counts = np.unique(h[shape < SHAPES], return_counts=True)
-        common = words[np.lexsort((words, -counts))[: params.words]]
-        net = Network(common, params)
-        if len(h):
-            net.train(net.symbols(h, shape), np.concatenate(firsts))
-        yield pa.RecordBatch.from_arrays([pa.array([net.dump()], pa.binary())], ["w"])
-
-    got = sample.select("text").mapInArrow(run, "w binary").first()  # no row if the plan is known to be empty
-    return Network.from_bytes(bytes(got["w"]), params) if got else Network(np.zeros(0, np.uint64), params)
+            s = pa.py_buffer(model.symbols(h, shape).astype(kind))
+            s = pa.Array.from_buffers(pa.binary(), chunk.num_rows, [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int32)), s])
+            yield pa.RecordBatch.from_arrays([chunk.column(1), chunk.column(2), s], ["shard", "o", "s"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("o")
+        return pa.table([table.column("shard").slice(0, 1).cast(pa.int32()), pa.array([b"".join(table.column("s").to_pylist())], pa.binary())], ["shard", "s"])
+
+    key = F.xxhash64("doc_id", "text", F.lit(params.seed))
+    rows = train.select("text", F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("o")).mapInArrow(numbered, "shard int, o long, s binary")
+    packed = written(rows.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "shard int, s binary"))
+
+    def mean(found: Iterator[tuple[int, int, Network]]) -> Iterator[pa.RecordBatch]:
+        """One row: the first number, all tokens, and the mean by tokens of the networks."""
+        first, total, held = 0, 0, None
+        for number, n, model in found:
+            if held is None:
+                first, held = number, model
+                held.w = {k: v.astype(np.float64) * n for k, v in model.w.items()}
+            else:
+                for k, v in model.w.items():
+                    held.w[k] += v.astype(np.float64) * n
+            total += n
+        if held is not None and total:
+            held.w = {k: v / total for k, v in held.w.items()}
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total], pa.int64()), pa.array([held.dump()], pa.binary())], ["at", "n", "w"])
+
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from mean((b.column(0)[i].as_py(), b.column(1)[i].as_py(), Network.from_bytes(b.column(2)[i].as_py(), params)) for b in batches for i in range(b.num_rows))
+
+    def once(call: int, raw) -> bytes | None:
+        """The mean network after all shards have trained on their next part."""
+
+        def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Network]]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    s = np.frombuffer(batch.column(1)[i].as_buffer(), kind).astype(np.int64)
+                    docs = np.append(0, np.flatnonzero(s == end) + 1)  # each document ends with the end token
+                    n, part = len(docs) - 1, call % parts
+                    s = s[docs[n * part // parts] : docs[n * (part + 1) // parts]]
+                    if len(s):
+                        model = Network.from_bytes(raw.value, params)
+                        model.train(s, np.append(True, s[:-1] == end), params.epochs if calls == 1 else 1, (call, calls))
+                        yield batch.column(0)[i].as_py(), len(s), model
+
+        rows = packed.mapInArrow(lambda batches: mean(trained(batches)), "at int, n long, w binary")
+        for groups in (int(shards**0.5), 1) if shards > 1 else ():
+            rows = rows.repartition(groups, F.pmod("at", F.lit(groups))).sortWithinPartitions("at").mapInArrow(means, "at int, n long, w binary")
+        got = rows.first()
+        return bytes(got["w"]) if got else None
+
+    raw = start
+    for call in range(calls):
+        if (new := once(call, raw)) is None:
+            continue
+        net = Network.from_bytes(new, params)
+        net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
+        raw = sc.broadcast(net.dump())
+    return net
 
 
 _COUNTED = "b int, h long, shape int, c long, lead boolean"

@@ -97,3 +97,19 @@ def test_learns_order(spark):
     params = lm.LmParams(words=40, per_class=8, hidden=12, window=16, streams=8, epochs=30, rate=0.03)
     got = [r for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), params).collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
+
+
+def test_all_documents_train_the_network(spark):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(8))) for i in range(40)] + [(40 + i, "often seen often") for i in range(4)]
+    train = spark.createDataFrame(rows, "doc_id long, text string")
+    params = lm.LmParams(words=400, per_class=32, hidden=4, window=8, streams=1, epochs=2, max_docs=10)
+    net = lm.fit_network(train, params)
+    counts = Counter(w for _, t in rows for w in split(t))
+    h, _, bounds = lm.batch_tokens(train.select("text").toArrow().column(0))
+    assert set(net.vocabulary) == set(h) - {lm.END} and len(net.vocabulary) == len(counts) and len(bounds) == len(rows) + 1
+    start = lm.Network(net.vocabulary, params)
+    assert (net.w["x"][: net.k] != start.w["x"][: net.k]).any(1).all()  # every word of every document was an input
+    dealt = lm.fit_network(train.repartition(7), params)
+    assert all(np.allclose(net.w[k], dealt.w[k], atol=1e-4) for k in net.w)
+    few = lm.fit_network(train, lm.LmParams(words=2, per_class=32, hidden=4, window=8, streams=1, epochs=1, max_docs=10))
+    assert few.k == 2 and few.vocabulary[0] in lm.batch_tokens(spark.createDataFrame([("often",)], "text string").toArrow().column(0))[0]
