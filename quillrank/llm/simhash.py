@@ -24,7 +24,7 @@ from .components import connected_components
 SEED = 42
 MAX_BITS = 3
 MIN_SHARED_BYTES = 8 - MAX_BITS
-#: Postings up to this size are compared at once; larger ones are first divided by a fifth byte.
+#: Postings up to this size are compared at once; larger ones are first divided by a quarter of their varying bits.
 POSTING_BLOCK = 2048
 
 
@@ -84,13 +84,15 @@ def _links_within(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if m < 2:
         return
     if m > POSTING_BLOCK:
-        bytes_ = fps.view(np.uint8).reshape(-1, 8)
-        varied = [p for p in range(8) if (bytes_[:, p] != bytes_[0, p]).any()]
-        for p in varied:
-            order = np.argsort(bytes_[:, p], kind="stable")
-            bounds = np.flatnonzero(np.diff(bytes_[order, p])) + 1
+        spread = int(np.bitwise_or.reduce(fps ^ fps[0]))
+        varied = [p for p in range(64) if spread >> p & 1]
+        # Pairs within MAX_BITS differ in at most so many of these groups of bits, and agree in one.
+        for group in range(MAX_BITS + 1):
+            mask = np.uint64(sum(1 << p for p in varied[len(varied) * group // (MAX_BITS + 1) : len(varied) * (group + 1) // (MAX_BITS + 1)]))
+            order = np.argsort(fps & mask, kind="stable")
+            bounds = np.flatnonzero(np.diff((fps & mask)[order])) + 1
             for part in np.split(order, bounds):
-                if len(part) < m or len(varied) < 4:
+                if len(part) > 1:
                     yield from _links_blockwise(fps[part])
         return
     yield from _links_blockwise(fps)

@@ -124,3 +124,38 @@ def test_search_group_prunes_and_keeps_all():
         expect = np.lexsort((ids, -exact[i]))[:5]
         mine = got[0] == i
         assert got[1][mine].tolist() == expect.tolist() and got[2][mine].tolist() == exact[i][expect].tolist()
+
+
+def test_large_posting_with_few_varying_bytes():
+    """A sparse pair that differs in every varying byte: no part of the posting by a single byte holds both."""
+    rng = np.random.default_rng(11)
+    for n_bytes in (3, 2):
+        bits = 8 * n_bytes
+        x = rng.permutation(1 << min(bits, 20)).astype(np.uint64)[: 1 << 15]
+        place = np.zeros(len(x), np.int64)
+        for b in range(bits):
+            place ^= np.where(x >> np.uint64(b) & np.uint64(1), b + 1, 0)
+        far = x[(place == 0) & (np.bitwise_count(x) % 2 == 0)]  # any two differ in four bits or more
+        lone = far[0] ^ np.uint64(0x0101 if n_bytes == 2 else 0x010101)  # one bit in each byte
+        block = simhash.POSTING_BLOCK
+        simhash.POSTING_BLOCK = 64
+        try:
+            fps = np.unique(np.append(far[:300], lone) << np.uint64(64 - bits) | np.uint64(0x1234))
+            found = {tuple(sorted((int(p), int(q)))) for a, b in simhash._links_within(fps) for p, q in zip(a, b)}
+        finally:
+            simhash.POSTING_BLOCK = block
+        near = {tuple(sorted((int(p), int(q)))) for i, p in enumerate(fps) for q in fps[:i] if bin(int(p) ^ int(q)).count("1") <= 3}
+        assert near and len(fps) > 64
+        label = lambda pairs: components({int(f) for f in fps}, pairs)
+        assert label(found) == label(near)
+
+
+def components(nodes, pairs):
+    root = {n: n for n in nodes}
+    for _ in range(len(pairs) + 1):
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
