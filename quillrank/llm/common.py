@@ -47,12 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """As :func:`cut`, for wide tables: compressed Parquet in the shared folder."""
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """As :func:`cut`, for wide tables: compressed Parquet in the shared folder; the table and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def batches_of(docs: DataFrame, batch_bytes: int) -> int:

@@ -6,9 +6,15 @@ token and, for a frequent word, the word in its class; within a shape class word
 corpus, with one place for unseen words.  So probabilities over all words sum to one, and the counts, which every document
 contributes to, grow with the corpus.
 
-Training is truncated backpropagation through windows of parallel streams, state carried from window to window and reset
-between documents.  All training documents are dealt to shards by a hash of id and text; in each round every shard trains the
-same network on its next part, and the means of the weights by tokens start the next round.  An epoch is a pass over all.  Scoring runs a batch of documents in step, longest first, state carried through each whole document.
+Texts are read once: a batch of documents becomes places in the batch's own sorted vocabulary, and that vocabulary travels in
+ranges of hashes to where the ranges of all batches meet, are summed, and go back as counts.  Only binary columns move, a row
+for each batch and range, so a word that every batch has costs a count a batch and no rows of its own.
+
+The network is a gated unit with one gate for what is forgotten and what is taken in.  Training is truncated backpropagation
+through windows of parallel streams, state carried from window to window and reset between documents.  All training documents
+are dealt to shards by a hash of id and text; in each round every shard trains the same network on its next part, and the means
+of the weights by tokens start the next round.  Scoring runs documents in step, longest first, state carried through each whole
+document.
 """
 
 from __future__ import annotations
@@ -19,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, lower_ascii, span_hashes, string_buffers, text_chunks, word_spans, written
+from .common import batches_of, discard, lower_ascii, span_hashes, string_buffers, text_chunks, word_spans, written
 
 #: The hash that stands for the end of a document.
 END = np.uint64(0x5DEECE66D5DEECE6)
@@ -31,21 +38,26 @@ SHAPES = 16
 
 @dataclass(frozen=True)
 class LmParams:
-    """``max_docs``: training documents of a shard, about; all documents train the network, in as many shards as that takes.
-    ``rounds``: means of the shards' weights in each epoch.  ``batch_bytes``: stored input of a batch of documents that are scored in step."""
+    """``shard_tokens``: training tokens of a shard, about; all documents train the network, in as many shards as that takes.
+    ``rounds``: means of the shards' weights in each pass.  ``updates``: passes over all training documents, one at least, are
+    repeated until a shard has made so many.  ``batch_bytes``: text that is numbered together.  ``score_tokens``: tokens that
+    are scored in step.  ``range_bytes``: stored input for each range of hashes."""
 
-    words: int = 2048
+    words: int = 512
     per_class: int = 64
-    hidden: int = 24
-    window: int = 32
-    streams: int = 96
-    epochs: int = 3
+    hidden: int = 16
+    embed: int = 16
+    window: int = 24
+    streams: int = 250
     rate: float = 0.01
     clip: float = 1.0
-    max_docs: int = 3000
+    shard_tokens: int = 2_000_000
     rounds: int = 2
+    updates: int = 300
     seed: int = 5
-    batch_bytes: int = 3 << 20
+    batch_bytes: int = 6 << 20
+    score_tokens: int = 4_000_000
+    range_bytes: int = 4 << 20
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,181 +92,234 @@ class Network:
     """The weights, the forward pass and the backward pass.
 
     Inputs are words, then shapes, then the end token, which also stands before a document.  Output classes are the word
-    classes, then the shapes, then the end.
+    classes, then the shapes, then the end.  Inside, features are rows and tokens columns.
     """
 
     def __init__(self, vocabulary: np.ndarray, params: LmParams):
         """``vocabulary``: hashes of the frequent words, most frequent first."""
         self.params = params
         self.vocabulary = vocabulary.astype(np.uint64)
-        self.order = np.argsort(self.vocabulary)
-        self.sorted = self.vocabulary[self.order]
-        k, h = len(vocabulary), params.hidden
-        self.k, self.word_classes = k, -(-k // params.per_class)
+        k, n, d, per = len(vocabulary), params.hidden, params.embed, params.per_class
+        self.k, self.word_classes = k, -(-k // per)
         self.classes = self.word_classes + SHAPES + 1
+        symbols = np.arange(k + SHAPES + 1)
+        self.class_of = np.where(symbols < k, symbols // per, self.word_classes + symbols - k)
+        self.small = np.uint16 if len(symbols) < 1 << 16 else np.uint32
         rng = np.random.default_rng(params.seed)
-        f = np.float32
+
+        def normal(deviation: float, *shape: int) -> np.ndarray:
+            return rng.normal(0, deviation, shape).astype(np.float32)
+
         self.w = {
-            "x": (rng.normal(0, 0.1, (k + SHAPES + 1, 3 * h))).astype(f), "u": (rng.normal(0, h**-0.5, (h, 3 * h))).astype(f), "b": np.zeros(3 * h, f),
-            "c": (rng.normal(0, h**-0.5, (h, self.classes))).astype(f), "cb": np.zeros(self.classes, f),
-            "o": (rng.normal(0, h**-0.5, (self.word_classes * params.per_class, h))).astype(f), "ob": np.zeros(self.word_classes * params.per_class, f),
+            "e": normal(0.5, k + SHAPES + 1, d), "x": normal(d**-0.5, 2 * n, d), "u": normal(n**-0.5, 2 * n, n), "b": np.zeros((2 * n, 1), np.float32),
+            "c": normal(n**-0.5, self.classes, n), "cb": np.zeros((self.classes, 1), np.float32),
+            "o": normal(n**-0.5, self.word_classes * per, n), "ob": np.zeros((self.word_classes * per, 1), np.float32),
         }
         self.w["ob"][k:] = -1e9
+        self._held: dict[str, np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """A scratch array; the next call of the same name overwrites it."""
+        size = int(np.prod(shape))
+        have = self._held.get(name)
+        if have is None or have.size < size:
+            have = self._held[name] = np.empty(size, self.w["u"].dtype)
+        return have[:size].reshape(shape)
 
     def symbols(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
         """Input numbers of tokens."""
-        at = np.minimum(np.searchsorted(self.sorted, h), max(self.k - 1, 0))
-        known = (self.sorted[at] == h) if self.k else np.zeros(len(h), bool)
-        return np.where(known & (shape < SHAPES), self.order[at] if self.k else 0, self.k + shape.astype(np.int64))
-
-    def target_class(self, s: np.ndarray) -> np.ndarray:
-        return np.where(s < self.k, s // self.params.per_class, self.word_classes + s - self.k)
-
-    def step(self, gx: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = self.params.hidden
-        hu = h @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(gx[:, : 2 * n] + hu[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(gx[:, 2 * n :] + r * hu[:, 2 * n :])
-        return c + z * (h - c), z, r, c, hu[:, 2 * n :]
+        if not self.k:
+            return self.k + shape.astype(np.int64)
+        order = np.argsort(self.vocabulary)
+        at = np.minimum(np.searchsorted(self.vocabulary, h, sorter=order), self.k - 1)
+        known = (self.vocabulary[order[at]] == h) & (shape < SHAPES)
+        return np.where(known, order[at], self.k + shape.astype(np.int64))
+
+    def step(self, gx: np.ndarray, h: np.ndarray, gate: np.ndarray, candidate: np.ndarray, hu: np.ndarray, out: np.ndarray) -> None:
+        """One token of each column, into the four last arrays: ``out = h + gate * (candidate - h)``."""
+        n, u = self.params.hidden, self.w["u"]
+        np.matmul(u[:n], h, out=gate)
+        gate += gx[:n]
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += np.float32(1)
+        np.reciprocal(gate, out=gate)
+        np.matmul(u[n:], h, out=hu)
+        np.multiply(gate, hu, out=candidate)
+        candidate += gx[n:]
+        np.tanh(candidate, out=candidate)
+        np.subtract(candidate, h, out=out)
+        out *= gate
+        out += h
 
     def outputs(self, h: np.ndarray, target: np.ndarray, gradient: bool = False):
-        """Natural-log probability of each target symbol from its state; with ``gradient`` also that of the summed loss."""
-        w, per = self.w, self.params.per_class
-        cls = self.target_class(target)
-        logits = h @ w["c"] + w["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[np.arange(len(h)), cls] - np.log(total)
-        grads = None
+        """Natural-log probability of each target symbol from its state, a column of ``h``; with ``gradient`` also that of the summed loss."""
+        w, per, m = self.w, self.params.per_class, len(target)
+        cls, columns, one = self.class_of[target], np.arange(m), np.float32(1)
+        e = np.matmul(w["c"], h, out=self.room("logits", self.classes, m))
+        e += w["cb"]
+        e -= e.max(0)
+        out = e[cls, columns]
+        np.exp(e, out=e)
+        total = e.sum(0)
+        out -= np.log(total)
         if gradient:
-            p = e / total[:, None]
-            p[np.arange(len(h)), cls] -= 1
-            dh = p @ w["c"].T
-            grads = {"c": h.T @ p, "cb": p.sum(0), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
-        words = np.flatnonzero(target < self.k)
-        words = words[np.argsort(cls[words], kind="stable")]
-        edges = np.searchsorted(cls[words], np.arange(self.word_classes + 1))
-        for c in range(self.word_classes):
-            at = words[edges[c] : edges[c + 1]]
-            if not len(at):
+            e *= one / total
+            e[cls, columns] -= one
+            dh = np.matmul(w["c"].T, e, out=self.room("dh", len(h), m))
+            grads = {"c": e @ h.T, "cb": e.sum(1, keepdims=True), "o": np.zeros_like(w["o"]), "ob": np.zeros_like(w["ob"])}
+        order = np.argsort(target.astype(self.small), kind="stable")
+        edges = np.searchsorted(target[order], np.minimum(np.arange(self.word_classes + 1) * per, self.k))
+        order = order[: edges[-1]]
+        hs = np.take(h, order, axis=1, out=self.room("hs", len(h), len(order)), mode="clip")
+        pick, found = target[order] % per, np.empty(len(order), h.dtype)
+        back = self.room("back", *hs.shape)
+        for i in range(self.word_classes):
+            a, b = edges[i], edges[i + 1]
+            if a == b:
                 continue
-            rows = slice(c * per, (c + 1) * per)
-            hc = h[at]
-            lo = hc @ w["o"][rows].T + w["ob"][rows]
-            lo -= lo.max(1, keepdims=True)
-            e = np.exp(lo)
-            total = e.sum(1)
-            pick = target[at] - c * per
-            out[at] += lo[np.arange(len(at)), pick] - np.log(total)
+            own, at = slice(i * per, (i + 1) * per), (pick[a:b], columns[: b - a])
+            e = np.matmul(w["o"][own], hs[:, a:b], out=self.room("words", per, b - a))
+            e += w["ob"][own]
+            e -= e.max(0)
+            logit = e[at]
+            np.exp(e, out=e)
+            total = e.sum(0)
+            found[a:b] = logit - np.log(total)
             if gradient:
-                p = e / total[:, None]
-                p[np.arange(len(at)), pick] -= 1
-                dh[at] += p @ w["o"][rows]
-                grads["o"][rows] = p.T @ hc
-                grads["ob"][rows] = p.sum(0)
-        return (out, grads, dh) if gradient else out
+                e *= one / total
+                e[at] -= one
+                np.matmul(w["o"][own].T, e, out=back[:, a:b])
+                grads["o"][own] = e @ hs[:, a:b].T
+                grads["ob"][own] = e.sum(1, keepdims=True)
+        out[order] += found
+        if not gradient:
+            return out
+        dh[:, order] += back
+        return out, grads, dh
 
     def window_gradient(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h0: np.ndarray):
-        """Loss, gradients and last state of one window (steps x streams); ``fresh`` marks first tokens of documents."""
-        steps, n = len(inputs), self.params.hidden
-        gx = self.w["x"][inputs] + self.w["b"]
-        states, saved, h = [], [], h0
+        """Loss, gradients and last state of one window (steps x streams); ``fresh`` marks first tokens of documents, states are (hidden, streams)."""
+        (steps, m), n, w, room = inputs.shape, self.params.hidden, self.w, self.room
+        flat, d, one = inputs.ravel(), w["e"].shape[1], np.float32(1)
+        x = np.take(w["e"], flat, axis=0, out=room("x", steps * m, d), mode="clip").reshape(steps, m, d)
+        gx = np.matmul(w["x"], x.transpose(0, 2, 1), out=room("gx", steps, 2 * n, m))
+        gx += w["b"]
+        keep = (~fresh).astype(h0.dtype)
+        before, states, gate, candidate, hu = (room(name, steps, n, m) for name in ("before", "states", "gate", "candidate", "hu"))
+        h = h0
         for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            new, z, r, c, hun = self.step(gx[t], h)
-            saved.append((h, z, r, c, hun))
-            states.append(new)
-            h = new
-        out, grads, dout = self.outputs(np.concatenate(states), targets.ravel(), True)
-        dout = dout.reshape(steps, -1, n)
-        before, z, r, c, hun = (np.stack(x) for x in zip(*saved))
-        of_c = (1 - z) * (1 - c * c)
-        of_z, of_r = (before - c) * z * (1 - z), hun * r * (1 - r)
-        dgx, dhu = np.empty_like(gx), np.empty_like(gx)
-        back, ut = np.zeros_like(h0), np.ascontiguousarray(self.w["u"].T)
+            np.multiply(h, keep[t], out=before[t])
+            self.step(gx[t], before[t], gate[t], candidate[t], hu[t], states[t])
+            h = states[t]
+        last, together = h.copy(), room("together", n, steps * m)
+        together.reshape(n, steps, m)[:] = states.transpose(1, 0, 2)
+        out, grads, dh = self.outputs(together, targets.ravel(), True)
+        states[:] = dh.reshape(n, steps, m).transpose(1, 0, 2)
+        du, stay, back = room("du", steps, 2 * n, m), room("stay", n, m), np.zeros_like(h0)
+        turned = np.ascontiguousarray(w["u"].T)
         for t in range(steps - 1, -1, -1):
-            d = dout[t] + back
-            dc = d * of_c[t]
-            dhu[t, :, :n], dhu[t, :, n : 2 * n], dhu[t, :, 2 * n :] = d * of_z[t], dc * of_r[t], dc * r[t]
-            dgx[t, :, 2 * n :] = dc
-            back = d * z[t] + dhu[t] @ ut
-            back[fresh[t]] = 0
-        dgx[:, :, : 2 * n] = dhu[:, :, : 2 * n]
-        flat = inputs.ravel()
-        order = np.argsort(flat, kind="stable")
+            g, c, of_gate, of_hu, through = gate[t], candidate[t], du[t, :n], du[t, n:], states[t]
+            through += back
+            of_c = gx[t, n:]  # the gradient of each row of gx replaces it
+            np.multiply(c, c, out=of_c)
+            np.subtract(one, of_c, out=of_c)
+            of_c *= g
+            of_c *= through
+            np.multiply(of_c, g, out=of_hu)
+            hu[t] *= of_c
+            c -= before[t]
+            c *= through
+            c += hu[t]
+            np.subtract(one, g, out=stay)
+            c *= g
+            np.multiply(c, stay, out=of_gate)
+            np.matmul(turned, du[t], out=back)
+            stay *= through
+            back += stay
+            back *= keep[t]
+            gx[t, :n] = of_gate
+        dx = np.matmul(gx.transpose(0, 2, 1), w["x"], out=room("dx", steps, m, d)).reshape(-1, d)
+        order = np.argsort(flat.astype(self.small), kind="stable")
         at = np.flatnonzero(np.append(True, np.diff(flat[order]) != 0))
-        dx = np.zeros_like(self.w["x"])
-        dx[flat[order[at]]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[order], at, axis=0)
-        grads |= {"x": dx, "u": before.reshape(-1, n).T @ dhu.reshape(-1, 3 * n), "b": dgx.sum((0, 1))}
-        return -float(out.sum()), grads, states[-1]
-
-    def train(self, stream: np.ndarray, fresh: np.ndarray, epochs: int | None = None, part: tuple[int, int] = (0, 1)) -> float:
-        """Adam over windows of parallel streams; ``stream`` holds symbols of whole documents, one after another.  The last epoch's loss per token.
-
-        ``epochs``: those of the parameters if not given.  ``part`` (i, n): this is the i-th of n calls that share a falling rate."""
-        p = self.params
-        streams = max(1, min(p.streams, len(stream) // (2 * p.window)))
-        size = len(stream) // streams
+        de = np.zeros_like(w["e"])
+        de[flat[order[at]]] = np.add.reduceat(np.take(dx, order, axis=0, out=room("sorted", *dx.shape), mode="clip"), at, axis=0)
+        grads |= {"e": de, "x": np.matmul(gx, x).sum(0), "u": np.matmul(du, before.transpose(0, 2, 1)).sum(0), "b": gx.sum((0, 2))[:, None]}
+        return -float(out.sum()), grads, last
+
+    def streams(self, size: int) -> int:
+        return max(1, min(self.params.streams, size // (2 * self.params.window)))
+
+    def train(self, stream: np.ndarray, fresh: np.ndarray, passes: int = 1, part: tuple[int, int] = (0, 1)) -> float:
+        """Adam over windows of parallel streams; ``stream`` holds symbols of whole documents, one after another.  The last pass's loss per token.
+
+        ``part`` (i, n): this is the i-th of n calls that share a falling rate."""
+        p, f = self.params, np.float32
+        streams = self.streams(len(stream))
+        size = -(-len(stream) // streams)
         if size < 2:
             return 0.0
+        # The last stream is filled up with the first tokens, so that no token is left out.
+        stream, fresh = (np.concatenate([x, x[: size * streams - len(x)]]) for x in (stream, fresh))
         end = self.k + SHAPES
-        grid, first = stream[: size * streams].reshape(streams, size).T, fresh[: size * streams].reshape(streams, size).T
+        grid, first = stream.reshape(streams, size).T, fresh.reshape(streams, size).T
         before = np.full((size, streams), end)
-        before[1:] = grid[:-1]
+        before[1:], before[0, 1:] = grid[:-1], grid[-1, :-1]
         before[first] = end
         moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         done, loss = 0, 0.0
         windows = [(a, min(a + p.window, size)) for a in range(0, size, p.window)]
-        epochs = p.epochs if epochs is None else epochs
-        total = epochs * len(windows)
-        for _ in range(epochs):
-            h, loss = np.zeros((streams, p.hidden), np.float32), 0.0
+        total = passes * len(windows)
+        for _ in range(passes):
+            h, loss = np.zeros((p.hidden, streams), f), 0.0
             for a, b in windows:
                 summed, grads, h = self.window_gradient(before[a:b], grid[a:b], first[a:b], h)
                 loss += summed
                 n = (b - a) * streams
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
-                scale = np.float32(min(1.0, p.clip / max(norm, 1e-9)) / n)
+                norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
+                scale = f(min(1.0, p.clip / max(norm, 1e-9)) / n)
                 done += 1
                 rate = p.rate * min(1.0, done / 20) * (1 - 0.9 * (part[0] + done / total) / part[1])
-                fix1, fix2 = 1 - 0.9**done, 1 - 0.99**done
+                rate, root = f(rate / (1 - 0.9**done)), f((1 - 0.99**done) ** -0.5)
                 for k, g in grads.items():
-                    g = g * scale
-                    m, v = moment[k]
-                    m += np.float32(0.1) * (g - m)
-                    v += np.float32(0.01) * (g * g - v)
-                    self.w[k] -= np.float32(rate) * (m / np.float32(fix1)) / (np.sqrt(v / np.float32(fix2)) + np.float32(1e-6))
+                    g *= scale
+                    mean, square = moment[k]
+                    mean += f(0.1) * (g - mean)
+                    g *= g
+                    square += f(0.01) * (g - square)
+                    np.sqrt(square, out=g)
+                    g *= root
+                    g += f(1e-6)
+                    np.divide(mean, g, out=g)
+                    g *= rate
+                    self.w[k] -= g
                 self.w["ob"][self.k :] = -1e9
         return loss / (size * streams)
 
-    def score(self, symbols: np.ndarray, bounds: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    def score(self, symbols: np.ndarray, bounds: np.ndarray, block: int = 1 << 14) -> np.ndarray:
         """Natural-log probability of each document's symbols, whole documents in step, longest first."""
         lengths = np.diff(bounds)
         order = np.argsort(-lengths, kind="stable")
         starts, lengths = bounds[:-1][order], lengths[order]
-        total = np.zeros(len(order))
-        end = self.k + SHAPES
-        table = self.w["x"] + self.w["b"]
-        h = np.zeros((len(order), self.params.hidden), np.float32)
+        total, n = np.zeros(len(order)), self.params.hidden
+        table = self.w["x"] @ self.w["e"].T + self.w["b"]
+        h, before = np.zeros((n, len(order)), table.dtype), np.full(len(order), self.k + SHAPES)
         t, top = 0, int(lengths.max(initial=0))
         while t < top:
             live = int(np.searchsorted(-lengths, -t, "left"))  # documents longer than t
             steps = max(1, min(top - t, block // max(1, live)))
-            states, targets, docs = [], [], []
+            states, targets, docs = np.empty((n, steps * live), h.dtype), np.empty(steps * live, np.int64), np.empty(steps * live, np.int64)
+            at = 0
             for s in range(t, t + steps):
                 live = int(np.searchsorted(-lengths, -s, "left"))
-                at = starts[:live] + s
-                now = symbols[at]
-                before = symbols[at - 1] if s else np.full(live, end)
-                h = h[:live]
-                h = self.step(table[before], h)[0]
-                states.append(h)
-                targets.append(now)
-                docs.append(np.arange(live))
-            out = self.outputs(np.concatenate(states), np.concatenate(targets))
-            total += np.bincount(np.concatenate(docs), out, len(order))
+                now = symbols[starts[:live] + s]
+                out = states[:, at : at + live]
+                self.step(np.take(table, before[:live], axis=1), h[:, :live], *(self.room(name, n, live) for name in ("gate", "candidate", "hu")), out)
+                h, before = out, now
+                targets[at : at + live], docs[at : at + live] = now, np.arange(live)
+                at += live
+            h = np.ascontiguousarray(h)
+            total += np.bincount(docs[:at], self.outputs(states[:, :at], targets[:at]), len(order))
             t += steps
         result = np.zeros(len(order))
         result[order] = total
@@ -277,59 +342,170 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def frequent_words(train: DataFrame, most: int) -> np.ndarray:
-    """The ``most`` most frequent words (hashes) of all texts of ``train(text)``, ties by hash."""
+_ROWS = "ids array<{kind}>, held array<boolean>, keys array<long>, sizes array<long>, places binary"
+
+
+def _bytes(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A binary column of consecutive parts of ``values``."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def numbered(rows: DataFrame, ranges: int, params: LmParams) -> DataFrame:
+    """Batches of ``rows(doc_id, text, held_out, key)``, in the order they are read.
+
+    Two kinds of row: for ``r`` -1 a batch's documents and the place of each token in the batch's sorted vocabulary, as byte
+    planes; for others the part of that vocabulary in the range ``r`` of hashes: hashes, shapes, and counts in training rows.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"b long, r int, {_ROWS.format(kind=kind)}, h binary, shape binary, c binary"
+
+    def batch(b: int, held: list) -> Iterator[pa.RecordBatch]:
+        ids = pa.concat_arrays([x.column(0) for x, *_ in held])
+        out, keys = (pa.concat_arrays([x.column(i) for x, *_ in held]) for i in (2, 3))
+        h, shape = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+        sizes = np.concatenate([np.diff(bounds) for *_, bounds in held])
+        order = np.argsort(h)
+        h = h[order]
+        new = np.append(True, h[1:] != h[:-1])
+        at = np.flatnonzero(new)
+        place = np.empty(len(h), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        c = np.bincount(place[np.repeat(~out.to_numpy(zero_copy_only=False), sizes)], minlength=len(at)).astype(np.int64)
+        h, shape = h[at], shape[order[at]].astype(np.uint8)
+        planes = place.view(np.uint8).reshape(-1, 4)[:, : 3 if len(at) <= 1 << 24 else 4].T.tobytes()
+        of = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+        n = len(edges) - 1
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        empty = pa.nulls(1, pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), pa.array([-1], pa.int32()), one(ids), one(out), one(keys), one(pa.array(sizes)), pa.array([planes], pa.binary()), empty, empty, empty], names)
+        nulls = [pa.nulls(n, t) for t in (pa.list_(ids.type), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, b)), pa.array(of[edges[:-1]].astype(np.int32)), *nulls, _bytes(h, edges), _bytes(shape, edges), _bytes(c, edges)], names)
+
+    names = ["b", "r", "ids", "held", "keys", "sizes", "places", "h", "shape", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], ["h", "c"])
-
-        for chunk in text_chunks(batches, 0):
-            h, shape, _ = tokens(*string_buffers(chunk.column(0)))
-            more, n = np.unique(h[shape < SHAPES], return_counts=True)
-            h, c = np.concatenate([words, more]), np.concatenate([counts, n])
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            words, counts = h[at], np.add.reduceat(c, at) if len(h) else c
-            if len(words) > 1 << 20:
-                yield rows()
-                words, counts = words[:0], counts[:0]
-        yield rows()
-
-    total = train.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    rows = total.orderBy(F.desc("c"), F.col("h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))).limit(most).collect()  # as unsigned
-    return np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-
-
-def fit_network(train: DataFrame, params: LmParams) -> Network:
-    """The network from all of ``train(doc_id, text)``: shards of about ``max_docs`` documents train it in rounds and are averaged."""
-    net = Network(frequent_words(train, params.words), params)
-    shards = max(1, round(train.count() / max(1, params.max_docs)))
+        at, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for chunk in text_chunks(batches):
+            data, offsets = string_buffers(chunk.column(1))
+            held.append((chunk, *tokens(data, offsets)))
+            size += len(data) + 16 * chunk.num_rows
+            if size >= params.batch_bytes:
+                yield from batch(at, held)
+                at, held, size = at + 1, [], 0
+        if held:
+            yield from batch(at, held)
+
+    return rows.select("doc_id", "text", "held_out", "key").mapInArrow(run, schema)
+
+
+_SUMS = "tokens long, known long, mass array<long>, top_h array<long>, top_c array<long>, top_shape array<int>"
+
+
+def totals(parts: DataFrame, params: LmParams) -> DataFrame:
+    """For each part of a vocabulary (``b``, ``r``) the words' counts over all batches; and a row for each range (``b`` -1) with its sums.
+
+    Words that may be among the ``params.words`` most frequent of all, those of their range, come with their hashes."""
+
+    def total(table: pa.Table) -> pa.Table:
+        part = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        h, shape, c = part("h", np.uint64), part("shape", np.uint8), part("c", np.int64)
+        order = np.argsort(h)
+        new = np.append(True, np.diff(h[order]) != 0)
+        at = np.flatnonzero(new)
+        of = np.empty(len(h), np.int64)
+        of[order] = np.cumsum(new) - 1
+        count, kind = np.add.reduceat(c[order], at), shape[order[at]]
+        word = (count > 0) & (kind < SHAPES)
+        best = np.flatnonzero(word)
+        best = best[np.lexsort((h[order[at]][best], -count[best]))[: params.words]]
+        frequent = np.zeros(len(at), bool)
+        frequent[best] = True
+        n = table.num_rows
+        bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in table.column("h").to_pylist()])])
+        chosen = frequent[of]
+        inside = np.concatenate([[0], np.cumsum(chosen)])[bounds]
+        place = (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds)))[chosen].astype(np.uint32)
+        mass = np.bincount(kind[word], count[word] + 1, SHAPES).astype(np.int64)
+        lists = [pa.array([None] * n + [x.tolist()], t) for x, t in ((mass, pa.list_(pa.int64())), (h[order[at[best]]].view(np.int64), pa.list_(pa.int64())), (count[best], pa.list_(pa.int64())), (kind[best], pa.list_(pa.int32())))]
+        binary = [pa.concat_arrays([_bytes(x, y), pa.nulls(1, pa.binary())]) for x, y in ((shape, bounds), (count[of], bounds), (place, inside), (h[chosen], inside))]
+        b = table.column("b").to_pylist() + [-1]
+        r = table.column("r").to_pylist()
+        return pa.table([pa.array(b, pa.int64()), pa.array(r + r[:1], pa.int32()), *binary, pa.array([None] * n + [int(count.sum())], pa.int64()), pa.array([None] * n + [int((count > 0).sum())], pa.int64()), *lists],
+                        ["b", "r", "shape", "c", "place", "h", "tokens", "known", "mass", "top_h", "top_c", "top_shape"])
+
+    return parts.groupBy("r").applyInArrow(total, f"b long, r int, shape binary, c binary, place binary, h binary, {_SUMS}")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Sums over all training tokens, and the most frequent words."""
+
+    tokens: int
+    known: int
+    log_mass: np.ndarray
+    vocabulary: np.ndarray
+
+
+def corpus(sums: DataFrame, params: LmParams) -> Corpus:
+    """The sums of all ranges: one row, and the ``params.words`` most frequent words, ties by hash."""
+    row = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), *[F.coalesce(F.sum(F.col("mass")[j]), F.lit(0)) for j in range(SHAPES)]).first()
+    each = sums.select(F.explode(F.arrays_zip("top_h", "top_c", "top_shape")).alias("w")).select("w.top_h", "w.top_c", "w.top_shape")
+    unsigned = F.col("top_h").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    top = each.orderBy(F.desc("top_c"), unsigned).limit(params.words).collect()
+    mass = np.array(row[2:], float)
+    for r in top:  # frequent words are outputs of their own
+        mass[r["top_shape"]] -= r["top_c"] + 1
+    # A word within its shape: (c + 1) / (sum of c + 1 over the shape's known words, and one for unseen words).
+    return Corpus(row[0], row[1], np.log10(mass + 1), np.array([r["top_h"] for r in top], np.int64).view(np.uint64))
+
+
+_READY = "doc_id {kind}, held_out boolean, key long, n_tokens long, n_known long, base_score double, within double, s binary"
+
+
+def ready(batches: DataFrame, counts: DataFrame, found: Corpus, net: Network) -> DataFrame:
+    """Each document's counts, base score, probability of words within their shapes, and symbols."""
+    kind = batches.schema["ids"].dataType.elementType.simpleString()
+    names = ["doc_id", "held_out", "key", "n_tokens", "n_known", "base_score", "within", "s"]
+    k, small, vocabulary, log_mass = net.k, net.small, net.vocabulary, np.append(found.log_mass, 0.0)
+    order, log_all = np.argsort(vocabulary), np.log10(found.tokens + found.known + 1.0)
+
+    def join(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("r")
+        part = lambda name, kind: np.frombuffer(b"".join(right.column(name).to_pylist()), kind)
+        shape, c, h = part("shape", np.uint8).astype(np.int64), part("c", np.int64), part("h", np.uint64)
+        sizes = np.array([len(x) for x in right.column("shape").to_pylist()])
+        inside = np.array([len(x) // 4 for x in right.column("place").to_pylist()])
+        place = part("place", np.uint32) + np.repeat(np.cumsum(sizes) - sizes, inside)
+        symbol = k + shape
+        if k:
+            at = np.minimum(np.searchsorted(vocabulary, h, sorter=order), k - 1)
+            same = vocabulary[order[at]] == h
+            symbol[place[same]] = order[at[same]]
+        rare = (symbol >= k) & (shape < SHAPES)
+        log_c = np.log10(c + 1.0)
+        within = np.where(rare, log_c - log_mass[shape], 0.0)
+        ids, held, keys, sizes = (left.column(name).combine_chunks().flatten() for name in ("ids", "held", "keys", "sizes"))
+        n = sizes.to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        planes = np.frombuffer(left.column("places")[0].as_py(), np.uint8).reshape(-1, bounds[-1])
+        of = planes[0].astype(np.int64)
+        for i, plane in enumerate(planes[1:]):
+            of |= plane.astype(np.int64) << (8 * i + 8)
+        add = lambda values: np.add.reduceat(values[of], bounds[:-1])  # noqa: E731  each document has its end token
+        return pa.table([ids, held, keys, sizes, pa.array(add((c > 0).astype(np.int64))), pa.array(add(log_c) - n * log_all), pa.array(add(within)), _bytes(symbol.astype(small)[of], bounds)], names)
+
+    return batches.groupBy("b").cogroup(counts.groupBy("b")).applyInArrow(join, _READY.format(kind=kind))
+
+
+def train_network(net: Network, docs: DataFrame, tokens: int, shards: int) -> Network:
+    """The network after all of ``docs(shard, part, s)`` have trained it, in rounds from the mean of all shards' weights."""
+    params, kind, end = net.params, net.small, net.k + SHAPES
+    size = max(1, tokens // shards)
+    passes = max(1, -(-params.updates // max(1, -(-size // net.streams(size) // params.window))))
     parts = params.rounds if shards > 1 else 1  # one shard has nothing to be averaged with
-    calls = params.epochs * parts if shards > 1 else 1
-    sc = train.sparkSession.sparkContext
-    kind = np.dtype(np.uint16 if net.k + SHAPES < 1 << 16 else np.uint32)
-    end = net.k + SHAPES
-    start = sc.broadcast(net.dump())
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Network.from_bytes(start.value, params)
-        for chunk in text_chunks(batches, 0):
-            h, shape, bounds = tokens(*string_buffers(chunk.column(0)))
-            s = pa.py_buffer(model.symbols(h, shape).astype(kind))
-            s = pa.Array.from_buffers(pa.binary(), chunk.num_rows, [None, pa.py_buffer((bounds * kind.itemsize).astype(np.int32)), s])
-            yield pa.RecordBatch.from_arrays([chunk.column(1), chunk.column(2), s], ["shard", "o", "s"])
-
-    def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by("o")
-        return pa.table([table.column("shard").slice(0, 1).cast(pa.int32()), pa.array([b"".join(table.column("s").to_pylist())], pa.binary())], ["shard", "s"])
-
-    key = F.xxhash64("doc_id", "text", F.lit(params.seed))
-    rows = train.select("text", F.pmod(key, F.lit(shards)).cast("int").alias("shard"), key.alias("o")).mapInArrow(numbered, "shard int, o long, s binary")
-    packed = written(rows.repartition(shards, "shard").groupBy("shard").applyInArrow(pack, "shard int, s binary"))
+    calls = passes * parts if shards > 1 else 1
+    sc = docs.sparkSession.sparkContext
 
     def mean(found: Iterator[tuple[int, int, Network]]) -> Iterator[pa.RecordBatch]:
         """One row: the first number, all tokens, and the mean by tokens of the networks."""
@@ -353,24 +529,20 @@ def fit_network(train: DataFrame, params: LmParams) -> Network:
         """The mean network after all shards have trained on their next part."""
 
         def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, Network]]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    s = np.frombuffer(batch.column(1)[i].as_buffer(), kind).astype(np.int64)
-                    docs = np.append(0, np.flatnonzero(s == end) + 1)  # each document ends with the end token
-                    n, part = len(docs) - 1, call % parts
-                    s = s[docs[n * part // parts] : docs[n * (part + 1) // parts]]
-                    if len(s):
-                        model = Network.from_bytes(raw.value, params)
-                        model.train(s, np.append(True, s[:-1] == end), params.epochs if calls == 1 else 1, (call, calls))
-                        yield batch.column(0)[i].as_py(), len(s), model
-
-        rows = packed.mapInArrow(lambda batches: mean(trained(batches)), "at int, n long, w binary")
+            for shard, pieces in shards_of(batches):
+                s = np.frombuffer(b"".join(pieces), kind).astype(np.int64)
+                model = Network.from_bytes(raw.value, params)
+                model.train(s, np.append(True, s[:-1] == end), passes if calls == 1 else 1, (call, calls))
+                yield shard, len(s), model
+
+        rows = docs.where(F.col("part") == call % parts) if parts > 1 else docs
+        rows = rows.select("shard", "s").mapInArrow(lambda batches: mean(trained(batches)), "at int, n long, w binary")
         for groups in (int(shards**0.5), 1) if shards > 1 else ():
             rows = rows.repartition(groups, F.pmod("at", F.lit(groups))).sortWithinPartitions("at").mapInArrow(means, "at int, n long, w binary")
         got = rows.first()
         return bytes(got["w"]) if got else None
 
-    raw = start
+    raw = sc.broadcast(net.dump())
     for call in range(calls):
         if (new := once(call, raw)) is None:
             continue
@@ -380,86 +552,68 @@ def fit_network(train: DataFrame, params: LmParams) -> Network:
     return net
 
 
-_COUNTED = "b int, h long, shape int, c long, lead boolean"
-_SCORED = "doc_id {kind}, held_out boolean, n_tokens long, n_known long, log_c double, net double, log_rest double, in_shape array<long>"
+def shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive rows of one shard."""
+    now, held = None, []
+    for batch in batches:
+        for shard, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if shard != now and held:
+                yield now, held
+                held = []
+            now = shard
+            held.append(s)
+    if held:
+        yield now, held
+
+
+def learn(docs: DataFrame, params: LmParams, id_col: str, text_col: str) -> tuple[Corpus, Network, DataFrame]:
+    """What all training rows teach, and the table that scoring reads, a file for each shard."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"held_out": held_out("doc_id"), "key": F.xxhash64("doc_id", "text", F.lit(params.seed))})
+    spark = docs.sparkSession
+    batches, at = written(numbered(rows, batches_of(docs, params.range_bytes), params))
+    counts, counts_at = written(totals(batches.where("r >= 0").select("b", "r", "h", "shape", "c"), params))
+    found = corpus(counts.where("b = -1"), params)
+    net = Network(found.vocabulary, params)
+    shards = max(1, round(found.tokens / params.shard_tokens))
+    table = ready(batches.where("r = -1").select("b", "ids", "held", "keys", "sizes", "places"), counts.where("b >= 0").select("b", "r", "shape", "c", "place", "h"), found, net)
+    table = table.withColumns({"shard": F.pmod("key", F.lit(shards)).cast("int"), "part": F.pmod(F.shiftrightunsigned("key", 32), F.lit(params.rounds)).cast("int")})
+    table, _ = written(table.repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "doc_id"))
+    for path in (at, counts_at):
+        discard(spark, path)
+    return found, train_network(net, table.where(~F.col("held_out")), found.tokens, shards), table
 
 
 def lm_scores(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Learns from the rows whose ``crc32`` of the id as text is not 2 mod 7; a null id is learnt from.  A null text counts as
-    empty: the end token alone.  Repeated rows count and are scored each.  Without any training row all counts are zero and
-    scores are those of the untrained network.  An empty table gives no rows.
+    empty: the end token alone.  Repeated rows count and are scored each; a very long text is a batch of its own, read whole.
+    Without any training row all counts are zero and scores are those of the untrained network.  An empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("held_out", held_out("doc_id"))
-    net = fit_network(rows.where(~F.col("held_out")).select("doc_id", "text"), params)
+    found, net, table = learn(docs, params, id_col, text_col)
     raw = docs.sparkSession.sparkContext.broadcast(net.dump())  # of the size of the vocabulary parameter
-    batches_n = batches_of(docs, params.batch_bytes)
-    batched = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches_n)).cast("int").alias("b"), "doc_id", "text", "held_out").repartition("b")
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held, size = Network.from_bytes(raw.value, params), [], 0
+
+        def scored() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            bounds = np.concatenate([[0], np.cumsum(t.column("n_tokens").to_numpy())])
+            s = np.concatenate([np.frombuffer(string_buffers(chunk)[0], model.small) for chunk in t.column("s").chunks])
+            score = model.score(s, bounds) / np.log(10) + t.column("within").to_numpy()
+            return pa.RecordBatch.from_arrays([*(t.column(name).combine_chunks() for name in names[:-1]), pa.array(score)], names)
 
-    def count(table: pa.Table) -> pa.Table:
-        """The distinct words of a batch of documents with their counts in training documents."""
-        h, shape, bounds = batch_tokens(table.column("text"))
-        learnt = np.repeat(~table.column("held_out").to_numpy(), np.diff(bounds))
-        order = np.argsort(h)
-        h, shape, learnt = h[order], shape[order], learnt[order]
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        c = np.add.reduceat(learnt.astype(np.int64), at) if len(h) else np.zeros(0, np.int64)
-        b = np.full(len(at), table.column("b")[0].as_py() if table.num_rows else 0, np.int32)
-        return pa.table([pa.array(b), pa.array(h[at].view(np.int64)), pa.array(shape[at].astype(np.int32)), pa.array(c)], ["b", "h", "shape", "c"])
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each word's count over all batches, for each batch that has it; rows come sorted by word."""
-        held: np.ndarray | None = None
         for batch in batches:
-            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)])
-            x = x if held is None else np.concatenate([held, x], 1)
-            change = np.flatnonzero(x[1, 1:] != x[1, :-1])
-            cut = int(change[-1]) + 1 if len(change) else 0
-            yield from whole(x[:, :cut])
-            held = x[:, cut:]
-        if held is not None:
-            yield from whole(held)
-
-    def whole(x: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if x.shape[1]:
-            at = np.flatnonzero(np.append(True, x[1, 1:] != x[1, :-1]))
-            lead = np.zeros(x.shape[1], bool)
-            lead[at] = True
-            c = np.repeat(np.add.reduceat(x[3], at), np.diff(np.append(at, x.shape[1])))
-            yield pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int32)), pa.array(x[1]), pa.array(x[2].astype(np.int32)), pa.array(c), pa.array(lead)], ["b", "h", "shape", "c", "lead"])
-
-    names = [c.rsplit(" ", 1)[0].split()[0] for c in _SCORED.format(kind="x").split(", ")]
-
-    def score(table: pa.Table, counted: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table([pa.array([], t) for t in (table.schema.field("doc_id").type if table.num_columns else pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))], names)
-        model = Network.from_bytes(raw.value, params)
-        h, shape, bounds = batch_tokens(table.column("text"))
-        keys, first = np.unique(counted.column("h").to_numpy().view(np.uint64), return_index=True)
-        c = counted.column("c").to_numpy()[first][np.searchsorted(keys, h)]
-        doc = np.repeat(np.arange(table.num_rows), np.diff(bounds))
-        n = table.num_rows
-        s = model.symbols(h, shape)
-        log_c = np.log10(c + 1.0)
-        rest = (s >= model.k) & (shape < SHAPES)
-        in_shape = np.bincount(doc[rest] * SHAPES + shape[rest], minlength=n * SHAPES)
-        arrays = [table.column("doc_id"), table.column("held_out"), pa.array(np.diff(bounds)), pa.array(np.bincount(doc, c > 0, n).astype(np.int64)), pa.array(np.bincount(doc, log_c, n)),
-                  pa.array(model.score(s, bounds) / np.log(10)), pa.array(np.bincount(doc[rest], log_c[rest], n).astype(float)),
-                  pa.ListArray.from_arrays(pa.array(np.arange(0, n * SHAPES + 1, SHAPES, dtype=np.int32)), pa.array(in_shape.astype(np.int64)))]
-        return pa.table(arrays, names)
-
-    counted = batched.groupBy("b").applyInArrow(count, "b int, h long, shape int, c long").repartition("h").sortWithinPartitions("h").mapInArrow(total, _COUNTED)
-    scored = batched.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(score, _SCORED.format(kind=kind))
-    vocabulary = docs.sparkSession.createDataFrame([(int(x),) for x in net.vocabulary.view(np.int64)] or [(0,)], "v long")  # at most params.words rows
-    lead = counted.where("lead").join(F.broadcast(vocabulary), F.col("h") == F.col("v"), "left")
-    masses = [F.sum(F.when((F.col("shape") == j) & F.col("v").isNull() & (F.col("c") > 0), F.col("c") + 1)).alias(f"m{j}") for j in range(SHAPES)]
-    sums = lead.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("v"), *masses)
-    # A word within its shape: (c + 1) / (sum of c + 1 over the shape's known words, and one for unseen words).
-    sums = sums.select("train_tokens", "v", F.array(*[F.log10(F.coalesce(F.col(f"m{j}"), F.lit(0)) + 1.0) for j in range(SHAPES)]).alias("log_mass"))
-    out = scored.crossJoin(F.broadcast(sums))  # one row of totals
-    mass = F.aggregate(F.zip_with("in_shape", "log_mass", lambda a, m: a * m), F.lit(0.0), lambda a, x: a + x)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
-                      (F.col("log_c") - F.col("n_tokens") * F.log10((F.col("train_tokens") + F.col("v") + 1).cast("double"))).alias("base_score"),
-                      (F.col("net") + F.col("log_rest") - mass).alias("score"))
+            held.append(batch)
+            size += int(np.sum(batch.column("n_tokens").to_numpy()))
+            if size >= params.score_tokens:
+                yield scored()
+                held, size = [], 0
+        if size:
+            yield scored()
+
+    out = table.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "s").mapInArrow(score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), "base_score", "score")
