@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from quillrank.llm import simhash, topk
@@ -72,23 +73,118 @@ def test_links_lose_none_among_random_fingerprints(spark):
     assert {s: roots.get(s, s) for s in signed} == label
 
 
-def test_large_posting_is_compared_whole():
-    rng = np.random.default_rng(2)
-    fps = np.unique(rng.integers(0, 1 << 14, 4000).astype(np.uint64))
-    got = set()
-    for a, b in simhash._links_within(fps):
-        got |= set(zip(a.tolist(), b.tolist()))
-    parent = {int(x): int(x) for x in fps}
+def true_components(fps):
+    """Least member of each fingerprint's component, all pairs compared."""
+    label = np.arange(len(fps))
+    pairs = []
+    for i in range(0, len(fps), 256):
+        a, b = np.nonzero(np.bitwise_count(fps[i : i + 256, None] ^ fps[None, :]) <= 3)
+        pairs.append(np.stack([a + i, b]))
+    a, b = np.concatenate(pairs, 1)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in got:
-        assert bin(a ^ b).count("1") <= 64
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    assert len({root(int(x)) for x in fps}) == 1
+@pytest.mark.parametrize("n, shared", [(2049, 5), (2049, 6), (5000, 5), (5000, 6), (20000, 5), (20000, 6), (2049, 7)])
+def test_large_postings_lose_no_link(n, shared):
+    rng = np.random.default_rng(n + shared)
+    varied = 8 * (8 - shared)
+    fps = np.unique(rng.integers(0, 1 << varied, n).astype(np.uint64) | np.uint64(0x1122334455667788 >> varied << varied))
+    at = {int(f): i for i, f in enumerate(fps)}
+    found = {(at[int(p)], at[int(q)]) for a, b in simhash._links_within(fps) for p, q in zip(a, b)}
+    assert all(bin(int(fps[i] ^ fps[j])).count("1") <= 24 for i, j in found)
+    assert [r for _, r in sorted(components(range(len(fps)), found).items())] == true_components(fps).tolist()
+
+
+def test_large_posting_through_spark(spark):
+    from quillrank.llm.components import connected_components
+
+    rng = np.random.default_rng(4)
+    fps = np.unique(rng.integers(0, 1 << 24, 3000).astype(np.uint64) | np.uint64(0x11223344 << 32))
+    signed = fps.view(np.int64).tolist()
+    roots = {r["node"]: r["root"] for r in connected_components(simhash.near_links(spark.createDataFrame([(s,) for s in signed], "fp long"))).collect()}
+    assert [roots.get(s, s) for s in signed] == [signed[i] for i in true_components(fps)]
+
+
+def test_postings_over_arrow_batches(spark):
+    """One posting that many Arrow batches hold parts of."""
+    keep = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        test_links_lose_none_among_random_fingerprints(spark)
+        test_large_posting_through_spark(spark)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", keep)
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.choice(len(out), n, replace=False):
+        out[i] = f"edit{rng.integers(10**9)}"
+    return out
+
+
+def similarity(a, b):
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_similar_texts_by_brute_force(spark):
+    """Families of edited texts, all pairs compared exactly: what is clearly alike or apart must come out so."""
+    rng = np.random.default_rng(9)
+    vocab = [f"word{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [vocab[i] for i in np.minimum(rng.zipf(1.3, 300), 3000) - 1]
+        texts += [base, edited(rng, base, 1), edited(rng, base, 3), edited(rng, base, 30), base + edited(rng, base, 300)[:4]]
+    texts += [texts[0]] * 40 + [[]] * 3 + [["one"]] * 2
+    df = spark.createDataFrame([(i, " ".join(t), "x", 1, "y") for i, t in enumerate(texts)], "doc_id long, text string, kept_id string, p int, node string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    assert len(got) == len(texts)
+    family = [i // 5 if i < 300 else 0 if t == texts[0] else -i for i, t in enumerate(texts)]
+    alike = apart = 0
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if a == texts[j]:
+                assert got[i] == got[j]
+            elif family[i] == family[j]:
+                alike += similarity(a, texts[j]) >= 0.85
+                if similarity(a, texts[j]) >= 0.85:
+                    assert got[i] == got[j], (i, j)
+            else:
+                apart += 1
+                assert got[i] != got[j], (i, j)
+    assert alike > 100 and apart > 10_000
+    for i in range(60):  # thirty edits leave too little
+        assert got[5 * i + 3] != got[5 * i]
+    kept = simhash.keep_representatives(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
+
+
+def test_representatives_of_odd_rows(spark):
+    df = docs(spark)
+    kept = simhash.keep_representatives(df.selectExpr("*", "1 as kept_id", "2 as component_id", "3 as place", "4 as c0"))
+    rows = kept.collect()
+    assert kept.columns[-4:] == ["kept_id", "component_id", "place", "c0"]
+    assert len({r["text"] for r in rows}) == len(rows) and sum(not (r["text"] or "").strip() for r in rows) == 1
+    strings = simhash.keep_representatives(df.selectExpr("cast(doc_id as string) as doc_id", "text")).collect()
+    assert len(strings) == len(rows)
+    assert simhash.keep_representatives(df.where("false")).count() == 0
+
+
+def test_walk_spans_components():
+    rng = np.random.default_rng(6)
+    for n, p in ((700, 0.002), (3000, 0.0002), (600, 0.0)):
+        link = np.triu(rng.random((n, n)) < p, 1)
+        link |= link.T | np.eye(n, dtype=bool)
+        a, b = simhash._walk(n, lambda x, y: link[np.ix_(x, y)], step=64, width=100)
+        i, j = np.nonzero(link)
+        assert components(range(n), set(zip(a.tolist(), b.tolist()))) == components(range(n), set(zip(i.tolist(), j.tolist())))
 
 
 def test_top_k_by_brute_force(spark):
@@ -151,11 +247,15 @@ def test_large_posting_with_few_varying_bytes():
 
 
 def components(nodes, pairs):
-    root = {n: n for n in nodes}
-    for _ in range(len(pairs) + 1):
-        before = dict(root)
-        for a, b in pairs:
-            root[a] = root[b] = min(root[a], root[b])
-        if root == before:
-            return root
-    return root
+    parent = {n: n for n in nodes}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}

@@ -8,7 +8,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 from quillrank.llm import mixing, pieces, toxicity  # noqa: E402
 
 from .data import docs  # noqa: E402
-from .test_pairs_search import slow_fingerprint  # noqa: E402
+from .test_pairs_search import similarity  # noqa: E402
 from .test_substrings import WORD, slow  # noqa: E402
 
 
@@ -50,14 +50,15 @@ def test_stages_by_plain_loops(spark, tmp_path):
     assert sum(toxic[i] for i in got) <= 3 and sum(toxic[i] == 0 for i in toxic) - sum(toxic[i] == 0 for i in got) <= 2
 
     part = kept.collect()
-    fps = [slow_fingerprint(r["text"]) for r in part]
+    words = [WORD.findall(r["text"]) for r in part]
     comp = list(range(len(part)))
     for _ in range(4):
         for i in range(len(part)):
             for j in range(i):
-                if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                if similarity(words[i], words[j]) >= 0.8:
                     comp[i] = comp[j] = min(comp[i], comp[j])
     expect = {min(part[j]["doc_id"] for j in range(len(part)) if comp[j] == k) for k in set(comp)}
+    assert len(expect) < len(part)
     single = b(spark, kept, folder)
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(expect) and single.columns == columns
 
