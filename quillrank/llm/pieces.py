@@ -2,15 +2,18 @@
 
 A text is cut where no piece can reach across: before a space that follows something else, and between characters that
 stand side by side in no piece.  Distinct parts of equal length advance together.  Substring hashes of all parts probe the
-sorted hashes of the pieces.  Unigram vocabularies are segmented by Viterbi: for each end the vectorised maximum over the
-starts is stored with its backpointer.  Vocabularies of the merge kind have no scores that a best path could add up, their
-segmentation is defined by the order of merges; there each step merges each part's best-ranked pair, leftmost first.
+sorted hashes of the pieces, and for each end the vectorised maximum over the starts is stored with its backpointer.
+
+In a unigram vocabulary a path adds up scores.  In a vocabulary of the merge kind the order of merges decides: two pieces may
+follow each other if their characters, merged on their own, end as these two.  A row of pieces is the result of merging
+exactly if each piece stands on its own and each two neighbours may follow each other, so a step of the best path is worth one
+or nothing, by the piece that the start's backpointer holds, and one start at most is worth one.  Whether two may follow is
+told by taking their last merges back, the later first, until a merge across them would have come before.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +29,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NEVER = np.int64(1) << 40
 #: Characters with the most pieces, whose neighbourhoods are looked up in a square table.
 _DENSE = 1024
-#: Longer parts are merged one by one with a heap.
+#: Longer parts go one by one.
 LONG = 192
 #: Distinct parts that a worker remembers before it starts anew.
 REMEMBERED = 1 << 18
@@ -39,7 +42,7 @@ class Pieces:
         self.merges, self.dummy_prefix = merges, dummy_prefix
         normal = [(i, p, s) for i, (p, s, kind) in enumerate(pieces) if kind in (1, 4, 5) and p]
         self.longest = max(len(p) for _, p, _ in normal)
-        keys = np.array([self._hash_one(p) for _, p, _ in normal], np.uint64)
+        keys = self._hash_all([p for _, p, _ in normal])
         order = np.argsort(keys)
         self.keys = keys[order]
         self.ids = np.array([i for i, _, _ in normal], np.int64)[order]
@@ -75,6 +78,58 @@ class Pieces:
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
         self.known: dict[int, int] = {}
         self._reset()
+        if merges:
+            self._merge_table([p for _, p, _ in normal], order)
+
+    def _merge_table(self, texts: list[str], order: np.ndarray) -> None:
+        """For each key: when it is merged (single characters before all), from which two pieces, and whether it stands on its own."""
+        texts = [texts[i] for i in order]
+        size = np.array([len(t) for t in texts])
+        self.when = np.where(size > 1, self.ranks, -1)
+        self.left, self.right, self.whole = np.full(len(texts), -1), np.full(len(texts), -1), size == 1
+        pairs: list[np.ndarray] = []
+        for n in range(2, self.longest + 1):
+            at = np.flatnonzero(size == n)
+            if not len(at):
+                continue
+            codes = np.array([[ord(c) for c in texts[i]] for i in at], np.uint32)
+            sums = self.prefix_sums(codes)
+            rows, cuts = np.repeat(np.arange(len(at)), n - 1), np.tile(np.arange(1, n), len(at))
+            first, second = self.probe(self.span_hash(sums, rows, np.zeros_like(cuts), cuts)), self.probe(self.span_hash(sums, rows, cuts, np.full_like(cuts, n)))
+            ok = (first >= 0) & (second >= 0)
+            pairs.append(np.stack([first[ok] << 32 | second[ok], self.ranks[at[rows[ok]]]]))
+            row, _, _ = self.merge(codes)
+            self.whole[at] = np.bincount(row, minlength=len(at)) == 1
+            row, start, end = self.merge(codes, 2)
+            two = np.flatnonzero((start == 0) & (np.bincount(row, minlength=len(at))[row] == 2))
+            places = self.probe(self.span_hash(sums, row, start, end))
+            self.left[at[row[two]]], self.right[at[row[two]]] = places[two], places[two + 1]
+        found = np.concatenate(pairs, 1) if pairs else np.zeros((2, 0), np.int64)
+        found = found[:, np.argsort(found[0], kind="stable")]
+        self.pair_keys, self.pair_when = found
+        self.followed: dict[int, bool] = {}
+
+    def joined_when(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """When the piece of both texts is merged, or never."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_when[at], _NEVER) if len(self.pair_keys) else np.full(len(key), _NEVER)
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the pieces at ``b`` may stand after those at ``a`` (places among the keys; -1 is an unknown character)."""
+        out = np.ones(len(a), bool)
+        live, limit = np.arange(len(a)), np.full(len(a), _NEVER)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        while len(live):
+            bad = self.joined_when(a, b) < limit
+            out[live[bad]] = False
+            late_a, late_b = np.where(a >= 0, self.when[a], -1), np.where(b >= 0, self.when[b], -1)
+            on = ~bad & ((late_a >= 0) | (late_b >= 0))
+            live, a, b, late_a, late_b = live[on], a[on], b[on], late_a[on], late_b[on]
+            first = late_a > late_b  # of equal merges the left one comes first
+            limit = np.where(first, late_a, late_b + 1)
+            a, b = np.where(first, self.right[a], a), np.where(first, b, self.left[b])
+        return out
 
     def _reset(self) -> None:
         self.known.clear()
@@ -82,9 +137,14 @@ class Pieces:
         self.flat_size = 0
 
     @staticmethod
-    def _hash_one(p: str) -> int:
-        h = Pieces.prefix_sums(np.array([[ord(c) for c in p]], np.uint32))
-        return int(Pieces.span_hash(h, np.array([0]), np.array([0]), np.array([len(p)]))[0])
+    def _hash_all(texts: list[str]) -> np.ndarray:
+        """The hash of each text, batch by length."""
+        out, size = np.zeros(len(texts), np.uint64), np.array([len(t) for t in texts])
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            sums = Pieces.prefix_sums(np.array([[ord(c) for c in texts[i]] for i in at], np.uint32))
+            out[at] = Pieces.span_hash(sums, np.arange(len(at)), np.zeros_like(at), np.full(len(at), n))
+        return out
 
     @staticmethod
     def prefix_sums(codes: np.ndarray) -> np.ndarray:
@@ -114,7 +174,8 @@ class Pieces:
 
     # Segmentation of equal-length rows of code points: (row, start, end) of every piece, in order.
 
-    def merge(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def merge(self, codes: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Merges each row's best-ranked pair, leftmost first, until none or ``least`` pieces are left.  Only for the vocabulary's own pieces."""
         w, n = codes.shape
         sums = self.prefix_sums(codes)
         bounds = np.tile(np.arange(n + 1), (w, 1))
@@ -123,7 +184,7 @@ class Pieces:
             row = np.repeat(np.arange(w), n - 1)
             left = np.tile(np.arange(n - 1), w)
             pairs = self._pair_rank(sums, row, left, left + 2).reshape(w, n - 1)
-            live = np.flatnonzero(pairs.min(1) < _NEVER)
+            live = np.flatnonzero((pairs.min(1) < _NEVER) & (count > least))
             p, b = pairs[live], bounds[live]
             columns = np.arange(n + 1)
             while len(live):
@@ -139,7 +200,7 @@ class Pieces:
                     ok = np.flatnonzero((at >= 0) & (at + 2 <= count[live]))
                     p[ok, at[ok]] = self._pair_rank(sums, live[ok], b[ok, at[ok]], b[ok, at[ok] + 2])
                 bounds[live] = b
-                on = p.min(1) < _NEVER
+                on = (p.min(1) < _NEVER) & (count[live] > least)
                 live, p, b = live[on], p[on], b[on]
         mask = np.arange(n) < count[:, None]
         row, col = np.nonzero(mask)
@@ -149,34 +210,78 @@ class Pieces:
         at = self.probe(self.span_hash(sums, row, start, end))
         return np.where(at >= 0, self.ranks[at], _NEVER)
 
-    def merge_long(self, codes: np.ndarray) -> list[tuple[int, int]]:
-        """One long row of code points, by a heap of pairs."""
-        n = len(codes)
-        sums = self.prefix_sums(codes[None])
-        zero = np.zeros(n - 1, np.int64)
-        ranks = self._pair_rank(sums, zero, np.arange(n - 1), np.arange(n - 1) + 2)
-        ends, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(int(r), i, i + 2) for i, r in enumerate(ranks) if r < _NEVER]
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            _, i, end = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j < 0 or ends[j] != end:
-                continue
-            gone[j], ends[i], after[i] = 1, end, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a in (before[i], i):
-                if a >= 0 and after[a] >= 0:
-                    stop = ends[after[a]]
-                    if stop - a <= self.longest:
-                        r = int(self._pair_rank(sums, zero[:1], np.array([a]), np.array([stop]))[0])
-                        if r < _NEVER:
-                            heapq.heappush(heap, (r, a, stop))
-        return [(i, ends[i]) for i in range(n) if not gone[i]]
-
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best path of each row, by its backpointers."""
+        if self.merges:
+            back = self._merge_paths(codes) if codes.shape[1] <= LONG else np.concatenate([self._merge_path(row) for row in codes])
+        else:
+            back = self._score_paths(codes)
+        w, n = codes.shape
+        rows = np.arange(w)
+        ends = np.zeros((w, n + 1), bool)
+        at, live = np.full(w, n), rows
+        while len(live):
+            ends[live, at[live]] = True
+            at[live] = back[live, at[live]]
+            live = live[at[live] > 0]
+        row, end = np.nonzero(ends[:, 1:])
+        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
+        start = np.where(np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool), 0, start)
+        return row, start, end + 1
+
+    def _found(self, codes: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, row, start, place) of all substrings that are pieces, and of single characters, with ends from ``first`` to ``last``; by end."""
+        w = len(codes)
+        low = max(0, first - self.longest)
+        codes = codes[:, low:last]
+        sums = self.prefix_sums(codes)
+        ends, starts = np.meshgrid(np.arange(first, last + 1) - low, np.arange(1, self.longest + 1), indexing="ij")
+        starts = ends - starts
+        ok = starts >= 0
+        ends, starts = ends[ok], starts[ok]
+        at = self.probe(self.span_hash(sums, np.tile(np.arange(w), len(ends)), np.repeat(starts, w), np.repeat(ends, w))).reshape(len(ends), w)
+        i, row = np.nonzero((at >= 0) | (ends - starts == 1)[:, None])
+        return ends[i] + low, row, starts[i] + low, at[i, row]
+
+    def _merge_paths(self, codes: np.ndarray) -> np.ndarray:
+        w, n = codes.shape
+        end, row, start, place = self._found(codes, 1, n)
+        own = (place < 0) | self.whole[place]
+        end, row, start, place = end[own], row[own], start[own], place[own]
+        bounds = np.searchsorted(end, np.arange(1, n + 2))
+        back, held = np.zeros((w, n + 1), np.int64), np.full((w, n + 1), -1)
+        for e in range(1, n + 1):
+            part = slice(bounds[e - 1], bounds[e])
+            r, s, p = row[part], start[part], place[part]
+            good = np.flatnonzero((s == 0) | self.may_follow(held[r, s], p))
+            # One start of a row is good; the maximum keeps the longest if ever two were.
+            good = good[np.argsort(-s[good], kind="stable")]
+            back[r[good], e], held[r[good], e] = s[good], p[good]
+        return back
+
+    def _merge_path(self, codes: np.ndarray) -> np.ndarray:
+        """As :meth:`_merge_paths`, of one long row, with what may follow remembered."""
+        n, known = len(codes), self.followed
+        back, held = [0] * (n + 1), [-1] * (n + 1)
+        for first in range(1, n + 1, 1 << 12):
+            end, _, start, place = self._found(codes[None], first, min(n, first + (1 << 12) - 1))
+            own = (place < 0) | self.whole[place]
+            for e, s, p in sorted(zip(end[own].tolist(), start[own].tolist(), place[own].tolist())):
+                if back[e] or held[e] >= 0:
+                    continue  # a longer piece was good
+                if s:
+                    key = held[s] << 32 | (p & 0xFFFFFFFF)
+                    good = known.get(key)
+                    if good is None:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        good = known[key] = bool(self.may_follow(np.array([held[s]]), np.array([p]))[0])
+                    if not good:
+                        continue
+                back[e], held[e] = s, p
+        return np.array([back])
+
+    def _score_paths(self, codes: np.ndarray) -> np.ndarray:
         """Best total score; a character without a piece scores ten below the worst piece.  Ties go to the longer last piece."""
         w, n = codes.shape
         sums = self.prefix_sums(codes)
@@ -192,26 +297,11 @@ class Pieces:
             total = best[:, starts] + score
             pick = total.argmax(1)
             best[:, end], back[:, end] = total[rows, pick], starts[pick]
-        ends = np.zeros((w, n + 1), bool)
-        at, live = np.full(w, n), rows
-        while len(live):
-            ends[live, at[live]] = True
-            at[live] = back[live, at[live]]
-            live = live[at[live] > 0]
-        row, end = np.nonzero(ends[:, 1:])
-        start = np.concatenate([[0], end[:-1] + 1]) if len(end) else end
-        start = np.where(np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool), 0, start)
-        return row, start, end + 1
+        return back
 
     def segment(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, id) of equal-length rows, in order."""
-        if not self.merges:
-            row, start, end = self.viterbi(codes)
-        elif codes.shape[1] > LONG:
-            spans = [(r, a, b) for r in range(len(codes)) for a, b in self.merge_long(codes[r])]
-            row, start, end = np.array(spans, np.int64).reshape(-1, 3).T
-        else:
-            row, start, end = self.merge(codes)
+        row, start, end = self.viterbi(codes)
         at = self.probe(self.span_hash(self.prefix_sums(codes), row, start, end))
         ids = np.where(at >= 0, self.ids[at], self.unknown)
         missing = np.flatnonzero(at < 0)
