@@ -6,6 +6,7 @@ values with a finaliser; they are functions of the bytes alone, so that every ex
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, a local one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where that is unset a session of one process takes a folder of its own; a cluster is refused."""
     sc = spark.sparkContext
     there = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not there:
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         there = tempfile.mkdtemp(prefix="checkpoints-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(there)

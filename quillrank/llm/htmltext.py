@@ -12,6 +12,7 @@ import html as html_lib
 import random
 import re
 from collections.abc import Iterator
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+_OPEN = re.compile(r"<!--.*|<[!?].*", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -31,6 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset(
     "html body main article section div nav header footer aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure "
     "figcaption address details summary dialog hr center".split())
+_P, _NOT_P = frozenset("p"), BLOCK - {"p"}
 #: A start tag ends an open element of these, unless one of the others stands between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
@@ -88,6 +91,7 @@ def parse(page: str) -> Tree:
     tree = Tree()
     tree.add(-1, "html", "", None)
     open_blocks: list[tuple[str, int]] = [("html", 0)]  # tag, node
+    open_tags = Counter()  # of the blocks above
     pieces: list[str] = []
     linked = [0]  # words inside links of the current run
     depth_a = depth_silent = 0
@@ -109,23 +113,27 @@ def parse(page: str) -> Tree:
             if depth_a:
                 linked[0] += len(text.split())
 
-    def close(tags: set[str], stops: set[str]) -> None:
+    def close(tags: frozenset[str], stops: frozenset[str]) -> None:
+        if not any(open_tags[t] for t in tags):
+            return
         for i in range(len(open_blocks) - 1, 0, -1):
             if open_blocks[i][0] in tags:
                 flush()
+                open_tags.subtract(t for t, _ in open_blocks[i:])
                 del open_blocks[i:]
                 return
             if open_blocks[i][0] in stops:
                 return
 
+    last = page.rfind(">")  # behind it no tag ends
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _TOKEN.search(page, at) if at <= last else _OPEN.search(page, at)
         if not m:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
-        name = m.group(2) or m.group(5)
+        name = (m.group(2) or m.group(5)) if m.re is _TOKEN else None
         if not name:
             continue
         name, closing, attributes = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
@@ -137,9 +145,9 @@ def parse(page: str) -> Tree:
                 depth_a = max(0, depth_a - 1)
             elif name in BLOCK:
                 if name == "p":
-                    close({"p"}, BLOCK - {"p"})
-                elif any(t == name for t, _ in open_blocks[1:]):
-                    close({name}, set())
+                    close(_P, _NOT_P)
+                elif open_tags[name]:
+                    close(frozenset((name,)), frozenset())
                 flush()
             continue
         if name in VOID:
@@ -167,13 +175,14 @@ def parse(page: str) -> Tree:
         elif name in BLOCK and name != "html":
             flush()
             if name != "body":
-                close({"p"}, BLOCK - {"p"})
+                close(_P, _NOT_P)
             if name in CLOSES:
                 close(*CLOSES[name])
-            if name == "body" and any(t == "body" for t, _ in open_blocks):
+            if name == "body" and open_tags["body"]:
                 continue
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)).lower() if "=" in attributes else ""
             open_blocks.append((name, tree.add(open_blocks[-1][1], name, named, None)))
+            open_tags[name] += 1
     flush()
     return tree
 

@@ -144,7 +144,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``n_words, n_base, first_word, last_word, base_labels, labels, score`` and ``n_signatures`` of every row.
 
     ``score`` is the highest priority among the intervals that remain, over 100, and 0 without any.  A null text counts as
-    empty.  Rows are scanned one by one: repeated rows and null ids stay.  An empty table gives no rows.
+    empty.  Rows are scanned one by one: repeated rows and null ids stay.  A very long text is scanned whole, in time that grows
+    with its length and with the signatures in it.  An empty table gives no rows.
     """
     rules = signature_rules()
     keywords = sorted({k for _, k, _, _ in rules})
@@ -172,18 +173,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = "array(" + ", ".join(f"'{k}'" for k in keywords) + ")"
     rows = rows.withColumn("there", F.expr(f"case when line is not null then filter({words}, k -> contains(line, k)) end"))
     rows = rows.withColumn("tried", F.expr(f"case when size(there) > 0 then filter({table}, r -> array_contains(there, r.keyword) and regexp_like(line, concat(' ', r.pattern, '(?= )'))) end"))
-    # The gaps before the matches and the matches give each interval's words; a match starts at a space and ends before one.
+    # A match starts at a space and ends before one: marks that no word holds are put there, and stand at the words before.
     rows = rows.withColumn("found", F.expr(r"""
-        flatten(transform(tried, r -> zip_with(
-            regexp_extract_all(line, concat('(?s)\\G(.*?)( ', r.pattern, ')(?= )'), 1), regexp_extract_all(line, concat('(?s)\\G.*?( ', r.pattern, ')(?= )'), 1),
-            (gap, hit) -> struct(r.label as label, r.priority as priority, r.rank as rank,
-                                 length(gap) - length(replace(gap, ' ', '')) as gap, length(hit) - length(replace(hit, ' ', '')) as size))))"""))
-    rows = rows.withColumn("found", F.expr("""
-        aggregate(found, struct(cast(array() as array<struct<label: string, priority: int, rank: int, start: int, stop: int>>) as out, -1 as rank, 0 as at),
-            (s, x) -> struct(
-                array_append(s.out, struct(x.label as label, x.priority as priority, x.rank as rank,
-                    (case when s.rank = x.rank then s.at else 0 end) + x.gap as start, (case when s.rank = x.rank then s.at else 0 end) + x.gap + x.size as stop)) as out,
-                x.rank as rank, (case when s.rank = x.rank then s.at else 0 end) + x.gap + x.size as at), s -> s.out)"""))
+        flatten(transform(tried, r -> transform(
+            filter(transform(split(regexp_replace(line, concat('( ', r.pattern, ')(?= )'), concat(char(1), '$1', char(2))), ' '), (x, i) -> if(contains(x, char(1)), i, -1)), i -> i >= 0),
+            i -> struct(r.label as label, r.priority as priority, r.rank as rank, i as start))))"""))
+    rows = rows.withColumn("stops", F.expr(r"""
+        flatten(transform(tried, r ->
+            filter(transform(split(regexp_replace(line, concat('( ', r.pattern, ')(?= )'), concat(char(1), '$1', char(2))), ' '), (x, i) -> if(contains(x, char(2)), i, -1)), i -> i >= 0)))"""))
+    rows = rows.withColumn("found", F.expr("zip_with(found, stops, (x, stop) -> struct(x.label as label, x.priority as priority, x.rank as rank, x.start as start, stop as stop))"))
     # By start, longer first, then higher priority: whatever contains an interval stands before it, and is still open there.
     rows = rows.withColumn("found", F.expr("""
         sort_array(transform(found, x -> struct(x.start as start, -x.stop as minus_stop, -x.priority as minus_priority, x.rank as rank, x.label as label)))"""))

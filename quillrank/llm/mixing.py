@@ -67,7 +67,7 @@ def poisson_count(part: Callable[[Column], Column], rate: Column) -> Column:
 
 def source_rates(docs: DataFrame, params: MixParams, source_col: str = "source") -> DataFrame:
     """``(mix_source, rate)``: the mean repetition of each source's rows."""
-    counts = docs.groupBy(F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("mix_source")).agg(F.count("*").cast("double").alias("rows"))
+    counts = docs.groupBy(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit(NO_SOURCE)).alias("mix_source")).agg(F.count("*").cast("double").alias("rows"))
     if params.weights is None:
         share = F.pow("rows", F.lit(params.alpha))
     else:
@@ -85,18 +85,22 @@ def mix_sources(docs: DataFrame, params: MixParams = MixParams(), id_col: str =
 
     Rows are drawn by their id (null as the text ``null``), so rows with the same id in one source have the same number of
     copies.  A null source is a source of its own.  Partitions and the rows in them are in hash order, which no property of
-    a row but its id sets.  An empty table gives no rows.  Columns named ``copy``, ``rate`` or ``mix_key`` are replaced.
+    a row but its id sets.  Texts are not looked at, so null, empty and very long ones pass through.  An empty table gives no
+    rows.  Columns named ``copy``, ``rate`` or ``mix_key`` are replaced; all others pass through, whatever their names.
     """
     rates = cut(source_rates(docs, params, source_col))
-    names = [c for c in docs.columns if c.lower() not in ("copy", "rate", "mix_key", "mix_source")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)).alias("row_source"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    id_col, source_col = names[id_col], names[source_col]
+    keyed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    names = {c: a for c, a in names.items() if c.lower() not in ("copy", "rate", "mix_key")}
+    keyed = keyed.withColumn("row_source", F.coalesce(F.col(source_col).cast("string"), F.lit(NO_SOURCE)))
     if rates.count() <= BROADCAST_SOURCES:
         drawn = keyed.join(F.broadcast(rates), F.col("row_source") == F.col("mix_source"))
     else:  # a row of any source goes to one of SALTS tasks, by its id
-        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(params.seed)), F.lit(SALTS)).cast("int"))
+        salted = keyed.withColumn("salt", F.pmod(F.xxhash64(id_col, F.lit(params.seed)), F.lit(SALTS)).cast("int"))
         every = rates.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = salted.join(every, (F.col("row_source") == F.col("mix_source")) & (F.col("salt") == F.col("of_salt")))
     drawn = drawn.withColumn("copies", poisson_count(lambda j: uniform(params.seed, "count", F.col(id_col), j), F.col("rate"))).where("copies > 0")
     out = drawn.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     out = out.withColumn("mix_key", uniform(params.seed, "order", F.col(id_col), F.col("copy")))
-    return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key", id_col).select(*[F.col(f"`{c}`") for c in names], "copy", "rate", "mix_key")
+    return out.repartition(F.col("mix_key")).sortWithinPartitions("mix_key", id_col).select(*[F.col(a).alias(c) for c, a in names.items()], "copy", "rate", "mix_key")

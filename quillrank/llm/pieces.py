@@ -471,7 +471,11 @@ def decode_texts(df: DataFrame, model: str | None = None, id_col: str = "doc_id"
 
 
 def encoding_digests(df: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_ids, ids_sha256, round_trip)``: SHA-256 over the ids as little-endian 32-bit numbers, and whether decoding them gives the text back."""
+    """``(doc_id, n_ids, ids_sha256, round_trip)``: SHA-256 over the ids as little-endian 32-bit numbers, and whether decoding them gives the text back.
+
+    Null and empty texts have no ids and come back empty; rows are encoded whole and one by one, so repeated rows, null ids and
+    very long texts stay.  An empty table gives no rows.
+    """
 
     def make(pieces: Pieces, batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
         ids, at = pieces.encode(data, offsets)

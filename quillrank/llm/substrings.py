@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, mix, span_hashes, string_buffers, text_chunks, window_hashes, word_spans
+from .common import batches_of, cut, mix, span_hashes, string_buffers, text_chunks, window_hashes, word_spans
 
 _U = np.uint64
 
@@ -309,6 +309,18 @@ def _none(table: pa.Table) -> pa.Array:
 _CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _integral(docs: DataFrame, id_col: str) -> bool:
+    return docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _numbered(docs: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a column ``number`` that orders rows as their ids do, and ``(own, number)`` of the ids; null stays null."""
+    ids = docs.select(F.col(id_col).alias("own")).where("own is not null").distinct().orderBy("own")
+    # Sorted partitions are numbered in order once they are materialised.
+    ids = cut(cut(ids).withColumn("number", F.monotonically_increasing_id()))
+    return docs.join(ids, F.col(id_col) == F.col("own"), "left").drop("own"), ids
+
+
 def _rows(docs: DataFrame, params: RepeatParams, id_col: str, text_col: str) -> DataFrame:
     """``(b, rk, doc_id, text, missing)`` dealt to batches; a null id sorts last."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(id_col).isNull().alias("missing"),
@@ -339,8 +351,14 @@ def cut_digests(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
 
     A word is removed if a window of ``length`` consecutive words covers it whose words also start earlier: in a smaller
     doc_id, or earlier in the same document.  A null text has no words; null ids come after all others; rows with the same
-    id count as one document, whose windows at the same place are not earlier than one another.  An empty table gives no rows.
+    id count as one document, whose windows at the same place are not earlier than one another.  Ids that are no integers
+    are ordered as Spark orders their type.  A very long text is a batch of its own.  An empty table gives no rows.
     """
+    if not _integral(docs, id_col):
+        docs, numbers = _numbered(docs.select(F.col(f"`{id_col}`").alias("c0"), F.col(f"`{text_col}`").alias("c1")), "c0")
+        found = cut_digests(docs, params, "number", "c1").withColumnRenamed("doc_id", "number")
+        return found.join(numbers, "number", "left").select(F.col("own").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
     def finish(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string())], [c.split()[0] for c in _CUT.split(", ")])
@@ -367,11 +385,16 @@ def cut_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
     """All columns of ``docs`` with the repeats cut out of the text.
 
     A text that loses nothing stays as it is; of another the remaining words stay, each with the white space before it.
-    Rows follow :func:`cut_digests`.  Null texts stay null.
+    Rows follow :func:`cut_digests`: null and equal ids, ids that are no integers, long texts.  Null texts stay null.  Columns
+    of any name pass through.  An empty table gives no rows.
     """
     from pyspark.sql import types as T
 
     names = docs.columns
+    if not _integral(docs, id_col):
+        inner = {c: f"c{i}" for i, c in enumerate(names)}
+        renamed, _ = _numbered(docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()]), inner[id_col])
+        return cut_repeats(renamed, params, "number", inner[text_col]).select(*[F.col(a).alias(c) for c, a in inner.items()])
     inner = {c: f"c{i}" for i, c in enumerate(names)}
     keyed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
     ident, body = inner[id_col], inner[text_col]

@@ -161,7 +161,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, params: FtrlParams = Ftr
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all their columns."""
+    """The rows of ``docs`` below the threshold of :func:`toxicity_scores`, with all their columns, whatever their names.
+
+    Null and empty texts score as the bias alone, null ids are never learnt from, repeated rows are judged alike, long texts
+    whole.  Without labels every score is a half, under the threshold, and all rows stay.  An empty table gives no rows.
+    """
     inner = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
     model = fit(labelled_texts(docs, labels, id_col, text_col), params)

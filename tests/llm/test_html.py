@@ -67,3 +67,18 @@ def test_tables_and_lists_close_by_themselves():
     assert [t for t in tree.text if t] == list("xyzabcde")
     a, b, c = (tree.text.index(x) for x in "abc")
     assert tree.parent[tree.parent[a]] == tree.parent[tree.parent[c]] and tree.parent[tree.parent[tree.parent[b]]] == tree.parent[a]
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    for page in ("<div>" * 60_000 + "</section>" * 60_000, "<a " * 300_000, "<ul>" + "<div><li>x</li>" * 50_000, "<p>words here " * 60_000):
+        began = time.time()
+        H.Forest([H.parse(page)])
+        assert time.time() - began < 20  # the quadratic walks took minutes
+
+
+def test_tail_without_a_closing_bracket():
+    tree = H.parse("<p>one two</p> three <a href='x' <!-- hidden")
+    assert " ".join(x for x in tree.text if x) == "one two three <a href='x'"
+    assert [x for x in H.parse("<div>a</section></div></div>b").text if x] == ["a", "b"]

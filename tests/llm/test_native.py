@@ -1,5 +1,6 @@
 import re
 
+from quillrank.llm import licenses, mixing
 from quillrank.llm.quality import QualityRules, quality_rules
 
 from .data import docs
@@ -145,3 +146,23 @@ def test_poisson_inversion_and_rates(spark, monkeypatch):
     odd = docs(spark)
     assert mix_sources(odd).where("text is null and doc_id is null").count() == 0
     assert mix_sources(odd.where("false")).count() == 0
+
+
+def test_many_places_of_one_signature(spark):
+    """Linear in the matches of one text: copying the list at each would take minutes."""
+    import time
+
+    df = spark.createDataFrame([(1, "mit license " * 40_000), (2, "mit license cc by sa 4 0 mit license")], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    assert time.time() - began < 60
+    assert (got[1]["n_base"], got[1]["n_signatures"], got[1]["last_word"]) == (40_000, 40_000, 79_998)
+    assert (got[2]["n_base"], got[2]["n_signatures"], got[2]["labels"]) == (3, 3, "cc-by,cc-by-sa-4.0,mit"), got[2]
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    df = docs(spark).selectExpr("*", "'mine' as row_source", "7 as copies", "'c' as c0", "1 as salt", "'r' as mix_source")
+    got = mixing.mix_sources(df)
+    assert got.columns == [*df.columns, "copy", "rate", "mix_key"]
+    rows = got.collect()
+    assert rows and all((r["row_source"], r["copies"], r["c0"], r["mix_source"]) == ("mine", 7, "c", "r") for r in rows)

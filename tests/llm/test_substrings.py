@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from quillrank.llm import substrings
 from quillrank.llm.substrings import RepeatParams, cut_digests, cut_repeats
 
 from .data import docs
@@ -72,3 +73,15 @@ def test_cut_texts_and_odd_rows(spark):
         if r["doc_id"] in untouched:
             assert r["text"] == dict(rows)[r["doc_id"]]
     assert cut_digests(df.where("false")).count() == 0 and cut_repeats(df.where("false")).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    df = docs(spark)
+    as_text = df.selectExpr("case when doc_id is not null then lpad(cast(doc_id as string), 9, '0') end as doc_id", "text", "1 as number", "2 as own")
+    key = lambda r: (str(r["n_words"]), r["n_removed"], r["kept_sha256"])
+    a, b = substrings.cut_digests(df).collect(), substrings.cut_digests(as_text).collect()
+    assert sorted(map(key, a)) == sorted(map(key, b))
+    assert sorted(str(r["doc_id"]).lstrip("0") for r in b) == sorted(str(r["doc_id"]) for r in a)
+    cut = substrings.cut_repeats(as_text)
+    assert cut.columns == as_text.columns
+    assert sorted(str(r["text"]) for r in cut.collect()) == sorted(str(r["text"]) for r in substrings.cut_repeats(df).collect())
