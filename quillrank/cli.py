@@ -20,14 +20,14 @@ def search(args: argparse.Namespace) -> int:
     from quillrank.plans.config import Retriever
     from quillrank.plans.evaluate import search as run
     from quillrank.sources import schemas
-    from quillrank.sources.files import read_json_lines
+    from quillrank.sources.files import numbered, read_json_lines
 
     spark = _session()
     corpus = read_json_lines(spark, args.corpus, schemas.SEARCH_CORPUS).select(F.col("id").alias("doc_id"), "text")
     queries = spark.createDataFrame([("q", args.query)], "query_id string, text string")
     retriever = Retriever(type="bm25") if args.model == "bm25" else Retriever(type="dense", encoder=args.model)
-    ranked = run(corpus, queries, args.top_k, retriever).join(corpus, "doc_id").orderBy("rank")
-    for r in ranked.limit(args.top_k).collect():
+    texts = numbered(corpus).groupBy("doc_id").agg(F.max_by("text", "seq").alias("text"))  # of a repeated id the last line's
+    for r in run(corpus, queries, args.top_k, retriever).join(texts, "doc_id").orderBy("rank").collect():
         print(f"{r['rank']}\t{r['doc_id']}\t{r['score']:.4f}\t{r['text']}")
     return 0
 

@@ -34,10 +34,18 @@ def evidence_violations(evidence: DataFrame, models: list[str]) -> DataFrame:
     return unknown.unionByName(missing).unionByName(repeated).unionByName(absent)
 
 
-def require_evidence(evidence: DataFrame, models: list[str]) -> None:
-    found = evidence_violations(evidence, models).orderBy("rule", "model_key", "detail").limit(100).collect()
-    if found:
-        raise EvidenceError([f"{r['model_key']}: {r['rule']} {r['detail']}".strip() for r in found])
+def require_evidence(evidence: DataFrame, models: list[str], named: int = 1000) -> None:
+    """Fails with every rule that a model breaks.  ``named`` ids of each are listed, and where there are more, their number;
+    all rows are those of :func:`evidence_violations`."""
+    of = Window.partitionBy("model_key", "rule")
+    found = evidence_violations(evidence, models).withColumns({"n": F.count("*").over(of), "place": F.row_number().over(of.orderBy("detail"))})
+    issues = []
+    for r in found.where(F.col("place") <= named).orderBy("rule", "model_key", "place").collect():
+        issues.append(f"{r['model_key']}: {r['rule']} {r['detail']}".strip())
+        if r["place"] == named < r["n"]:
+            issues.append(f"{r['model_key']}: {r['rule']}: {r['n']} in all, {named} listed")
+    if issues:
+        raise EvidenceError(issues)
 
 
 def summary_issues(summaries: dict[str, dict], contract: dict, licenses: dict[str, str] | None = None, forbidden: list[tuple[str, float]] | None = None, tolerance: float = 1e-9) -> list[str]:
@@ -116,6 +124,26 @@ def pairwise(choices: DataFrame, resampling: Resampling = Resampling()) -> DataF
     return exact.join(resampled, ["model_a", "model_b"])
 
 
+#: What pairs of models are resampled on: values of exams, then of passages.
+EXAM_VALUES = {"accuracy": "correct", "exam_mrr": "reciprocal_rank"}
+PASSAGE_VALUES = {"ndcg": "ndcg", "mrr": "mrr", "recall": "recall"}
+
+
+def paired_intervals(choices: DataFrame, passages: DataFrame | None = None, resampling: Resampling = Resampling()) -> DataFrame:
+    """``(model_a, model_b, metric, n, mean, low, high, crosses_zero)``: the difference of each metric of exams, and of passages
+    where they are given, for every pair of models."""
+    parts = []
+    for evidence, values in ((choices, EXAM_VALUES), (passages, PASSAGE_VALUES)):
+        if evidence is None:
+            continue
+        held = F.array(*[F.col(c).cast("double") for c in values.values()])
+        pairs = model_pairs(evidence.select("model_key", "query_id", held.alias("held")), "held")
+        at = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col("a")[i].alias("a"), F.col("b")[i].alias("b")) for i, m in enumerate(values)]))
+        parts.append(pairs.select("model_a", "model_b", F.col("id").cast("string").alias("id"), at.alias("at")).select("model_a", "model_b", "id", "at.*"))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return paired_bootstrap(rows, ["model_a", "model_b", "metric"], resampling.iterations, resampling.confidence, resampling.seed)
+
+
 def superiority(pairs: DataFrame, winner: str, runner_up: str) -> str:
     """The label of a selection: whether the interval of the two best models' difference excludes zero."""
     row = pairs.where(F.col("model_a").isin(winner, runner_up) & F.col("model_b").isin(winner, runner_up)).first()

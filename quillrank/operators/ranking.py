@@ -20,8 +20,8 @@ SCORE_DECIMALS = 7
 
 @dataclass(frozen=True)
 class Bm25Params:
-    """``block_queries`` and ``block_terms`` bound the query set that is sent to every executor; beyond them scores are
-    joined and summed relationally."""
+    """``block_queries``, ``block_terms`` and ``block_pairs`` bound the query set that is sent to every executor: its queries,
+    its terms and its (query, term) pairs.  Beyond them scores are joined and summed relationally."""
 
     k1: float = 1.2
     b: float = 0.75
@@ -29,6 +29,7 @@ class Bm25Params:
     scripts: Scripts = HANGUL_LATIN
     block_queries: int = 4096
     block_terms: int = 65_536
+    block_pairs: int = 500_000
 
 
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
@@ -51,6 +52,11 @@ def term_frequencies(docs: DataFrame, mode: str, scripts: Scripts = HANGUL_LATIN
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def document_terms(docs: DataFrame, mode: str, scripts: Scripts = HANGUL_LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, term)``: the distinct terms of each row; rows that share an id stay apart."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array_distinct(tokens(F.col(text_col), mode, scripts))).alias("term"))
+
+
 def document_lengths(docs: DataFrame, mode: str, scripts: Scripts = HANGUL_LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, dl)`` of every document, those without a token too."""
     return docs.select(F.col(id_col).alias("doc_id"), F.size(tokens(F.col(text_col), mode, scripts)).cast("long").alias("dl"))
@@ -66,7 +72,7 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def inverse_frequencies(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
-    """``(term, df, idf)``."""
+    """``(term, df, idf)`` from a row for each document and term that it has."""
     counts = frequencies.groupBy("term").agg(F.count("*").alias("df"))
     return counts.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # one row of stats
 
@@ -77,47 +83,56 @@ def _weight(params: Bm25Params) -> Column:
 
 
 def query_terms(queries: DataFrame, params: Bm25Params) -> DataFrame:
-    """``(query_id, term)``: each query's distinct terms."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term"))
+    """``(query_id, term)``: each query's distinct terms; rows that share an id are one query."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term")).distinct()
+
+
+def numbered_postings(docs: DataFrame, params: Bm25Params, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(row, doc_id, dl, term, tf)``, and the corpus's statistics.  ``row`` keeps rows that share an id apart; it is the same
+    only within one plan.  With ``terms(term)`` only these are counted; lengths and averages are of whole documents."""
+    bags = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
+    found = bags.select("row", "doc_id", "dl", F.explode("ts").alias("term"))
+    if terms is not None:
+        found = found.join(terms, "term", "left_semi")
+    return found.groupBy("row", "doc_id", "dl", "term").agg(F.count("*").alias("tf")), corpus_stats(bags)
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """``(query_id, doc_id, score)`` of documents that share a term, by joins on the inverted index.
+    """``(query_id, doc_id, score)`` of documents that share a term, by joins on the inverted index; a repeated document is
+    scored as often as it is there.
 
-    Document tokens are cut to the queries' terms before they are counted; lengths and averages are of whole documents.
+    Document tokens are cut to the queries' terms before they are counted.
     """
     asked = query_terms(queries, params)
-    bags = docs.select("doc_id", tokens(F.col("text"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    stats = corpus_stats(bags)
-    postings = bags.select("doc_id", "dl", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings, stats = numbered_postings(docs, params, asked.select("term").distinct())
     weights = inverse_frequencies(postings, stats)
-    rated = postings.join(weights, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", _weight(params).alias("w"))  # one row of stats
-    return asked.join(rated, "term").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
+    rated = postings.join(weights, "term").crossJoin(F.broadcast(stats)).select("term", "row", "doc_id", _weight(params).alias("w"))  # one row of stats
+    return asked.join(rated, "term").groupBy("query_id", "row", "doc_id").agg(F.sum("w").alias("score")).drop("row")
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params = Bm25Params()) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: each query's best documents among those that share a term with it.
 
-    Scores are rounded to :data:`SCORE_DECIMALS` before they are ranked.  Query sets within the bounds of ``params`` are
-    scored a block of documents at a time against a term-by-query matrix, which never lays out (query, document) pairs.
+    Scores are rounded to :data:`SCORE_DECIMALS` before they are ranked; documents that share an id are ranked each.  Query
+    sets within the bounds of ``params`` are scored a block of documents at a time against each term's list of queries, which
+    never lays out (query, document) pairs but each block's best.
     """
-    asked = query_terms(queries, params)
-    vocabulary = asked.select("term").distinct().limit(params.block_terms + 1).collect()
-    # Query ids are numbered; both lists are within the bounds, or the joins take over.
-    ids = [r["query_id"] for r in queries.select("query_id").distinct().limit(params.block_queries + 1).collect()]
-    if len(ids) > params.block_queries or len(vocabulary) > params.block_terms:
-        scored = bm25_scores(docs, queries, params).withColumn("score", F.round("score", SCORE_DECIMALS))
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    pairs = query_terms(queries, params).limit(params.block_pairs + 1).collect()  # within the bounds, or the joins take over
+    terms = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in pairs))}
+    number = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in pairs))}
+    if not pairs or len(pairs) > params.block_pairs or len(number) > params.block_queries or len(terms) > params.block_terms:
+        scored = bm25_scores(docs, queries, params).withColumn("score", F.round("score", SCORE_DECIMALS)).where("score > 0")
         return top_k(scored, k, ["query_id"])
-    terms = {r["term"]: i for i, r in enumerate(vocabulary)}
-    number = {q: i for i, q in enumerate(ids)}
-    matrix = np.zeros((len(terms), len(ids)))
-    for r in asked.collect():
-        matrix[terms[r["term"]], number[r["query_id"]]] = 1.0
+    of_term = np.array([terms[r["term"]] for r in pairs])
+    by_term = np.argsort(of_term, kind="stable")
+    askers = np.array([number[r["query_id"]] for r in pairs], np.int32)[by_term]
+    starts = np.searchsorted(of_term[by_term], np.arange(len(terms) + 1))
     bags = spread(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((terms, matrix, ids))
-    mode, scripts = params.mode, params.scripts
+    held = spark.sparkContext.broadcast((terms, starts, askers))  # at most block_terms and block_pairs
+    mode, scripts, queries_n = params.mode, params.scripts, len(number)
 
     def counts(batch: pa.RecordBatch, known: dict[str, int], cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term) of all known tokens, and all documents' lengths."""
@@ -131,12 +146,12 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
         return np.array(rows, np.int64), np.array(found, np.int64), lengths
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, _, _ = held.value
+        known = held.value[0]
         cut = python_tokenizer(mode, scripts)
         df, n, total = np.zeros(len(known), np.int64), 0, 0.0
         for batch in batches:
             row, term, lengths = counts(batch, known, cut)
-            df += np.bincount(np.unique(row * max(1, len(known)) + term) % max(1, len(known)), minlength=len(known)).astype(np.int64)[: len(known)] if len(row) else 0
+            df += np.bincount(np.unique(row * len(known) + term) % len(known), minlength=len(known)).astype(np.int64)
             n, total = n + batch.num_rows, total + lengths.sum()
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, [-1, -2]])), pa.array(np.concatenate([df[at], [n, int(total)]]))], ["i", "c"])
@@ -147,13 +162,14 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
     idfs = np.log(1 + (n - df + 0.5) / (df + 0.5))
     average = total / n if n else 0.0
     k1, b = params.k1, params.b
+    block = min(1024, max(64, 8_000_000 // len(terms)))  # rows of weights, a column for each term at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, asked_of, query_ids = held.value
+        known, starts, askers = held.value
         cut = python_tokenizer(mode, scripts)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, block):
+                batch = whole.slice(at, block)
                 row, term, lengths = counts(batch, known, cut)
                 if not len(row):
                     continue
@@ -161,29 +177,39 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
                 row, term = key // len(known), key % len(known)
                 norm = lengths[row] / average if average else np.zeros(len(row))
                 w = idfs[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
+                names = np.array(batch.column(0).to_pylist(), object)
+                order = np.array(sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i])), np.int64)
                 used, column = np.unique(term, return_inverse=True)
                 dense = np.zeros((batch.num_rows, len(used)))
                 dense[row, column] = w
-                scores = np.round(dense @ asked_of[used], SCORE_DECIMALS)
-                names = np.array(batch.column(0).to_pylist(), object)
-                order = np.argsort(names, kind="stable")
-                scores, names = scores[order], names[order]
+                dense, names = dense[order], names[order]
+                sizes = starts[used + 1] - starts[used]
+                slot = np.repeat(np.arange(len(used)), sizes)
+                asker = askers[np.repeat(starts[used] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+                by_query = np.argsort(asker, kind="stable")
+                slot, asker = slot[by_query], asker[by_query]
+                width = min(256, max(16, 2_000_000 // len(used)))
                 out_q, out_d, out_s = [], [], []
-                for q in np.flatnonzero((scores > 0).any(0)):
-                    best = np.argsort(-scores[:, q], kind="stable")[:k]
-                    best = best[scores[best, q] > 0]
-                    out_q += [q] * len(best)
-                    out_d += names[best].tolist()
-                    out_s += scores[best, q].tolist()
+                for first in range(0, queries_n, width):
+                    lo, hi = np.searchsorted(asker, [first, first + width])
+                    if lo == hi:
+                        continue
+                    part = np.zeros((len(used), width))
+                    part[slot[lo:hi], asker[lo:hi] - first] = 1.0
+                    scores = np.round(dense @ part, SCORE_DECIMALS)
+                    for q in np.flatnonzero((scores > 0).any(0)):
+                        best = np.argsort(-scores[:, q], kind="stable")[:k]
+                        best = best[scores[best, q] > 0]
+                        out_q += [first + q] * len(best)
+                        out_d += names[best].tolist()
+                        out_s += scores[best, q].tolist()
                 if out_q:
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int32()), pa.array(out_d, pa.string()), pa.array(out_s, pa.float64())], ["q", "d", "score"])
 
     found = bags.mapInArrow(score, "q int, d string, score double")
-    numbered = spark.createDataFrame([(i, q) for i, q in enumerate(ids)], f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}") if ids else None
-    if numbered is None:
-        return top_k(bm25_scores(docs, queries, params), k, ["query_id"])
+    named = spark.createDataFrame([(i, q) for q, i in number.items()], f"q int, query_id {queries.schema['query_id'].dataType.simpleString()}")
     kind = docs.schema["doc_id"].dataType
-    best = top_k(found, k, ["q"], tie="d").join(F.broadcast(numbered), "q")  # at most block_queries rows
+    best = top_k(found, k, ["q"], tie="d").join(F.broadcast(named), "q")  # at most block_queries rows
     return best.select("query_id", F.col("d").cast(kind).alias("doc_id"), "score", "rank")
 
 

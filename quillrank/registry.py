@@ -125,7 +125,7 @@ def bm25_corpus_stats(spark, sf_dir):
 
 def bm25_idf(spark, sf_dir):
     stats = ranking.corpus_stats(bm25_doc_len(spark, sf_dir))
-    return ranking.inverse_frequencies(tok_whitespace_tf(spark, sf_dir), stats).withColumn("idf", F.round("idf", 9))
+    return ranking.inverse_frequencies(ranking.document_terms(_documents(spark, sf_dir), "whitespace"), stats).withColumn("idf", F.round("idf", 9))
 
 
 def bm25_topk(spark, sf_dir):

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from quillrank.operators.ranking import Bm25Params, corpus_stats, idf, top_k
-from quillrank.functions.text import tokens
+from quillrank.operators.ranking import Bm25Params, idf, numbered_postings, query_terms, top_k
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
@@ -15,15 +14,14 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
 
 
 def frozen_index(docs: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """``(term, doc_id, w)``: each posting with its finished BM25 weight, for joins with streams of queries."""
-    bags = docs.select("doc_id", tokens(F.col("text"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    stats = corpus_stats(bags)
-    postings = bags.select("doc_id", "dl", F.explode("ts").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """``(term, row, doc_id, w)``: each posting with its finished BM25 weight, for joins with streams of queries; ``row`` keeps
+    documents that share an id apart."""
+    postings, stats = numbered_postings(docs, params)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     rated = postings.join(df, "term").crossJoin(F.broadcast(stats))  # one row of stats
     norm = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
     w = idf(F.col("df"), F.col("n")) * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * norm))
-    return rated.select("term", "doc_id", w.alias("w"))
+    return rated.select("term", "row", "doc_id", w.alias("w"))
 
 
 def answer_stream(queries: DataFrame, index: DataFrame, sink: str, checkpoint: str, k: int = 10, params: Bm25Params = Bm25Params()):
@@ -32,8 +30,7 @@ def answer_stream(queries: DataFrame, index: DataFrame, sink: str, checkpoint: s
     A batch is written under its own number, so that a repeated batch replaces itself.
     """
     def answer(batch: DataFrame, number: int) -> None:
-        asked = batch.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term"))
-        scores = asked.join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 9).alias("score"))
+        scores = query_terms(batch, params).join(index, "term").groupBy("query_id", "row", "doc_id").agg(F.round(F.sum("w"), 9).alias("score")).drop("row")
         top_k(scores, k, ["query_id"]).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return queries.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).start()

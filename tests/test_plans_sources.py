@@ -176,6 +176,10 @@ def test_search_command(spark, tmp_path, capsys):
     corpus = lines(tmp_path / "c.jsonl", [{"id": "a", "text": "폐렴 항생제"}, {"id": "b", "text": "심근경색"}])
     assert cli.main(["search", "--query", "폐렴", "--corpus", corpus, "--top-k", "1"]) == 0
     assert capsys.readouterr().out.startswith("1\ta\t")
+    corpus = lines(tmp_path / "d.jsonl", [{"id": "a", "text": "폐렴 old"}, {"id": "a", "text": "폐렴 new"}, {"id": "b", "text": "폐렴"}, {"id": "c", "text": "else"}])
+    assert cli.main(["search", "--query", "폐렴", "--corpus", corpus, "--top-k", "3"]) == 0
+    shown = [line.split("\t") for line in capsys.readouterr().out.splitlines()]
+    assert [(r[0], r[1], r[3]) for r in shown] == [("1", "b", "폐렴"), ("2", "a", "폐렴 new"), ("3", "a", "폐렴 new")]
 
 
 def test_streams(spark, tmp_path):
@@ -183,14 +187,14 @@ def test_streams(spark, tmp_path):
 
     from quillrank.streaming import live
 
-    docs = spark.createDataFrame([("d1", "alpha beta"), ("d2", "beta gamma")], "doc_id string, text string")
+    docs = spark.createDataFrame([("d1", "alpha beta"), ("d2", "beta gamma"), ("d2", "beta gamma")], "doc_id string, text string")
     (tmp_path / "in").mkdir()
     lines(tmp_path / "in" / "q.json", [{"query_id": "q", "text": "gamma"}])
     stream = live.read_stream(spark, str(tmp_path / "in"), T.StructType([T.StructField("query_id", T.StringType()), T.StructField("text", T.StringType())]))
     query = live.answer_stream(stream, live.frozen_index(docs).cache(), str(tmp_path / "out"), str(tmp_path / "ck"))
     query.processAllAvailable()
     query.stop()
-    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["d2"]
+    assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["d2", "d2"]
     spark.createDataFrame([("a", "2024-01-01 00:01:00"), ("a", "2024-01-01 00:02:00")], "event_type string, t string").select("event_type", F.to_timestamp("t").alias("ts")).write.parquet(str(tmp_path / "ev"))
     events = spark.readStream.schema("event_type string, ts timestamp").parquet(str(tmp_path / "ev"))
     q = live.windowed_counts(events).writeStream.outputMode("complete").format("memory").queryName("counted").start()

@@ -57,6 +57,27 @@ def test_bm25_by_plain_loops(spark, mode, block):
         assert all(abs(r["score"] - s) < 1e-6 for r, (_, s) in zip(mine, expect))
 
 
+@pytest.mark.parametrize("bounds", [{}, {"block_queries": 0}, {"block_pairs": 2}])
+def test_bm25_ranks_each_copy_of_a_document(spark, bounds):
+    corpus = [("a", "red fox red"), ("a", "red fox red"), ("a", "fox"), ("b", "red hen"), ("c", None), (None, "hen hen"), ("d", "")]
+    asked = [("q", "red fox"), ("q", "fox"), ("r", "hen"), ("s", "none")]
+    rows = ranking.bm25_top_k(frame(spark, corpus, "doc_id string, text string"), frame(spark, asked, "query_id string, text string"), 4, ranking.Bm25Params(mode="whitespace", **bounds)).collect()
+    bags = [(d, (t or "").split()) for d, t in corpus]
+    average = sum(len(b) for _, b in bags) / len(bags)
+    for q, words in (("q", ["red", "fox"]), ("r", ["hen"]), ("s", ["none"])):
+        expect = []
+        for d, bag in bags:
+            score = 0.0
+            for t in words:
+                df, tf = sum(t in b for _, b in bags), bag.count(t)
+                score += math.log(1 + (len(bags) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / average))
+            if score:
+                expect.append((-round(score, 7), d or ""))
+        mine = sorted((r for r in rows if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [(r["rank"], r["doc_id"] or "") for r in mine] == [(i + 1, d) for i, (_, d) in enumerate(sorted(expect)[:4])]
+        assert [-r["score"] for r in mine] == pytest.approx([s for s, _ in sorted(expect)[:4]], abs=1e-6)
+
+
 def test_vector_ranks(spark):
     d = frame(spark, [("d1", [1.0, 0.0]), ("d2", [0.0, 1.0]), ("d3", [0.6, 0.8])], "doc_id string, v array<double>")
     q = frame(spark, [("q", [1.0, 0.0])], "query_id string, v array<double>")
