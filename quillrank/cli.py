@@ -57,8 +57,11 @@ def compare(args: argparse.Namespace) -> int:
     from quillrank.plans.compare import compare as run
 
     config = json.loads(Path(args.config).read_text())
+    candidates = config["candidates"]
+    summaries = {key: json.loads(Path(c["summary_path"]).read_text()) for key, c in candidates.items() if "summary_path" in c}
     try:
-        run(_session(), config["candidates"], config.get("ineligible_for_external_selection", []), output=None if args.check_only else args.output)
+        run(_session(), candidates, config.get("ineligible_for_external_selection", []), config.get("frozen_contract"), summaries, output=None if args.check_only else args.output,
+            licenses=config.get("license_labels"), withdrawn=config.get("withdrawn_values"))
     except EvidenceError as error:
         print(*error.issues, sep="\n", file=sys.stderr)
         return 2

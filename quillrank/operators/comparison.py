@@ -60,7 +60,7 @@ def summary_issues(summaries: dict[str, dict], contract: dict, licenses: dict[st
         steps = {name: summary.get("training", {}).get(name) for name in ("planned_steps", "completed_steps", "exported_step") if name in summary.get("training", {})}
         if len(set(steps.values())) > 1:
             issues.append(f"{key}: step counts differ: {steps}")
-        if licenses and summary.get("license_label") != licenses.get(key):
+        if key in (licenses or {}) and summary.get("license_label") != licenses[key]:
             issues.append(f"{key}: license_label is {summary.get('license_label')!r}")
         for path, value in forbidden or []:
             at = summary

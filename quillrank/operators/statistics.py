@@ -47,9 +47,10 @@ def bootstrap_intervals(values: DataFrame, by: list[str], iterations: int = 1000
 
 
 def paired_bootstrap(pairs: DataFrame, by: list[str], iterations: int = 1000, confidence: float = 0.95, seed: str = "0") -> DataFrame:
-    """As :func:`bootstrap_intervals` for the differences ``a - b`` of each ``id``, with ``crosses_zero``."""
+    """As :func:`bootstrap_intervals` for the differences ``a - b`` of each ``id``, with ``crosses_zero``, for which ends within
+    12 decimals of zero are zero."""
     rows = bootstrap_intervals(pairs.select(*by, "id", (F.col("a").cast("double") - F.col("b").cast("double")).alias("value")), by, iterations, confidence, seed)
-    return rows.withColumn("crosses_zero", (F.col("low") <= 0) & (F.col("high") >= 0))
+    return rows.withColumn("crosses_zero", (F.round("low", 12) <= 0) & (F.round("high", 12) >= 0))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:

@@ -102,6 +102,13 @@ def _draw(iteration: str, place: str, n: str) -> str:
     return f"('0x' || substr(md5('0|' || {iteration} || '|' || {place}), 1, 8))::bigint % {n}"
 
 
+_PAIRED = f"""n AS (SELECT model_a, model_b, metric, count(*) AS n, avg(value) AS mean FROM vals GROUP BY ALL),
+drawn AS (SELECT model_a, model_b, metric, iteration, {_draw('iteration', 'i', 'n')} AS place FROM n JOIN (SELECT model_a, model_b, metric, place AS i FROM vals) USING (model_a, model_b, metric), range(1000) a(iteration)),
+ms AS (SELECT model_a, model_b, metric, list(m ORDER BY m) AS ms FROM (SELECT model_a, model_b, metric, iteration, avg(value) AS m FROM drawn JOIN vals USING (model_a, model_b, metric, place) GROUP BY ALL) GROUP BY ALL)"""
+_PAIRED_ENDS = """n, round(mean, 9) + 0.0::double AS mean, round(ms[25], 9) + 0.0::double AS low, round(ms[976], 9) + 0.0::double AS high,
+round(ms[25], 12) <= 0 AND round(ms[976], 12) >= 0 AS crosses_zero FROM n JOIN ms USING (model_a, model_b, metric)"""
+
+
 def _nearest(score: str) -> str:
     return f"""SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id::varchar)::int AS rank FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round({score}, 7) + 0.0::double AS score FROM (SELECT vec_id, embedding::double[] AS v FROM embeddings) a, (SELECT vec_id, embedding::double[] AS v FROM embeddings) b)) WHERE rank <= 10"""
@@ -167,11 +174,13 @@ w AS (SELECT *, row_number() OVER o AS place, lag(correct_count) OVER o AS pc, l
 SELECT model_key, eligible, CASE WHEN eligible THEN place ELSE 0 END::int AS place, CASE WHEN NOT eligible THEN 0 WHEN place = 1 OR correct_count <> pc THEN 0 WHEN exam_mrr <> pm THEN 1 ELSE 2 END::int AS tied_on FROM w""",
     "zero_shot_deltas": f"WITH {_CHOICES} SELECT e.model_key, round(e.accuracy - b.accuracy, 9) + 0.0::double AS accuracy_delta, round(e.exam_mrr - b.exam_mrr, 9) + 0.0::double AS exam_mrr_delta FROM exact e, (SELECT * FROM exact WHERE model_key = 'bm25') b",
     "pairwise_discordant": f"""WITH {_CHOICES} SELECT model_a, model_b, "both", only_a, only_b, neither, round(p_value, 9) AS p_value FROM tests""",
-    "paired_bootstrap": f"""WITH {_CHOICES}, vals AS (SELECT a.model_key AS model_a, b.model_key AS model_b, row_number() OVER (PARTITION BY a.model_key, b.model_key ORDER BY query_id) - 1 AS place, a.reciprocal_rank - b.reciprocal_rank AS value
-  FROM choices a JOIN choices b USING (query_id) WHERE a.model_key < b.model_key), n AS (SELECT model_a, model_b, count(*) AS n, avg(value) AS mean FROM vals GROUP BY ALL),
-drawn AS (SELECT model_a, model_b, iteration, {_draw('iteration', 'i', 'n')} AS place FROM n JOIN (SELECT model_a, model_b, place AS i FROM vals) USING (model_a, model_b), range(200) a(iteration)),
-ms AS (SELECT model_a, model_b, list(m ORDER BY m) AS ms FROM (SELECT model_a, model_b, iteration, avg(value) AS m FROM drawn JOIN vals USING (model_a, model_b, place) GROUP BY ALL) GROUP BY ALL)
-SELECT model_a, model_b, n, round(mean, 9) + 0.0::double AS mean, round(ms[5], 9) + 0.0::double AS low, round(ms[196], 9) + 0.0::double AS high FROM n JOIN ms USING (model_a, model_b)""",
+    "paired_bootstrap": f"""WITH {_CHOICES}, vals AS (SELECT a.model_key AS model_a, b.model_key AS model_b, '' AS metric, row_number() OVER (PARTITION BY a.model_key, b.model_key ORDER BY query_id) - 1 AS place,
+  a.reciprocal_rank - b.reciprocal_rank AS value FROM choices a JOIN choices b USING (query_id) WHERE a.model_key < b.model_key), {_PAIRED}
+SELECT model_a, model_b, {_PAIRED_ENDS}""",
+    "paired_intervals": f"""WITH {_CHOICES}, held AS (SELECT a.model_key AS model_a, b.model_key AS model_b, query_id, unnest(['accuracy', 'exam_mrr']) AS metric,
+  unnest([a.correct::int::double - b.correct::int::double, a.reciprocal_rank - b.reciprocal_rank]) AS value FROM choices a JOIN choices b USING (query_id) WHERE a.model_key < b.model_key),
+vals AS (SELECT *, row_number() OVER (PARTITION BY model_a, model_b, metric ORDER BY query_id::varchar) - 1 AS place FROM held), {_PAIRED}
+SELECT model_a, model_b, metric, {_PAIRED_ENDS}""",
     "holm_adjusted": f"WITH {_CHOICES}, r AS (SELECT *, row_number() OVER (ORDER BY p_value) AS place, count(*) OVER () AS m FROM tests) SELECT model_a, model_b, round(max(least(1.0, p_value * (m - place + 1))) OVER (ORDER BY place), 9)::double AS adjusted FROM r",
     "validate_evidence": f"""WITH {_QUESTIONS}, q AS (SELECT conv_id AS query_id FROM firsts),
 e AS (SELECT 'bm25' AS model_key, query_id FROM q UNION ALL SELECT 'bm25_flat', query_id FROM q WHERE query_id % 7 <> 0 UNION ALL SELECT 'bm25', query_id FROM q WHERE query_id % 11 = 0 UNION ALL SELECT 'stray', query_id FROM q),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import checked_bool
-from quillrank.operators.comparison import EvidenceError, Resampling, exact_metrics, pairwise, require_evidence, selection, summary_issues, superiority
+from quillrank.operators.comparison import EvidenceError, Resampling, exact_metrics, paired_intervals, pairwise, require_evidence, selection, summary_issues, superiority
 from quillrank.operators.statistics import holm
 from quillrank.sources import schemas
 from quillrank.sources.files import read_tsv, union_all
@@ -30,19 +30,22 @@ def load_passages(spark: SparkSession, candidates: dict[str, dict]) -> DataFrame
 
 
 def compare(spark: SparkSession, candidates: dict[str, dict], ineligible: list[str] = (), contract: dict | None = None, summaries: dict[str, dict] | None = None,
-            resampling: Resampling = Resampling(), output: str | Path | None = None) -> dict:
-    """Fails with all that is wrong; otherwise metrics, selection and pairs.  Without ``output`` nothing is written."""
+            resampling: Resampling = Resampling(), output: str | Path | None = None, licenses: dict[str, str] | None = None, withdrawn: list[tuple[str, float]] | None = None) -> dict:
+    """Fails with all that is wrong; otherwise metrics, selection, pairs and their intervals.  Without ``output`` nothing is
+    written.  With a contract, licence labels or withdrawn values every model needs a summary."""
     held = load_choices(spark, candidates).cache(), load_passages(spark, candidates).cache()  # read by every step
+    issues = []
+    if contract or summaries or licenses or withdrawn:
+        issues = [f"{m}: no summary" for m in candidates if m not in (summaries or {})] + summary_issues(summaries or {}, contract or {}, licenses, withdrawn)
     try:
-        return _compare(spark, *held, list(candidates), list(ineligible), contract or {}, summaries, resampling, output)
+        return _compare(spark, *held, list(candidates), list(ineligible), issues, resampling, output)
     finally:
         for table in held:  # files may change before the next call
             table.unpersist()
 
 
-def _compare(spark: SparkSession, choices: DataFrame, passages: DataFrame, models: list[str], ineligible: list[str], contract: dict, summaries: dict[str, dict] | None, resampling: Resampling,
+def _compare(spark: SparkSession, choices: DataFrame, passages: DataFrame, models: list[str], ineligible: list[str], issues: list[str], resampling: Resampling,
              output: str | Path | None) -> dict:
-    issues = summary_issues(summaries, contract) if summaries else []
     for evidence in (choices, passages):
         try:
             require_evidence(evidence, models)
@@ -54,12 +57,15 @@ def _compare(spark: SparkSession, choices: DataFrame, passages: DataFrame, model
     order = spark.createDataFrame([(m, i) for i, m in enumerate(models)], "model_key string, position int")
     chosen = [r.asDict() for r in selection(metrics, order, ineligible).orderBy(F.col("place").asc_nulls_last(), "model_key").collect()]
     pairs = holm(pairwise(choices, resampling), [])
+    intervals = paired_intervals(choices, passages, resampling)
     eligible = [r["model_key"] for r in chosen if r["eligible"]]
     report = {"metrics": [r.asDict() for r in metrics.orderBy("model_key").collect()], "selection": chosen, "pairs": [r.asDict() for r in pairs.orderBy("model_a", "model_b").collect()],
+              "intervals": [r.asDict() for r in intervals.orderBy("model_a", "model_b", "metric").collect()],
               "winner": eligible[0] if eligible else None, "label": superiority(pairs, *eligible[:2]) if len(eligible) > 1 else "no comparison", "statements": list(STATEMENTS)}
     if output is not None:
         write_json(Path(output) / "comparison.json", report)
-        text = "# Comparison\n\n" + markdown_table(report["metrics"], list(report["metrics"][0])) + "\n" + (markdown_table(report["pairs"], list(report["pairs"][0])) if report["pairs"] else "") + "\n" + "\n".join(f"- {s}" for s in STATEMENTS) + "\n"
+        tables = [markdown_table(report[part], list(report[part][0])) for part in ("metrics", "selection", "pairs", "intervals") if report[part]]
+        text = "# Comparison\n\n" + "\n".join(tables) + "\n" + "\n".join(f"- {s}" for s in STATEMENTS) + "\n"
         if report["pairs"]:
             with (Path(output) / "pairs.csv").open("w", newline="", encoding="utf-8") as file:
                 writer = csv.DictWriter(file, list(report["pairs"][0]), lineterminator="\n")

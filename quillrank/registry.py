@@ -316,8 +316,13 @@ def pairwise_discordant(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     pairs = comparison.model_pairs(_choices(spark, sf_dir), "reciprocal_rank")
-    rows = statistics.paired_bootstrap(pairs, ["model_a", "model_b"], 200, 0.95, "0")
-    return rows.select("model_a", "model_b", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("mean", "low", "high")])  # no negative zero
+    rows = statistics.paired_bootstrap(pairs, ["model_a", "model_b"], 1000, 0.95, "0")
+    return rows.select("model_a", "model_b", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("mean", "low", "high")], "crosses_zero")  # no negative zero
+
+
+def paired_intervals(spark, sf_dir):
+    rows = comparison.paired_intervals(_choices(spark, sf_dir))
+    return rows.select("model_a", "model_b", "metric", "n", *[(F.round(c, 9) + 0.0).alias(c) for c in ("mean", "low", "high")], "crosses_zero")
 
 
 def holm_adjusted(spark, sf_dir):
@@ -384,7 +389,7 @@ _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
     subgroup_report, code_switch_strata, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
-    zero_shot_deltas, pairwise_discordant, paired_bootstrap, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, pack_batches,
+    zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 
 

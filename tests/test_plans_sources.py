@@ -149,7 +149,7 @@ def test_batches_end_to_end(spark, tmp_path):
     assert not list(tmp_path.glob("c*"))
 
 
-def test_compare_end_to_end(spark, tmp_path):
+def test_compare_end_to_end(spark, tmp_path, capsys):
     def candidate(name, right):
         exam = tmp_path / f"{name}_exam.tsv"
         exam.write_text("query_id\tcorrect\trank\treciprocal_rank\tlongest_option_hit\trandom_hit\n" + "".join(f"q{i}\t{i in right}\t{1 if i in right else 2}\t{1.0 if i in right else 0.5}\t0\t0.2\n" for i in range(8)))
@@ -160,6 +160,9 @@ def test_compare_end_to_end(spark, tmp_path):
     candidates = {"a": candidate("a", {0, 1, 2, 3, 4, 5, 6, 7}), "b": candidate("b", {0, 1}), "c": candidate("c", set(range(8)))}
     report = compare.compare(spark, candidates, ["a"], resampling=comparison.Resampling(50), output=tmp_path / "out")
     assert report["winner"] == "c" and report["label"] == "superiority established" and len(report["pairs"]) == 3
+    held = {(r["model_a"], r["model_b"], r["metric"]): r for r in report["intervals"]}
+    assert len(held) == 15 and held["a", "b", "accuracy"]["mean"] == 0.75 and held["a", "b", "ndcg"]["crosses_zero"] and not held["b", "c", "exam_mrr"]["crosses_zero"]
+    assert held["a", "b", "accuracy"]["low"] == next(r["low"] for r in report["pairs"] if (r["model_a"], r["model_b"]) == ("a", "b"))
     assert json.loads((tmp_path / "out" / "comparison.json").read_text())["winner"] == "c" and (tmp_path / "out" / "comparison.md").exists()
     assert compare.compare(spark, candidates, ["a"], resampling=comparison.Resampling(50)) == report
     broken = (tmp_path / "b_exam.tsv").read_text().replace("q7\t", "q6\t")
@@ -170,6 +173,16 @@ def test_compare_end_to_end(spark, tmp_path):
     config = tmp_path / "compare.json"
     config.write_text(json.dumps({"candidates": candidates}))
     assert cli.main(["compare", "--config", str(config), "--check-only"]) == 2
+    (tmp_path / "b_exam.tsv").write_text(broken.replace("q6\tFalse\t2\t0.5\t0\t0.2\nq6\t", "q6\tFalse\t2\t0.5\t0\t0.2\nq7\t"))
+    assert cli.main(["compare", "--config", str(config), "--check-only"]) == 0
+    for name, seed in (("a", 1), ("b", 2)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"model_key": name, "frozen_contract": {"seed": seed}, "license_label": "free", "scores": {"ndcg": 0.25}}))
+        candidates[name]["summary_path"] = str(tmp_path / f"{name}.json")
+    checks = {"candidates": candidates, "frozen_contract": {"seed": 1}, "license_labels": {"a": "bound"}, "withdrawn_values": [["scores.ndcg", 0.25]]}
+    config.write_text(json.dumps(checks))
+    capsys.readouterr()
+    assert cli.main(["compare", "--config", str(config), "--check-only"]) == 2
+    assert capsys.readouterr().err.splitlines() == ["c: no summary", "a: license_label is 'free'", "a: scores.ndcg has the withdrawn value 0.25", "b: frozen seed is 2, not 1", "b: scores.ndcg has the withdrawn value 0.25"]
 
 
 def test_search_command(spark, tmp_path, capsys):

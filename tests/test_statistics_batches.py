@@ -170,6 +170,9 @@ def test_evidence(spark):
     text = str(error.value)
     for part in ("x: unknown_model", "c: missing_model", "a: repeated_id q0", "b: missing_id q2"):
         assert part in text
+    with pytest.raises(comparison.EvidenceError) as error:
+        comparison.require_evidence(spark.createDataFrame([("a", f"q{i}") for i in range(5)] * 2, "model_key string, query_id string"), ["a"], named=2)
+    assert error.value.issues == ["a: repeated_id q0", "a: repeated_id q1", "a: repeated_id: 5 in all, 2 listed"]
     issues = comparison.summary_issues({"a": {"model_key": "a", "frozen_contract": {"seed": 2}, "training": {"planned_steps": 3, "completed_steps": 2}, "license_label": "x", "m": {"v": 0.5}}},
                                        {"seed": 1}, {"a": "y"}, [("m.v", 0.5)])
     assert len(issues) == 4 and comparison.summary_issues({"a": {"model_key": "a", "frozen_contract": {"seed": 1}}}, {"seed": 1}) == []
