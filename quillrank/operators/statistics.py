@@ -37,6 +37,8 @@ def bootstrap_intervals(values: DataFrame, by: list[str], iterations: int = 1000
     rows = rows.select(key.alias("g"), (F.col("place") - 1).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     drawn = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartition(parts, "g", "iteration")  # few rows that become many: a number given is not coalesced
     drawn = drawn.select("g", "iteration", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     drawn = drawn.select("g", "iteration", draw(seed, F.col("iteration"), F.col("i"), F.col("n")).alias("place"))
     means = drawn.join(rows.select("g", "place", "value"), ["g", "place"]).groupBy("g", "iteration").agg(F.avg("value").alias("m"))
