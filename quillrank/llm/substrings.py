@@ -4,7 +4,8 @@ Only suffixes that start at *anchors* are kept: in each window of ``length`` wor
 hash.  Two equal windows have their anchor at the same offset, so every repeat of a whole window meets under its anchor's
 words, which are the suffixes' common prefix and their group.  A first pass counts anchors and leaves those that occur once.
 Groups are memory-sized: where a prefix is too frequent its suffixes are keyed by longer ones, the whole window at each
-offset, of which a batch of documents sends only its first; the rest are known to be repeats.  A group's suffixes, and its
+offset, of which a batch of documents sends only its first; the rest are known to be repeats.  Such a group is one node, so
+its suffixes come sorted by document and position and are walked, never held.  Other groups' suffixes, and their
 left contexts read backwards, are sorted; common-prefix lengths of neighbours are the internal nodes of the two trees, and
 suffixes below one node pair of joint depth ``length`` are the occurrences of one repeated window.  All but the first by
 document and position are marked.
@@ -37,7 +38,7 @@ class RepeatParams:
     prefix: int = 8
     hot: int = 1000
     batch_bytes: int = 2 << 20
-    #: Suffixes whose trees are built in one step; a group is never divided.
+    #: Suffixes whose trees are built in one step; a group, of ``hot`` suffixes at most, is never divided.
     step: int = 50_000
 
     @property
@@ -201,7 +202,7 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
                 emit(mix(rks[r[done]].view(np.uint64) + p[done].astype(np.uint64)).view(np.int64), r[done], p[done], lf[done], rt[done], np.full(len(done), -2), mask[done], np.zeros((len(done), 0), np.uint32))
                 send = order[~earlier]
                 w = which[send]
-                emit(key[send].view(np.int64), r[w], p[w], lf[w], rt[w], off[send], np.zeros(len(send), np.int64), context(a[w]))
+                emit(key[send].view(np.int64), r[w], p[w], lf[w], rt[w], off[send], np.zeros(len(send), np.int64), np.zeros((len(send), 0), np.uint32))
                 n_rows += len(done) + len(send)
         arrays = []
         kinds = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32())}
@@ -220,8 +221,15 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, head = 0, None
         for batch in batches:
+            only = _column(batch, "only")
+            if (only != -1).any():
+                settled, head = walk(batch.filter(pa.array(only != -1)), head)
+                yield settled
+                batch = batch.filter(pa.array(only == -1))
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.num_rows
             if size >= params.step:
@@ -236,17 +244,28 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
         if size:
             yield from build(pa.Table.from_batches(held).combine_chunks())
 
+    def walk(batch: pa.RecordBatch, head: tuple[int, int, int] | None) -> tuple[pa.RecordBatch, tuple[int, int, int] | None]:
+        """Marks of suffixes whose windows are keyed whole: all but their group's first, which ``head`` carries on."""
+        only, mask = _column(batch, "only"), _column(batch, "mask").astype(np.int64)
+        at = np.flatnonzero(only >= 0)
+        if len(at):
+            key, doc, pos = (_column(batch, c)[at].astype(np.int64) for c in ("key", "doc_id", "pos"))
+            new = np.ones(len(at), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            head_doc, head_pos = doc[first], pos[first]
+            if head is not None and head[0] == key[0]:
+                head_doc[first == 0], head_pos[first == 0] = head[1], head[2]
+            mask[at[(doc != head_doc) | (pos != head_pos)]] = 1 << only[at[(doc != head_doc) | (pos != head_pos)]].astype(np.int64)
+            head = (int(key[-1]), int(head_doc[-1]), int(head_pos[-1]))
+        done = np.flatnonzero(mask)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(done)) for c in ("b", "rk", "pos")), pa.array(mask[done].astype(np.int32))], ["b", "rk", "pos", "mask"]), head
+
     def build(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        only = _column(table, "only")
-        mask = _column(table, "mask").astype(np.int64)
-        leaf = np.flatnonzero(only > -2)
-        if len(leaf):
-            part = table.take(pa.array(leaf)) if len(leaf) < table.num_rows else table
-            words = part.column("words").combine_chunks()
-            words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-            raw = np.frombuffer(words.buffers()[2], np.uint32, len(leaf) * 2 * side, words.offset * 8 * side).reshape(-1, 2 * side)
-            mask[leaf] |= window_marks(_column(part, "key"), _column(part, "doc_id"), _column(part, "pos").astype(np.int64), _column(part, "left"),
-                                       _column(part, "right"), _column(part, "only"), raw[:, :side], raw[:, side:])
+        words = table.column("words").combine_chunks()
+        words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
+        raw = np.frombuffer(words.buffers()[2], np.uint32, table.num_rows * 2 * side, words.offset * 8 * side).reshape(-1, 2 * side)
+        mask = window_marks(_column(table, "key"), _column(table, "doc_id"), _column(table, "pos").astype(np.int64), _column(table, "left"), _column(table, "right"), raw[:, :side], raw[:, side:])
         done = np.flatnonzero(mask)
         if len(done):
             rows = table.select(["b", "rk", "pos"]).take(pa.array(done)).append_column("mask", pa.array(mask[done].astype(np.int32)))
@@ -256,7 +275,7 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
     found = batched.mapInArrow(count, "h long, b int, n int")
     known = found.repartition("h").sortWithinPartitions("h").mapInArrow(shared, "b int, h long, hot boolean")
     suffixes = batched.groupBy("b").cogroup(known.groupBy("b")).applyInArrow(leaves, _LEAF)
-    return suffixes.repartition("key").sortWithinPartitions("key").mapInArrow(trees, _MARK)
+    return suffixes.repartition("key").sortWithinPartitions("key", "doc_id", "pos").mapInArrow(trees, _MARK)
 
 
 def _nodes(key: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -274,17 +293,17 @@ def _nodes(key: np.ndarray, words: np.ndarray) -> np.ndarray:
     return ids
 
 
-def window_marks(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, only: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+def window_marks(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, left: np.ndarray, right: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """For each suffix the mask of windows that start earlier in their group.
 
     ``before`` has the words left of the anchor, nearest first, ``after`` those right of it; ``left`` and ``right`` are how
-    many of them the document has.  ``only`` other than -1 is the one offset that counts.
+    many of them the document has.
     """
     n, side = after.shape
     right_nodes, left_nodes = _nodes(key, after), _nodes(key, before)
     marks = np.zeros(n, np.int64)
     for i in range(side + 1):
-        use = np.flatnonzero((i <= left) & (side - i <= right) & ((only == -1) | (only == i)))
+        use = np.flatnonzero((i <= left) & (side - i <= right))
         if len(use) < 2:
             continue
         node = right_nodes[use, side - i] * (n + 1) + left_nodes[use, i]

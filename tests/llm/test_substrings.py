@@ -61,6 +61,18 @@ def test_by_brute_force(spark, hot):
     assert got == expect
 
 
+def test_hot_windows_walk_over_many_batches(spark):
+    """Windows of all documents, keyed whole: Arrow batches of three rows cut their groups anywhere."""
+    rows = table(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in cut_digests(df, RepeatParams(hot=2, batch_bytes=400, step=50)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((str(i), len(w), len(w) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for i, w, k in slow(rows))
+
+
 def test_cut_texts_and_odd_rows(spark):
     df = docs(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
