@@ -1,7 +1,9 @@
 """Exact top-k by integer inner product: norm-sorted blocks, SVD-rotated partial sums, Cauchy-Schwarz pruning.
 
 Vectors become ``floor(256 x)`` integers.  The rows of largest norm, a fixed number, give each query a lower bound of
-its k-th score.  All rows are then dealt evenly to groups; a group walks its vectors by descending norm in steps and
+its k-th score.  All rows are then put into ranges of descending norm, and a range is dealt evenly to groups.  A query visits
+the ranges whose largest norm can reach its bound; blocks hold queries that reach equally far, and a vector is
+sent to the blocks that reach its range.  A group walks its vectors by descending norm in steps and
 leaves off a query once ``|q||x|`` is below its bound; within a step the leading coordinates after rotation
 by the right singular vectors are multiplied first, and only vectors whose partial sum plus the product of the residual
 norms reaches the bound are scored in full, in integers.
@@ -22,6 +24,8 @@ from .common import cut
 #: Candidates in a group, queries in a block, and vectors that one step of a group's walk takes.
 GROUP_ROWS, QUERY_BLOCK, STEP = 8192, 4096, 1024
 LEADING = 16
+#: Ranges of norms, and bytes of the largest vectors that every worker holds for the bounds.
+RANGES, HEAD_BYTES = 64, 32 << 20
 
 
 def integer_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -137,17 +141,13 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     main = dims[0][0] if dims else 0
     total = sum(n for _, n in dims)
     basis = _rotation(rows, main) if main else None
-    groups = max(1, -(-total // GROUP_ROWS))
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    n_blocks = max(1, -(-max(1, total // every) // QUERY_BLOCK))
-    qblock = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")
-    head = rows.where(F.col("dim") == main).orderBy(F.desc("norm2"), "vec_id").limit(4 * STEP)
-    renamed = [F.col("vec_id").alias("x_id"), F.col("v").alias("x"), F.col("dim").alias("x_dim")]  # both sides come from one table
+    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    head = rows.where(F.col("dim") == main).orderBy(F.desc("norm2"), "vec_id").limit(max(k + 1, min(4 * STEP, HEAD_BYTES // (8 * max(1, main))))).select("vec_id", "v").toPandas()
     schema = "query_id long, vec_id long, score long"
     least = np.iinfo(np.int64).min
 
     def unpack(p: pd.Series) -> np.ndarray:
-        return np.array(p.tolist(), np.int64).reshape(len(p), -1)
+        return np.array(p.tolist(), np.int64).reshape(len(p), -1 if len(p) else 0)
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -160,17 +160,54 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                 out.append(pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), got))))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score")})
 
-    # The largest norms, a fixed number of rows, against every block of queries: bounds only.
-    q0 = queries.where(F.col("dim") == main).select("vec_id", "v", "dim", F.lit(least).alias("bound"), qblock.alias("b"))
-    h0 = head.select(*renamed).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    first = q0.groupBy("b").cogroup(h0.groupBy("b")).applyInPandas(search, schema)
-    bounds = first.groupBy("query_id").agg(F.min("score").alias("s"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("s")).otherwise(F.lit(least)).alias("bound"))
-    bounded = cut(queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left").select(
-        "vec_id", "v", "dim", F.coalesce("bound", F.lit(least)).alias("bound"), qblock.alias("b")))
-    # Every block of queries visits every group of candidates.
-    group = F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int")
-    cand = rows.select(*renamed, group.alias("g")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    asked = bounded.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    def lower(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries with a lower bound of their k-th score."""
+        head_ids, head_x = head["vec_id"].to_numpy(np.int64), unpack(head["v"])
+        for frame in frames:
+            for at in range(0, len(frame), STEP):
+                part = frame.iloc[at : at + STEP]
+                bound = np.full(len(part), least)
+                own = np.flatnonzero((part["dim"] == main).to_numpy())
+                if len(own) and len(head_ids):
+                    ids = part["vec_id"].to_numpy(np.int64)[own]
+                    found, _, scores = search_group(ids, unpack(part["v"].iloc[own]), bound[own], head_ids, head_x, k, basis)
+                    ends = pd.Series(scores).groupby(found).agg(["min", "size"])
+                    bound[own] = ends["min"].where(ends["size"] >= k, least).reindex(ids, fill_value=least).to_numpy(np.int64)
+                yield part.assign(bound=bound)
+
+    # Ranges by descending norm; at most RANGES edges, largest norms and counts are known to the driver.
+    norm = F.col("norm2")
+    n_ranges = min(RANGES, max(1, -(-total // GROUP_ROWS)))
+    edges = rows.agg(F.percentile_approx(norm, [i / n_ranges for i in range(1, n_ranges)], 10_000)).first()[0] if n_ranges > 1 and total else []
+    edges = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<double>")
+    ranged = rows.withColumn("r", F.size(F.filter(edges, lambda e: e > norm)))
+    seen = ranged.groupBy("r").agg(F.count("*").alias("n"), F.max("norm2").alias("most")).orderBy("r").collect()
+    subs = {x["r"]: -(-x["n"] // GROUP_ROWS) for x in seen}
+    starts = dict(zip(subs, np.cumsum([0, *subs.values()]).tolist()))
+    ends = [starts[r] + subs[r] for r in subs] or [1]
+
+    def listed(values: list[int]):
+        return F.array(*[F.lit(int(x)) for x in values])
+
+    most = F.array(*[F.lit(float(x["most"])) for x in seen]) if seen else F.array().cast("array<double>")
+    length = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    reach = F.size(F.filter(most, lambda x: F.sqrt(F.col("q2") * x) * (1 + 1e-9) + 1e-6 >= F.col("bound").cast("double")))
+    bounded = queries.select("vec_id", "v", F.size("v").alias("dim")).mapInPandas(lower, "vec_id long, v array<long>, dim int, bound long")
+    bounded = cut(bounded.withColumn("q2", length).withColumn("reach", F.greatest(reach, F.lit(1))).drop("q2"))
+    # Blocks of queries that reach equally far, the farthest first.
+    far = {x["reach"]: -(-x["n"] // QUERY_BLOCK) for x in bounded.groupBy("reach").agg(F.count("*").alias("n")).orderBy(F.desc("reach")).collect()}
+    blocks = dict(zip(far, np.cumsum([0, *far.values()]).tolist()))
+    reaches = range(1, max(len(seen), 1) + 1)
+    first_block, block_count = listed([blocks.get(m, 0) for m in reaches]), listed([far.get(m, 1) for m in reaches])
+    visiting = listed([sum(n for m, n in far.items() if m > place) for place in range(max(len(seen), 1))])  # blocks that reach a range
+    place = listed([list(subs).index(r) if r in subs else 0 for r in range(max(subs, default=0) + 1)])
+    deal = F.xxhash64("vec_id", "v")
+    at = F.element_at(place, F.col("r") + 1) + 1
+    group = F.element_at(listed([starts[r] for r in subs] or [0]), F.col("at")) + F.pmod(deal, F.element_at(listed([*subs.values()] or [1]), F.col("at"))).cast("int")
+    cand = ranged.withColumn("at", at).withColumn("n_blocks", F.element_at(visiting, F.col("at"))).where("n_blocks > 0")
+    cand = cand.select(F.col("vec_id").alias("x_id"), F.col("v").alias("x"), F.col("dim").alias("x_dim"), group.alias("g"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("b"))
+    block = F.element_at(first_block, F.col("reach")) + F.pmod(F.xxhash64("vec_id"), F.element_at(block_count, F.col("reach"))).cast("int")
+    asked = bounded.select("vec_id", "v", "dim", "bound", block.alias("b"), F.explode(F.sequence(F.lit(0), F.element_at(listed(ends), F.col("reach")) - 1)).alias("g"))
     found = asked.groupBy("b", "g").cogroup(cand.groupBy("b", "g")).applyInPandas(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

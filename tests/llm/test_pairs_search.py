@@ -207,6 +207,25 @@ def test_top_k_by_brute_force(spark):
     assert topk.exact_top_k(df.where("false")).count() == 0
 
 
+def test_top_k_over_ranges_groups_and_blocks(spark, monkeypatch):
+    """Norms of many sizes, groups that are never visited by some blocks, equal norms, repeated rows, other lengths."""
+    for name, value in (("GROUP_ROWS", 40), ("QUERY_BLOCK", 3), ("STEP", 16), ("RANGES", 8)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (600, 12)) * np.exp(rng.normal(0, 1.5, (600, 1)))
+    x[::7] = np.sign(x[::7])  # ties of norm and score
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)] + [(601 + i, x[i].tolist()) for i in range(5)] + [(700 + i, x[i, :3].tolist()) for i in range(60)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.exact_top_k(df, every=10, k=5).collect())
+    ints = [(i, np.floor(np.array(v) * 256).astype(int)) for i, v in vectors]
+    expect = set()
+    for i, q in ints:
+        if i % 10 == 0:
+            scored = sorted((-int(q @ v), j) for j, v in ints if j != i and len(v) == len(q))[:5]
+            expect |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)}
+    assert got == sorted(expect)
+
+
 def test_search_group_prunes_and_keeps_all():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(0, 1, (5000, 32)) * np.exp(rng.normal(0, 1, (5000, 1))) * 256).astype(np.int64)
