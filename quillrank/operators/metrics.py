@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillrank.operators.statistics import bootstrap_intervals
+
 
 def per_query_metrics(queries: DataFrame, ranked: DataFrame, qrels: DataFrame, judged: DataFrame | None = None, ndcg_k: int = 10, mrr_k: int = 10, recall_k: int = 20) -> DataFrame:
     """``(query_id, has_qrel, ndcg, mrr, recall, unjudged_in_top)`` of every query.
@@ -64,6 +66,19 @@ def subgroup_report(rows: DataFrame, fields: dict[str, str], metric: str) -> Dat
     return groups.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "bucket")))
 
 
+def strata_intervals(rows: DataFrame, fields: dict[str, str], measures: list[str], id_col: str, iterations: int = 1000, confidence: float = 0.95, seed: str = "0") -> DataFrame:
+    """``(field, bucket, metric, n, mean, low, high, place)``: the strata of :func:`subgroup_report` with every measure's mean and its
+    percentile interval over rows ordered by ``id_col``."""
+    from quillrank.functions.text import label
+
+    places = subgroup_report(rows, fields, measures[0]).select("field", "bucket", F.col("place").alias("stratum"))  # rows have places of their own
+    at = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), label(F.col(column)).alias("bucket")) for name, column in fields.items()]))
+    held = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in measures]))
+    laid = rows.select(F.col(id_col).alias("id"), at.alias("at"), *measures).select("id", "at.*", held.alias("held")).select("id", "field", "bucket", "held.*")
+    found = bootstrap_intervals(laid.join(places, ["field", "bucket"]), ["field", "bucket", "metric", "stratum"], iterations, confidence, seed)
+    return found.select("field", "bucket", "metric", "n", "mean", "low", "high", F.col("stratum").alias("place"))
+
+
 def mixed_drop(strata: DataFrame, base: str = "ko", mixed: str = "mixed") -> DataFrame:
     """``(field, drop)`` from ``(field, bucket, mean)``: how much less the mixed stratum scores, from means of four decimals."""
     wide = strata.withColumn("mean", F.round("mean", 4)).groupBy("field").pivot("bucket", [base, mixed]).agg(F.first("mean"))

@@ -151,6 +151,16 @@ SELECT n, round(mean, 9) AS mean, round(ms[25], 9) AS low, round(ms[976], 9) AS
 SELECT 'lang' AS field, coalesce(lang, 'None') AS bucket, quality FROM rows_ UNION ALL SELECT 'source', coalesce(source, 'None'), quality FROM rows_) GROUP BY ALL)
 SELECT field, bucket, n, round(mean, 9) AS mean, row_number() OVER (PARTITION BY field ORDER BY n DESC, bucket)::int AS place FROM g""",
     "code_switch_strata": f"WITH {_STRATA}, kept AS (SELECT * FROM strata WHERE field IN (SELECT field FROM strata WHERE bucket <> 'other')) SELECT field, bucket, n, round(mean, 9) AS mean, row_number() OVER (PARTITION BY field ORDER BY n DESC, bucket)::int AS place FROM kept",
+    "strata_intervals": f"""WITH {_PER_QUERY}, sized AS (SELECT query_id, ndcg, mrr, recall, length(text) AS chars, length(regexp_replace(text, '[^À-ÿ]+', '', 'g')) AS d, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS p
+  FROM per_query JOIN benchmark ON item_id = query_id WHERE has_qrel),
+levels AS (SELECT 'script_' || t AS field, CASE WHEN d >= t AND p >= t THEN 'mixed' WHEN d >= t THEN 'ko' WHEN p >= t THEN 'en' ELSE 'other' END AS bucket, query_id, ndcg, mrr, recall FROM sized, (VALUES (5), (20), (50)) v(t)
+  UNION ALL SELECT 'size', CASE WHEN chars >= 200 THEN 'long' ELSE 'short' END, query_id, ndcg, mrr, recall FROM sized),
+places AS (SELECT field, bucket, count(*) AS n, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, bucket)::int AS place FROM levels WHERE field IN (SELECT field FROM levels WHERE bucket <> 'other') GROUP BY 1, 2),
+held AS (SELECT field, bucket, n, place, query_id, unnest(['ndcg', 'mrr', 'recall']) AS metric, unnest([ndcg, mrr, recall]) AS value FROM levels JOIN places USING (field, bucket)),
+vals AS (SELECT *, row_number() OVER (PARTITION BY field, bucket, metric ORDER BY query_id) - 1 AS spot FROM held),
+drawn AS (SELECT field, bucket, metric, iteration, {_draw('iteration', 'spot', 'n')} AS spot FROM vals, range(1000) a(iteration)),
+ends AS (SELECT field, bucket, metric, list(m ORDER BY m) AS ms FROM (SELECT field, bucket, metric, iteration, avg(value) AS m FROM drawn JOIN vals USING (field, bucket, metric, spot) GROUP BY ALL) GROUP BY ALL)
+SELECT field, bucket, metric, n, round(avg(value), 9) AS mean, round(any_value(ms[25]), 9) AS low, round(any_value(ms[976]), 9) AS high, place FROM vals JOIN ends USING (field, bucket, metric) GROUP BY field, bucket, metric, n, place""",
     "mixed_drop": f"""WITH {_STRATA}, r AS (SELECT field, round(max(mean) FILTER (bucket = 'en'), 4) AS a, round(max(mean) FILTER (bucket = 'mixed'), 4) AS b FROM strata GROUP BY 1)
 SELECT field, round((a - b) / a, 4) AS "drop" FROM r WHERE a IS NOT NULL AND b IS NOT NULL AND a <> 0""",
     "mcq_rank": f"WITH {_QUESTIONS}, {_option_scores('a', _ws, 1.2, 0.75)} SELECT question_id, idx, gold, score, rank FROM rk_a",

@@ -12,7 +12,7 @@ from quillrank.functions.text import script_level
 from quillrank.functions.vectors import normalize_lenient
 from quillrank.operators.choice import answer_rows, baselines, bm25_option_scores, choice_summary, option_rows, rank_options, vector_option_scores
 from quillrank.operators.encoding import encode, hashed_vectors
-from quillrank.operators.metrics import mixed_drop, per_query_metrics, retrieval_summary, subgroup_report
+from quillrank.operators.metrics import mixed_drop, per_query_metrics, retrieval_summary, strata_intervals
 from quillrank.operators.ranking import Bm25Params, bm25_top_k, vector_top_k
 from quillrank.operators.statistics import bootstrap_intervals
 from quillrank.plans.config import Bootstrap, Cutoffs, Evaluation, Retriever, Task
@@ -49,7 +49,7 @@ def search(corpus: DataFrame, queries: DataFrame, k: int, retriever: Retriever)
     return vector_top_k(embed(corpus, retriever, "passage", "doc_id"), embed(queries, retriever, "query", "query_id"), k, retriever.similarity)
 
 
-def _strata(rows: DataFrame, fields: tuple[str, ...], thresholds: tuple[int, ...], metric: str) -> DataFrame | None:
+def _strata(rows: DataFrame, fields: tuple[str, ...], thresholds: tuple[int, ...], measures: list[str], by: str, bootstrap: Bootstrap) -> DataFrame | None:
     columns = {f: f for f in fields}
     for t in thresholds:
         name = f"code_switch_{t}"
@@ -57,21 +57,21 @@ def _strata(rows: DataFrame, fields: tuple[str, ...], thresholds: tuple[int, ...
         columns[name] = name
     if not columns:
         return None
-    flat = rows.select(*[F.col(c).alias(n.replace(".", "_")) for n, c in columns.items()], metric)
-    return subgroup_report(flat, {n: n.replace(".", "_") for n in columns}, metric)
+    flat = rows.select(*[F.col(c).alias(n.replace(".", "_")) for n, c in columns.items()], F.col(by).alias("row"), *measures)
+    return strata_intervals(flat, {n: n.replace(".", "_") for n in columns}, measures, "row", bootstrap.iterations, bootstrap.confidence, bootstrap.seed)
 
 
-def _finish(rows: DataFrame, per_query: DataFrame, summary: DataFrame, task: Task, metric: str, bootstrap: Bootstrap, by: str) -> Result:
-    strata = _strata(rows, task.subgroup_fields, task.thresholds, metric)
+def _finish(rows: DataFrame, per_query: DataFrame, summary: DataFrame, task: Task, metric: str, measures: list[str], bootstrap: Bootstrap, by: str) -> Result:
+    strata = _strata(rows, task.subgroup_fields, task.thresholds, measures, by, bootstrap)
     headline = bootstrap_intervals(rows.select(F.col(by).alias("id"), F.col(metric).cast("double").alias("value")), [], bootstrap.iterations, bootstrap.confidence, bootstrap.seed)
-    return Result(per_query, summary, strata, headline, mixed_drop(strata) if strata is not None and task.thresholds else None)
+    return Result(per_query, summary, strata, headline, mixed_drop(strata.where(F.col("metric") == metric)) if strata is not None and task.thresholds else None)
 
 
 def evaluate_retrieval(tables: TaskTables, task: Task, cutoffs: Cutoffs = Cutoffs(), bootstrap: Bootstrap = Bootstrap()) -> Result:
     ranked = search(tables.corpus, tables.queries, cutoffs.k, task.retriever)
     per_query = per_query_metrics(tables.queries, ranked, tables.qrels, tables.judged, cutoffs.ndcg, cutoffs.mrr, cutoffs.recall).cache()  # read by all that follows
     scored = per_query.where("has_qrel").join(tables.queries, "query_id")
-    return _finish(scored, per_query, retrieval_summary(per_query, tables.corpus, tables.judged), task, task.headline, bootstrap, "query_id")
+    return _finish(scored, per_query, retrieval_summary(per_query, tables.corpus, tables.judged), task, task.headline, ["ndcg", "mrr", "recall"], bootstrap, "query_id")
 
 
 def evaluate_choices(questions: DataFrame, task: Task, bootstrap: Bootstrap = Bootstrap()) -> Result:
@@ -88,7 +88,7 @@ def evaluate_choices(questions: DataFrame, task: Task, bootstrap: Bootstrap = Bo
     per_query = answer_rows(rank_options(options, scores)).join(baselines(questions), "question_id").withColumn("query_id", F.col("question_id").cast("string")).cache()
     metric = "reciprocal_rank" if task.headline == "mrr" else "correct"
     rows = per_query.withColumn("correct", F.col("correct").cast("int")).join(questions.drop("text", "options", "answer_index", "query"), "question_id")
-    return _finish(rows, per_query, choice_summary(per_query), task, metric, bootstrap, "question_id")
+    return _finish(rows, per_query, choice_summary(per_query), task, metric, ["correct", "reciprocal_rank"], bootstrap, "question_id")
 
 
 def run_task(spark: SparkSession, task: Task, evaluation: Evaluation) -> Result:
@@ -110,12 +110,12 @@ def run(spark: SparkSession, evaluation: Evaluation, folder: str | Path) -> dict
         write_per_query(result.per_query, str(at / "per_query"))
         block = result.summary.first().asDict()
         block["headline"] = result.headline.first().asDict() if not result.headline.isEmpty() else {"n": 0, "mean": 0.0, "low": 0.0, "high": 0.0}
-        strata = [r.asDict() for r in result.strata.orderBy("field", "place").collect()] if result.strata is not None else []
+        strata = [r.asDict() for r in result.strata.orderBy("field", "place", "metric").collect()] if result.strata is not None else []
         block["strata"] = strata
         block["mixed_drop"] = [r.asDict() for r in result.drops.collect()] if result.drops is not None else []
         write_json(at / "summary.json", block)
         shown = [r for r in strata if r["place"] <= 20]
-        (at / "report.md").write_text(f"# {task.name}\n\n" + (markdown_table(shown, ["field", "bucket", "n", "mean"]) if shown else ""), encoding="utf-8")
+        (at / "report.md").write_text(f"# {task.name}\n\n" + (markdown_table(shown, ["field", "bucket", "metric", "n", "mean", "low", "high"]) if shown else ""), encoding="utf-8")
         out["tasks"][task.name] = block
         result.per_query.unpersist()
     write_json(Path(folder) / "summary.json", out)

@@ -238,6 +238,17 @@ def mixed_drop(spark, sf_dir):
     return metrics.mixed_drop(_script_strata(spark, sf_dir), base="en")
 
 
+def strata_intervals(spark, sf_dir):
+    """The judged items' metrics by the script mix and the size of their texts."""
+    dense, plain = T.script_counts(F.col("text"), T.ACCENTED_LATIN)
+    rows = _per_query(spark, sf_dir).where("has_qrel").join(_items(spark, sf_dir).select("query_id", dense.alias("d"), plain.alias("p"), F.length("text").alias("chars")), "query_id")
+    rows = rows.select("query_id", "ndcg", "mrr", "recall", F.when(F.col("chars") >= 200, "long").otherwise("short").alias("size"),
+                       *[T.script_level(F.col("d"), F.col("p"), t).alias(f"script_{t}") for t in THRESHOLDS]).cache()  # a row a query, read by all that follows
+    names = ["size", *[f"script_{t}" for t in THRESHOLDS]]
+    out = metrics.strata_intervals(rows, {n: n for n in names}, ["ndcg", "mrr", "recall"], "query_id")
+    return out.select("field", "bucket", "metric", "n", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "place")
+
+
 # Multiple choice
 
 
@@ -388,7 +399,7 @@ def frozen_sampler_order(spark, sf_dir):
 _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
-    subgroup_report, code_switch_strata, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
+    subgroup_report, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
     zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 

@@ -119,6 +119,7 @@ def test_evaluation_end_to_end(spark, tmp_path, retriever):
     r = out["tasks"]["r"]
     assert (r["queries_total"], r["queries_scored"], r["corpus_documents"]) == (3, 2, 5)
     assert r["mrr"] == 1.0 and out["tasks"]["m"]["accuracy"] == 1.0 and out["tasks"]["p"]["mrr"] == 1.0
+    assert {s["metric"] for s in r["strata"]} == {"ndcg", "mrr", "recall"} and all(s["low"] <= s["mean"] <= s["high"] for s in r["strata"])
     assert {(s["field"], s["bucket"]) for s in r["strata"]} >= {("metadata.domain", "None"), ("code_switch_20", "mixed"), ("code_switch_20", "ko")}
     assert r["mixed_drop"] and (tmp_path / "out" / "r" / "report.md").exists()
     assert json.loads((tmp_path / "out" / "summary.json").read_text())["tasks"]["r"]["mrr"] == 1.0

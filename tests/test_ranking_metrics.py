@@ -124,6 +124,11 @@ def test_strata(spark):
     rows = frame(spark, [("a", None, "other", 1.0), ("a", "x", "other", 0.0), ("b", "x", "other", 0.5)], "f string, g string, o string, m double")
     got = {(r["field"], r["bucket"]): (r["n"], r["mean"], r["place"]) for r in metrics.subgroup_report(rows, {"f": "f", "g": "g", "o": "o"}, "m").collect()}
     assert got == {("f", "a"): (2, 0.5, 1), ("f", "b"): (1, 0.5, 2), ("g", "x"): (2, 0.25, 1), ("g", "None"): (1, 1.0, 2)}
+    wide = metrics.strata_intervals(rows.withColumn("k", F.col("m") * 2).withColumn("i", F.col("m")), {"f": "f", "o": "o"}, ["m", "k"], "i", 50).collect()
+    assert {(r["field"], r["bucket"], r["metric"]): (r["n"], r["mean"], r["place"]) for r in wide} == {
+        ("f", "a", "m"): (2, 0.5, 1), ("f", "a", "k"): (2, 1.0, 1), ("f", "b", "m"): (1, 0.5, 2), ("f", "b", "k"): (1, 1.0, 2)}
+    ends = {(r["bucket"], r["metric"]): (r["low"], r["high"]) for r in wide}
+    assert ends["b", "m"] == (0.5, 0.5) and ends["a", "k"] == tuple(2 * x for x in ends["a", "m"]) == (0.0, 2.0)
     drop = frame(spark, [("t", "ko", 0.8), ("t", "mixed", 0.6), ("u", "ko", 0.8), ("w", "ko", 0.0), ("w", "mixed", 0.1)], "field string, bucket string, mean double")
     assert [tuple(r) for r in metrics.mixed_drop(drop).collect()] == [("t", 0.25)]
 
