@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import spread
+from .crossalign import cross_alignment
 from .htmltext import extract_main_text
 from .licenses import license_scan
 from .lm import lm_scores
@@ -15,6 +16,7 @@ from .mixing import MixParams, mix_sources
 from .oracles import ORACLES
 from .pieces import encoding_digests
 from .quality import quality_rules
+from .runs import run_digests
 from .simhash import simhash_components
 from .substrings import cut_digests
 from .topk import exact_top_k
@@ -67,8 +69,17 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_alignment(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_sentencepiece, op4_lm_scoring, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search)}
+    return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_sentencepiece, op4_lm_scoring, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search, op11_periodic_runs,
+                                    op12_cross_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
