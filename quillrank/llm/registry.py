@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import spread
 from .crossalign import cross_alignment
+from .forest import nearest
 from .htmltext import extract_main_text
 from .licenses import license_scan
 from .lm import lm_scores
@@ -77,9 +78,13 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return cross_alignment(_table(spark, sf_dir, "documents"))
 
 
+def op13_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_sentencepiece, op4_lm_scoring, op5_quality_rules, op6_license_scan, op7_substring_dedup, op8_source_mixing, op9_simhash_dedup, op10_topk_search, op11_periodic_runs,
-                                    op12_cross_tokenizer_alignment)}
+                                    op12_cross_tokenizer_alignment, op13_approximate_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
