@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ragged, text_chunks, written
+from .common import ragged, text_chunks, written
 
 #: Between units: a space with something other than white space on both sides (the piece vocabulary's own mark is white space to it).
 _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
@@ -36,13 +36,12 @@ _CUT = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 @dataclass(frozen=True)
 class AlignParams:
     """``first``, ``second``: vocabulary files (None: the installed byte-level and piece vocabularies).  ``remembered``: units that a
-    worker keeps.  ``posting_rows``: postings of an id in one stream, about.  ``step``: postings whose contributions are summed at once."""
+    worker keeps.  ``posting_rows``: postings of an id in one stream, about."""
 
     first: str | None = None
     second: str | None = None
     remembered: int = 1 << 18
     posting_rows: int = 2_000_000
-    step: int = 1 << 20
 
 
 def _byte_characters() -> dict[str, int]:
@@ -254,13 +253,6 @@ def contributions(rows: DataFrame, counts: DataFrame, params: AlignParams) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = (np.zeros(0, np.int64),) * 3  # stream, pair, count of the last id's sums
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            key, best, total = _summed(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(best), pa.array(total)], ["key", "n_best", "count_sum"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -281,13 +273,8 @@ def contributions(rows: DataFrame, counts: DataFrame, params: AlignParams) -> Da
                 codes, number = np.unique(np.concatenate([pairs, pair]), return_inverse=True)
                 have, want = (line[x] * len(codes) + number[x] for x in (slice(0, len(own)), slice(len(own), None)))
                 at = np.searchsorted(have, want[late])
-                held.append((key[late], np.where(counted[at] == most[at], n[late], 0), n[late] * counted[at]))
-                size += len(late)
-            if size >= params.step:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
+                parts = _summed(key[late], np.where(counted[at] == most[at], n[late], 0), n[late] * counted[at])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts], ["key", "n_best", "count_sum"])
 
     found = stream.mapInArrow(run, "key long, n_best long, count_sum long")
     return found.groupBy("key").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))

@@ -123,7 +123,7 @@ def test_alignment_equals_plain_loops(spark, both):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = plain_alignment(rows, both)
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    for params in (AlignParams(), AlignParams(remembered=40, posting_rows=3, step=7)):  # units forgotten, ids in many streams
+    for params in (AlignParams(), AlignParams(remembered=40, posting_rows=3)):  # units forgotten, ids in many streams
         got = cross_alignment(df.withColumns({"key": F.lit("clash"), "pair": F.lit(1)}), params)
         assert got.columns == names and Counter(tuple(r) for r in got.collect()) == want
     assert cross_alignment(df.limit(0)).count() == 0
