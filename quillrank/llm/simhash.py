@@ -15,7 +15,7 @@ index, and 2,048 bits over shingles, from whose angle similarity is verified.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -177,17 +177,14 @@ def near_links(fps: DataFrame) -> DataFrame:
     return postings.mapInArrow(lambda batches: _of_postings(batches, ["block", "key"], links), "src long, dst long")
 
 
-def _of_postings(batches: Iterator[pa.RecordBatch], keys: list[str], links: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-    """Links of each posting; rows come sorted by ``keys``, and a posting that goes on in the next batch is held in parts."""
+def _of_postings(batches: Iterator[pa.RecordBatch], keys: list[str], links: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], names: Sequence[str] = ("src", "dst")) -> Iterator[pa.RecordBatch]:
+    """Links of each posting, in columns ``names``; rows come sorted by ``keys``, and a posting that goes on in the next batch is held in parts."""
     held: list[pa.RecordBatch] = []
 
     def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src, dst = [], []
-        for a, b in links(pa.Table.from_batches(parts)):
-            src.append(a)
-            dst.append(b)
-        if src:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst)], ["src", "dst"])
+        found = list(links(pa.Table.from_batches(parts)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], list(names))
 
     for batch in batches:
         if not batch.num_rows:
@@ -241,8 +238,9 @@ def _print(hashes: np.ndarray, size: int) -> bytes:
     return b"".join(out)
 
 
-def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """``(doc_id, p)``: :data:`WIDE_BYTES` over a text's distinct words, then :data:`SHINGLE_BYTES` over its distinct shingles.
+def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, also: str | None = None) -> DataFrame:
+    """``(doc_id, p)``: :data:`WIDE_BYTES` over a text's distinct words, then :data:`SHINGLE_BYTES` over its distinct shingles; with
+    ``also`` that column of longs too, as ``x``.
 
     Lower-cases A-Z only; fewer words than a shingle are one shingle; no words give zeros."""
 
@@ -257,24 +255,30 @@ def wide_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for a, b in zip(words[:-1], words[1:]):
                 own = h[a:b]
                 out.append(_print(np.unique(own), WIDE_BYTES) + _print(np.unique(window_hashes(own, min(shingle, b - a))), SHINGLE_BYTES) if b > a else zero)
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(out, pa.binary())], ["doc_id", "p"])
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(out, pa.binary()), *chunk.columns[2:]], ["doc_id", "p", "x"][: chunk.num_columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(id_col).alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, p binary")
+    more = [F.col(also).alias("x")] if also else []
+    return docs.select(F.col(id_col).alias("doc_id"), text, *more).mapInArrow(run, f"doc_id {kind}, p binary" + (", x long" if also else ""))
 
 
-def most_bits(similarity: float) -> int:
-    """Differing bits of the shingles' part at which the angle says that two sets of equal size have this Jaccard similarity."""
-    return int(8 * SHINGLE_BYTES * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+def band(similarity: float, spread: float = 6.0, wide: float = 4.0) -> tuple[int, int]:
+    """(surely alike, perhaps alike): differing bits of the shingles' part up to which two sets have this Jaccard similarity for
+    certain, ``spread`` standard deviations below what the angle says, and from ``wide`` above which they have not."""
+    bits = 8 * SHINGLE_BYTES
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    deviation = math.sqrt(bits * p * (1 - p))
+    return max(0, int(bits * p - spread * deviation)), int(bits * p + wide * deviation)
 
 
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Spanning links ``(src, dst)`` among ``classes(node, p)`` of distinct prints.
+    """Links ``(src, dst, sure)`` among ``classes(node, p)`` of distinct prints.
 
     Postings first hold eight bytes a print, their group's; only prints that share enough of them with another go there again,
-    to the same posting, with their shingles' bits."""
-    verify = most_bits(similarity)
+    to the same posting, with their shingles' bits.  Sure links are spanning ones; a pair that is perhaps alike leaves a posting
+    if sure links do not join it there."""
+    sure, perhaps = band(similarity)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = np.array([[8 * g + i for i in block] for g in range(GROUPS) for block in BLOCKS])
@@ -303,36 +307,94 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         group = (table.column("key")[0].as_py() >> 32) // len(BLOCKS)
         g, shingles = np.ascontiguousarray(p[:, 8 * group : 8 * group + 8]), np.ascontiguousarray(p[:, WIDE_BYTES:]).view(np.uint64)
 
-        def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+        def near(some: np.ndarray, others: np.ndarray, most: int = sure) -> np.ndarray:
             out = shared(g, some, others)
             a, b = np.nonzero(out)
             for at in range(0, len(a), 1 << 14):
                 i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                out[i, j] = np.bitwise_count(shingles[some[i]] ^ shingles[others[j]]).sum(1, dtype=np.int32) <= verify
+                out[i, j] = np.bitwise_count(shingles[some[i]] ^ shingles[others[j]]).sum(1, dtype=np.int32) <= most
             return out
 
         a, b = _walk(table.num_rows, near)
         node = table.column("node").to_numpy()
-        yield node[a], node[b]
+        yield node[a], node[b], np.ones(len(a), bool)
+        of = np.arange(table.num_rows)
+        of[a] = b  # the walk's roots are roots
+        # Pairs across those classes: all but the largest class against all.
+        root, size = np.unique(of, return_counts=True)
+        rest = np.flatnonzero(of != root[size.argmax()])
+        every = np.arange(table.num_rows)
+        for at in range(0, len(rest), 256):
+            some = rest[at : at + 256]
+            for start in range(0, len(every), 4096):
+                others = every[start : start + 4096]
+                i, j = np.nonzero(near(some, others, perhaps) & (of[some][:, None] != of[others]))
+                if len(i):
+                    yield node[some[i]], node[others[j]], np.zeros(len(i), bool)
 
     index = classes.select("node", F.substring("p", 1, WIDE_BYTES).alias("p")).mapInArrow(posted, "key long, node long, g long")
     there = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], met), "src long, dst long")
     again = there.select(F.col("src").alias("key"), F.col("dst").alias("node")).join(classes.select("node", "p"), "node").select("key", "node", "p")
-    return again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links), "src long, dst long").distinct()
+    found = again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links, ["src", "dst", "sure"]), "src long, dst long, sure boolean")
+    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "sure").distinct()
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``(x, s)`` of ``texts(x, text)``: the sorted hashes of a text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in text_chunks(batches):
+            data, offsets = string_buffers(chunk.column(1))
+            data = lower_ascii(data)
+            starts, ends, words = word_spans(data, offsets)
+            h = span_hashes(data, starts, ends)
+            sets = [np.unique(window_hashes(h[a:b], min(shingle, b - a))).tobytes() if b > a else b"" for a, b in zip(words[:-1], words[1:])]
+            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sets, pa.binary())], ["x", "s"])
+
+    return texts.select("x", "text").mapInArrow(run, "x long, s binary")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(src, dst)`` whose sets of shingles have the similarity; ``nodes(node, x)`` and ``texts(x, text)`` give the sets."""
+    asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node")
+    found = texts.join(asked.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))
+    sets = cut(asked.join(shingle_sets(found, shingle), "x").select("node", "s"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in ("src", "dst"))
+    return pairs.join(one, "src").join(other, "dst").select("src", "dst", "s_src", "s_dst").mapInArrow(run, "src long, dst long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, p, component_id)`` of every row, ``p`` its print of :func:`wide_prints`.
 
-    Texts of one component are chained by links of at least ``similarity`` between their sets of ``shingle``-word shingles, as
-    2,048 bits over the shingles tell it (standard error under 0.02 at 0.8).  Pairs that differ in at most 31 of 512 bits over
+    Texts of one component are chained by links of at least ``similarity`` between their sets of ``shingle``-word shingles.  2,048
+    bits over the shingles tell pairs that are surely alike (six standard deviations, about 0.9 at 0.8); other pairs up to four
+    deviations below are compared by their whole sets, unless sure links join them.  Pairs that differ in at most 31 of 512 bits over
     distinct words have a group with three at most and surely meet in the index; beyond that all but few do (see the README for recall).  Rows with equal prints
     share a class, so copies and repeated rows cost no pairs.  No words (null, empty or blank texts) are all alike.
     ``component_id`` is the smallest id in the component, null only where all its ids are.  An empty table gives no rows.
     """
-    rows = cut(wide_prints(docs, id_col, text_col, shingle))
-    classes = cut(rows.groupBy("p").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.monotonically_increasing_id()))
-    roots = connected_components(similar_links(classes, similarity))
+    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+    rows = cut(wide_prints(texts, id_col, text_col, shingle, "text_hash"))
+    classes = cut(rows.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.min("x").alias("x")).withColumn("node", F.monotonically_increasing_id()))
+    links = cut(similar_links(classes, similarity))
+    sure = cut(connected_components(links.where("sure")))
+    # What is perhaps alike and in different classes of the sure links.
+    ends = [sure.select(F.col("node").alias(n), F.col("root").alias(f"r_{n}")) for n in ("src", "dst")]
+    pairs = links.where("not sure").select("src", "dst").join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    pairs = cut(pairs.where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst")).select("src", "dst"))
+    bodies = texts.select(F.col("text_hash").alias("x"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    alike = verified(pairs, classes.select("node", "x"), bodies, shingle, similarity)
+    roots = connected_components(alike.unionAll(sure.select("node", "root")))
     joined = classes.join(roots, "node", "left").select("p", "first_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = joined.join(least, "root").select("p", "component_id")

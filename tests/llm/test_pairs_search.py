@@ -166,6 +166,25 @@ def test_similar_texts_by_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_components_near_the_threshold_are_exact(spark):
+    """Pairs at 0.72 to 0.88 and no others: each of 0.8 or more ends together, each below apart, and only texts with a partner go."""
+    rng = np.random.default_rng(4)
+    texts, want = [], []
+    for family in range(260):
+        base = [f"f{family}w{i}" for i in rng.permutation(400)[: int(rng.integers(60, 400))]]
+        edits = max(1, round(len(base) * rng.uniform(0.012, 0.033)))
+        texts += [base, edited(rng, base, edits)]
+        want.append(similarity(*texts[-2:]) >= 0.8)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    assert all(got[2 * f] == 2 * f for f in range(260))
+    assert not any(got[2 * f + 1] == 2 * f for f in range(260) if not want[f])
+    met = sum(got[2 * f + 1] == 2 * f for f in range(260) if want[f])
+    assert 60 < sum(want) < 200 and met >= 0.98 * sum(want)  # the index alone may miss
+    kept = {r["doc_id"] for r in simhash.keep_representatives(df).collect()}
+    assert kept == set(got.values())
+
+
 def test_representatives_of_odd_rows(spark):
     df = docs(spark)
     kept = simhash.keep_representatives(df.selectExpr("*", "1 as kept_id", "2 as component_id", "3 as place", "4 as c0"))
