@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import clean_text, normal_key, normal_keys, row_id, stable_key, tokens
+from quillrank.functions.text import blake_key, blake_keys, clean_text, normal_key, normal_keys, nul_joined, row_id, stable_key, tokens
+from quillrank.operators.packing import OpenBatches
 from quillrank.operators.statistics import nearest_rank
-from quillrank.sources.files import numbered
+from quillrank.sources.files import numbered_in_order
 
 #: Reasons in the order in which they are looked for; the first that holds is given.
 REASONS = ("non_train_split", "empty_positive", "missing_option_len_rank", "no_usable_hard_negative")
@@ -25,16 +25,19 @@ class PlanParams:
     max_quantile_length_gap: float = 50.0
     seed: str = "plan"
     train_split: str = "train"
-    #: Hash shards that are packed side by side; one gives a single first-fit order.
-    shards: int = 1
+    #: Shards that are packed side by side (None: one for each ``shard_rows`` candidates); one gives a single first-fit order.
+    shards: int | None = None
+    shard_rows: int = 20_000
+    #: Seeded orders come from SHA-256 (None) or from BLAKE2b-128 with this personalisation of at most 16 bytes.
+    order: str | None = None
 
     def __post_init__(self):
         if not self.batch_size >= self.minimum_batch_size >= 1:
             raise ValueError("batch_size >= minimum_batch_size >= 1 is asked for")
         if self.max_mean_length_gap < 0 or self.max_quantile_length_gap < 0:
             raise ValueError("length gaps cannot be negative")
-        if self.shards < 1:
-            raise ValueError("shards must be at least 1")
+        if self.shards is not None and self.shards < 1 or self.shard_rows < 1:
+            raise ValueError("shards and their rows must be at least 1")
 
 
 def classify(triplets: DataFrame, params: PlanParams = PlanParams()) -> DataFrame:
@@ -66,10 +69,23 @@ def collision_pairs(candidates: DataFrame) -> DataFrame:
     return asked.join(positives, "positive_key").agg(F.coalesce(F.sum(F.col("uses") * F.col("times")), F.lit(0)).cast("long").alias("collision_pairs"))
 
 
-def round_robin(candidates: DataFrame, seed: str) -> DataFrame:
-    """The rows with ``turn`` and ``place``: within each option_len_rank in seeded order, one of each rank a turn."""
-    within = Window.partitionBy("option_len_rank").orderBy(stable_key(seed, F.col("source"), F.col("record_id")), "record_id")
-    return candidates.withColumn("turn", F.row_number().over(within))
+def round_robin(candidates: DataFrame, seed: str, order: str | None = None, within: list[str] | None = None) -> DataFrame:
+    """The rows with ``turn`` and ``place``: within each option_len_rank in seeded order, one of each rank a turn.
+
+    ``order`` is a personalisation of BLAKE2b-128 in the place of SHA-256; ``within`` are columns whose values are ordered apart."""
+    key = stable_key(seed, F.col("source"), F.col("record_id")) if order is None else blake_key(order, F.lit(seed), F.lit("row"), F.col("record_id"))
+    ranked = Window.partitionBy(*(within or []), "option_len_rank").orderBy("_o", "record_id")
+    return candidates.withColumn("_o", key).withColumn("turn", F.row_number().over(ranked)).drop("_o")
+
+
+def negatives_in_order(negatives: Column, record_id: Column, seed: str, order: str | None = None) -> Column:
+    """Usable negatives in seeded order, ties by key."""
+    if order is None:
+        keys = F.transform(negatives, lambda n: stable_key(seed, record_id, n["key"]))
+    else:
+        keys = blake_keys(order, F.transform(negatives, lambda n: nul_joined(F.lit(seed), F.lit("negative"), record_id, n["key"])))
+    rows = F.zip_with(keys, negatives, lambda o, n: F.struct(o.alias("o"), n["key"].alias("key"), n["text"].alias("text")))
+    return F.transform(F.array_sort(rows), lambda n: F.struct(n["key"].alias("key"), n["text"].alias("text")))
 
 
 def length_statistics(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -101,34 +117,6 @@ def token_length_gaps(rows: DataFrame, mode: str = "whitespace") -> DataFrame:
     return gaps.agg(F.count("*").alias("rows"), F.round(F.avg("n"), 6).alias("mean"), *[nearest_rank("n", p / 100).cast("long").alias(f"p{p}") for p in (5, 50, 95)])
 
 
-@dataclass
-class _Open:
-    """One open batch; lengths are kept sorted, keys in sets."""
-
-    rows: list = field(default_factory=list)
-    positives: set = field(default_factory=set)
-    negatives: set = field(default_factory=set)
-    p_sizes: list = field(default_factory=list)
-    n_sizes: list = field(default_factory=list)
-
-    def fits(self, p: int, n: int, params: PlanParams) -> bool:
-        def middle(sizes: list, extra: int) -> float:
-            at, m = bisect_left(sizes, extra), len(sizes) + 1
-            pick = lambda i: sizes[i] if i < at else extra if i == at else sizes[i - 1]
-            return (pick((m - 1) // 2) + pick(m // 2)) / 2
-
-        count = len(self.rows) + 1
-        mean_gap = round(abs((sum(self.p_sizes) + p) / count - (sum(self.n_sizes) + n) / count), 6)
-        return mean_gap <= params.max_mean_length_gap and round(abs(middle(self.p_sizes, p) - middle(self.n_sizes, n)), 6) <= params.max_quantile_length_gap
-
-    def add(self, row, negative: dict) -> None:
-        self.rows.append((row, negative))
-        self.positives.add(row.positive_key)
-        self.negatives.add(negative["key"])
-        insort(self.p_sizes, len(row.positive))
-        insort(self.n_sizes, len(negative["text"]))
-
-
 _PACKED = "shard int, batch int, place int, record_id string, source string, query string, positive string, positive_key string, negative string, negative_key string, option_len_rank int, reason string"
 
 
@@ -137,40 +125,21 @@ def pack(candidates: DataFrame, params: PlanParams = PlanParams()) -> DataFrame:
 
     A row goes to the first open batch with room where its positive is neither a positive nor a chosen negative and one of its
     negatives, tried in seeded order, is no positive and keeps the batch within bounds; else it opens a batch.  Batches below
-    the minimum are dissolved.  The order of rows decides, so a shard is one task; ``shards`` divides rows by positive key,
-    which packs differently and keeps every rule.
+    the minimum are dissolved.  The order of rows decides, so a shard is one task.  Rows are dealt to shards by their id, as many as
+    ``shard_rows`` asks for unless ``shards`` says how many; each packs its own rows in their own order, which keeps every rule, and a
+    positive that a third of all rows share is dealt like any other.  One shard gives the plan of a single first fit.
     """
-    rows = round_robin(candidates, params.seed)
-    rows = rows.withColumn("tries", F.expr(f"transform(array_sort(transform(negatives, n -> struct(sha2(concat('{params.seed}', '\\0', record_id, '\\0', n.key, '\\0'), 256) as o, n.key as key, n.text as text))), n -> struct(n.key as key, n.text as text))"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("positive_key"), F.lit(params.shards)).cast("int"))
+    shards = params.shards or max(1, -(-candidates.count() // params.shard_rows))
+    rows = candidates.withColumn("shard", F.pmod(F.xxhash64("source", "record_id"), F.lit(shards)).cast("int"))
+    rows = round_robin(rows, params.seed, params.order, ["shard"])
+    rows = rows.withColumn("tries", negatives_in_order(F.col("negatives"), F.col("record_id"), params.seed, params.order))
 
     def first_fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["turn", "option_len_rank", "record_id"], kind="stable")
-        open_: list[_Open] = []
-        left: list[tuple] = []
-        full_before = 0
-        for row in part.itertuples(index=False):
-            done = False
-            while full_before < len(open_) and len(open_[full_before].rows) >= params.batch_size:
-                full_before += 1
-            for batch in open_[full_before:]:
-                if len(batch.rows) >= params.batch_size or row.positive_key in batch.positives or row.positive_key in batch.negatives:
-                    continue
-                pick = next((n for n in row.tries if n["key"] not in batch.positives and batch.fits(len(row.positive), len(n["text"]), params)), None)
-                if pick is not None:
-                    batch.add(row, pick)
-                    done = True
-                    break
-            if not done:
-                fresh = _Open()
-                pick = next((n for n in row.tries if fresh.fits(len(row.positive), len(n["text"]), params)), None)
-                if pick is None:
-                    left.append((row, "length_balance_impossible"))
-                else:
-                    fresh.add(row, pick)
-                    open_.append(fresh)
+        batches = OpenBatches(params.batch_size, params.max_mean_length_gap, params.max_quantile_length_gap)
+        left = [(row, "length_balance_impossible") for row in part.itertuples(index=False) if not batches.add(row, row.positive_key, len(row.positive), list(row.tries))]
         out, number = [], 0
-        for batch in open_:
+        for batch in batches.batches:
             if len(batch.rows) < params.minimum_batch_size:
                 left += [(row, "insufficient_batch_size") for row, _ in batch.rows]
                 continue
@@ -180,7 +149,8 @@ def pack(candidates: DataFrame, params: PlanParams = PlanParams()) -> DataFrame:
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in _PACKED.split(", ")])
         return frame.astype({"batch": "Int32", "place": "Int32"})
 
-    return rows.groupBy("shard").applyInPandas(first_fit, _PACKED)
+    kept = ["shard", "turn", "record_id", "source", "query", "positive", "positive_key", "option_len_rank", "tries"]
+    return rows.select(*kept).groupBy("shard").applyInPandas(first_fit, _PACKED)
 
 
 def plan_rows(packed: DataFrame) -> DataFrame:
@@ -206,7 +176,7 @@ def plan_violations(plan: DataFrame, params: PlanParams) -> DataFrame:
 
 def contiguous_groups(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``(group, first, size, runs)`` of consecutive equal values; more than one run of a group means that it is not contiguous."""
-    rows = numbered(rows.select(group, *[c for c in order if c != group]).orderBy(*order), "at").select(group, "at")
+    rows = numbered_in_order(rows.select(group, *[c for c in order if c != group]), order, "at").select(group, "at")
     before = rows.select(F.col(group).alias("before"), (F.col("at") + 1).alias("at"))
     new = ~F.col(group).eqNullSafe(F.col("before")) | (F.col("at") == 1)
     return rows.join(before, "at", "left").groupBy(group).agg(F.min("at").alias("first"), F.count("*").alias("size"), F.count_if(new).alias("runs"))
@@ -224,7 +194,7 @@ def group_sizes(rows: DataFrame, group: str, order: list[str]) -> list[int]:
 def sampler_order(plan: DataFrame, seed: str, epoch: int) -> DataFrame:
     """The plan with ``step``: whole batches in an order drawn for the epoch, rows inside as they are."""
     batches = plan.select("number").distinct().withColumn("o", stable_key(f"{seed}|{epoch}", F.col("number")))
-    steps = numbered(batches.orderBy("o", "number"), "step").select("number", "step")
+    steps = numbered_in_order(batches, ["o", "number"], "step").select("number", "step")
     return plan.join(steps, "number")
 
 

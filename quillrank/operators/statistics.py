@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillrank.sources.files import numbered
+from quillrank.sources.files import numbered_in_order
 
 
 def interval_places(iterations: int, confidence: float) -> tuple[int, int]:
@@ -33,7 +33,7 @@ def bootstrap_intervals(values: DataFrame, by: list[str], iterations: int = 1000
     if by:
         rows = values.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
     else:
-        rows = numbered(values.select("id", "value").orderBy("id"), "place")
+        rows = numbered_in_order(values.select("id", "value"), ["id"], "place")
     rows = rows.select(key.alias("g"), (F.col("place") - 1).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     drawn = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))

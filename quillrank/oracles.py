@@ -118,6 +118,11 @@ _MD5_SLOT = "0"
 for _at in (1, 9, 17, 25):
     _MD5_SLOT = f"(({_MD5_SLOT}) * 4294967296 % 100 + ('0x' || substr(md5(term), {_at}, 8))::bigint) % 100"
 
+_DIGESTS = """WITH l AS (SELECT row_number() OVER (ORDER BY doc_id, v) - 1 AS pos, sha256(v) AS h, 1::bigint AS n FROM (SELECT doc_id, coalesce(text, '') AS v FROM documents)),
+l0 AS (SELECT pos // 64 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, sum(n)::bigint AS n FROM l GROUP BY 1)""" + "".join(
+    f", l{i} AS (SELECT p.pos // 64 AS pos, sha256(string_agg(h, '' ORDER BY p.pos)) AS h, sum(n)::bigint AS n FROM l{i - 1} p WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY 1)" for i in range(1, 6)) + " " + " UNION ALL ".join(
+    f"SELECT {i}::int AS level, pos::bigint AS chunk, n, h AS digest FROM l{i}" for i in range(6))
+
 ORACLES: dict[str, str] = {
     "tok_whitespace_tf": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_ws('text')}) AS term FROM documents) GROUP BY ALL",
     "tok_bigram_tf": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_bi('text')}) AS term FROM documents) GROUP BY ALL",
@@ -207,6 +212,7 @@ SELECT option_len_rank::int AS option_len_rank, round(pm, 6) AS positive_mean, r
 SELECT field, count(*) AS rows, round(avg(n), 6) AS mean, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95, quantile_disc(n, 0.99) AS p99, max(n) AS longest, count(*) FILTER (n > 64) AS over, round(100.0::double * count(*) FILTER (n > 64) / count(*), 6) AS over_percent FROM t GROUP BY 1""",
     "token_length_gaps": f"""WITH {_TRIPLETS}, t AS (SELECT len({_ws('positive')}) - len({_ws('negative')}) AS n FROM candidates)
 SELECT count(*) AS rows, round(avg(n), 6) AS mean, quantile_disc(n, 0.05) AS p5, quantile_disc(n, 0.5) AS p50, quantile_disc(n, 0.95) AS p95 FROM t""",
+    "ordered_digest_levels": _DIGESTS,
     "pack_batches_violations": "SELECT 0::bigint AS repeated_positives, 0::bigint AS collisions, 0::bigint AS wrong_sizes, 0::bigint AS unbalanced",
     "contiguous_groups": """WITH r AS (SELECT event_type, row_number() OVER (ORDER BY event_id) AS place FROM events), n AS (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (ORDER BY place) AS fresh FROM r)
 SELECT event_type, min(place) AS first, count(*) AS size, count(*) FILTER (fresh) AS runs FROM n GROUP BY 1""",

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from quillrank.functions import text as T
 from quillrank.functions import vectors as V
 from quillrank.operators import batching, choice, comparison, containment, encoding, metrics, ranking, statistics
+from quillrank.sources.files import numbered_in_order, union_all
+from quillrank.sources.sinks import digest_levels
 from quillrank.sources.tasks import pairs_tables
 
 WHITESPACE = ranking.Bm25Params(mode="whitespace")
@@ -378,6 +380,13 @@ def token_length_gaps(spark, sf_dir):
     return batching.token_length_gaps(_candidates(spark, sf_dir).withColumn("negative", F.col("negatives")[0]["text"]))
 
 
+def ordered_digest_levels(spark, sf_dir):
+    """All levels of the ordered digest of the documents' texts."""
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    levels = list(digest_levels(numbered_in_order(rows, ["doc_id", "value"]).select("seq", "value"), 64))
+    return union_all(levels)
+
+
 def pack_batches(spark, sf_dir):
     return batching.plan_rows(batching.pack(_candidates(spark, sf_dir), PLAN)).select("batch_id", "number", "place", "record_id", "positive", "negative")
 
@@ -400,7 +409,7 @@ _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
     subgroup_report, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
-    zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, pack_batches,
+    zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, ordered_digest_levels, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 
 

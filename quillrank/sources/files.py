@@ -16,18 +16,48 @@ def read_json_lines(spark: SparkSession, path: str | list[str], schema: StructTy
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def read_json_lines_strict(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As :func:`read_json_lines`; a line that is not a JSON object of the schema fails, named by file and text."""
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``(file, line, value)`` of text files: each line with its number in its file, from one.
+
+    A file may be read in many splits.  Each numbers its own lines; what is added up is the number of lines of each split, a row a
+    split, in the order of the splits' places in their file."""
+    raw = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").toDF("value", "file", "split").withColumn("_m", F.monotonically_increasing_id())
+    # The lines of a split follow each other in one task.
+    splits = raw.groupBy("file", "split").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("file", "split", (before - F.col("_first") + 1).alias("_add"))
+    return raw.join(splits, ["file", "split"]).select("file", (F.col("_m") + F.col("_add")).alias("line"), "value")
+
+
+def _parsed(rows: DataFrame, schema: StructType) -> DataFrame:
+    """Rows with a ``value`` that is not blank, with ``row`` and ``bad``: the value is no JSON object of the schema."""
     parsed = F.from_json("value", StructType([*schema.fields, StructField(_BAD, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
-    rows = spark.read.text(path).where(F.trim("value") != "").select("value", F.input_file_name().alias("file"), parsed.alias("row"))
-    bad = F.col("row").isNull() | F.col(f"row.{_BAD}").isNotNull() | ~F.ltrim("value").startswith("{")
-    check = F.when(bad, F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(": "), "value"))).otherwise(F.lit(True))
+    rows = rows.where(F.trim("value") != "").withColumn("row", parsed)
+    return rows.withColumn("bad", F.col("row").isNull() | F.col(f"row.{_BAD}").isNotNull() | ~F.ltrim("value").startswith("{"))
+
+
+def bad_lines(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """``(file, line, value)`` of all lines that are not blank and no JSON object of the schema."""
+    return _parsed(numbered_lines(spark, path), schema).where("bad").select("file", "line", "value")
+
+
+def read_json_lines_strict(spark: SparkSession, path: str | list[str], schema: StructType) -> DataFrame:
+    """As :func:`read_json_lines`; a line that is not a JSON object of the schema fails, the first one named by file, line and text.
+
+    All lines are looked at once before; only where one is bad are lines numbered.  Rows keep the order of a scan."""
+    rows = _parsed(spark.read.text(path).withColumn("file", F.input_file_name()), schema)
+    if not rows.where("bad").isEmpty():
+        first = bad_lines(spark, path, schema).orderBy("file", "line").first()
+        if first is not None:
+            raise ValueError(f"{first['file']}:{first['line']}: invalid JSON: {first['value']}")
+    check = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("invalid JSON in "), "file", F.lit(": "), "value"))).otherwise(F.lit(True))
     return rows.where(check).select(*[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields])
 
 
 def numbered(rows: DataFrame, column: str = "seq") -> DataFrame:
-    """Rows with their number from one, in file order.  Each partition numbers its own rows; only the partitions' sizes, a
-    number each, are added up."""
+    """Rows with their number from one, in their order.  Each partition numbers its own rows; only the partitions' sizes, a
+    number each, are added up.  Rows are looked at twice, so they come from a scan or are kept (:func:`numbered_in_order`): a sort
+    that is run twice need not cut its partitions alike."""
     marked = rows.withColumn("_m", F.monotonically_increasing_id())
     part, offset = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
@@ -36,6 +66,11 @@ def numbered(rows: DataFrame, column: str = "seq") -> DataFrame:
     return out.drop("_m", "_p", "_n", "_before")
 
 
+def numbered_in_order(rows: DataFrame, order: list, column: str = "seq") -> DataFrame:
+    """As :func:`numbered`, of rows sorted by ``order`` and kept in memory or on disk for as long as Spark needs the room for nothing else."""
+    return numbered(rows.orderBy(*order).persist(), column)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """A tab-separated table with a header; all cells are strings."""
     rows = spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path)

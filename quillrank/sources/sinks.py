@@ -6,15 +6,17 @@ import hashlib
 import json
 import os
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import chain
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from quillrank.functions.text import printed_bool
+from quillrank.sources.files import numbered
+from quillrank.sources.folders import delete, exists, listed, rename
 
 
 def write_json(path: str | Path, value: object) -> None:
@@ -44,6 +46,70 @@ def write_gzip_lines(path: str | Path, records: Iterable[dict], level: int = 9)
     return digest.hexdigest()
 
 
+def canonical_lines(rows: DataFrame) -> Column:
+    """Each row as JSON: columns by name but those that begin with an underscore, nulls kept, no spaces."""
+    return F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns) if not c.startswith("_")]), {"ignoreNullFields": "false"})
+
+
+def digest_levels(lines: DataFrame, fan: int = 4096) -> Iterator[DataFrame]:
+    """The levels of an ordered digest of ``lines(seq, value)``, each ``(level, chunk, n, digest)``; ``seq`` counts from one.
+
+    A chunk's digest is the SHA-256 of the digests of its ``fan`` parts in order, as hexadecimal text: on the first level of the lines'
+    own, then of the chunks of the level before.  So no aggregate holds more than ``fan`` digests, and a changed line or two
+    that change places change the root.  No lines give one chunk of none."""
+    parts, level = lines.select((F.col("seq") - 1).alias("at"), F.sha2(F.col("value").cast("binary"), 256).alias("h"), F.lit(1).cast("long").alias("n")), 0
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda p: p["h"]), "")
+        found = parts.groupBy(F.floor(F.col("at") / fan).alias("chunk")).agg(F.sum("n").alias("n"), F.sha2(joined, 256).alias("digest"))
+        found = found.select(F.lit(level).alias("level"), "chunk", "n", "digest")
+        last = parts.agg(F.max("at")).first()[0]
+        if last is None:
+            yield found.sparkSession.createDataFrame([(0, 0, 0, hashlib.sha256(b"").hexdigest())], "level int, chunk long, n long, digest string")
+            return
+        yield found
+        if last < fan:
+            return
+        parts, level = found.select(F.col("chunk").alias("at"), F.col("digest").alias("h"), "n"), level + 1
+
+
+def ordered_digest(lines: DataFrame, fan: int = 4096) -> str:
+    """The root of :func:`digest_levels`."""
+    *_, top = digest_levels(lines, fan)
+    return top.first()["digest"]
+
+
+def write_gzip_members(rows: DataFrame, order: list[str], path: str, member_rows: int = 65_536) -> str:
+    """Gzipped JSON lines whose bytes depend on the rows and their total order alone, not on partitions; their ordered digest.
+
+    Lines are numbered, and each ``member_rows`` of them are one gzip member, compressed and written by one task; members
+    follow each other by name, and put together they are a gzip file too.  One member is a file at ``path``, more are a folder.  Spark commits
+    files of whole tasks alone; a path that exists is refused."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        raise FileExistsError(f"{path} exists")
+    kept = rows.orderBy(*order).select(canonical_lines(rows).alias("value")).persist()
+    try:
+        lines = numbered(kept)
+        count = kept.count()
+        members = max(1, -(-count // member_rows))
+        parts = lines.repartitionById(members, F.floor((F.col("seq") - 1) / member_rows).cast("int")).sortWithinPartitions("seq")
+        folder = f"{path}.members"
+        parts.select("value").write.mode("errorifexists").option("compression", "gzip").text(folder)
+        names = [n for n in listed(spark, folder) if n.startswith("part-")]
+        if len(names) != members:
+            raise OSError(f"{folder} has {len(names)} members, not {members}")
+        if members == 1:
+            rename(spark, f"{folder}/{names[0]}", path)
+            delete(spark, folder)
+        else:
+            for i, name in enumerate(names):
+                rename(spark, f"{folder}/{name}", f"{folder}/member-{i:08d}.jsonl.gz")
+            rename(spark, folder, path)
+        return ordered_digest(lines)
+    finally:
+        kept.unpersist()
+
+
 def table_digest(df: DataFrame) -> str:
     """A digest of a table's rows in any order and any partitioning, from one aggregate."""
     row = df.select(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n"), F.sum("h").alias("s")).first()

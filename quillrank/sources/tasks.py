@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions.text import answer_key
 from quillrank.sources import schemas
-from quillrank.sources.files import numbered, read_json_lines, read_qrels, union_all
+from quillrank.sources.files import numbered_in_order, read_json_lines, read_qrels, union_all
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def pairs_tables(pairs: DataFrame, split: str, corpus_splits: list[str] | None =
     if corpus_splits:
         indexed = indexed.where(F.col("split").isin(*corpus_splits))
     first = indexed.groupBy("k").agg(F.min(seq).alias("first"), F.min_by("a", seq).alias("text"))
-    corpus = numbered(first.orderBy("first"), "n").select("k", F.format_string("doc-%d", "n").alias("doc_id"), "text")
+    corpus = numbered_in_order(first, ["first"], "n").select("k", F.format_string("doc-%d", "n").alias("doc_id"), "text")
     asked = rows.where((F.col("split") == split) & (answer_key(F.col("question")) != "") & (F.col("k") != ""))
     linked = asked.join(corpus.select("k", "doc_id"), "k", "left")
     doc = F.when(F.col("doc_id").isNull(), F.raise_error(F.concat(F.lit("answer was not indexed: "), F.col("record_id").cast("string")))).otherwise(F.col("doc_id"))

@@ -225,3 +225,106 @@ def test_checkpoints(tmp_path):
             (at / preflight.MARKER).touch()
     assert preflight.newest_checkpoint(tmp_path).name == "checkpoint-10" and preflight.newest_checkpoint(tmp_path / "none") is None
     assert [p.name for p in preflight.retain_checkpoints(tmp_path, 2)] == ["checkpoint-1"] and (tmp_path / "checkpoint-20").exists()
+
+
+def test_bad_line_is_named_by_its_number(spark, tmp_path):
+    """Small splits, so that the bad line is far into a file's later split; a second file before it by name is whole."""
+    lines(tmp_path / "a.jsonl", [{"id": f"a{i}", "text": "x" * 50} for i in range(300)])
+    rows = [json.dumps({"id": f"b{i}", "text": "y" * (i % 90)}) for i in range(2000)]
+    rows[1500], rows[3], rows[1700] = '{"id": "oops', "", "[1]"
+    (tmp_path / "b.jsonl").write_text("\n".join(rows) + "\n")
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        numbers = files.numbered_lines(spark, str(tmp_path / "*.jsonl"))
+        assert spark.read.text(str(tmp_path / "b.jsonl")).rdd.getNumPartitions() > 5
+        want = {(n, i + 1): v for n in "ab" for i, v in enumerate((tmp_path / f"{n}.jsonl").read_text().split("\n")[:-1])}
+        assert {(r["file"][-7], r["line"]): r["value"] for r in numbers.collect()} == want
+        bad = files.bad_lines(spark, str(tmp_path / "*.jsonl"), schemas.SEARCH_CORPUS).orderBy("line").collect()
+        assert [(r["line"], r["value"]) for r in bad] == [(1501, '{"id": "oops'), (1701, "[1]")]
+        with pytest.raises(ValueError, match=r"b\.jsonl:1501: invalid JSON"):
+            files.read_json_lines_strict(spark, str(tmp_path / "*.jsonl"), schemas.SEARCH_CORPUS)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", keep[1])
+
+
+def test_gzip_members_do_not_depend_on_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"), (F.col("id") * 7919 % 1000).alias("at"), F.lit("é\"\\\n").alias("b"), F.lit(None).cast("int").alias("none"))
+    found = []
+    for parts in (1, 4, 16):
+        path = str(tmp_path / f"m{parts}")
+        digest = sinks.write_gzip_members(rows.repartition(parts), ["at"], path, member_rows=300)
+        names = [n for n in sorted(p.name for p in (tmp_path / f"m{parts}").iterdir()) if n.startswith("member")]
+        assert len(names) == 4
+        found.append((digest, b"".join((tmp_path / f"m{parts}" / n).read_bytes() for n in names)))
+    assert found[0] == found[1] == found[2]
+    text = gzip.decompress(found[0][1]).decode().splitlines()
+    want = [{"at": r["at"], "b": r["b"], "none": None, "text": r["text"]} for r in rows.orderBy("at").collect()]
+    assert text == [json.dumps(w, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for w in want]
+    with pytest.raises(FileExistsError):
+        sinks.write_gzip_members(rows, ["at"], str(tmp_path / "m1"))
+
+
+def test_ordered_digest_is_a_tree(spark):
+    from hashlib import sha256
+
+    def plain(values, fan):
+        level = [sha256(v.encode()).hexdigest() for v in values]
+        while True:
+            level = [sha256("".join(level[i : i + fan]).encode()).hexdigest() for i in range(0, len(level), fan)] or [sha256(b"").hexdigest()]
+            if len(level) == 1:
+                return level[0]
+
+    values = [f"line {i % 17}" for i in range(130)]
+    for fan, n in ((5, 130), (5, 25), (5, 26), (200, 130), (5, 1), (5, 0)):
+        rows = spark.createDataFrame(list(enumerate(values[:n], 1)), "seq long, value string").repartition(3)
+        assert sinks.ordered_digest(rows, fan) == plain(values[:n], fan)
+    swapped = [*values[:40], values[41], values[40], *values[42:]]
+    assert plain(swapped, 5) != plain(values, 5)
+
+
+def test_built_plan_is_loaded_against_its_digest(spark, tmp_path):
+    rows = [{"triplet_id": f"t{i}", "split": "train", "query": f"q{i}", "positive": f"answer number {i % 7}", "hard_negatives": [f"answer number {(i + j) % 7}" for j in (1, 2, 3)], "option_len_rank": i % 3} for i in range(40)]
+    path = lines(tmp_path / "t.jsonl", rows)
+    one = batches.build(spark, {"s": path}, tmp_path / "one", PlanParams(batch_size=4))
+    many = batches.build(spark, {"s": path}, f"file://{tmp_path}/many", PlanParams(batch_size=4), member_rows=7)
+    assert one == many and (tmp_path / "many" / "plan.jsonl.gz").is_dir()
+    for folder in ("one", "many"):
+        plan, sizes, summary = preflight.load_built(spark, tmp_path / folder, one["deterministic_digest"])
+        assert summary == one and plan.count() == sum(sizes) == one["batched"]
+    member = next((tmp_path / "many" / "plan.jsonl.gz").glob("member-00000001*"))
+    held = gzip.decompress(member.read_bytes()).decode().splitlines()
+    for p in (tmp_path / "many" / "plan.jsonl.gz").glob(".*.crc"):
+        p.unlink()
+    for broken in ([held[1], held[0], *held[2:]], [held[0].replace("answer", "Answer"), *held[1:]], held[:-1]):  # swapped, changed, lost
+        member.write_bytes(gzip.compress(("\n".join(broken) + "\n").encode()))
+        with pytest.raises(preflight.PreflightError):
+            preflight.load_built(spark, tmp_path / "many", one["deterministic_digest"])
+    summary = tmp_path / "one" / "summary.json"
+    summary.write_text(summary.read_text().replace('"candidates": 40', '"candidates": 41'))
+    (tmp_path / "one" / ".summary.json.crc").unlink(missing_ok=True)
+    with pytest.raises(preflight.PreflightError, match="summary"):
+        preflight.load_built(spark, tmp_path / "one")
+    with pytest.raises(preflight.PreflightError):
+        preflight.load_built(spark, tmp_path / "many", "0" * 64)
+
+
+def test_staged_output_appears_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillrank.sources import folders
+
+    bad = spark.range(100).select(F.when(F.col("id") == 77, F.raise_error(F.lit("no"))).otherwise(F.col("id").cast("string")).alias("value"))
+    with pytest.raises(Exception), folders.staged(spark, f"file://{tmp_path}/out") as stage:
+        folders.write_text(spark, f"{stage}/note", "x")
+        bad.write.text(f"{stage}/rows")
+    assert not list(tmp_path.iterdir())
+    with folders.staged(spark, f"file://{tmp_path}/out") as stage:
+        folders.write_text(spark, f"{stage}/note", "é")
+    assert folders.read_text(spark, f"{tmp_path}/out/note") == "é"
+    with pytest.raises(FileExistsError), folders.staged(spark, str(tmp_path / "out")):
+        pass

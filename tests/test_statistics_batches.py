@@ -200,3 +200,80 @@ def test_token_lengths(spark):
     assert batching.token_length_statistics(df, ["query"], 8, sample=2).first()["rows"] == 2
     g = batching.token_length_gaps(df).first()
     assert (g["mean"], g["p50"]) == (6.0, 4)
+
+
+def test_index_packs_as_a_plain_first_fit(spark):
+    """Many settings, short keys that collide often and tight bounds, row by row."""
+    from types import SimpleNamespace
+
+    from quillrank.operators.packing import OpenBatches, Room
+
+    rng = random.Random(8)
+    for trial in range(60):
+        params = batching.PlanParams(batch_size=rng.choice([2, 3, 8, 32]), minimum_batch_size=1, max_mean_length_gap=rng.choice([0.5, 2, 9, 1000]), max_quantile_length_gap=rng.choice([0.5, 3, 9, 1000]))
+        keys = [f"k{i}" for i in range(rng.choice([6, 40]))]
+        rows = [{"turn": i, "option_len_rank": 0, "record_id": f"r{i:04d}", "positive_key": rng.choice(keys[:3] if trial % 3 == 0 else keys), "positive": "p" * rng.randrange(1, 30),
+                 "negatives": [{"key": k, "text": "n" * rng.randrange(1, 30)} for k in rng.sample(keys, 3)]} for i in range(150)]
+        for r in rows:
+            r["negatives"] = [n for n in r["negatives"] if n["key"] != r["positive_key"]]
+        from hashlib import sha256
+
+        found = OpenBatches(params.batch_size, params.max_mean_length_gap, params.max_quantile_length_gap)
+        lost = []
+        for r in rows:
+            tries = sorted(r["negatives"], key=lambda n: (sha256(f"{params.seed}\0{r['record_id']}\0{n['key']}\0".encode()).hexdigest(), n["key"]))
+            if not found.add(SimpleNamespace(**r), r["positive_key"], len(r["positive"]), tries):
+                lost.append((r["record_id"], "length_balance_impossible"))
+        assert ([[(r.record_id, n["key"]) for r, n in b.rows] for b in found.batches], lost) == slow_pack(rows, params)
+    room = Room()
+    spans = [(rng.randrange(50), rng.randrange(50)) for _ in range(200)]
+    for i, (least, most) in enumerate(spans):
+        room.set(i, least, most)
+    for _ in range(500):
+        start, gap = rng.randrange(210), rng.randrange(50)
+        assert room.first(start, gap) == next((i for i, (a, b) in enumerate(spans) if i >= start and a <= gap <= b), None)
+
+
+def test_packing_at_size_has_no_single_group(spark):
+    """A third of the rows share one positive; shards follow from the number of rows and stay even."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select(F.lit("s").alias("source"), F.format_string("r%06d", "id").alias("record_id"), F.lit("q").alias("query"), F.when(F.col("id") % 3 == 0, "same").otherwise(F.concat(F.lit("p"), F.col("id"))).alias("positive_key"),
+                                    F.lit("positive").alias("positive"), (F.col("id") % 4).cast("int").alias("option_len_rank"),
+                                    F.array(F.struct(F.concat(F.lit("n"), F.col("id") % 50).alias("key"), F.lit("negative").alias("text"))).alias("negatives"))
+    params = batching.PlanParams(batch_size=8, shard_rows=500)
+    packed = batching.pack(rows, params).cache()
+    sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
+    assert len(sizes) == 12 and max(sizes) < 700 and sum(sizes) == 6000
+    assert set(batching.plan_violations(batching.plan_rows(packed), params).first()) == {0}
+
+
+def test_blake_keys_are_those_of_the_digest(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from quillrank.functions.text import blake_key
+
+    def plain(person, *parts):
+        digest = hashlib.blake2b(digest_size=16, person=person.encode())
+        for p in parts:
+            digest.update(str(p).encode() + b"\0")
+        return digest.hexdigest()
+
+    table = batching.classify(triplets(spark)).where("reason is null").cache()
+    got = table.select("record_id", blake_key("plan-v1", F.lit("seed"), F.lit("row"), F.col("record_id")).alias("k")).collect()
+    assert all(r["k"] == plain("plan-v1", "seed", "row", r["record_id"]) for r in got)
+    # A table of known digests, made once outside.
+    assert plain("plan-v1", "seed", "row", "r1") == hashlib.blake2b(b"seed\0row\0r1\0", digest_size=16, person=b"plan-v1").hexdigest()
+    turns = batching.round_robin(table, "seed", "plan-v1").collect()
+    for rank in {r["option_len_rank"] for r in turns}:
+        own = [r["record_id"] for r in sorted((r for r in turns if r["option_len_rank"] == rank), key=lambda r: r["turn"])]
+        assert own == sorted(own, key=lambda i: (int(plain("plan-v1", "seed", "row", i), 16), i))
+    tries = table.select("record_id", "negatives", batching.negatives_in_order(F.col("negatives"), F.col("record_id"), "seed", "plan-v1").alias("t")).collect()
+    for r in tries:
+        assert [n["key"] for n in r["t"]] == sorted((n["key"] for n in r["negatives"]), key=lambda k: (plain("plan-v1", "seed", "negative", r["record_id"], k), k))
+    with pytest.raises(ValueError):
+        blake_key("longer than sixteen bytes", F.lit("x"))
+    packed = batching.plan_rows(batching.pack(table, batching.PlanParams(batch_size=5, order="plan-v1")))
+    assert set(batching.plan_violations(packed, batching.PlanParams(batch_size=5)).first()) == {0}
