@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on.  A longer document is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -50,11 +51,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """As :func:`cut`, for wide tables: compressed Parquet in the shared folder; the table and where it is."""
+def written(df: DataFrame, *by: str) -> tuple[DataFrame, str]:
+    """As :func:`cut`, for wide tables: compressed Parquet in the shared folder, in folders ``by`` columns; the table and where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -64,12 +65,11 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def batches_of(docs: DataFrame, batch_bytes: int) -> int:
-    """How many batches of documents of about ``batch_bytes`` there are, by the size that Spark knows or else by the rows."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > 1 << 52:  # unknown
-        size = docs.count() * 2048
-    return max(1, -(-size // batch_bytes))
+def batches_of(docs: DataFrame, batch_bytes: int, text_col: str = "text") -> int:
+    """How many batches of documents of about ``batch_bytes`` of text there are: the texts' own bytes, however well they are stored, and
+    a little for each row."""
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))), F.count("*")).first()
+    return max(1, -(-((size[0] or 0) + 16 * size[1]) // batch_bytes))
 
 
 def spread(df: DataFrame) -> DataFrame:

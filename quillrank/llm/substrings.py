@@ -10,7 +10,7 @@ left contexts read backwards, are sorted; common-prefix lengths of neighbours ar
 suffixes below one node pair of joint depth ``length`` are the occurrences of one repeated window.  All but the first by
 document and position are marked.
 
-Words are compared by 64-bit hashes within anchors and windows and by 32 bits each beside an anchor.
+Words are compared by 64-bit hashes, in anchors and windows and one by one beside an anchor.
 """
 
 from __future__ import annotations
@@ -32,12 +32,12 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class RepeatParams:
-    """``hot``: occurrences of an anchor from which its group is split.  ``batch_bytes``: stored input of a batch of documents."""
+    """``hot``: occurrences of an anchor from which its group is split.  ``batch_bytes``: text of a batch of documents."""
 
     length: int = 20
     prefix: int = 8
     hot: int = 1000
-    batch_bytes: int = 2 << 20
+    batch_bytes: int = 4 << 20
     #: Suffixes whose trees are built in one step; a group, of ``hot`` suffixes at most, is never divided.
     step: int = 50_000
 
@@ -172,12 +172,10 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
             row = x.doc[at]
             pos = at - x.bounds[row]
             left, right = np.minimum(side, pos), np.minimum(side, x.bounds[row + 1] - at - k)
-            low = (x.words & _U(0xFFFFFFFF)).astype(np.uint32)
-
             def context(a: np.ndarray) -> np.ndarray:
                 before = np.arange(-1, -side - 1, -1)
                 after = np.arange(k, k + side)
-                return low[np.clip(a[:, None] + np.concatenate([before, after]), 0, len(low) - 1)]
+                return x.words[np.clip(a[:, None] + np.concatenate([before, after]), 0, len(x.words) - 1)]
 
             cold = ~hot
             emit(h[cold].view(np.int64), row[cold], pos[cold], left[cold], right[cold], np.full(cold.sum(), -1), np.zeros(cold.sum(), np.int64), context(at[cold]))
@@ -199,10 +197,10 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
                 late = order[earlier]
                 np.bitwise_or.at(mask, which[late], 1 << off[late])
                 done = np.flatnonzero(mask)
-                emit(mix(rks[r[done]].view(np.uint64) + p[done].astype(np.uint64)).view(np.int64), r[done], p[done], lf[done], rt[done], np.full(len(done), -2), mask[done], np.zeros((len(done), 0), np.uint32))
+                emit(mix(rks[r[done]].view(np.uint64) + p[done].astype(np.uint64)).view(np.int64), r[done], p[done], lf[done], rt[done], np.full(len(done), -2), mask[done], np.zeros((len(done), 0), np.uint64))
                 send = order[~earlier]
                 w = which[send]
-                emit(key[send].view(np.int64), r[w], p[w], lf[w], rt[w], off[send], np.zeros(len(send), np.int64), np.zeros((len(send), 0), np.uint32))
+                emit(key[send].view(np.int64), r[w], p[w], lf[w], rt[w], off[send], np.zeros(len(send), np.int64), np.zeros((len(send), 0), np.uint64))
                 n_rows += len(done) + len(send)
         arrays = []
         kinds = {"long": (np.int64, pa.int64()), "int": (np.int32, pa.int32())}
@@ -211,7 +209,7 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
             if name == "b":
                 arrays.append(pa.array(np.full(n_rows, b if n_rows else 0, np.int32)))
             elif kind == "binary":
-                sizes = np.concatenate([np.full(len(wd), 4 * wd.shape[1]) for wd in out[name]]) if n_rows else np.zeros(0, np.int64)
+                sizes = np.concatenate([np.full(len(wd), 8 * wd.shape[1]) for wd in out[name]]) if n_rows else np.zeros(0, np.int64)
                 raw = b"".join(np.ascontiguousarray(wd).tobytes() for wd in out[name])
                 offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 arrays.append(pa.Array.from_buffers(pa.binary(), n_rows, [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw)]))
@@ -264,7 +262,7 @@ def mark_repeats(batched: DataFrame, params: RepeatParams) -> DataFrame:
     def build(table: pa.Table) -> Iterator[pa.RecordBatch]:
         words = table.column("words").combine_chunks()
         words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-        raw = np.frombuffer(words.buffers()[2], np.uint32, table.num_rows * 2 * side, words.offset * 8 * side).reshape(-1, 2 * side)
+        raw = np.frombuffer(words.buffers()[2], np.uint64, table.num_rows * 2 * side, words.offset * 16 * side).reshape(-1, 2 * side)
         mask = window_marks(_column(table, "key"), _column(table, "doc_id"), _column(table, "pos").astype(np.int64), _column(table, "left"), _column(table, "right"), raw[:, :side], raw[:, side:])
         done = np.flatnonzero(mask)
         if len(done):
@@ -345,7 +343,7 @@ def _rows(docs: DataFrame, params: RepeatParams, id_col: str, text_col: str) ->
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).alias("doc_id"), F.col(id_col).isNull().alias("missing"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rk = F.xxhash64("doc_id", "text")
-    return rows.select(F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes))).cast("int").alias("b"), rk.alias("rk"), "doc_id", "text", "missing").repartition("b")
+    return rows.select(F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes, text_col))).cast("int").alias("b"), rk.alias("rk"), "doc_id", "text", "missing").repartition("b")
 
 
 def _keep_mask(x: _Batch, rks: np.ndarray, marks: pa.Table, params: RepeatParams) -> np.ndarray:
@@ -419,7 +417,7 @@ def cut_repeats(docs: DataFrame, params: RepeatParams = RepeatParams(), id_col:
     ident, body = inner[id_col], inner[text_col]
     rk_id, rk_text = F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1)), F.coalesce(F.col(body).cast("string"), F.lit(""))
     rk = F.xxhash64(rk_id, rk_text)
-    keyed = keyed.select(*[a for a in inner.values() if a != body], F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes))).cast("int").alias("b"), rk.alias("rk"), rk_id.alias("doc_id"),
+    keyed = keyed.select(*[a for a in inner.values() if a != body], F.pmod(rk, F.lit(batches_of(docs, params.batch_bytes, text_col))).cast("int").alias("b"), rk.alias("rk"), rk_id.alias("doc_id"),
                          rk_text.alias("text"), F.col(body).isNull().alias("none")).repartition("b")
     fields = [T.StructField(inner[f.name], f.dataType) for f in docs.schema.fields]
 

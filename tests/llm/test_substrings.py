@@ -97,3 +97,23 @@ def test_ids_of_other_types(spark):
     cut = substrings.cut_repeats(as_text)
     assert cut.columns == as_text.columns
     assert sorted(str(r["text"]) for r in cut.collect()) == sorted(str(r["text"]) for r in substrings.cut_repeats(df).collect())
+
+
+def test_words_that_agree_in_their_lower_half_are_apart():
+    import numpy as np
+
+    low = np.arange(24, dtype=np.uint64) + np.uint64(1000)
+    words = np.stack([low, low | np.uint64(1 << 63), low])
+    words[1, :-1] = low[:-1]  # the last word after the anchor differs above the lower 32 bits
+    n = len(words)
+    marks = substrings.window_marks(np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int64) + 20, np.full(n, 12), np.full(n, 12), words[:, :12], words[:, 12:])
+    assert marks[0] == 0 and marks[1] == (1 << 13) - 2 and marks[2] == (1 << 13) - 1
+
+
+def test_batches_follow_the_bytes_of_texts(spark, tmp_path):
+    from quillrank.llm.common import batches_of
+
+    spark.range(2000).selectExpr("id as doc_id", "repeat('the same words ', 100) as `the text`").write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))  # a few kilobytes on disk
+    assert batches_of(stored, 100_000, "the text") == -(-2000 * 1516 // 100_000)
+    assert batches_of(stored.where("false"), 100_000, "the text") == 1
