@@ -38,26 +38,33 @@ SHAPES = 16
 
 @dataclass(frozen=True)
 class LmParams:
-    """``shard_tokens``: training tokens of a shard, about; all documents train the network, in as many shards as that takes.
-    ``rounds``: means of the shards' weights in each pass.  ``updates``: passes over all training documents, one at least, are
-    repeated until a shard has made so many.  ``batch_bytes``: text that is numbered together.  ``score_tokens``: tokens that
-    are scored in step.  ``range_bytes``: stored input for each range of hashes."""
+    """All training documents train the network once, in shards of about ``shard_tokens * r`` tokens, where r is the third root of
+    how many shards of ``shard_tokens`` there would be: with more text there are both more shards and more steps in each.
+    ``round_tokens``: a shard's tokens between two means of all shards' weights.  ``updates``: steps that a smaller
+    shard makes too, with fewer streams side by side; one of fewer than ``updates * window`` tokens is gone through again.  ``batch_bytes``: text that is numbered together.  ``score_tokens``: tokens that
+    are scored in step.  ``range_bytes``: text for each range of hashes."""
 
-    words: int = 512
+    words: int = 2048
     per_class: int = 64
-    hidden: int = 16
-    embed: int = 16
+    hidden: int = 24
+    embed: int = 24
     window: int = 24
     streams: int = 250
-    rate: float = 0.01
+    rate: float = 0.02
     clip: float = 1.0
     shard_tokens: int = 2_000_000
-    rounds: int = 2
-    updates: int = 300
+    round_tokens: int = 1_000_000
+    updates: int = 1200
     seed: int = 5
     batch_bytes: int = 6 << 20
     score_tokens: int = 4_000_000
-    range_bytes: int = 4 << 20
+    range_bytes: int = 7 << 20
+
+    def shards(self, tokens: int) -> tuple[int, int]:
+        """(shards, rounds) for so many training tokens."""
+        size = self.shard_tokens * max(1.0, tokens / self.shard_tokens) ** (1 / 3)
+        shards = max(1, round(tokens / size))
+        return shards, max(1, round(tokens / shards / self.round_tokens)) if shards > 1 else 1
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +124,11 @@ class Network:
         }
         self.w["ob"][k:] = -1e9
         self._held: dict[str, np.ndarray] = {}
+        self.fresh()
+
+    def fresh(self) -> None:
+        """No step made yet."""
+        self.done, self.moments = 0, {m: {k: np.zeros_like(v) for k, v in self.w.items()} for m in ("m", "v")}
 
     def room(self, name: str, *shape: int) -> np.ndarray:
         """A scratch array; the next call of the same name overwrites it."""
@@ -247,15 +259,17 @@ class Network:
         grads |= {"e": de, "x": np.matmul(gx, x).sum(0), "u": np.matmul(du, before.transpose(0, 2, 1)).sum(0), "b": gx.sum((0, 2))[:, None]}
         return -float(out.sum()), grads, last
 
-    def streams(self, size: int) -> int:
-        return max(1, min(self.params.streams, size // (2 * self.params.window)))
+    def streams(self, size: int, calls: int = 1) -> int:
+        """Streams side by side for ``size`` tokens, one of ``calls`` parts, so that all make ``updates`` steps if they can."""
+        p = self.params
+        return max(1, min(p.streams, size * calls // (p.window * p.updates), size // (2 * p.window)))
 
     def train(self, stream: np.ndarray, fresh: np.ndarray, passes: int = 1, part: tuple[int, int] = (0, 1)) -> float:
         """Adam over windows of parallel streams; ``stream`` holds symbols of whole documents, one after another.  The last pass's loss per token.
 
-        ``part`` (i, n): this is the i-th of n calls that share a falling rate."""
+        ``part`` (i, n): this is the i-th of n calls that share a falling rate; moments go on from call to call."""
         p, f = self.params, np.float32
-        streams = self.streams(len(stream))
+        streams = self.streams(len(stream), part[1])
         size = -(-len(stream) // streams)
         if size < 2:
             return 0.0
@@ -266,7 +280,6 @@ class Network:
         before = np.full((size, streams), end)
         before[1:], before[0, 1:] = grid[:-1], grid[-1, :-1]
         before[first] = end
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
         done, loss = 0, 0.0
         windows = [(a, min(a + p.window, size)) for a in range(0, size, p.window)]
         total = passes * len(windows)
@@ -279,11 +292,12 @@ class Network:
                 norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values())) / n
                 scale = f(min(1.0, p.clip / max(norm, 1e-9)) / n)
                 done += 1
-                rate = p.rate * min(1.0, done / 20) * (1 - 0.9 * (part[0] + done / total) / part[1])
-                rate, root = f(rate / (1 - 0.9**done)), f((1 - 0.99**done) ** -0.5)
+                self.done += 1
+                rate = p.rate * min(1.0, self.done / 20) * (1 - 0.9 * (part[0] + done / total) / part[1])
+                rate, root = f(rate / (1 - 0.9**self.done)), f((1 - 0.99**self.done) ** -0.5)
                 for k, g in grads.items():
                     g *= scale
-                    mean, square = moment[k]
+                    mean, square = self.moments["m"][k], self.moments["v"][k]
                     mean += f(0.1) * (g - mean)
                     g *= g
                     square += f(0.01) * (g - square)
@@ -327,16 +341,20 @@ class Network:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vocabulary=self.vocabulary, **{f"w_{k}": v for k, v in self.w.items()})
+        np.savez(out, vocabulary=self.vocabulary, done=self.done, **{f"{at}_{k}": v for at, of in (("w", self.w), *self.moments.items()) for k, v in of.items()})
         return out.getvalue()
 
     @staticmethod
     def from_bytes(raw: bytes, params: LmParams) -> Network:
         held = np.load(io.BytesIO(raw))
         net = Network(held["vocabulary"], params)
-        net.w = {k[2:]: held[k] for k in held.files if k.startswith("w_")}
+        parts = {at: {k[2:]: held[k] for k in held.files if k.startswith(f"{at}_")} for at in "wmv"}
+        net.w, net.moments, net.done = parts["w"], {"m": parts["m"], "v": parts["v"]}, int(held["done"])
         return net
 
+    def parts(self) -> list[dict[str, np.ndarray]]:
+        return [self.w, self.moments["m"], self.moments["v"]]
+
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
@@ -498,28 +516,26 @@ def ready(batches: DataFrame, counts: DataFrame, found: Corpus, net: Network) ->
     return batches.groupBy("b").cogroup(counts.groupBy("b")).applyInArrow(join, _READY.format(kind=kind))
 
 
-def train_network(net: Network, docs: DataFrame, tokens: int, shards: int) -> Network:
-    """The network after all of ``docs(shard, part, s)`` have trained it, in rounds from the mean of all shards' weights."""
+def train_network(net: Network, docs: DataFrame, shards: int, rounds: int) -> Network:
+    """The network after all of ``docs(shard, part, s)`` have trained it once: in each round every shard goes on from the means of all
+    shards' weights and moments, by tokens, with its next part."""
     params, kind, end = net.params, net.small, net.k + SHAPES
-    size = max(1, tokens // shards)
-    passes = max(1, -(-params.updates // max(1, -(-size // net.streams(size) // params.window))))
-    parts = params.rounds if shards > 1 else 1  # one shard has nothing to be averaged with
-    calls = passes * parts if shards > 1 else 1
     sc = docs.sparkSession.sparkContext
 
     def mean(found: Iterator[tuple[int, int, Network]]) -> Iterator[pa.RecordBatch]:
         """One row: the first number, all tokens, and the mean by tokens of the networks."""
-        first, total, held = 0, 0, None
+        first, total, held, sums = 0, 0, None, []
         for number, n, model in found:
             if held is None:
-                first, held = number, model
-                held.w = {k: v.astype(np.float64) * n for k, v in model.w.items()}
-            else:
-                for k, v in model.w.items():
-                    held.w[k] += v.astype(np.float64) * n
+                first, held, sums = number, model, [{k: np.zeros(v.shape) for k, v in part.items()} for part in model.parts()]
+            for into, part in zip(sums, model.parts()):
+                for k, v in part.items():
+                    into[k] += v.astype(np.float64) * n
+            held.done = max(held.done, model.done)
             total += n
         if held is not None and total:
-            held.w = {k: v / total for k, v in held.w.items()}
+            for part, into in zip(held.parts(), sums):
+                part.update({k: v / total for k, v in into.items()})
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([total], pa.int64()), pa.array([held.dump()], pa.binary())], ["at", "n", "w"])
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -532,10 +548,11 @@ def train_network(net: Network, docs: DataFrame, tokens: int, shards: int) -> Ne
             for shard, pieces in shards_of(batches):
                 s = np.frombuffer(b"".join(pieces), kind).astype(np.int64)
                 model = Network.from_bytes(raw.value, params)
-                model.train(s, np.append(True, s[:-1] == end), passes if calls == 1 else 1, (call, calls))
+                again = max(1, -(-params.updates * params.window // (len(s) * rounds)))  # more than one only where one stream alone is too short
+                model.train(s, np.append(True, s[:-1] == end), again, (call, rounds))
                 yield shard, len(s), model
 
-        rows = docs.where(F.col("part") == call % parts) if parts > 1 else docs
+        rows = docs.where(F.col("part") == call)  # a folder of its own
         rows = rows.select("shard", "s").mapInArrow(lambda batches: mean(trained(batches)), "at int, n long, w binary")
         for groups in (int(shards**0.5), 1) if shards > 1 else ():
             rows = rows.repartition(groups, F.pmod("at", F.lit(groups))).sortWithinPartitions("at").mapInArrow(means, "at int, n long, w binary")
@@ -543,11 +560,12 @@ def train_network(net: Network, docs: DataFrame, tokens: int, shards: int) -> Ne
         return bytes(got["w"]) if got else None
 
     raw = sc.broadcast(net.dump())
-    for call in range(calls):
+    for call in range(rounds):
         if (new := once(call, raw)) is None:
             continue
         net = Network.from_bytes(new, params)
-        net.w = {k: v.astype(np.float32) for k, v in net.w.items()}
+        for part in net.parts():
+            part.update({k: v.astype(np.float32) for k, v in part.items()})
         raw = sc.broadcast(net.dump())
     return net
 
@@ -571,17 +589,17 @@ def learn(docs: DataFrame, params: LmParams, id_col: str, text_col: str) -> tupl
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumns({"held_out": held_out("doc_id"), "key": F.xxhash64("doc_id", "text", F.lit(params.seed))})
     spark = docs.sparkSession
-    batches, at = written(numbered(rows, batches_of(docs, params.range_bytes), params))
+    batches, at = written(numbered(rows, batches_of(docs, params.range_bytes, text_col), params))
     counts, counts_at = written(totals(batches.where("r >= 0").select("b", "r", "h", "shape", "c"), params))
     found = corpus(counts.where("b = -1"), params)
     net = Network(found.vocabulary, params)
-    shards = max(1, round(found.tokens / params.shard_tokens))
+    shards, rounds = params.shards(found.tokens)
     table = ready(batches.where("r = -1").select("b", "ids", "held", "keys", "sizes", "places"), counts.where("b >= 0").select("b", "r", "shape", "c", "place", "h"), found, net)
-    table = table.withColumns({"shard": F.pmod("key", F.lit(shards)).cast("int"), "part": F.pmod(F.shiftrightunsigned("key", 32), F.lit(params.rounds)).cast("int")})
-    table, _ = written(table.repartitionById(shards, F.col("shard")).sortWithinPartitions("key", "doc_id"))
+    table = table.withColumns({"shard": F.pmod("key", F.lit(shards)).cast("int"), "part": F.pmod(F.shiftrightunsigned("key", 32), F.lit(rounds)).cast("int")})
+    table, _ = written(table.repartitionById(shards, F.col("shard")).sortWithinPartitions("part", "key", "doc_id"), "part")
     for path in (at, counts_at):
         discard(spark, path)
-    return found, train_network(net, table.where(~F.col("held_out")), found.tokens, shards), table
+    return found, train_network(net, table.where(~F.col("held_out")), shards, rounds), table
 
 
 def lm_scores(docs: DataFrame, params: LmParams = LmParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
