@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import HANGUL_LATIN, Scripts, tokens
@@ -68,3 +68,14 @@ def encode(rows: DataFrame, name: str, role: str, prefix: str = "", batch: int =
             yield pd.Series(out, dtype=object)
 
     return rows.select(id_col, run("text").alias("v"))
+
+
+def counted(rows: DataFrame, role: str, routes: dict[str, Column | bool] | None = None) -> tuple[DataFrame, Observation]:
+    """The rows, and what is counted while they pass to an encoder: ``rows``, and how many take each route.
+
+    ``routes`` are the conditions of named routes, such as a model's adapters; without them all rows take the route of their role.
+    Counting is part of the pass itself; the observation has its numbers once that has run."""
+    seen = Observation(f"encoded {role}")
+    named = {role: F.lit(True)} if routes is None else routes
+    counts = [F.coalesce(F.count_if(F.lit(c) if isinstance(c, bool) else c), F.lit(0)).alias(name) for name, c in named.items()]
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts), seen

@@ -52,18 +52,21 @@ def retrieval_summary(per_query: DataFrame, corpus: DataFrame, judged: DataFrame
     return rows.crossJoin(F.broadcast(sizes))  # one row
 
 
-def subgroup_report(rows: DataFrame, fields: dict[str, str], metric: str) -> DataFrame:
+def subgroup_report(rows: DataFrame, fields: dict[str, str], metric: str, seen: str | None = None) -> DataFrame:
     """``(field, bucket, n, mean, place)``: each field's strata by size, then by name; a null is the stratum ``None``.
 
+    With ``seen``, a column of numbers that grow in the rows' order, strata of one size follow their first appearance.
     One pass: each row is laid out once a field.  A field all of whose rows are ``other`` is left out.
     """
     from quillrank.functions.text import label
 
     pairs = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), label(F.col(column)).alias("bucket")) for name, column in fields.items()]))
-    groups = rows.select(pairs.alias("at"), F.col(metric).cast("double").alias("m")).groupBy("at.field", "at.bucket").agg(F.count("*").alias("n"), F.avg("m").alias("mean"))
+    first = F.col(seen) if seen else F.lit(0)
+    groups = rows.select(pairs.alias("at"), F.col(metric).cast("double").alias("m"), first.alias("seen")).groupBy("at.field", "at.bucket").agg(
+        F.count("*").alias("n"), F.avg("m").alias("mean"), F.min("seen").alias("seen"))
     by = Window.partitionBy("field")
     groups = groups.withColumn("other", F.min((F.col("bucket") == "other").cast("int")).over(by)).where("other = 0").drop("other")
-    return groups.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "bucket")))
+    return groups.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "seen", "bucket"))).drop("seen")
 
 
 def strata_intervals(rows: DataFrame, fields: dict[str, str], measures: list[str], id_col: str, iterations: int = 1000, confidence: float = 0.95, seed: str = "0") -> DataFrame:

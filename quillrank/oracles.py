@@ -155,6 +155,16 @@ SELECT n, round(mean, 9) AS mean, round(ms[25], 9) AS low, round(ms[976], 9) AS
     "subgroup_report": """WITH rows_ AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT field, bucket, count(*) AS n, avg(quality) AS mean FROM (
 SELECT 'lang' AS field, coalesce(lang, 'None') AS bucket, quality FROM rows_ UNION ALL SELECT 'source', coalesce(source, 'None'), quality FROM rows_) GROUP BY ALL)
 SELECT field, bucket, n, round(mean, 9) AS mean, row_number() OVER (PARTITION BY field ORDER BY n DESC, bucket)::int AS place FROM g""",
+    "subgroup_first_seen": """WITH rows_ AS (SELECT * FROM documents JOIN labels USING (doc_id)), g AS (SELECT field, bucket, count(*) AS n, avg(quality) AS mean, min(doc_id) AS seen FROM (
+SELECT 'tens' AS field, (doc_id % 50)::varchar AS bucket, quality, doc_id FROM rows_ UNION ALL SELECT 'ends', right(source, 1), quality, doc_id FROM rows_) GROUP BY ALL)
+SELECT field, bucket, n, round(mean, 9) AS mean, row_number() OVER (PARTITION BY field ORDER BY n DESC, seen)::int AS place FROM g""",
+    "manifest_issues": """WITH files AS (SELECT 'doc-' || doc_id AS path, doc_id, strlen(text) AS bytes, sha256(text) AS sha FROM documents WHERE text IS NOT NULL),
+claims AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'gone-' || path ELSE path END AS path, bytes + (doc_id % 13 = 0)::int AS bytes, CASE WHEN doc_id % 17 = 0 THEN sha256(sha) ELSE sha END AS sha, doc_id FROM files WHERE doc_id % 7 <> 0)
+SELECT path, 'claimed_twice' AS rule, '2' AS detail FROM claims WHERE doc_id % 19 = 0
+UNION ALL SELECT path, 'missing', '' FROM claims WHERE path NOT IN (SELECT path FROM files)
+UNION ALL SELECT path, 'unlisted', '' FROM files WHERE path NOT IN (SELECT path FROM claims)
+UNION ALL SELECT path, 'size', c.bytes || ' ' || f.bytes FROM claims c JOIN files f USING (path) WHERE c.bytes <> f.bytes
+UNION ALL SELECT path, 'digest', f.sha FROM claims c JOIN files f USING (path) WHERE c.sha <> f.sha""",
     "code_switch_strata": f"WITH {_STRATA}, kept AS (SELECT * FROM strata WHERE field IN (SELECT field FROM strata WHERE bucket <> 'other')) SELECT field, bucket, n, round(mean, 9) AS mean, row_number() OVER (PARTITION BY field ORDER BY n DESC, bucket)::int AS place FROM kept",
     "strata_intervals": f"""WITH {_PER_QUERY}, sized AS (SELECT query_id, ndcg, mrr, recall, length(text) AS chars, length(regexp_replace(text, '[^À-ÿ]+', '', 'g')) AS d, length(regexp_replace(text, '[^A-Za-z]+', '', 'g')) AS p
   FROM per_query JOIN benchmark ON item_id = query_id WHERE has_qrel),

@@ -50,6 +50,8 @@ class Retriever:
     similarity: str = "cosine"
     query_prefix: str = ""
     document_prefix: str = ""
+    #: The route that a model takes for each role, where it has more than one.
+    routes: dict[str, str] = field(default_factory=dict)
     scripts: Scripts = HANGUL_LATIN
 
     def __post_init__(self):

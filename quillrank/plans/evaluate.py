@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from dataclasses import asdict, dataclass, field, replace
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import script_level
 from quillrank.functions.vectors import normalize_lenient
 from quillrank.operators.choice import answer_rows, baselines, bm25_option_scores, choice_summary, option_rows, rank_options, vector_option_scores
-from quillrank.operators.encoding import encode, hashed_vectors
+from quillrank.operators.encoding import counted, encode, hashed_vectors
 from quillrank.operators.metrics import mixed_drop, per_query_metrics, retrieval_summary, strata_intervals
 from quillrank.operators.ranking import Bm25Params, bm25_top_k, vector_top_k
 from quillrank.operators.statistics import bootstrap_intervals
@@ -30,9 +31,14 @@ class Result:
     strata: DataFrame | None
     headline: DataFrame
     drops: DataFrame | None
+    #: What was counted on the way to the encoder, by role and route.
+    routes: dict[str, Observation] = field(default_factory=dict)
 
 
-def embed(rows: DataFrame, retriever: Retriever, role: str, id_col: str) -> DataFrame:
+def embed(rows: DataFrame, retriever: Retriever, role: str, id_col: str, routes: dict[str, Observation] | None = None) -> DataFrame:
+    """``(id, v)`` of the rows; ``routes`` takes what is counted while they are encoded."""
+    if routes is not None:
+        rows, routes[role] = counted(rows, role, {retriever.routes.get(role, role): True})
     prefix = retriever.query_prefix if role == "query" else retriever.document_prefix
     if retriever.encoder == "hashing":
         named = rows.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(prefix), F.coalesce("text", F.lit(""))).alias("text"))
@@ -42,11 +48,11 @@ def embed(rows: DataFrame, retriever: Retriever, role: str, id_col: str) -> Data
     return out.withColumn("v", normalize_lenient(F.col("v"))) if retriever.normalize else out
 
 
-def search(corpus: DataFrame, queries: DataFrame, k: int, retriever: Retriever) -> DataFrame:
+def search(corpus: DataFrame, queries: DataFrame, k: int, retriever: Retriever, routes: dict[str, Observation] | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank)`` by the configured retriever."""
     if retriever.type == "bm25":
         return bm25_top_k(corpus.select("doc_id", "text"), queries.select("query_id", "text"), k, Bm25Params(retriever.k1, retriever.b, retriever.tokenizer, retriever.scripts))
-    return vector_top_k(embed(corpus, retriever, "passage", "doc_id"), embed(queries, retriever, "query", "query_id"), k, retriever.similarity)
+    return vector_top_k(embed(corpus, retriever, "passage", "doc_id", routes), embed(queries, retriever, "query", "query_id", routes), k, retriever.similarity)
 
 
 def _strata(rows: DataFrame, fields: tuple[str, ...], thresholds: tuple[int, ...], measures: list[str], by: str, bootstrap: Bootstrap) -> DataFrame | None:
@@ -68,27 +74,28 @@ def _finish(rows: DataFrame, per_query: DataFrame, summary: DataFrame, task: Tas
 
 
 def evaluate_retrieval(tables: TaskTables, task: Task, cutoffs: Cutoffs = Cutoffs(), bootstrap: Bootstrap = Bootstrap()) -> Result:
-    ranked = search(tables.corpus, tables.queries, cutoffs.k, task.retriever)
+    routes: dict[str, Observation] = {}
+    ranked = search(tables.corpus, tables.queries, cutoffs.k, task.retriever, routes)
     per_query = per_query_metrics(tables.queries, ranked, tables.qrels, tables.judged, cutoffs.ndcg, cutoffs.mrr, cutoffs.recall).cache()  # read by all that follows
     scored = per_query.where("has_qrel").join(tables.queries, "query_id")
-    return _finish(scored, per_query, retrieval_summary(per_query, tables.corpus, tables.judged), task, task.headline, ["ndcg", "mrr", "recall"], bootstrap, "query_id")
+    return replace(_finish(scored, per_query, retrieval_summary(per_query, tables.corpus, tables.judged), task, task.headline, ["ndcg", "mrr", "recall"], bootstrap, "query_id"), routes=routes)
 
 
 def evaluate_choices(questions: DataFrame, task: Task, bootstrap: Bootstrap = Bootstrap()) -> Result:
     options = option_rows(questions)
-    r = task.retriever
+    r, routes = task.retriever, {}
     if r.type == "bm25":
         scores = bm25_option_scores(questions, Bm25Params(r.k1, r.b, r.tokenizer, r.scripts))
     else:
-        asked = embed(questions.select(F.col("question_id").alias("query_id"), "text"), r, "query", "query_id")
+        asked = embed(questions.select(F.col("question_id").alias("query_id"), "text"), r, "query", "query_id", routes)
         named = options.select(F.concat_ws("\u0001", "question_id", "idx").alias("doc_id"), F.col("option").alias("text"), "question_id", "idx")
-        held = embed(named, r, "passage", "doc_id").join(named.drop("text"), "doc_id").groupBy("question_id").agg(
+        held = embed(named, r, "passage", "doc_id", routes).join(named.drop("text"), "doc_id").groupBy("question_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("idx", "v"))), lambda x: x["v"]).alias("option_vectors"))  # a question's options
         scores = vector_option_scores(asked.select(F.col("query_id").alias("question_id"), "v").join(held, "question_id"), r.similarity)
     per_query = answer_rows(rank_options(options, scores)).join(baselines(questions), "question_id").withColumn("query_id", F.col("question_id").cast("string")).cache()
     metric = "reciprocal_rank" if task.headline == "mrr" else "correct"
     rows = per_query.withColumn("correct", F.col("correct").cast("int")).join(questions.drop("text", "options", "answer_index", "query"), "question_id")
-    return _finish(rows, per_query, choice_summary(per_query), task, metric, ["correct", "reciprocal_rank"], bootstrap, "question_id")
+    return replace(_finish(rows, per_query, choice_summary(per_query), task, metric, ["correct", "reciprocal_rank"], bootstrap, "question_id"), routes=routes)
 
 
 def run_task(spark: SparkSession, task: Task, evaluation: Evaluation) -> Result:
@@ -105,6 +112,7 @@ def run(spark: SparkSession, evaluation: Evaluation, folder: str | Path) -> dict
     tasks, skipped = evaluation.runnable()
     out: dict = {"skipped": [{"task": n, "reason": r} for n, r in skipped], "tasks": {}}
     for task in tasks:
+        began = time.monotonic()
         result = run_task(spark, task, evaluation)
         at = Path(folder) / task.name
         write_per_query(result.per_query, str(at / "per_query"))
@@ -113,6 +121,9 @@ def run(spark: SparkSession, evaluation: Evaluation, folder: str | Path) -> dict
         strata = [r.asDict() for r in result.strata.orderBy("field", "place", "metric").collect()] if result.strata is not None else []
         block["strata"] = strata
         block["mixed_drop"] = [r.asDict() for r in result.drops.collect()] if result.drops is not None else []
+        block["route_counts"] = {role: dict(seen.get) for role, seen in sorted(result.routes.items())}
+        block["config"] = {k: v for k, v in asdict(task).items() if k != "settings"} | {"settings": {k: v for k, v in task.settings.items() if isinstance(v, str | int | float | bool)}}
+        block["seconds"] = round(time.monotonic() - began, 3)
         write_json(at / "summary.json", block)
         shown = [r for r in strata if r["place"] <= 20]
         (at / "report.md").write_text(f"# {task.name}\n\n" + (markdown_table(shown, ["field", "bucket", "metric", "n", "mean", "low", "high"]) if shown else ""), encoding="utf-8")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillrank.functions import text as T
 from quillrank.functions import vectors as V
-from quillrank.operators import batching, choice, comparison, containment, encoding, metrics, ranking, statistics
+from quillrank.operators import batching, choice, comparison, containment, encoding, manifests, metrics, ranking, statistics
 from quillrank.sources.files import numbered_in_order, union_all
 from quillrank.sources.sinks import digest_levels
 from quillrank.sources.tasks import pairs_tables
@@ -224,6 +224,23 @@ def subgroup_report(spark, sf_dir):
     return metrics.subgroup_report(_labelled(spark, sf_dir), {"lang": "lang", "source": "source"}, "quality").withColumn("mean", F.round("mean", 9))
 
 
+def subgroup_first_seen(spark, sf_dir):
+    """Strata of few sizes, so that many tie: a label's last characters, in the order in which they appear."""
+    rows = _labelled(spark, sf_dir).withColumns({"tens": (F.col("doc_id") % 50).cast("string"), "ends": F.substring("source", -1, 1)})
+    return metrics.subgroup_report(rows, {"tens": "tens", "ends": "ends"}, "quality", "doc_id").withColumn("mean", F.round("mean", 9))
+
+
+def manifest_issues(spark, sf_dir):
+    """Documents as files whose claims are wrong in every way: some lack, some are too many, doubled, of another size or digest."""
+    size, digest = F.octet_length(F.col("text")).cast("long"), F.sha2(F.col("text").cast("binary"), 256)
+    docs = _read(spark, sf_dir, "documents").where("text is not null").select(F.concat(F.lit("doc-"), F.col("doc_id")).alias("path"), "doc_id", size.alias("bytes"), digest.alias("sha256"))
+    claims = docs.where("doc_id % 7 <> 0").select(
+        F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("gone-"), "path")).otherwise(F.col("path")).alias("path"), (F.col("bytes") + F.when(F.col("doc_id") % 13 == 0, 1).otherwise(0)).alias("bytes"),
+        F.when(F.col("doc_id") % 17 == 0, F.sha2(F.col("sha256"), 256)).otherwise(F.upper("sha256")).alias("sha256"), F.when(F.col("doc_id") % 19 == 0, 2).otherwise(1).alias("times"))
+    claims = claims.select("path", "bytes", "sha256", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("i")).drop("i")
+    return manifests.manifest_issues(claims, docs.select("path", "bytes", "sha256"))
+
+
 def _script_strata(spark, sf_dir) -> DataFrame:
     dense, plain = T.script_counts(F.col("text"), T.ACCENTED_LATIN)
     rows = _labelled(spark, sf_dir).select("quality", dense.alias("d"), plain.alias("p"))
@@ -408,7 +425,7 @@ def frozen_sampler_order(spark, sf_dir):
 _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
-    subgroup_report, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
+    subgroup_report, subgroup_first_seen, manifest_issues, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
     zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, ordered_digest_levels, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 

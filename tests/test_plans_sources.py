@@ -328,3 +328,56 @@ def test_staged_output_appears_whole_or_not_at_all(spark, tmp_path):
     assert folders.read_text(spark, f"{tmp_path}/out/note") == "é"
     with pytest.raises(FileExistsError), folders.staged(spark, str(tmp_path / "out")):
         pass
+
+
+def test_routes_are_counted_while_rows_are_encoded(spark):
+    from pyspark.sql import functions as F
+
+    from quillrank.operators import encoding
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def encode(texts, role):
+            calls.add(len(texts))
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return encode
+
+    encoding.register_encoder("lengths", factory)
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(25)], "doc_id long, text string").repartition(3)
+    watched, seen = encoding.counted(rows, "passage", {"short": F.length("text") < 10, "long": F.length("text") >= 10})
+    assert len(encoding.encode(watched, "lengths", "passage").collect()) == 25
+    assert seen.get == {"rows": 25, "short": 10, "long": 15} and calls.value == 25  # no second scan
+    plain, seen = encoding.counted(rows.limit(0), "query")
+    plain.collect()
+    assert seen.get == {"rows": 0, "query": 0}
+
+
+def test_summary_has_routes_settings_and_time(spark, tmp_path):
+    corpus = lines(tmp_path / "c.jsonl", [{"doc_id": f"d{i}", "text": f"alpha {i} beta"} for i in range(6)])
+    queries = lines(tmp_path / "q.jsonl", [{"query_id": "q1", "text": "alpha 1", "split": "dev"}, {"query_id": "q2", "text": "beta 2", "split": "dev"}])
+    (tmp_path / "qrels.tsv").write_text("query_id\tdoc_id\trelevance\nq1\td1\t1\nq2\td2\t1\n")
+    task = {"name": "dense", "type": "retrieval", "split": "dev", "corpus_paths": [corpus], "queries_path": queries, "qrels_path": str(tmp_path / "qrels.tsv"), "retriever": {"type": "dense", "dim": 32, "routes": {"query": "ask"}}}
+    evaluation = compile_config({"tasks": [task], "bootstrap": {"iterations": 20}})
+    block = evaluate.run(spark, evaluation, tmp_path / "out")["tasks"]["dense"]
+    assert block["route_counts"] == {"passage": {"rows": 6, "passage": 6}, "query": {"rows": 2, "ask": 2}}
+    assert block["seconds"] > 0 and block["config"]["retriever"]["dim"] == 32 and block["config"]["settings"]["queries_path"] == queries
+    assert json.loads((tmp_path / "out" / "dense" / "summary.json").read_text())["route_counts"]["query"]["ask"] == 2
+
+
+def test_manifest_of_a_tree(spark, tmp_path):
+    from hashlib import sha256
+
+    from quillrank.operators import manifests
+
+    for name, body in (("a.txt", b"one"), ("sub/b.bin", b"two\0"), ("sub/deep/c", b""), ("extra", b"x")):
+        (tmp_path / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / name).write_bytes(body)
+    found = manifests.tree_manifest(spark, f"file://{tmp_path}/t")
+    assert {(r["path"], r["bytes"], r["sha256"]) for r in found.collect()} == {(n, len(b), sha256(b).hexdigest()) for n, b in (("a.txt", b"one"), ("sub/b.bin", b"two\0"), ("sub/deep/c", b""), ("extra", b"x"))}
+    claims = spark.createDataFrame([("a.txt", 3, sha256(b"one").hexdigest().upper()), ("sub/b.bin", 5, "0"), ("sub/deep/c", None, None), ("sub/deep/c", None, None), ("lost", 1, None)], "path string, bytes long, sha256 string")
+    with pytest.raises(comparison.EvidenceError) as error:
+        manifests.require_manifest(claims, found)
+    assert error.value.issues == ["extra: unlisted", "lost: missing", f"sub/b.bin: digest {sha256(bytes([116, 119, 111, 0])).hexdigest()}", "sub/b.bin: size 5 4", "sub/deep/c: claimed_twice 2"]
+    manifests.require_manifest(found, found)

@@ -198,3 +198,25 @@ def test_containment(spark):
     docs_ = frame(spark, list(enumerate(texts)) + [(999, None)], "doc_id long, text string")
     got = {tuple(r) for r in containment_pairs(docs_, frame(spark, list(enumerate(asked)), "query_id long, text string")).collect()}
     assert got == {(q, d) for q, p in enumerate(asked) for d, t in enumerate(texts) if p in t}
+
+
+def test_containment_of_passages_of_every_length(spark, monkeypatch):
+    """One piece to many, with empty pieces and pieces that are parts of words: all pairs as a plain search gives them."""
+    import random
+
+    from quillrank.operators import containment
+
+    rng = random.Random(6)
+    words = ["aa", "ab", "b", "abc", "", "c", "ba"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12)))) for i in range(120)] + [(500, None)]
+    passages = [(f"p{i}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 9)))) for i in range(90)]
+    want = {(p, d) for p, x in passages for d, t in docs if t is not None and x in t}
+    monkeypatch.setattr(containment, "SHORT_BLOCK", 20)
+    got = containment.containment_pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(passages, "query_id string, text string")).collect()
+    assert len(got) == len(want) > 500 and {(r["query_id"], r["doc_id"]) for r in got} == want
+
+
+def test_strata_by_first_appearance(spark):
+    rows = spark.createDataFrame([(3, "z", 1.0), (1, "y", 0.0), (2, "a", 1.0), (4, "a", 1.0), (5, "z", 0.0), (6, None, 1.0)], "at int, f string, m double").repartition(3)
+    got = metrics.subgroup_report(rows, {"f": "f"}, "m", "at").orderBy("place").collect()
+    assert [(r["bucket"], r["n"]) for r in got] == [("a", 2), ("z", 2), ("y", 1), ("None", 1)] and got[0].asDict().keys() == {"field", "bucket", "n", "mean", "place"}
