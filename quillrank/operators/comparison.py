@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,6 +102,35 @@ def selection(metrics: DataFrame, order: DataFrame, ineligible: list[str], crite
     return rows.select("model_key", "eligible", F.when(F.col("eligible"), F.col("place")).alias("place"), F.when(F.col("eligible"), F.col("tied_on")).alias("tied_on"))
 
 
+def selection_trace(metrics: DataFrame, order: DataFrame, ineligible: list[str], criteria: tuple[str, ...] = ("correct_count", "exam_mrr", "ndcg")) -> DataFrame:
+    """``(step, criterion, best, remaining, model_key)``: how the selection came about, a row for each model that a step leaves.
+
+    Step 0 leaves the eligible models, each further step those of the best value among what the step before left, and the last the
+    first as they were given.  ``order(model_key, position)``."""
+    left = metrics.join(order, "model_key").where(~F.col("model_key").isin(*ineligible) if ineligible else F.lit(True))
+    every = Window.partitionBy(F.lit(0))  # a row for each model
+    parts = []
+    for step, c in enumerate([None, *criteria, "position"]):
+        if c is not None:
+            best = F.min(c) if c == "position" else F.max(c)
+            left = left.withColumn("_best", best.over(every)).where(F.col(c).eqNullSafe(F.col("_best")))
+        value = (F.col("_best") if c else F.lit(None)).cast("double")
+        rows = left.withColumn("_n", F.count("*").over(every))
+        parts.append(rows.select(F.lit(step).alias("step"), F.lit(c or "eligible").alias("criterion"), value.alias("best"), F.col("_n").cast("int").alias("remaining"), "model_key"))
+        left = left.drop("_best")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def wide_pairs(pairs: DataFrame, intervals: DataFrame) -> DataFrame:
+    """One row a pair: discordant counts with their p-value, then mean, ends and whether zero is between them for each metric; metrics
+    that were not resampled are null."""
+    names = [*EXAM_VALUES, *PASSAGE_VALUES]
+    cells = {"diff": "mean", "low": "low", "high": "high", "crosses_zero": "crosses_zero"}
+    held = intervals.groupBy("model_a", "model_b").agg(*[F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{name}") for m in names for name, c in cells.items()])
+    counts = pairs.select("model_a", "model_b", (F.col("both") + F.col("only_a") + F.col("only_b") + F.col("neither")).alias("n"), "only_a", "only_b", "p_value")
+    return counts.join(held, ["model_a", "model_b"], "left")
+
+
 def model_pairs(evidence: DataFrame, value: str) -> DataFrame:
     """``(model_a, model_b, id, a, b)`` of every unordered pair of models on the ids that both have."""
     held = evidence.groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.struct(F.col("model_key").alias("m"), F.col(value).alias("v"))).alias("ms"))  # a query's models

@@ -197,6 +197,12 @@ f AS (SELECT k, 'doc-' || row_number() OVER (ORDER BY min(seq)) AS doc_id FROM k
     "model_selection": f"""WITH {_CHOICES}, r AS (SELECT e.model_key, e.model_key <> 'bm25_flat' AS eligible, correct_count, round(exam_mrr, 9) AS exam_mrr, CASE e.model_key WHEN 'bm25' THEN 0 WHEN 'bm25_flat' THEN 1 ELSE 2 END AS pos FROM exact e),
 w AS (SELECT *, row_number() OVER o AS place, lag(correct_count) OVER o AS pc, lag(exam_mrr) OVER o AS pm FROM r WINDOW o AS (PARTITION BY eligible ORDER BY correct_count DESC, exam_mrr DESC, pos))
 SELECT model_key, eligible, CASE WHEN eligible THEN place ELSE 0 END::int AS place, CASE WHEN NOT eligible THEN 0 WHEN place = 1 OR correct_count <> pc THEN 0 WHEN exam_mrr <> pm THEN 1 ELSE 2 END::int AS tied_on FROM w""",
+    "selection_trace": f"""WITH {_CHOICES}, r AS (SELECT model_key, correct_count, round(exam_mrr, 9) AS exam_mrr, CASE model_key WHEN 'bm25' THEN 0 ELSE 2 END AS pos FROM exact WHERE model_key <> 'bm25_flat'),
+r1 AS (SELECT *, max(correct_count) OVER () AS best FROM r QUALIFY correct_count = max(correct_count) OVER ()), r2 AS (SELECT * REPLACE (max(exam_mrr) OVER () AS best) FROM r1 QUALIFY exam_mrr = max(exam_mrr) OVER ()),
+r3 AS (SELECT * REPLACE (min(pos) OVER () AS best) FROM r2 QUALIFY pos = min(pos) OVER ())
+SELECT 0::int AS step, 'eligible' AS criterion, NULL::double AS best, (count(*) OVER ())::int AS remaining, model_key FROM r
+UNION ALL SELECT 1, 'correct_count', best::double, (count(*) OVER ())::int, model_key FROM r1 UNION ALL SELECT 2, 'exam_mrr', best::double, (count(*) OVER ())::int, model_key FROM r2
+UNION ALL SELECT 3, 'position', best::double, (count(*) OVER ())::int, model_key FROM r3""",
     "zero_shot_deltas": f"WITH {_CHOICES} SELECT e.model_key, round(e.accuracy - b.accuracy, 9) + 0.0::double AS accuracy_delta, round(e.exam_mrr - b.exam_mrr, 9) + 0.0::double AS exam_mrr_delta FROM exact e, (SELECT * FROM exact WHERE model_key = 'bm25') b",
     "pairwise_discordant": f"""WITH {_CHOICES} SELECT model_a, model_b, "both", only_a, only_b, neither, round(p_value, 9) AS p_value FROM tests""",
     "paired_bootstrap": f"""WITH {_CHOICES}, vals AS (SELECT a.model_key AS model_a, b.model_key AS model_b, '' AS metric, row_number() OVER (PARTITION BY a.model_key, b.model_key ORDER BY query_id) - 1 AS place,
@@ -229,3 +235,7 @@ SELECT event_type, min(place) AS first, count(*) AS size, count(*) FILTER (fresh
     "frozen_sampler_order": """WITH d AS (SELECT doc_id, doc_id // 32 AS number FROM documents), s AS (SELECT number, row_number() OVER (ORDER BY sha256('sampler|1' || chr(0) || number || chr(0)), number) AS step FROM (SELECT DISTINCT number FROM d))
 SELECT doc_id, number, step FROM d JOIN s USING (number)""",
 }
+
+_CELLS = ", ".join(f"max({value}) FILTER (WHERE i.metric = '{m}') AS {m}_{name}" for m in ("accuracy", "exam_mrr") for name, value in (("diff", "mean"), ("low", "low"), ("high", "high"), ("crosses_zero", "crosses_zero")))
+ORACLES["wide_pairs"] = f"""WITH i AS ({ORACLES['paired_intervals']}), t AS ({ORACLES['pairwise_discordant']})
+SELECT model_a, model_b, "both" + only_a + only_b + neither AS n, only_a, only_b, p_value, {_CELLS} FROM t JOIN i USING (model_a, model_b) GROUP BY ALL"""

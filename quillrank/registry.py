@@ -332,6 +332,19 @@ def model_selection(spark, sf_dir):
     return chosen.select("model_key", "eligible", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("place", "tied_on")])  # 0: not eligible
 
 
+def selection_trace(spark, sf_dir):
+    rows = comparison.exact_metrics(_choices(spark, sf_dir)).withColumn("exam_mrr", F.round("exam_mrr", 9))
+    return comparison.selection_trace(rows, _order(spark), ["bm25_flat"], ("correct_count", "exam_mrr"))
+
+
+def wide_pairs(spark, sf_dir):
+    choices = _choices(spark, sf_dir).cache()  # a row a question and model, read for pairs and intervals
+    pairs = statistics.discordant_pairs(comparison.model_pairs(choices, "correct"), ["model_a", "model_b"]).withColumn("p_value", F.round("p_value", 9))
+    intervals = comparison.paired_intervals(choices).withColumns({c: F.round(c, 9) + 0.0 for c in ("mean", "low", "high")})
+    out = comparison.wide_pairs(pairs, intervals)
+    return out.select(*[c for c in out.columns if not c.startswith(tuple(comparison.PASSAGE_VALUES))])  # the tables have no passages judged for several models
+
+
 def zero_shot_deltas(spark, sf_dir):
     rows = comparison.exact_metrics(_choices(spark, sf_dir))
     base = rows.where("model_key = 'bm25'").drop("model_key").crossJoin(_order(spark).select("model_key"))  # one row with each model
@@ -425,7 +438,7 @@ def frozen_sampler_order(spark, sf_dir):
 _QUERIES = (
     bm25_topk, bm25_topk_bigram, bm25_topk_joined, bm25_idf, bm25_doc_len, bm25_corpus_stats, tok_whitespace_tf, tok_bigram_tf, text_clean, text_norm_key, script_levels, hashed_encoding,
     dense_cosine_topk, dense_dot_topk, l2_normalize_vectors, dense_label_metrics, mnrl_batch_loss, qrels_by_containment, ndcg_mrr_recall_per_query, retrieval_summary, bootstrap_ci, percentile_forms,
-    subgroup_report, subgroup_first_seen, manifest_issues, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection,
+    subgroup_report, subgroup_first_seen, manifest_issues, code_switch_strata, strata_intervals, mixed_drop, mcq_rank, mcq_longest_baseline, mcq_summary, dense_mcq_rank, pairs_task_corpus, pairs_task_qrels, exam_exact_metrics, model_selection, selection_trace, wide_pairs,
     zero_shot_deltas, pairwise_discordant, paired_bootstrap, paired_intervals, holm_adjusted, validate_evidence, quarantine_reasons, collision_pairs, round_robin_order, length_stats, token_length_stats, token_length_gaps, ordered_digest_levels, pack_batches,
     pack_batches_violations, contiguous_groups, frozen_sampler_order)
 

@@ -186,6 +186,37 @@ def test_compare_end_to_end(spark, tmp_path, capsys):
     assert capsys.readouterr().err.splitlines() == ["c: no summary", "a: license_label is 'free'", "a: scores.ndcg has the withdrawn value 0.25", "b: frozen seed is 2, not 1", "b: scores.ndcg has the withdrawn value 0.25"]
 
 
+def test_comparison_has_deltas_trace_and_wide_pairs(spark, tmp_path):
+    import csv
+
+    def candidate(name, right, ndcg):
+        exam, passage = tmp_path / f"{name}_exam.tsv", tmp_path / f"{name}_passage.tsv"
+        exam.write_text("query_id\tcorrect\trank\treciprocal_rank\tlongest_option_hit\trandom_hit\n" + "".join(f"q{i}\t{i in right}\t{1 if i in right else 2}\t{1.0 if i in right else 0.5}\t0\t0.2\n" for i in range(8)))
+        passage.write_text("query_id\tndcg\tmrr\trecall\tunjudged_in_top\n" + "".join(f"p{i}\t{ndcg}\t0.5\t1.0\t0\n" for i in range(4)))
+        return {"exam_per_query_path": str(exam), "passage_per_query_path": str(passage)}
+
+    candidates = {"a": candidate("a", set(range(8)), 0.9), "b": candidate("b", {0, 1, 2}, 0.5), "c": candidate("c", {0, 1, 2}, 0.7), "d": candidate("d", {0, 1, 2}, 0.7)}
+    base = {m: {"accuracy": 0.25, "ndcg": 0.5} for m in candidates}
+    summaries = {m: {"model_key": m, "resources": {"seconds": 5, "peak_mb": 7}} if m == "b" else {"model_key": m} for m in candidates}
+    report = compare.compare(spark, candidates, ["a"], summaries=summaries, resampling=comparison.Resampling(30), output=tmp_path / "out", baselines=base)
+    assert [(d["model_key"], d["accuracy_delta"], round(d["ndcg_delta"], 9)) for d in report["deltas"]] == [("a", 0.75, 0.4), ("b", 0.125, 0.0), ("c", 0.125, 0.2), ("d", 0.125, 0.2)]
+    steps = {}
+    for r in report["trace"]:
+        steps.setdefault((r["step"], r["criterion"], r["best"], r["remaining"]), []).append(r["model_key"])
+    assert steps == {(0, "eligible", None, 3): ["b", "c", "d"], (1, "correct_count", 3.0, 3): ["b", "c", "d"], (2, "exam_mrr", 0.6875, 3): ["b", "c", "d"], (3, "ndcg", 0.7, 2): ["c", "d"], (4, "position", 2.0, 1): ["c"]}
+    assert report["winner"] == "c" and report["resources"] == [{"model_key": "b", "seconds": 5, "peak_mb": 7}]
+    with open(tmp_path / "out" / "pairs_wide.csv", encoding="utf-8") as file:
+        rows = list(csv.DictReader(file))
+    held = {(r["model_a"], r["model_b"], r["metric"]): r for r in report["intervals"]}
+    assert len(rows) == 6 and len(rows[0]) == 26
+    for r in rows:
+        for m in ("accuracy", "exam_mrr", "ndcg", "mrr", "recall"):
+            one = held[r["model_a"], r["model_b"], m]
+            assert (float(r[f"{m}_diff"]), float(r[f"{m}_low"]), r[f"{m}_crosses_zero"]) == (one["mean"], one["low"], str(one["crosses_zero"]))
+    with pytest.raises(comparison.EvidenceError, match="d: no baseline"):
+        compare.compare(spark, candidates, baselines={m: base[m] for m in "abc"}, resampling=comparison.Resampling(10))
+
+
 def test_search_command(spark, tmp_path, capsys):
     corpus = lines(tmp_path / "c.jsonl", [{"id": "a", "text": "폐렴 항생제"}, {"id": "b", "text": "심근경색"}])
     assert cli.main(["search", "--query", "폐렴", "--corpus", corpus, "--top-k", "1"]) == 0
