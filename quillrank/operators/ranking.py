@@ -73,11 +73,16 @@ def idf(df: Column, n: Column) -> Column:
 
 def inverse_frequencies(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """``(term, df, idf)`` from a row for each document and term that it has."""
-    counts = frequencies.groupBy("term").agg(F.count("*").alias("df"))
+    return inverse_from_counts(frequencies.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def inverse_from_counts(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """``(term, df, idf)`` from ``(term, df)``."""
     return counts.crossJoin(F.broadcast(stats)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))  # one row of stats
 
 
-def _weight(params: Bm25Params) -> Column:
+def document_weight(params: Bm25Params) -> Column:
+    """A posting's BM25 weight from ``idf``, ``tf``, ``dl`` and ``avg_len``."""
     norm = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
     return F.col("idf") * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * norm))
 
@@ -106,7 +111,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Pa
     asked = query_terms(queries, params)
     postings, stats = numbered_postings(docs, params, asked.select("term").distinct())
     weights = inverse_frequencies(postings, stats)
-    rated = postings.join(weights, "term").crossJoin(F.broadcast(stats)).select("term", "row", "doc_id", _weight(params).alias("w"))  # one row of stats
+    rated = postings.join(weights, "term").crossJoin(F.broadcast(stats)).select("term", "row", "doc_id", document_weight(params).alias("w"))  # one row of stats
     return asked.join(rated, "term").groupBy("query_id", "row", "doc_id").agg(F.sum("w").alias("score")).drop("row")
 
 

@@ -412,3 +412,44 @@ def test_manifest_of_a_tree(spark, tmp_path):
         manifests.require_manifest(claims, found)
     assert error.value.issues == ["extra: unlisted", "lost: missing", f"sub/b.bin: digest {sha256(bytes([116, 119, 111, 0])).hexdigest()}", "sub/b.bin: size 5 4", "sub/deep/c: claimed_twice 2"]
     manifests.require_manifest(found, found)
+
+
+def test_index_follows_arriving_documents(spark, tmp_path):
+    """After each batch, a repeated one and one that failed half way too, scores are those of all documents so far at once."""
+    import random
+    import shutil
+
+    from quillrank.operators.ranking import Bm25Params, bm25_top_k
+    from quillrank.streaming.arriving import GrowingIndex, follow
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    params = Bm25Params(mode="whitespace")
+    queries = spark.createDataFrame([(f"q{i}", " ".join(rng.sample(words, 3))) for i in range(6)], "query_id string, text string")
+    parts = [[(f"d{rng.randrange(40)}", " ".join(rng.choices(words, k=rng.randrange(0, 15)))) for _ in range(n)] for n in (7, 12, 1, 9, 15)]
+    index = GrowingIndex(spark, str(tmp_path / "index"), params, compact_every=2)
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in df.collect())
+    assert index.top_k(queries, 5).count() == 0
+    so_far = []
+    for number, part in enumerate(parts[:4]):
+        frame = spark.createDataFrame(part, "doc_id string, text string")
+        index.add(frame, number)
+        if number == 1:
+            index.add(frame, number)  # repeated
+        if number == 2:
+            (tmp_path / "index" / "done" / "2").unlink()  # failed before its mark
+            shutil.rmtree(tmp_path / "index" / "stats" / "batch=2")
+            index.add(frame.repartition(3), number)
+        so_far += part
+        assert rows(index.top_k(queries, 5)) == rows(bm25_top_k(spark.createDataFrame(so_far, "doc_id string, text string"), queries, 5, params))
+    assert index.last() == 3 and len(list((tmp_path / "index" / "summed").glob("upto=*"))) == 2
+    # The same as a stream of files, two batches of one file each.
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate(parts[:2]):
+        lines(tmp_path / "in" / f"{i}.json", [{"doc_id": a, "text": b} for a, b in part])
+    stream = spark.readStream.schema("doc_id string, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    streamed = GrowingIndex(spark, str(tmp_path / "streamed"), params)
+    query = follow(stream, streamed, str(tmp_path / "ck"))
+    query.processAllAvailable()
+    query.stop()
+    assert rows(streamed.top_k(queries, 5)) == rows(bm25_top_k(spark.createDataFrame(parts[0] + parts[1], "doc_id string, text string"), queries, 5, params))
