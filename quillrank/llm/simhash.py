@@ -15,7 +15,7 @@ index, and 2,048 bits over shingles, from whose angle similarity is verified.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -32,6 +32,8 @@ MAX_BITS = 3
 MIN_SHARED_BYTES = 8 - MAX_BITS
 #: Postings up to this size are walked at once; larger ones are first divided by groups of their varying bits.
 POSTING_BLOCK = 2048
+#: Texts of a family that one task holds; larger families are divided, and each two parts meet in a task.
+FAMILY_ROWS = 16_384
 #: Groups of a wide print's index; its bytes, and those of its shingles' part.
 GROUPS, SHINGLE_BYTES = 8, 256
 WIDE_BYTES = 8 * GROUPS
@@ -177,14 +179,14 @@ def near_links(fps: DataFrame) -> DataFrame:
     return postings.mapInArrow(lambda batches: _of_postings(batches, ["block", "key"], links), "src long, dst long")
 
 
-def _of_postings(batches: Iterator[pa.RecordBatch], keys: list[str], links: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], names: Sequence[str] = ("src", "dst")) -> Iterator[pa.RecordBatch]:
-    """Links of each posting, in columns ``names``; rows come sorted by ``keys``, and a posting that goes on in the next batch is held in parts."""
+def _of_postings(batches: Iterator[pa.RecordBatch], keys: list[str], links: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Links of each posting; rows come sorted by ``keys``, and a posting that goes on in the next batch is held in parts."""
     held: list[pa.RecordBatch] = []
 
     def emit(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(links(pa.Table.from_batches(parts)))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], list(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["src", "dst"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -273,12 +275,11 @@ def band(similarity: float, spread: float = 6.0, wide: float = 4.0) -> tuple[int
 
 
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(src, dst, sure)`` among ``classes(node, p)`` of distinct prints.
+    """Spanning links ``(src, dst)`` among ``classes(node, p)`` of distinct prints that are perhaps alike.
 
     Postings first hold eight bytes a print, their group's; only prints that share enough of them with another go there again,
-    to the same posting, with their shingles' bits.  Sure links are spanning ones; a pair that is perhaps alike leaves a posting
-    if sure links do not join it there."""
-    sure, perhaps = band(similarity)
+    to the same posting, with their shingles' bits."""
+    perhaps = band(similarity)[1]
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = np.array([[8 * g + i for i in block] for g in range(GROUPS) for block in BLOCKS])
@@ -307,36 +308,22 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         group = (table.column("key")[0].as_py() >> 32) // len(BLOCKS)
         g, shingles = np.ascontiguousarray(p[:, 8 * group : 8 * group + 8]), np.ascontiguousarray(p[:, WIDE_BYTES:]).view(np.uint64)
 
-        def near(some: np.ndarray, others: np.ndarray, most: int = sure) -> np.ndarray:
+        def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
             out = shared(g, some, others)
             a, b = np.nonzero(out)
             for at in range(0, len(a), 1 << 14):
                 i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-                out[i, j] = np.bitwise_count(shingles[some[i]] ^ shingles[others[j]]).sum(1, dtype=np.int32) <= most
+                out[i, j] = np.bitwise_count(shingles[some[i]] ^ shingles[others[j]]).sum(1, dtype=np.int32) <= perhaps
             return out
 
         a, b = _walk(table.num_rows, near)
         node = table.column("node").to_numpy()
-        yield node[a], node[b], np.ones(len(a), bool)
-        of = np.arange(table.num_rows)
-        of[a] = b  # the walk's roots are roots
-        # Pairs across those classes: all but the largest class against all.
-        root, size = np.unique(of, return_counts=True)
-        rest = np.flatnonzero(of != root[size.argmax()])
-        every = np.arange(table.num_rows)
-        for at in range(0, len(rest), 256):
-            some = rest[at : at + 256]
-            for start in range(0, len(every), 4096):
-                others = every[start : start + 4096]
-                i, j = np.nonzero(near(some, others, perhaps) & (of[some][:, None] != of[others]))
-                if len(i):
-                    yield node[some[i]], node[others[j]], np.zeros(len(i), bool)
+        yield node[a], node[b]
 
     index = classes.select("node", F.substring("p", 1, WIDE_BYTES).alias("p")).mapInArrow(posted, "key long, node long, g long")
     there = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], met), "src long, dst long")
     again = there.select(F.col("src").alias("key"), F.col("dst").alias("node")).join(classes.select("node", "p"), "node").select("key", "node", "p")
-    found = again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links, ["src", "dst", "sure"]), "src long, dst long, sure boolean")
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "sure").distinct()
+    return again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links), "src long, dst long").distinct()
 
 
 def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -354,31 +341,62 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.select("x", "text").mapInArrow(run, "x long, s binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose sets of shingles have the similarity; ``nodes(node, x)`` and ``texts(x, text)`` give the sets."""
-    asked = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes, "node")
-    found = texts.join(asked.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))
-    sets = cut(asked.join(shingle_sets(found, shingle), "x").select("node", "s"))
+def exact_links(bits: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) links that span the classes of nodes alike: by ``bits`` where they are sure, else by the whole ``sets``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+    A found node is compared only with those not found yet, and those only until one of a class is like them."""
+    sure, perhaps = band(similarity)
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    nodes, roots = [], []
+    while len(left):
+        root, left = left[0], left[1:]
+        waiting = [root]
+        while waiting and len(left):
+            now = waiting.pop()
+            apart = np.bitwise_count(bits[left] ^ bits[now]).sum(1, dtype=np.int32)
+            few, many = np.minimum(size[left], size[now]), np.maximum(size[left], size[now])
+            hit = apart <= sure
+            for at in np.flatnonzero(~hit & (apart <= perhaps) & (few >= similarity * many - 1e-9)):
+                both = len(np.intersect1d(sets[now], sets[left[at]], assume_unique=True))
+                hit[at] = both >= similarity * (few[at] + many[at] - both) - 1e-9
+            if hit.any():
+                found, left = left[hit], left[~hit]
+                nodes.append(found)
+                roots.append(np.full(len(found), root))
+                waiting += found.tolist()
+    return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Spanning links ``(src, dst)`` of the similarity within ``families(family, node)``; ``nodes(node, x, p)`` and ``texts(x, text)``
+    give bits and sets.  Each text's set travels once, to its family; in a family of more than :data:`FAMILY_ROWS` once for each
+    part of it, so that each two parts meet and no task holds more than two."""
+    parts = F.ceil(F.col("n") / FAMILY_ROWS).cast("int")
+    large = families.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_ROWS).select("family", parts.alias("parts"))
+    placed = families.join(large, "family", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    placed = placed.select("family", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    held = placed.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node").join(nodes, "node")
+    bodies = texts.join(held.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))
+    rows = held.join(shingle_sets(bodies, shingle), "x").select("family", "low", "high", "node", F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES).alias("bits"), "s")
+
+    def links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        node = table.column("node").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+        a, b = exact_links(bits, [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], similarity)
+        yield node[a], node[b]
 
-    one, other = (sets.select(F.col("node").alias(n), F.col("s").alias(f"s_{n}")) for n in ("src", "dst"))
-    return pairs.join(one, "src").join(other, "dst").select("src", "dst", "s_src", "s_dst").mapInArrow(run, "src long, dst long")
+    keys = ["family", "low", "high"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda batches: _of_postings(batches, keys, links), "src long, dst long")
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, p, component_id)`` of every row, ``p`` its print of :func:`wide_prints`.
 
     Texts of one component are chained by links of at least ``similarity`` between their sets of ``shingle``-word shingles.  2,048
-    bits over the shingles tell pairs that are surely alike (six standard deviations, about 0.9 at 0.8); other pairs up to four
-    deviations below are compared by their whole sets, unless sure links join them.  Pairs that differ in at most 31 of 512 bits over
+    bits over the shingles first chain families of texts that are perhaps alike, down to four standard deviations below what they
+    say of the similarity (about 0.72 at 0.8).  Within a family pairs are surely alike six deviations above (about 0.9); others are compared by
+    their whole sets.  Pairs that differ in at most 31 of 512 bits over
     distinct words have a group with three at most and surely meet in the index; beyond that all but few do (see the README for recall).  Rows with equal prints
     share a class, so copies and repeated rows cost no pairs.  No words (null, empty or blank texts) are all alike.
     ``component_id`` is the smallest id in the component, null only where all its ids are.  An empty table gives no rows.
@@ -386,15 +404,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
     rows = cut(wide_prints(texts, id_col, text_col, shingle, "text_hash"))
     classes = cut(rows.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.min("x").alias("x")).withColumn("node", F.monotonically_increasing_id()))
-    links = cut(similar_links(classes, similarity))
-    sure = cut(connected_components(links.where("sure")))
-    # What is perhaps alike and in different classes of the sure links.
-    ends = [sure.select(F.col("node").alias(n), F.col("root").alias(f"r_{n}")) for n in ("src", "dst")]
-    pairs = links.where("not sure").select("src", "dst").join(ends[0], "src", "left").join(ends[1], "dst", "left")
-    pairs = cut(pairs.where(F.coalesce("r_src", "src") != F.coalesce("r_dst", "dst")).select("src", "dst"))
+    families = connected_components(similar_links(classes, similarity)).select(F.col("root").alias("family"), "node")
     bodies = texts.select(F.col("text_hash").alias("x"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    alike = verified(pairs, classes.select("node", "x"), bodies, shingle, similarity)
-    roots = connected_components(alike.unionAll(sure.select("node", "root")))
+    roots = connected_components(verified_links(families, classes.select("node", "x", "p"), bodies, shingle, similarity))
     joined = classes.join(roots, "node", "left").select("p", "first_id", F.coalesce("root", "node").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     labels = joined.join(least, "root").select("p", "component_id")

@@ -166,6 +166,27 @@ def test_similar_texts_by_brute_force(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
 
 
+def test_large_families_are_divided(spark, monkeypatch):
+    """One family of copies of copies, walked whole and in parts of a few: the same components, those of all pairs compared."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in rng.permutation(900)[:160]]
+    texts = [base]
+    for _ in range(119):
+        texts.append(edited(rng, texts[int(rng.integers(0, len(texts)))], int(rng.integers(1, 5))))
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if similarity(texts[i], texts[j]) >= 0.8 and label[i] != label[j]:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    monkeypatch.setattr(simhash, "FAMILY_ROWS", 17)
+    parts = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(df).collect()}
+    assert whole == parts and len(set(label)) > 3
+    assert sum(whole[i] == label[i] for i in range(len(texts))) >= 0.98 * len(texts)
+
+
 def test_components_near_the_threshold_are_exact(spark):
     """Pairs at 0.72 to 0.88 and no others: each of 0.8 or more ends together, each below apart, and only texts with a partner go."""
     rng = np.random.default_rng(4)
