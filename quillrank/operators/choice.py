@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillrank.functions.text import tokens
@@ -10,26 +10,63 @@ from quillrank.functions.vectors import similarity
 from quillrank.operators.ranking import SCORE_DECIMALS, Bm25Params, idf
 
 
+def _gold() -> Column:
+    """The right option's index from zero; an answer outside the options fails the query."""
+    ok = (F.col("answer_index") >= 1) & (F.col("answer_index") <= F.size("options"))
+    return F.when(ok, F.col("answer_index") - 1).otherwise(F.raise_error(F.lit("answer_index is outside the options")).cast("int")).cast("int")
+
+
 def option_rows(questions: DataFrame) -> DataFrame:
     """``(question_id, text, gold, idx, option)`` from ``(question_id, text, options, answer_index)``, answers from one."""
-    ok = (F.col("answer_index") >= 1) & (F.col("answer_index") <= F.size("options"))
-    gold = F.when(ok, F.col("answer_index") - 1).otherwise(F.raise_error(F.lit("answer_index is outside the options")).cast("int"))
-    return questions.select("question_id", "text", gold.cast("int").alias("gold"), F.posexplode("options").alias("idx", "option"))
+    return questions.select("question_id", "text", _gold().alias("gold"), F.posexplode("options").alias("idx", "option"))
+
+
+def _with_scores(questions: DataFrame, models: list[Bm25Params]) -> DataFrame:
+    """The questions with an array ``scores``: for each model the scores of all options, null for one that shares no term.
+
+    A question's row holds its whole corpus, so nothing is shuffled; models of one tokenizer share its tokens and counts."""
+    kinds = list(dict.fromkeys((p.mode, p.scripts) for p in models))
+    rows = questions
+    for j, (mode, scripts) in enumerate(kinds):
+        rows = rows.withColumns({f"_asked{j}": F.array_distinct(tokens(F.col("text"), mode, scripts)), f"_bags{j}": F.transform("options", lambda o: tokens(o, mode, scripts))})
+    for j in range(len(kinds)):
+        bags = F.col(f"_bags{j}")
+        shared = F.filter(f"_asked{j}", lambda t: F.exists(bags, lambda bag: F.array_contains(bag, t)))
+        counted = F.transform(shared, lambda t: F.transform(bags, lambda bag: F.size(bag) - F.size(F.array_remove(bag, t))))
+        rows = rows.withColumns({f"_tfs{j}": counted, f"_dls{j}": F.transform(bags, lambda bag: F.size(bag).cast("long"))})
+    for j in range(len(kinds)):
+        rows = rows.withColumns({f"_avg{j}": F.aggregate(f"_dls{j}", F.lit(0).cast("long"), lambda s, x: s + x) / F.nullif(F.size(f"_dls{j}"), F.lit(0)),
+                                 f"_terms{j}": F.transform(f"_tfs{j}", lambda tfs: F.struct(tfs.alias("tfs"), idf(F.size(F.filter(tfs, lambda x: x > 0)), F.size(tfs)).alias("idf")))})
+
+    def scores(p: Bm25Params) -> Column:
+        j = kinds.index((p.mode, p.scripts))
+        terms, average = F.col(f"_terms{j}"), F.col(f"_avg{j}")
+
+        def score(dl: Column, i: Column) -> Column:
+            norm = F.when(average > 0, dl / average).otherwise(F.lit(0.0))
+            length = p.k1 * (1 - p.b + p.b * norm)
+            total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["idf"] * t["tfs"][i] * (p.k1 + 1) / F.when(t["tfs"][i] > 0, t["tfs"][i] + length).otherwise(F.lit(1.0)))
+            return F.when(F.exists(terms, lambda t: t["tfs"][i] > 0), F.round(total, SCORE_DECIMALS))
+
+        return F.transform(f"_dls{j}", score)
+
+    return rows.withColumn("scores", F.array(*[scores(p) for p in models]))
 
 
 def bm25_option_scores(questions: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
     """``(question_id, idx, score)`` of options that share a term with their question; statistics are of that question's options."""
-    rows = option_rows(questions)
-    bags = rows.select("question_id", "idx", tokens(F.col("option"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
-    stats = bags.groupBy("question_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avg_len"))
-    asked = questions.select("question_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term"))
-    # Tokens are cut to the question's own before they are counted; lengths and averages are of whole options.
-    postings = bags.select("question_id", "idx", "dl", F.explode("ts").alias("term")).join(asked, ["question_id", "term"])
-    postings = postings.groupBy("question_id", "idx", "dl", "term").agg(F.count("*").alias("tf"))
-    hits = postings.withColumn("df", F.count("*").over(Window.partitionBy("question_id", "term"))).join(stats, "question_id")
-    norm = F.when(F.col("avg_len") > 0, F.col("dl") / F.col("avg_len")).otherwise(F.lit(0.0))
-    weight = idf(F.col("df"), F.col("n")) * F.col("tf") * (params.k1 + 1) / (F.col("tf") + params.k1 * (1 - params.b + params.b * norm))
-    return hits.groupBy("question_id", "idx").agg(F.round(F.sum(weight), SCORE_DECIMALS).alias("score"))
+    return _with_scores(questions, [params]).select("question_id", F.posexplode(F.col("scores")[0]).alias("idx", "score")).where("score is not null")
+
+
+def bm25_ranked(questions: DataFrame, models: dict[str, Bm25Params]) -> DataFrame:
+    """``(model_key, question_id, idx, gold, score, rank)``: :func:`rank_options` of each model's scores, without a join or a sort of
+    rows; rows that share an id are questions of their own."""
+    rows = _with_scores(questions.withColumn("gold", _gold()), list(models.values()))
+    each = F.arrays_zip(F.array(*[F.lit(m) for m in models]).alias("model_key"), F.col("scores"))
+    rows = rows.select("question_id", "gold", F.explode(each).alias("m")).select("m.model_key", "question_id", "gold", "m.scores")
+    order = F.transform("scores", lambda s, i: F.struct(s.isNull().alias("none"), (-s).alias("less"), F.when(s.isNotNull(), i.cast("string")).alias("tie"), i.alias("idx"), s.alias("score")))
+    rows = rows.select("model_key", "question_id", "gold", F.posexplode(F.array_sort(order)).alias("place", "o"))
+    return rows.select("model_key", "question_id", F.col("o.idx").alias("idx"), "gold", F.col("o.score").alias("score"), (F.col("place") + 1).alias("rank"))
 
 
 def vector_option_scores(questions: DataFrame, name: str = "cosine") -> DataFrame:
@@ -48,9 +85,9 @@ def rank_options(options: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def answer_rows(ranked: DataFrame) -> DataFrame:
-    """``(question_id, correct, rank, reciprocal_rank)`` of the right option."""
+    """``([model_key,] question_id, correct, rank, reciprocal_rank)`` of the right option."""
     rows = ranked.where(F.col("idx") == F.col("gold"))
-    return rows.select("question_id", (F.col("rank") == 1).alias("correct"), "rank", (1.0 / F.col("rank")).alias("reciprocal_rank"))
+    return rows.select(*[c for c in ("model_key",) if c in ranked.columns], "question_id", (F.col("rank") == 1).alias("correct"), "rank", (1.0 / F.col("rank")).alias("reciprocal_rank"))
 
 
 def baselines(questions: DataFrame) -> DataFrame:

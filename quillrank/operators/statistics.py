@@ -5,6 +5,10 @@ Resampling takes its draws from MD5 of seed, iteration and draw, so that any SQL
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,34 +21,117 @@ def interval_places(iterations: int, confidence: float) -> tuple[int, int]:
     return max(int(tail * iterations) - 1, 0), min(int((1 - tail) * iterations), iterations - 1)
 
 
-def draw(seed: str, iteration: Column, place: Column, n: Column) -> Column:
-    """A number from 0 to n - 1."""
-    text = F.concat_ws("|", F.lit(seed), iteration.cast("string"), place.cast("string"))
-    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint"), n)
+#: Draws that one vectorised step makes, values of a block, and values that a task holds; a larger group is drawn from in parts.
+DRAW_STEP, BLOCK_VALUES, TASK_VALUES = 1 << 14, 1 << 15, 1 << 22
+#: Iterations of a task.
+TASK_ITERATIONS = 16
+_SHIFTS = [s for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for s in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def md5_starts(messages: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of each row of bytes; all rows are of one length."""
+    n, size = messages.shape
+    blocks = (size + 8) // 64 + 1
+    padded = np.zeros((n, 64 * blocks), np.uint8)
+    padded[:, :size], padded[:, size] = messages, 0x80
+    padded[:, -8:] = np.frombuffer((8 * size).to_bytes(8, "little"), np.uint8)
+    state = [np.full(n, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    turned = np.empty(n, np.uint32)
+    for at in range(blocks):
+        words = [np.ascontiguousarray(w) for w in padded[:, 64 * at : 64 * at + 64].view("<u4").T]
+        same = [n > 0 and bool((w == w[0]).all()) for w in words]  # most words are the same in all rows
+        a, b, c, d = (x.copy() for x in state)
+        for i in range(64):
+            if i < 16:
+                f, g = (c ^ d) & b ^ d, i
+            elif i < 32:
+                f, g = (b ^ c) & d ^ c, (5 * i + 1) % 16
+            elif i < 48:
+                f, g = b ^ c ^ d, (3 * i + 5) % 16
+            else:
+                f, g = ~d | b, 7 * i % 16
+                f ^= c
+            f += a
+            if same[g]:
+                f += np.uint32((_SINES[i] + int(words[g][0])) % 2**32)
+            else:
+                f += np.uint32(_SINES[i])
+                f += words[g]
+            np.right_shift(f, np.uint32(32 - _SHIFTS[i]), out=turned)
+            f <<= np.uint32(_SHIFTS[i])
+            f |= turned
+            f += b
+            a, d, c, b = d, c, b, f
+        state = [x + y for x, y in zip(state, (a, b, c, d))]
+    return state[0].byteswap()
+
+
+def draws(seed: str, iteration: int, first: int, last: int) -> np.ndarray:
+    """Numbers for draws ``first`` to ``last - 1`` of an iteration: the first four bytes of the MD5 of ``seed|iteration|draw``.  A draw of n takes the remainder."""
+    prefix, out = np.frombuffer(f"{seed}|{iteration}|".encode(), np.uint8), []
+    while first < last:
+        digits = len(str(first))
+        end = min(last, 10**digits)
+        message = np.empty((end - first, len(prefix) + digits), np.uint8)
+        message[:, : len(prefix)] = prefix
+        number = np.arange(first, end)
+        for k in range(digits):
+            message[:, -1 - k] = number % 10 + 48
+            number //= 10
+        out.append(md5_starts(message))
+        first = end
+    return np.concatenate(out).astype(np.int64)
 
 
 def bootstrap_intervals(values: DataFrame, by: list[str], iterations: int = 1000, confidence: float = 0.95, seed: str = "0") -> DataFrame:
     """``(by.., n, mean, low, high)``: percentile intervals of the mean of ``value``, ordered by ``id`` within each group.
 
-    Values that are numbers in a sample table are few; each group's are drawn from by place, so the iterations times n draws
-    are rows, dealt out by group and iteration, and each is one join on two integers.
+    Groups of one size take the same draws, so they are drawn from together.  Their values travel in blocks to tasks of
+    :data:`TASK_ITERATIONS` iterations each; a task makes its own draws and holds at most about :data:`TASK_VALUES` values: many groups are
+    dealt to several tasks, and a group of more values is in parts, each summed by the draws that fall into it.  No draw is a row.
     """
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    if by:
-        rows = values.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("id")))
-    else:
-        rows = numbered_in_order(values.select("id", "value"), ["id"], "place")
-    rows = rows.select(key.alias("g"), (F.col("place") - 1).cast("long").alias("place"), F.col("value").cast("double").alias("value"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
-    drawn = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    block_values, task_values = BLOCK_VALUES, TASK_VALUES
+    rows = numbered_in_order(values.select(key.alias("g"), "id", F.col("value").cast("double").alias("value")), ["g", "id"], "place")
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("place").alias("first"))
+    sizes = sizes.withColumn("at", F.row_number().over(Window.partitionBy("n").orderBy("g")) - 1)  # a row a group
+    team = F.floor(F.col("at") / F.greatest(F.lit(1), F.floor(F.lit(task_values) / F.col("n"))))
+    placed = rows.join(sizes.select("g", "n", "at", "first", team.alias("team")), "g").withColumn("place", F.col("place") - F.col("first"))
+    blocks = placed.groupBy("n", "at", "team", F.floor(F.col("place") / block_values).alias("block")).agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("vs"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // TASK_ITERATIONS))).alias("chunk")
+    span = F.floor(F.col("block") / (task_values // block_values)).alias("span")
     parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = drawn.repartition(parts, "g", "iteration")  # few rows that become many: a number given is not coalesced
-    drawn = drawn.select("g", "iteration", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    drawn = drawn.select("g", "iteration", draw(seed, F.col("iteration"), F.col("i"), F.col("n")).alias("place"))
-    means = drawn.join(rows.select("g", "place", "value"), ["g", "place"]).groupBy("g", "iteration").agg(F.avg("value").alias("m"))
+    dealt = blocks.select("n", "at", "team", "block", span, F.col("vs")["value"].alias("vs"), chunks)
+    dealt = dealt.repartition(parts, "n", "team", "span", "chunk")  # few rows that cost much: a number given is not coalesced
+
+    def sums(table: pa.Table) -> pa.Table:
+        n, chunk, start = table["n"][0].as_py(), table["chunk"][0].as_py(), table["span"][0].as_py() * task_values
+        blocks: dict[int, dict[int, pa.Array]] = {}
+        for at, block, vs in zip(table["at"].to_pylist(), table["block"].to_pylist(), table["vs"]):
+            blocks.setdefault(at, {})[block] = vs.values
+        groups = []
+        for of in blocks.values():
+            vs = pa.chunked_array([of[b] for b in sorted(of)], pa.float64())
+            groups.append((vs.fill_null(0.0).to_numpy(), vs.is_valid().to_numpy() if vs.null_count else None))
+        its = range(chunk * TASK_ITERATIONS, min(iterations, (chunk + 1) * TASK_ITERATIONS))
+        s, c = np.zeros((len(groups), len(its))), np.zeros((len(groups), len(its)), np.int64)
+        for k, iteration in enumerate(its):
+            for first in range(0, n, DRAW_STEP):
+                at = draws(seed, iteration, first, min(n, first + DRAW_STEP)) % n
+                if n > task_values:
+                    at = at[(at >= start) & (at < start + task_values)] - start
+                for j, (vs, known) in enumerate(groups):
+                    s[j, k] += vs[at].sum()
+                    c[j, k] += len(at) if known is None else int(known[at].sum())
+        every = np.repeat(np.array(list(blocks), np.int32), len(its))
+        return pa.table({"n": np.full(len(every), n), "at": every, "iteration": np.tile(np.array(its, np.int64), len(groups)), "s": s.ravel(), "c": c.ravel()})
+
+    found = dealt.groupBy("n", "team", "span", "chunk").applyInArrow(sums, "n long, at int, iteration long, s double, c long")
+    means = found.groupBy("n", "at", "iteration").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).select("n", "at", F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("m"))
     low, high = interval_places(iterations, confidence)
-    ends = means.groupBy("g").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("g", F.col("ms")[low].alias("low"), F.col("ms")[high].alias("high"))
-    out = sizes.join(ends, "g")
+    ends = means.groupBy("n", "at").agg(F.sort_array(F.collect_list("m")).alias("ms")).select("n", "at", F.get("ms", F.lit(low)).alias("low"), F.get("ms", F.lit(high)).alias("high"))
+    out = sizes.join(ends, ["n", "at"])
     return out.select(*[F.col("g")[c].alias(c) for c in by], "n", "mean", "low", "high")
 
 

@@ -64,11 +64,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = _questions(spark, sf_dir)
-    options = choice.option_rows(questions)
-    parts = [choice.answer_rows(choice.rank_options(options, choice.bm25_option_scores(questions, p))).select(F.lit(k).alias("model_key"), F.col("question_id").alias("query_id"), "correct", "rank", "reciprocal_rank")
-             for k, p in MODELS.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return choice.answer_rows(choice.bm25_ranked(_questions(spark, sf_dir), MODELS)).withColumnRenamed("question_id", "query_id")
 
 
 def _triplets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,8 +268,7 @@ def strata_intervals(spark, sf_dir):
 
 
 def mcq_rank(spark, sf_dir):
-    questions = _questions(spark, sf_dir)
-    return choice.rank_options(choice.option_rows(questions), choice.bm25_option_scores(questions, WHITESPACE))
+    return choice.bm25_ranked(_questions(spark, sf_dir), {"bm25": WHITESPACE}).drop("model_key")
 
 
 def mcq_longest_baseline(spark, sf_dir):
@@ -282,7 +277,7 @@ def mcq_longest_baseline(spark, sf_dir):
 
 def mcq_summary(spark, sf_dir):
     questions = _questions(spark, sf_dir)
-    ranked = choice.rank_options(choice.option_rows(questions), choice.bm25_option_scores(questions, WHITESPACE))
+    ranked = choice.bm25_ranked(questions, {"bm25": WHITESPACE}).drop("model_key")
     return choice.choice_summary(choice.answer_rows(ranked).join(choice.baselines(questions), "question_id"))
 
 

@@ -138,6 +138,12 @@ def test_choice(spark):
     ranked = choice.rank_options(choice.option_rows(q), choice.bm25_option_scores(q))
     order = {k: [r["idx"] for r in sorted((r for r in ranked.collect() if r["question_id"] == k), key=lambda r: r["rank"])] for k in "ab"}
     assert order["a"][:2] == [2, 1] and order["a"][2:] == [0, 3] and order["b"] == [0, 1, 2]
+    other = ranking.Bm25Params(mode="whitespace", k1=0.4, b=0.0)
+    both = choice.bm25_ranked(q, {"own": ranking.Bm25Params(), "other": other})
+    rows = lambda d: sorted(map(str, d.select("question_id", "idx", "gold", "score", "rank").collect()))
+    assert rows(both.where("model_key = 'own'")) == rows(ranked)
+    assert rows(both.where("model_key = 'other'")) == rows(choice.rank_options(choice.option_rows(q), choice.bm25_option_scores(q, other)))
+    assert "Exchange" not in both._jdf.queryExecution().executedPlan().toString()  # a question's row is its corpus
     answers = {r["question_id"]: (r["correct"], r["rank"]) for r in choice.answer_rows(ranked).collect()}
     assert answers == {"a": (True, 1), "b": (False, 2)}
     base = {r["question_id"]: r for r in choice.baselines(q).collect()}

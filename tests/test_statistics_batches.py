@@ -26,6 +26,29 @@ def test_bootstrap(spark):
     assert rows == again
 
 
+def test_draws_are_no_rows(spark, monkeypatch):
+    import hashlib
+
+    plain = lambda seed, k, i: int(hashlib.md5(f"{seed}|{k}|{i}".encode()).hexdigest()[:8], 16)
+    assert statistics.draws("0", 7, 5, 1203).tolist() == [plain("0", 7, i) for i in range(5, 1203)]
+    assert statistics.draws("s" * 60, 12, 0, 120).tolist() == [plain("s" * 60, 12, i) for i in range(120)]
+    rows = [(g, i, None if g == "c" and i % 3 == 0 else float((i * 7 + len(g or "")) % 11)) for g, n in (("a", 40), ("bb", 40), ("c", 33), (None, 1)) for i in range(n)]
+    table = spark.createDataFrame(rows, "g string, id int, value double")
+    expect = {}
+    for g in {r[0] for r in rows}:
+        vs, means = [v for h, _, v in rows if h == g], []
+        for k in range(50):
+            own = [x for x in (vs[plain("0", k, i) % len(vs)] for i in range(len(vs))) if x is not None]
+            means.append(round(sum(own) / len(own), 9))
+        expect[g] = (sorted(means)[0], sorted(means)[48])
+    for block, task in ((1 << 15, 1 << 22), (4, 16)):  # the second in parts of groups
+        monkeypatch.setattr(statistics, "BLOCK_VALUES", block)
+        monkeypatch.setattr(statistics, "TASK_VALUES", task)
+        found = statistics.bootstrap_intervals(table, ["g"], 50)
+        assert {r["g"]: (round(r["low"], 9), round(r["high"], 9)) for r in found.collect()} == expect
+        assert "md5" not in found._jdf.queryExecution().toString()
+
+
 def test_paired(spark):
     same = spark.createDataFrame([(i, float(i % 3), float(i % 3)) for i in range(20)], "id long, a double, b double")
     assert statistics.paired_bootstrap(same, [], 100).first()["crosses_zero"]
