@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -218,47 +218,100 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
     return best.select("query_id", F.col("d").cast(kind).alias("doc_id"), "score", "rank")
 
 
-def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, name: str = "cosine", group_rows: int = 8192, query_block: int = 2048) -> DataFrame:
+#: Queries and documents of one product within a task, and pairs that are scored exactly at once.
+PRODUCT_QUERIES, PRODUCT_DOCS, EXACT_PAIRS = 256, 4096, 1 << 16
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors as rows of doubles; null components are not a number."""
+    arrays = column.combine_chunks()
+    arrays = arrays.combine_chunks() if isinstance(arrays, pa.ChunkedArray) else arrays
+    sizes = np.diff(arrays.offsets.to_numpy())
+    if arrays.null_count or len(set(sizes.tolist())) > 1:
+        raise ValueError("vectors differ in dimension")
+    return arrays.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(sizes), -1)
+
+
+def _best(a: np.ndarray, x: np.ndarray, k: int, cosine: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, document, score) of each query's ``k`` best, ties to the document that comes first.
+
+    A product in single precision tells which pairs may be among the best, its largest error allowed for; these are scored in double precision."""
+    size_a, size_x = np.sqrt((a * a).sum(1)), np.sqrt((x * x).sum(1))
+    with np.errstate(all="ignore"):
+        if cosine:
+            near_a, near_x = (np.divide(v, n[:, None], out=np.zeros_like(v), where=n[:, None] != 0).astype(np.float32) for v, n in ((a, size_a), (x, size_x)))
+            error = np.full(len(a), (a.shape[1] + 8) * 2.0**-24)
+        else:
+            near_a, near_x = a.astype(np.float32), x.astype(np.float32)
+            error = (a.shape[1] + 8) * 2.0**-24 * size_a * size_x.max() + 1e-30
+        sizes = size_a.max(), size_x.max()
+        sound = all(1e-12 < s < 1e15 for s in sizes) and (not cosine or bool(((size_a == 0) | (size_a > 1e-12)).all() and ((size_x == 0) | (size_x > 1e-12)).all()))
+    found = []
+    for at in range(0, len(a), PRODUCT_QUERIES):
+        own, off = a[at : at + PRODUCT_QUERIES], error[at : at + PRODUCT_QUERIES] + 10.0**-SCORE_DECIMALS
+        q, d, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        worst = np.full(len(own), -np.inf)
+        for first in range(0, len(x), PRODUCT_DOCS):
+            with np.errstate(all="ignore"):
+                near = near_a[at : at + PRODUCT_QUERIES] @ near_x[first : first + PRODUCT_DOCS].T
+            floor = worst - off
+            if not first and near.shape[1] > 4 * k:
+                floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k] - 2 * off
+            if sound:
+                rows, columns = np.nonzero(near >= np.nextafter(floor.astype(np.float32), np.float32(-np.inf))[:, None])
+            else:  # a number that single precision does not hold: all pairs
+                rows, columns = (i.ravel() for i in np.indices(near.shape))
+            columns = columns + first
+            exact = np.empty(len(rows))
+            for i in range(0, len(rows), EXACT_PAIRS):
+                r, c = rows[i : i + EXACT_PAIRS], columns[i : i + EXACT_PAIRS]
+                value = np.einsum("ij,ij->i", own[r], x[c])
+                if cosine:
+                    size = size_a[at + r] * size_x[c]
+                    value = np.divide(value, size, out=np.zeros_like(value), where=size != 0)
+                exact[i : i + EXACT_PAIRS] = np.round(value, SCORE_DECIMALS) + 0.0
+            q, d, s = np.concatenate([q, rows]), np.concatenate([d, columns]), np.concatenate([s, exact])
+            order = np.lexsort((d, -s, q))
+            q, d, s = q[order], d[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, d, s, place = q[place < k], d[place < k], s[place < k], place[place < k]
+            last = place == k - 1
+            worst[q[last]] = np.where(np.isnan(s[last]), -np.inf, s[last])
+        found.append((q + at, d, s))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def vector_top_k(docs: DataFrame, queries: DataFrame, k: int, name: str = "cosine", group_rows: int = 32_768, query_block: int = 32_768) -> DataFrame:
     """``(query_id, doc_id, score, rank)`` over all pairs of ``queries(query_id, v)`` and ``docs(doc_id, v)``.
 
     Every document is scored, whatever its sign.  Blocks of queries visit groups of documents; each visit leaves ``k`` rows a
-    query.  Vectors of another dimension than the query's fail the query.
+    query.  A task holds one block and one group and works through small products of their parts.  Vectors of another dimension than
+    the query's fail the query.
     """
     similarity(name)
     if k < 1:
         raise ValueError("k must be at least 1")
     n, m = docs.count(), queries.count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    groups = max(-(-n // group_rows), min(cores, -(-n // 256)), 1)
-    blocks = max(1, -(-m // query_block))
+    groups = max(-(-n // group_rows), min(-(-n // 1024), math.isqrt(4 * cores)), 1)  # few visits copy each vector few times
+    blocks = max(-(-m // query_block), min(-(-m // 256), -(-4 * cores // groups)), 1)
+    parts = max(1, min(groups * blocks, 4096))
     d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     left = queries.select(F.col("query_id"), F.col("v").cast("array<double>").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("qb"))
-    left = left.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    left = left.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(parts, "qb", "qg")
     right = docs.select(F.col("doc_id"), F.col("v").cast("array<double>").alias("dv"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("dg"))
-    right = right.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(parts, "db", "dg")
 
-    def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-        if len({len(x) for x in q["qv"]} | {len(x) for x in d["dv"]}) > 1:
-            raise ValueError("vectors differ in dimension")
-        a, x = np.array(q["qv"].tolist(), float), np.array(d["dv"].tolist(), float)
-        s = a @ x.T
-        if name == "cosine":
-            size = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-            s = np.divide(s, size, out=np.zeros_like(s), where=size != 0)
-        s = np.round(s, SCORE_DECIMALS) + 0.0
-        names = d["doc_id"].astype(str).to_numpy()
+    def score(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not q.num_rows or not d.num_rows:
+            return pa.table({"query_id": q["query_id"].slice(0, 0), "doc_id": d["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        names = np.array(d["doc_id"].cast(pa.string()).fill_null("").to_pylist(), object)
         order = np.argsort(names, kind="stable")
-        s, ids = s[:, order], d["doc_id"].to_numpy()[order]
-        if s.shape[1] > 4 * k:
-            floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-            best = [(lambda at, row: at[np.argsort(-row[at], kind="stable")[:k]])(np.flatnonzero(row >= f), row) for row, f in zip(s, floor)]
-        else:
-            best = [np.argsort(-row, kind="stable")[:k] for row in s]
-        sizes = [len(b) for b in best]
-        at = np.concatenate(best)
-        return pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), sizes), "doc_id": ids[at], "score": s[np.repeat(np.arange(len(s)), sizes), at]})
+        a, x = _matrix(q["qv"]), _matrix(d["dv"])[order]
+        if a.shape[1] != x.shape[1]:
+            raise ValueError("vectors differ in dimension")
+        query, doc, found = _best(a, x, k, name == "cosine")
+        return pa.table({"query_id": q["query_id"].take(pa.array(query)), "doc_id": d["doc_id"].take(pa.array(order[doc])), "score": found})
 
-    found = left.groupBy("qb", "qg").cogroup(right.groupBy("db", "dg")).applyInPandas(score, f"query_id {q_type}, doc_id {d_type}, score double")
+    found = left.groupBy("qb", "qg").cogroup(right.groupBy("db", "dg")).applyInArrow(score, f"query_id {q_type}, doc_id {d_type}, score double")
     return top_k(found, k, ["query_id"]).select("query_id", "doc_id", "score", "rank")

@@ -133,6 +133,44 @@ def test_strata(spark):
     assert [tuple(r) for r in metrics.mixed_drop(drop).collect()] == [("t", 0.25)]
 
 
+def test_vector_products_in_parts(monkeypatch):
+    """Single precision only chooses: ties, copies, near ties, zeros, huge and missing numbers equal a plain search in double precision."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 24))
+    x[100:200] = x[:100]
+    x[200:260] = x[0] + rng.standard_normal((60, 24)) * 1e-8
+    x[300:320] = 0
+    odd = x.copy()
+    odd[5, 0], odd[6, 0], odd[7] = np.nan, 1e200, 1e-200
+    monkeypatch.setattr(ranking, "PRODUCT_QUERIES", 32)
+    monkeypatch.setattr(ranking, "PRODUCT_DOCS", 128)
+    for docs, queries in ((x, x[:150]), (x * 1e6, x[:50]), (x, odd[:40]), (odd, x[:40]), (x[:3], x[:5])):
+        for cosine in (True, False):
+            s = np.array([(docs * v).sum(1) for v in queries])
+            if cosine:
+                size = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((docs**2).sum(1))
+                s = np.divide(s, size, out=np.zeros_like(s), where=size != 0)
+            s = np.round(s, 7) + 0.0
+            q, d, score = ranking._best(queries, docs, 10, cosine)
+            for i in range(len(queries)):
+                best = np.argsort(-s[i], kind="stable")[:10]
+                got = score[q == i]
+                assert len(got) == len(best) and np.allclose(got, s[i][best], rtol=1e-13, atol=2e-7, equal_nan=True)
+                assert len(set(d[q == i].tolist())) == len(best)
+                if not (np.diff(np.sort(s[i][np.isfinite(s[i])])) < 3e-7).any():
+                    assert d[q == i].tolist() == best.tolist()
+    monkeypatch.undo()
+    big = rng.standard_normal((8192, 32))
+    tracemalloc.start()
+    ranking._best(big[:2048], big, 10, True)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20  # the whole product has 134 MB
+    tracemalloc.stop()
+
+
 def test_choice(spark):
     q = frame(spark, [("a", "alpha beta", ["gamma", "alpha", "alpha beta", "zeta"], 3), ("b", "none", ["x", "yy", "yy"], 2)], "question_id string, text string, options array<string>, answer_index int")
     ranked = choice.rank_options(choice.option_rows(q), choice.bm25_option_scores(q))
