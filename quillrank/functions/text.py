@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -57,45 +60,66 @@ def tokens(text: Column, mode: str = "char_bigram", scripts: Scripts = HANGUL_LA
 def python_tokenizer(mode: str, scripts: Scripts = HANGUL_LATIN):
     """The same tokens for use inside Arrow batches."""
     word, plain = re.compile(f"[{scripts.dense}{scripts.plain}]+"), re.compile(f"[{scripts.plain}]+")
-    other = re.compile(f"[^{scripts.dense}]")
+    other, dense = re.compile(f"[^{scripts.dense}]+"), re.compile(f"[{scripts.dense}]")
 
     def whitespace(text: str) -> list[str]:
         return word.findall(text.lower())
 
     def bigram(text: str) -> list[str]:
-        out = [x.lower() for x in plain.findall(text)]
-        for run in word.findall(text):
-            kept = other.sub("", run)
-            out += [kept[i : i + 2] for i in range(len(kept) - 1)] if len(kept) > 1 else [kept] if kept else []
+        out = list(map(str.lower, plain.findall(text)))
+        if dense.search(text):
+            for run in filter(dense.search, word.findall(text)):  # most runs have no bigram
+                kept = other.sub("", run)
+                out += [kept[i : i + 2] for i in range(len(kept) - 1)] if len(kept) > 1 else [kept]
         return out
 
     return whitespace if mode == "whitespace" else bigram
 
 
-@F.pandas_udf(StringType())
-def _nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+#: Texts that a worker has as Python strings at once.
+TEXT_STEP = 256
 
 
-@F.pandas_udf(StringType())
-def _folded_key(texts: pd.Series) -> pd.Series:
-    def key(t: str | None) -> str | None:
-        return None if t is None else "".join(c for c in unicodedata.normalize("NFC", t).casefold() if c.isalnum())
+def _mapped(texts: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """``f`` of each text, nulls as they are; only :data:`TEXT_STEP` texts at a time leave Arrow."""
+    parts = (texts.slice(at, TEXT_STEP).to_pylist() for at in range(0, len(texts), TEXT_STEP))
+    return pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if t is None else f(t) for t in part], pa.string()) for part in parts)])
 
-    return texts.map(key)
 
+def _key(t: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFC", t).casefold() if c.isalnum())
 
-@F.pandas_udf(ArrayType(StringType()))
-def _folded_keys(lists: pd.Series) -> pd.Series:
-    def key(t: str | None) -> str:
-        return "".join(c for c in unicodedata.normalize("NFC", t or "").casefold() if c.isalnum())
 
-    return lists.map(lambda ts: [] if ts is None else [key(t) for t in ts])
+@F.arrow_udf(StringType())
+def _nfc(texts: pa.Array) -> pa.Array:
+    return _mapped(texts, lambda t: unicodedata.normalize("NFC", t))
+
+
+@F.arrow_udf(StringType())
+def _folded_key(texts: pa.Array) -> pa.Array:
+    return _mapped(texts, _key)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _folded_keys(lists: pa.Array) -> pa.Array:
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), _mapped(lists.flatten(), _key))
+
+
+def _ascii(text: Column) -> Column:
+    return ~text.rlike(r"[^\x00-\x7F]")
+
+
+def _ascii_key(text: Column) -> Column:
+    """The key of an ASCII text."""
+    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", ""))
 
 
 def normal_keys(texts: Column) -> Column:
     """The collision key of each text of an array; nulls give empty keys."""
-    return _folded_keys(texts)
+    texts = F.transform(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")))
+    other = _folded_keys(F.transform(texts, lambda t: F.when(~_ascii(t), t)))  # only these go to Python
+    return F.zip_with(texts, other, lambda t, key: F.when(_ascii(t), _ascii_key(t)).otherwise(key))
 
 
 def collapsed(text: Column) -> Column:
@@ -105,12 +129,15 @@ def collapsed(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Collapsed white space and Unicode NFC; null becomes empty."""
-    return _nfc(collapsed(text))
+    text = collapsed(text)
+    other = text.rlike(r"[^\x{0}-\x{2FF}]")  # below U+0300 every text is in NFC; only the others go to Python
+    return F.coalesce(_nfc(F.when(other, text)), text)
 
 
 def normal_key(text: Column) -> Column:
     """The collision key: cleaned, case-folded, letters and digits only."""
-    return _folded_key(collapsed(text))
+    text = collapsed(text)
+    return F.when(_ascii(text), _ascii_key(text)).otherwise(_folded_key(F.when(~_ascii(text), text)))
 
 
 def answer_key(text: Column) -> Column:

@@ -138,6 +138,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast((terms, starts, askers))  # at most block_terms and block_pairs
     mode, scripts, queries_n = params.mode, params.scripts, len(number)
+    block = min(1024, max(64, 8_000_000 // len(terms)))  # rows of weights, a column for each term at most; a worker has no more rows as Python objects
 
     def counts(batch: pa.RecordBatch, known: dict[str, int], cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term) of all known tokens, and all documents' lengths."""
@@ -154,7 +155,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
         known = held.value[0]
         cut = python_tokenizer(mode, scripts)
         df, n, total = np.zeros(len(known), np.int64), 0, 0.0
-        for batch in batches:
+        for batch in (whole.slice(at, block) for whole in batches for at in range(0, whole.num_rows, block)):
             row, term, lengths = counts(batch, known, cut)
             df += np.bincount(np.unique(row * len(known) + term) % len(known), minlength=len(known)).astype(np.int64)
             n, total = n + batch.num_rows, total + lengths.sum()
@@ -167,8 +168,6 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
     idfs = np.log(1 + (n - df + 0.5) / (df + 0.5))
     average = total / n if n else 0.0
     k1, b = params.k1, params.b
-    block = min(1024, max(64, 8_000_000 // len(terms)))  # rows of weights, a column for each term at most
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, starts, askers = held.value
         cut = python_tokenizer(mode, scripts)

@@ -82,3 +82,30 @@ def test_vectors(spark):
 
 def test_config_digest():
     assert T.config_digest({"b": 1, "a": "é"}) == T.config_digest({"a": "é", "b": 1}) and len(T.config_digest({}, 16)) == 16
+
+
+def test_only_texts_that_need_it_go_to_python(spark):
+    """Plain texts have their forms from Spark itself; the others as a plain loop gives them, in parts."""
+    import unicodedata
+
+    import pyarrow as pa
+
+    from quillrank.functions import text as T
+
+    key = lambda t: "".join(c for c in unicodedata.normalize("NFC", t).casefold() if c.isalnum())
+    texts = ["A-b 9_z", "", None, "Caf\u00e9 STRASSE\u00df", "e\u0301 \u212a", "\uac00\u1100\u1161", "\u0130I", "x" * 3000]
+    rows = spark.createDataFrame([(i, t, [t, "Q q", None, "\u00c5"] if i % 3 else None) for i, t in enumerate(texts * 100)], "i int, t string, ts array<string>")
+    got = rows.select("i", "t", "ts", T.clean_text(F.col("t")).alias("c"), T.normal_key(F.col("t")).alias("k"), T.normal_keys(F.col("ts")).alias("ks")).collect()
+    for r in got:
+        assert r["c"] == unicodedata.normalize("NFC", r["t"] or "") and r["k"] == key(r["t"] or "")
+        assert r["ks"] == [key(t or "") for t in r["ts"] or []]
+    sent = []
+    T._mapped(pa.array(["a"] * 1000), lambda t: sent.append(t) or t)
+    assert len(sent) == 1000 and T._mapped(pa.array([None] * 3, pa.string()), len).null_count == 3
+
+
+def test_bigrams_of_runs_without_dense_letters():
+    from quillrank.functions.text import ACCENTED_LATIN, python_tokenizer
+
+    cut = python_tokenizer("char_bigram", ACCENTED_LATIN)
+    assert cut("Plain \u00e9\u00e8 a\u00e9b\u00e8c x\u00e9 no") == ["plain", "a", "b", "c", "x", "no", "\u00e9\u00e8", "\u00e9\u00e8", "\u00e9"]
