@@ -326,19 +326,16 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     return again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links), "src long, dst long").distinct()
 
 
-def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """``(x, s)`` of ``texts(x, text)``: the sorted hashes of a text's distinct shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in text_chunks(batches):
-            data, offsets = string_buffers(chunk.column(1))
-            data = lower_ascii(data)
-            starts, ends, words = word_spans(data, offsets)
-            h = span_hashes(data, starts, ends)
-            sets = [np.unique(window_hashes(h[a:b], min(shingle, b - a))).tobytes() if b > a else b"" for a, b in zip(words[:-1], words[1:])]
-            yield pa.RecordBatch.from_arrays([chunk.column(0), pa.array(sets, pa.binary())], ["x", "s"])
-
-    return texts.select("x", "text").mapInArrow(run, "x long, s binary")
+def shingle_sets(texts: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The sorted hashes of each text's distinct shingles."""
+    sets = []
+    for chunk in text_chunks([pa.record_batch([texts], ["text"])], 0):
+        data, offsets = string_buffers(chunk.column(0))
+        data = lower_ascii(data)
+        starts, ends, words = word_spans(data, offsets)
+        h = span_hashes(data, starts, ends)
+        sets += [np.unique(window_hashes(h[a:b], min(shingle, b - a))) if b > a else np.zeros(0, np.uint64) for a, b in zip(words[:-1], words[1:])]
+    return sets
 
 
 def exact_links(bits: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -370,7 +367,8 @@ def exact_links(bits: np.ndarray, sets: list[np.ndarray], similarity: float) ->
 
 def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Spanning links ``(src, dst)`` of the similarity within ``families(family, node)``; ``nodes(node, x, p)`` and ``texts(x, text)``
-    give bits and sets.  Each text's set travels once, to its family; in a family of more than :data:`FAMILY_ROWS` once for each
+    give bits and sets.  Each text travels to its family, where its set is made: compressed
+    it is smaller than the hashes; in a family of more than :data:`FAMILY_ROWS` once for each
     part of it, so that each two parts meet and no task holds more than two."""
     parts = F.ceil(F.col("n") / FAMILY_ROWS).cast("int")
     large = families.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_ROWS).select("family", parts.alias("parts"))
@@ -378,12 +376,12 @@ def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shin
     placed = placed.select("family", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     held = placed.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node").join(nodes, "node")
     bodies = texts.join(held.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))
-    rows = held.join(shingle_sets(bodies, shingle), "x").select("family", "low", "high", "node", F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES).alias("bits"), "s")
+    rows = held.join(bodies, "x").select("family", "low", "high", "node", F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES).alias("bits"), "text")
 
     def links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = table.column("node").to_numpy()
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-        a, b = exact_links(bits, [np.frombuffer(s, np.uint64) for s in table.column("s").to_pylist()], similarity)
+        a, b = exact_links(bits, [s for part in table.column("text").chunks for s in shingle_sets(part, shingle)], similarity)
         yield node[a], node[b]
 
     keys = ["family", "low", "high"]

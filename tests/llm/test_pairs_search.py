@@ -318,3 +318,16 @@ def components(nodes, pairs):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     return {n: root(n) for n in nodes}
+
+
+def test_texts_travel_to_families_and_not_their_hashes(spark):
+    import pyarrow as pa
+
+    from quillrank.llm import simhash
+
+    texts = ["a B c d e f", "", "x y", None, "a b c d e f a b c d e"]
+    sets = simhash.shingle_sets(pa.array(texts), 5)
+    assert [len(s) for s in sets] == [2, 0, 1, 0, 6] and set(sets[0].tolist()) < set(sets[4].tolist())
+    nodes = spark.createDataFrame([(0, 10, b"\0" * 320), (1, 11, b"\xff" * 320)], "node long, x long, p binary")
+    links = simhash.verified_links(spark.createDataFrame([(0, 0), (0, 1)], "family long, node long"), nodes, spark.createDataFrame([(10, "a b"), (11, "c d")], "x long, text string"), 5, 0.8)
+    assert links.count() == 0 and links._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # the walk alone
