@@ -41,7 +41,8 @@ def bigram_tokens(text: Column, scripts: Scripts = HANGUL_LATIN) -> Column:
     """Lower-cased plain-script runs, then for each run of either script the overlapping bigrams of its dense-script
     characters, or the character itself where there is one."""
     plain = F.transform(F.regexp_extract_all(text, F.lit(f"[{scripts.plain}]+"), F.lit(0)), F.lower)
-    runs = F.transform(F.split(text, f"[^{scripts.dense}{scripts.plain}]+"), lambda r: F.regexp_replace(r, f"[^{scripts.dense}]", ""))
+    runs = F.regexp_extract_all(text, F.lit(f"[{scripts.dense}][{scripts.dense}{scripts.plain}]*"), F.lit(0))  # from a run's first dense character on; most runs have none
+    runs = F.transform(runs, lambda r: F.regexp_replace(r, f"[^{scripts.dense}]", ""))
 
     def bigrams(run: Column) -> Column:
         n = F.length(run)
@@ -60,17 +61,16 @@ def tokens(text: Column, mode: str = "char_bigram", scripts: Scripts = HANGUL_LA
 def python_tokenizer(mode: str, scripts: Scripts = HANGUL_LATIN):
     """The same tokens for use inside Arrow batches."""
     word, plain = re.compile(f"[{scripts.dense}{scripts.plain}]+"), re.compile(f"[{scripts.plain}]+")
-    other, dense = re.compile(f"[^{scripts.dense}]+"), re.compile(f"[{scripts.dense}]")
+    other, dense = re.compile(f"[^{scripts.dense}]+"), re.compile(f"[{scripts.dense}][{scripts.dense}{scripts.plain}]*")
 
     def whitespace(text: str) -> list[str]:
         return word.findall(text.lower())
 
     def bigram(text: str) -> list[str]:
         out = list(map(str.lower, plain.findall(text)))
-        if dense.search(text):
-            for run in filter(dense.search, word.findall(text)):  # most runs have no bigram
-                kept = other.sub("", run)
-                out += [kept[i : i + 2] for i in range(len(kept) - 1)] if len(kept) > 1 else [kept]
+        for run in dense.findall(text):  # a run from its first dense character on; most runs have none
+            kept = other.sub("", run) if len(run) > 1 else run
+            out += [kept[i : i + 2] for i in range(len(kept) - 1)] if len(kept) > 1 else [kept]
         return out
 
     return whitespace if mode == "whitespace" else bigram

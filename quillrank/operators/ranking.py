@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,10 +47,62 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Texts that a worker has as tokens at once.
+COUNTED_TEXTS = 64
+
+
+def text_counts(rows: DataFrame, count: Callable[[str], dict], key: str, kind: str, value: str, totals: bool = False) -> DataFrame:
+    """The columns of ``rows`` but its last, the text, with ``key`` of this kind and its ``value`` for each entry of ``count(text)``.
+
+    A text is counted whole where it is read, so nothing is shuffled.  With ``totals`` the sum of a text's values is on all its rows,
+    and each text has a row without a key."""
+    others = rows.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = pa.string() if kind == "string" else pa.int32()
+        for whole in batches:
+            for at in range(0, whole.num_rows, COUNTED_TEXTS):
+                batch = whole.slice(at, COUNTED_TEXTS)
+                keys, values, sizes, sums = [], [], [], []
+                for text in batch.column(len(others)).to_pylist():
+                    own = count(text or "")
+                    keys += own
+                    values += own.values()
+                    if totals:
+                        keys.append(None)
+                        values.append(0)
+                        sums.append(sum(own.values()))
+                    sizes.append(len(own) + totals)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                columns = [*(batch.column(i).take(row) for i in range(len(others))), pa.array(keys, of), pa.array(values, pa.int64())]
+                if totals:
+                    columns.append(pa.array(sums, pa.int64()).take(row))
+                yield pa.RecordBatch.from_arrays(columns, [*others, key, value, "total"][: len(columns)])
+
+    schema = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in others)
+    return rows.mapInArrow(run, f"{schema}{key} {kind}, {value} long" + (", total long" if totals else ""))
+
+
+def counted_by_id(rows: DataFrame, count: Callable[[str], dict], key: str, kind: str, value: str) -> DataFrame:
+    """``(doc_id, key, value)`` from ``rows(doc_id, text)``; rows that share an id are summed, and they alone are shuffled."""
+    shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared_id"))
+    if shared.isEmpty():
+        return text_counts(rows, count, key, kind, value)
+    same = F.col("doc_id").eqNullSafe(F.col("shared_id"))
+    alone = text_counts(rows.join(shared, same, "left_anti"), count, key, kind, value)
+    return alone.unionByName(text_counts(rows.join(shared, same, "left_semi"), count, key, kind, value).groupBy("doc_id", key).agg(F.sum(value).alias(value)))
+
+
+def term_counter(mode: str, scripts: Scripts = HANGUL_LATIN) -> Callable[[str], dict[str, int]]:
+    """A text's terms and how often each is there."""
+    cut = python_tokenizer(mode, scripts)
+    return lambda text: Counter(cut(text))
+
+
 def term_frequencies(docs: DataFrame, mode: str, scripts: Scripts = HANGUL_LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, term, tf)``."""
-    terms = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens(F.col(text_col), mode, scripts)).alias("term"))
-    return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return counted_by_id(rows, term_counter(mode, scripts), "term", "string", "tf")
 
 
 def document_terms(docs: DataFrame, mode: str, scripts: Scripts = HANGUL_LATIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

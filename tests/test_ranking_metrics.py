@@ -211,6 +211,28 @@ def test_hashed_encoder(spark):
     assert short["d"] == 1.0
 
 
+COUNTED = [(i, f"alpha beta{i} 고혈압 Ä x{i % 3} alpha") for i in range(200)] + [(900, None), (901, "")]
+SHARED_IDS = [(7, "alpha once more"), (7, ""), (None, "alpha"), (None, "alpha 폐렴"), (901, "late")]
+
+
+def counts_by_id(spark, mode, count, of=lambda t: t):
+    """Counts where ids are of one row each, which need no shuffle, and where rows that share an id, null too, are summed."""
+    for rows in (COUNTED, COUNTED + SHARED_IDS):
+        expect = {}
+        for d, text in rows:
+            for t in python_tokenizer(mode)(text or ""):
+                expect[d, of(t)] = expect.get((d, of(t)), 0) + 1
+        got = count(frame(spark, rows, "doc_id int, text string").repartition(3))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((*k, n)) for k, n in expect.items())
+        if rows is COUNTED:
+            assert "hashpartitioning" not in got._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("mode", ["whitespace", "char_bigram"])
+def test_terms_are_counted_where_texts_are_read(spark, mode):
+    counts_by_id(spark, mode, lambda df: ranking.term_frequencies(df, mode))
+
+
 def test_encoders_are_registered_and_checked(spark):
     class Sizes:
         max_length = 8
