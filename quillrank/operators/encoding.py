@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quillrank.functions.text import HANGUL_LATIN, Scripts, tokens
+from quillrank.functions.text import HANGUL_LATIN, Scripts, python_tokenizer
+from quillrank.operators.ranking import counted_by_id
 
 
-def md5_slot(token: Column, dim: int) -> Column:
-    """MD5 of the token as one big number, modulo ``dim``: the remainder is carried through pieces of the hex digest."""
-    digest = F.md5(token.cast("binary"))
-    out = F.lit(0).cast("bigint")
-    for at in range(0, 32, 8):
-        piece = F.conv(F.substring(digest, at + 1, 8), 16, 10).cast("bigint")
-        out = F.pmod(out * (1 << 32) % dim + piece, F.lit(dim)) if dim <= 1 << 30 else F.raise_error(F.lit("dim is too large"))
-    return out.cast("int")
+#: Tokens whose slot a worker remembers.
+KNOWN_SLOTS = 1 << 17
+
+
+def md5_slots(dim: int) -> Callable[[str], int]:
+    """MD5 of a token as one big number, modulo ``dim``."""
+    if not 0 < dim <= 1 << 30:
+        raise ValueError("dim must be between 1 and 2**30")
+    return lru_cache(KNOWN_SLOTS)(lambda token: int.from_bytes(hashlib.md5(token.encode(), usedforsecurity=False).digest()) % dim)
+
+
+def slot_counter(dim: int, mode: str = "char_bigram", scripts: Scripts = HANGUL_LATIN) -> Callable[[str], dict[int, int]]:
+    """The slots that a text's tokens fall into and how many do; made anew in each worker."""
+    made: list = []
+
+    def count(text: str) -> dict[int, int]:
+        if not made:
+            made.extend([python_tokenizer(mode, scripts), md5_slots(dim)])
+        cut, slot = made
+        return Counter(map(slot, cut(text)))
+
+    return count
 
 
 def hashed_slots(docs: DataFrame, dim: int, max_length: int | None = None, mode: str = "char_bigram", scripts: Scripts = HANGUL_LATIN) -> DataFrame:
-    """``(doc_id, slot, c)``: how many tokens of a text, or of its first ``max_length`` characters, fall into each slot."""
-    text = F.col("text") if max_length is None else F.substring("text", 1, max_length)
-    rows = docs.select("doc_id", F.explode(tokens(text, mode, scripts)).alias("t"))
-    terms = rows.groupBy("doc_id", "t").agg(F.count("*").alias("n"))  # one digest for each distinct token of a text
-    return terms.groupBy("doc_id", md5_slot(F.col("t"), dim).alias("slot")).agg(F.sum("n").alias("c"))
+    """``(doc_id, slot, c)``: how many tokens of a text, or of its first ``max_length`` characters, fall into each slot.
+
+    A text is counted where it is read; only rows that share an id meet in a shuffle."""
+    md5_slots(dim)  # refuses a dimension before anything runs
+    text = F.col("text").cast("string") if max_length is None else F.substring("text", 1, max_length)
+    return counted_by_id(docs.select("doc_id", text.alias("text")), slot_counter(dim, mode, scripts), "slot", "int", "c")
 
 
 def hashed_vectors(docs: DataFrame, dim: int, max_length: int | None = None, mode: str = "char_bigram") -> DataFrame:

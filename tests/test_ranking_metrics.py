@@ -233,6 +233,16 @@ def test_terms_are_counted_where_texts_are_read(spark, mode):
     counts_by_id(spark, mode, lambda df: ranking.term_frequencies(df, mode))
 
 
+@pytest.mark.parametrize("mode", ["whitespace", "char_bigram"])
+def test_slots_are_counted_where_texts_are_read(spark, mode):
+    import hashlib
+
+    counts_by_id(spark, mode, lambda df: encoding.hashed_slots(df, 100, None, mode), lambda t: int(hashlib.md5(t.encode()).hexdigest(), 16) % 100)
+    assert encoding.hashed_slots(docs(spark), 100).dtypes == [("doc_id", "string"), ("slot", "int"), ("c", "bigint")]
+    with pytest.raises(ValueError, match="dim"):
+        encoding.hashed_slots(docs(spark), 0)
+
+
 def test_encoders_are_registered_and_checked(spark):
     class Sizes:
         max_length = 8
