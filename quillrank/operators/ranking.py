@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,27 +146,121 @@ def query_terms(queries: DataFrame, params: Bm25Params) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), params.mode, params.scripts))).alias("term")).distinct()
 
 
-def numbered_postings(docs: DataFrame, params: Bm25Params, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def numbered_postings(docs: DataFrame, params: Bm25Params) -> tuple[DataFrame, DataFrame]:
     """``(row, doc_id, dl, term, tf)``, and the corpus's statistics.  ``row`` keeps rows that share an id apart; it is the same
-    only within one plan.  With ``terms(term)`` only these are counted; lengths and averages are of whole documents."""
+    only within one plan."""
     bags = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", tokens(F.col("text"), params.mode, params.scripts).alias("ts")).withColumn("dl", F.size("ts").cast("long"))
     found = bags.select("row", "doc_id", "dl", F.explode("ts").alias("term"))
-    if terms is not None:
-        found = found.join(terms, "term", "left_semi")
     return found.groupBy("row", "doc_id", "dl", "term").agg(F.count("*").alias("tf")), corpus_stats(bags)
 
 
+#: Documents of a group that a task scores against a block of queries, cells of (document, query) and of (posting, query) at once.
+GROUP_DOCS, SCORE_CELLS = 4096, 1 << 21
+
+
+def _named(column: pa.ChunkedArray) -> np.ndarray:
+    """The place of each id in their order as strings, null first."""
+    names = column.cast(pa.string()).to_pylist()
+    place = np.empty(len(names), np.int64)
+    place[sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i]))] = np.arange(len(names))
+    return place
+
+
+def _visit(asked: pa.Table, posted: pa.Table, k: int | None) -> pa.Table:
+    """``(query_id, doc_id, score)`` of the queries in ``asked(query_id, term)`` on the documents in ``posted(row, doc_id, term, w)`` with which
+    they share a term; with ``k`` each query's best by rounded scores."""
+    queries = pc.dictionary_encode(asked["query_id"].combine_chunks(), null_encoding="encode")
+    vocabulary = pc.unique(asked["term"])
+    slot, asker = pc.index_in(asked["term"], value_set=vocabulary).to_numpy(), queries.indices.to_numpy().astype(np.int64)
+    by_slot = np.argsort(slot, kind="stable")
+    asker, starts = asker[by_slot], np.searchsorted(slot[by_slot], np.arange(len(vocabulary) + 1))
+    posted = posted.filter(pc.is_in(posted["term"], value_set=vocabulary))  # other terms are another block's
+    slot, w = pc.index_in(posted["term"], value_set=vocabulary).to_numpy().astype(np.int64), posted["w"].to_numpy()
+    rows, first, doc = np.unique(posted["row"].to_numpy(), return_index=True, return_inverse=True)
+    ids = posted["doc_id"].take(pa.array(first))
+    place = _named(ids)
+    doc = place[doc]
+    by_doc = np.lexsort((slot, doc))
+    doc, slot, w = doc[by_doc], slot[by_doc], w[by_doc]
+    n, wide = len(rows), len(queries.dictionary)
+    sizes = starts[slot + 1] - starts[slot]
+    laid = np.concatenate([[0], np.cumsum(sizes)])
+    step = max(1, SCORE_CELLS // wide)
+    qs, ds, ss = [], [], []
+    for at in range(0, n, step):
+        lo, hi = np.searchsorted(doc, [at, at + step])
+        cells = np.zeros(min(step, n - at) * wide)
+        while lo < hi:
+            to = min(hi, max(lo + 1, int(np.searchsorted(laid, laid[lo] + SCORE_CELLS, "right")) - 1))
+            size = sizes[lo:to]
+            who = asker[np.repeat(starts[slot[lo:to]] - (laid[lo:to] - laid[lo]), size) + np.arange(laid[to] - laid[lo])]
+            cells += np.bincount(np.repeat((doc[lo:to] - at) * wide, size) + who, np.repeat(w[lo:to], size), len(cells))
+            lo = to
+        cells = cells.reshape(-1, wide)
+        if k is None:
+            d, q = np.nonzero(cells)
+            value = cells[d, q]
+        else:
+            scores = np.where(cells == 0, -np.inf, np.round(cells, SCORE_DECIMALS))
+            floor = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(wide, -np.inf)
+            d, q = np.nonzero((cells != 0) & (scores >= floor))
+            value = scores[d, q]
+        qs.append(q)
+        ds.append(d + at)
+        ss.append(value)
+    q, d, value = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((qs, np.int64), (ds, np.int64), (ss, float)))
+    if k is not None:
+        order = np.lexsort((d, -value, q))
+        q, d, value = q[order], d[order], value[order]
+        own = np.arange(len(q)) - np.searchsorted(q, q) < k
+        q, d, value = q[own], d[own], value[own]
+    return pa.table({"query_id": queries.dictionary.take(pa.array(q)), "doc_id": ids.take(pa.array(np.argsort(place)[d])), "score": value})
+
+
+def _bm25_visits(docs: DataFrame, queries: DataFrame, params: Bm25Params, k: int | None) -> DataFrame:
+    """``(query_id, doc_id, score)``: groups of documents, as weights of the terms that are asked for, are visited by blocks of queries.
+
+    A document's postings travel once for each block and its pairs with queries stay in the task; with ``k`` a visit leaves as many rows a
+    query.  A task holds one group and one block, whatever the tables' sizes."""
+    asked = query_terms(queries, params)
+    wanted = asked.select("term").distinct().withColumn("asked", F.lit(True))
+    count = term_counter(params.mode, params.scripts)
+    text = F.col("text").cast("string").alias("text")
+    seen = text_counts(docs.select(text), count, "term", "string", "tf", totals=True).join(wanted, "term", "left").where("term is null or asked")
+    counts = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum("total").alias("tokens")).cache()  # a row an asked term, read for both
+    stats = counts.where("term is null").select(F.col("df").alias("n"), (F.col("tokens") / F.col("df")).alias("avg_len"))
+    weights = inverse_from_counts(counts.where("term is not null").select("term", "df"), stats)
+    found = text_counts(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text), count, "term", "string", "tf", totals=True).withColumnRenamed("total", "dl")
+    rated = found.join(weights, "term").crossJoin(F.broadcast(stats)).select("row", "doc_id", "term", document_weight(params).alias("w"))  # one row of stats
+    n, m = docs.count(), asked.select("query_id").distinct().count()
+    groups = max(-(-n // GROUP_DOCS), min(-(-n // 256), docs.sparkSession.sparkContext.defaultParallelism), 1)
+    blocks = max(-(-m // max(params.block_queries, 1)), 1)
+    parts = min(groups * blocks, 4096)
+    left = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = rated.withColumn("dg", F.pmod(F.xxhash64("row"), F.lit(groups)).cast("int")).withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    left, right = left.repartition(parts, "qb", "qg"), right.repartition(parts, "db", "dg")
+    d_type, q_type = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def score(q: pa.Table, d: pa.Table) -> pa.Table:
+        if not q.num_rows or not d.num_rows:
+            return pa.table({"query_id": q["query_id"].slice(0, 0), "doc_id": d["doc_id"].slice(0, 0), "score": pa.array([], pa.float64())})
+        return _visit(q, d, k)
+
+    return left.groupBy("qb", "qg").cogroup(right.groupBy("db", "dg")).applyInArrow(score, f"query_id {q_type}, doc_id {d_type}, score double")
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, params: Bm25Params = Bm25Params()) -> DataFrame:
-    """``(query_id, doc_id, score)`` of documents that share a term, by joins on the inverted index; a repeated document is
-    scored as often as it is there.
+    """``(query_id, doc_id, score)`` of all documents that share a term, whatever the number of queries; a repeated document is
+    scored as often as it is there."""
+    return _bm25_visits(docs, queries, params, None)
 
-    Document tokens are cut to the queries' terms before they are counted.
-    """
-    asked = query_terms(queries, params)
-    postings, stats = numbered_postings(docs, params, asked.select("term").distinct())
-    weights = inverse_frequencies(postings, stats)
-    rated = postings.join(weights, "term").crossJoin(F.broadcast(stats)).select("term", "row", "doc_id", document_weight(params).alias("w"))  # one row of stats
-    return asked.join(rated, "term").groupBy("query_id", "row", "doc_id").agg(F.sum("w").alias("score")).drop("row")
+
+def bm25_joined_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params = Bm25Params()) -> DataFrame:
+    """``(query_id, doc_id, score, rank)`` of each query's best documents by rounded scores, for query sets of any size: nothing of
+    them is sent to every executor."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    return top_k(_bm25_visits(docs, queries, params, k), k, ["query_id"])
 
 
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params = Bm25Params()) -> DataFrame:
@@ -181,8 +276,7 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int, params: Bm25Params =
     terms = {t: i for i, t in enumerate(dict.fromkeys(r["term"] for r in pairs))}
     number = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in pairs))}
     if not pairs or len(pairs) > params.block_pairs or len(number) > params.block_queries or len(terms) > params.block_terms:
-        scored = bm25_scores(docs, queries, params).withColumn("score", F.round("score", SCORE_DECIMALS)).where("score > 0")
-        return top_k(scored, k, ["query_id"])
+        return bm25_joined_top_k(docs, queries, k, params).where("score > 0")
     of_term = np.array([terms[r["term"]] for r in pairs])
     by_term = np.argsort(of_term, kind="stable")
     askers = np.array([number[r["query_id"]] for r in pairs], np.int32)[by_term]

@@ -135,8 +135,7 @@ def bm25_topk_bigram(spark, sf_dir):
 
 
 def bm25_topk_joined(spark, sf_dir):
-    scores = ranking.bm25_scores(_documents(spark, sf_dir), _items(spark, sf_dir), WHITESPACE)
-    return ranking.top_k(scores.withColumn("score", F.round("score", ranking.SCORE_DECIMALS)), 10, ["query_id"])
+    return ranking.bm25_joined_top_k(_documents(spark, sf_dir), _items(spark, sf_dir), 10, WHITESPACE)
 
 
 # Vectors

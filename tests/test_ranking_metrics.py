@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +58,29 @@ def test_bm25_by_plain_loops(spark, mode, block):
         assert all(abs(r["score"] - s) < 1e-6 for r, (_, s) in zip(mine, expect))
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_bm25_visits_leave_no_pairs_to_shuffle(spark, block, monkeypatch):
+    """Groups of documents meet blocks of queries; pairs are scored and cut to the best in the task."""
+    monkeypatch.setattr(ranking, "GROUP_DOCS", 20)
+    monkeypatch.setattr(ranking, "SCORE_CELLS", 16)
+    corpus = [(i % 60, " ".join(f"w{i * j % 13}" for j in range(i % 9))) for i in range(70)] + [(None, "w1 w2"), (99, None)]
+    asked = [(q, f"w{q} w{q * 3 % 13} w{q * 5 % 17} none") for q in range(9)] + [(None, "w1 w1"), (50, ""), (1, "w7")]
+    d, q = frame(spark, corpus, "doc_id int, text string"), frame(spark, asked, "query_id int, text string")
+    params = ranking.Bm25Params(mode="whitespace", block_queries=block)
+    scores = ranking.bm25_scores(d, q, params)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, row", scores._jdf.queryExecution().toString())
+    texts = {}
+    for i, text in asked:
+        texts[i] = texts.get(i, "") + " " + text
+    expect = {i: slow_bm25([((str(x) if x is not None else "", n), t or "") for n, (x, t) in enumerate(corpus)], text, "whitespace") for i, text in texts.items()}
+    flat = sorted(((-1 if i is None else i), x, round(v, 7)) for i, rows in expect.items() for (x, _), v in rows)
+    assert sorted((-1 if r[0] is None else r[0], "" if r[1] is None else str(r[1]), round(r[2], 7)) for r in scores.collect()) == flat
+    best = {}
+    for r in sorted(ranking.bm25_joined_top_k(d, q, 5, params).collect(), key=lambda r: r["rank"]):
+        best.setdefault(r["query_id"], []).append(("" if r["doc_id"] is None else str(r["doc_id"]), r["score"]))
+    assert best == {i: sorted(((x, round(v, 7)) for (x, _), v in rows), key=lambda t: (-t[1], t[0]))[:5] for i, rows in expect.items() if rows}
+
+
 @pytest.mark.parametrize("bounds", [{}, {"block_queries": 0}, {"block_pairs": 2}])
 def test_bm25_ranks_each_copy_of_a_document(spark, bounds):
     corpus = [("a", "red fox red"), ("a", "red fox red"), ("a", "fox"), ("b", "red hen"), ("c", None), (None, "hen hen"), ("d", "")]
