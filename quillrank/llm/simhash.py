@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, lower_ascii, mix, span_hashes, string_buffers, text_chunks, window_hashes, word_spans
@@ -37,6 +37,8 @@ FAMILY_ROWS = 16_384
 #: Groups of a wide print's index; its bytes, and those of its shingles' part.
 GROUPS, SHINGLE_BYTES = 8, 256
 WIDE_BYTES = 8 * GROUPS
+#: Bits of a sieve, sent to every executor as 131,072 words at most, whatever the number of its keys.
+SIEVE_BITS = 1 << 23
 
 
 def _blocks() -> list[tuple[int, ...]]:
@@ -277,39 +279,39 @@ def band(similarity: float, spread: float = 6.0, wide: float = 4.0) -> tuple[int
 def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
     """Spanning links ``(src, dst)`` among ``classes(node, p)`` of distinct prints that are perhaps alike.
 
-    Postings first hold eight bytes a print, their group's; only prints that share enough of them with another go there again,
-    to the same posting, with their shingles' bits."""
+    Postings first hold the four bytes of a print's group that are not in their key; only prints that share enough of them with another go
+    there again, to the same posting, with their group's and their shingles' bits."""
     perhaps = band(similarity)[1]
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = np.array([[8 * g + i for i in block] for g in range(GROUPS) for block in BLOCKS])
+        others = np.array([[8 * g + i for i in range(8) if i not in block] for g in range(GROUPS) for block in BLOCKS])
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 p = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
                 key = np.ascontiguousarray(p[:, blocks]).view(np.uint32)[:, :, 0].astype(np.int64) | np.arange(len(blocks), dtype=np.int64) << 32
-                own = np.repeat(p.view(np.int64), len(BLOCKS), 1)
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(blocks)))), pa.array(own.ravel())], ["key", "node", "g"])
+                rest = np.ascontiguousarray(p[:, others]).view(np.int32)[:, :, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(blocks)))), pa.array(rest.ravel())], ["key", "node", "rest"])
 
-    def shared(g: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """Whether the tally of positional bytes of a group reaches the number that three bits leave."""
-        rows, count = g.view(np.uint8).reshape(-1, 8), np.zeros((len(some), len(others)), np.uint8)
-        for p in range(8):
+    def shared(rows: np.ndarray, some: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
+        """Whether the tally of positional bytes reaches ``least``."""
+        count = np.zeros((len(some), len(others)), np.uint8)
+        for p in range(rows.shape[1]):
             count += rows[some, p][:, None] == rows[others, p]
-        return count >= MIN_SHARED_BYTES
+        return count >= least
 
     def met(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        g, node = table.column("g").to_numpy(), table.column("node").to_numpy()
-        at = np.unique(np.concatenate(_walk(len(g), lambda some, others: shared(g, some, others))))
+        rest, node = table.column("rest").to_numpy().view(np.uint8).reshape(-1, 4), table.column("node").to_numpy()
+        at = np.unique(np.concatenate(_walk(len(rest), lambda some, others: shared(rest, some, others, MIN_SHARED_BYTES - 4))))
         yield np.full(len(at), table.column("key")[0].as_py()), node[at]
 
     def links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         p = np.frombuffer(b"".join(table.column("p").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-        group = (table.column("key")[0].as_py() >> 32) // len(BLOCKS)
-        g, shingles = np.ascontiguousarray(p[:, 8 * group : 8 * group + 8]), np.ascontiguousarray(p[:, WIDE_BYTES:]).view(np.uint64)
+        g, shingles = p[:, :8], np.ascontiguousarray(p[:, 8:]).view(np.uint64)
 
         def near(some: np.ndarray, others: np.ndarray) -> np.ndarray:
-            out = shared(g, some, others)
+            out = shared(g, some, others, MIN_SHARED_BYTES)
             a, b = np.nonzero(out)
             for at in range(0, len(a), 1 << 14):
                 i, j = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
@@ -320,9 +322,11 @@ def similar_links(classes: DataFrame, similarity: float) -> DataFrame:
         node = table.column("node").to_numpy()
         yield node[a], node[b]
 
-    index = classes.select("node", F.substring("p", 1, WIDE_BYTES).alias("p")).mapInArrow(posted, "key long, node long, g long")
+    index = classes.select("node", F.substring("p", 1, WIDE_BYTES).alias("p")).mapInArrow(posted, "key long, node long, rest int")
     there = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], met), "src long, dst long")
-    again = there.select(F.col("src").alias("key"), F.col("dst").alias("node")).join(classes.select("node", "p"), "node").select("key", "node", "p")
+    group = F.floor(F.shiftright("key", 32) / len(BLOCKS)).cast("int")
+    bits = F.concat(F.substr("p", 8 * group + 1, F.lit(8)), F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES))
+    again = there.select(F.col("src").alias("key"), F.col("dst").alias("node")).join(classes.select("node", "p"), "node").select("key", "node", bits.alias("p"))
     return again.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: _of_postings(batches, ["key"], links), "src long, dst long").distinct()
 
 
@@ -365,6 +369,23 @@ def exact_links(bits: np.ndarray, sets: list[np.ndarray], similarity: float) ->
     return (np.concatenate(nodes), np.concatenate(roots)) if nodes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def sifted(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``column`` may be among ``keys``, and those whose is surely not, told apart where they are read.
+
+    A key sets one bit of :data:`SIEVE_BITS`; with more keys more other rows pass, which an exact join takes away."""
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS))
+
+    def place(b: Column) -> Column:
+        return b.bitwiseAND(63).cast("int")
+
+    words = keys.select(bit(key).alias("b")).groupBy(F.shiftright("b", 6).alias("sieve_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("b")))).alias("sieve_bits"))
+    own = bit(column)
+    met = (F.shiftright(own, 6) == F.col("sieve_word")) & (F.call_function("shiftright", F.col("sieve_bits"), place(own)).bitwiseAND(1) == 1)
+    return rows.join(F.broadcast(words), met, "left_semi"), rows.join(F.broadcast(words), met, "left_anti")
+
+
 def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Spanning links ``(src, dst)`` of the similarity within ``families(family, node)``; ``nodes(node, x, p)`` and ``texts(x, text)``
     give bits and sets.  Each text travels to its family, where its set is made: compressed
@@ -374,9 +395,11 @@ def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shin
     large = families.groupBy("family").agg(F.count("*").alias("n")).where(F.col("n") > FAMILY_ROWS).select("family", parts.alias("parts"))
     placed = families.join(large, "family", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     placed = placed.select("family", "node", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    held = placed.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node").join(nodes, "node")
-    bodies = texts.join(held.select("x").distinct(), "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))
-    rows = held.join(bodies, "x").select("family", "low", "high", "node", F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES).alias("bits"), "text")
+    held = placed.select("family", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node")
+    held = held.join(nodes.select("node", "x", F.substring("p", WIDE_BYTES + 1, SHINGLE_BYTES).alias("bits")), "node")
+    wanted = held.select("x").distinct()
+    bodies = sifted(texts, "x", wanted, "x")[0].join(wanted, "x", "left_semi").groupBy("x").agg(F.min("text").alias("text"))  # few texts have a family
+    rows = held.join(bodies, "x").select("family", "low", "high", "node", "bits", "text")
 
     def links(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         node = table.column("node").to_numpy()
@@ -388,6 +411,24 @@ def verified_links(families: DataFrame, nodes: DataFrame, texts: DataFrame, shin
     return rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(lambda batches: _of_postings(batches, keys, links), "src long, dst long")
 
 
+def _class(p: Column) -> Column:
+    """Sixteen bytes that stand for a print where only its equality counts."""
+    return F.unhex(F.md5(p))
+
+
+def _labels(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, p, x)`` of every row, and ``(class, component_id)`` of every distinct print."""
+    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
+    rows = cut(wide_prints(texts, id_col, text_col, shingle, "text_hash"))
+    classes = cut(rows.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.min("x").alias("x")).withColumn("node", F.monotonically_increasing_id()))
+    families = connected_components(similar_links(classes, similarity)).select(F.col("root").alias("family"), "node")
+    bodies = texts.select(F.col("text_hash").alias("x"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    roots = connected_components(verified_links(families, classes.select("node", "x", "p"), bodies, shingle, similarity))
+    joined = classes.select("node", "first_id", _class(F.col("p")).alias("class")).join(roots, "node", "left").select("class", "first_id", F.coalesce("root", "node").alias("root"))
+    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rows, joined.join(least, "root").select("class", "component_id")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(doc_id, p, component_id)`` of every row, ``p`` its print of :func:`wide_prints`.
 
@@ -399,16 +440,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share a class, so copies and repeated rows cost no pairs.  No words (null, empty or blank texts) are all alike.
     ``component_id`` is the smallest id in the component, null only where all its ids are.  An empty table gives no rows.
     """
-    texts = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_hash"))
-    rows = cut(wide_prints(texts, id_col, text_col, shingle, "text_hash"))
-    classes = cut(rows.groupBy("p").agg(F.min("doc_id").alias("first_id"), F.min("x").alias("x")).withColumn("node", F.monotonically_increasing_id()))
-    families = connected_components(similar_links(classes, similarity)).select(F.col("root").alias("family"), "node")
-    bodies = texts.select(F.col("text_hash").alias("x"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    roots = connected_components(verified_links(families, classes.select("node", "x", "p"), bodies, shingle, similarity))
-    joined = classes.join(roots, "node", "left").select("p", "first_id", F.coalesce("root", "node").alias("root"))
-    least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = joined.join(least, "root").select("p", "component_id")
-    return rows.join(labels, "p").select("doc_id", "p", "component_id")
+    rows, labels = _labels(docs, id_col, text_col, shingle, similarity)
+    return rows.withColumn("class", _class(F.col("p"))).join(labels, "class").select("doc_id", "p", "component_id")
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -421,13 +454,15 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
     ident, text = names[id_col], names[text_col]
-    found = cut(similar_components(rows, ident, text, shingle, similarity))
+    prints, labels = _labels(rows, ident, text, shingle, similarity)
+    found = cut(prints.select("doc_id", _class(F.col("p")).alias("p")).join(labels.withColumnRenamed("class", "p"), "p"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = rows.join(first.select("doc_id"), F.col(ident).eqNullSafe(F.col("doc_id")), "left_semi")
+        perhaps, alone = sifted(rows, ident, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")  # most rows stay, and need not travel
+        kept = alone.unionByName(perhaps.join(first.select("doc_id"), F.col(ident).eqNullSafe(F.col("doc_id")), "left_semi"))
     else:  # rows are told apart by print too, and rows of one id and component by their text
         ids = first.select(F.col("doc_id").alias("kept_id"), F.col("p").alias("kept_p"), "component_id").distinct()
-        of_text = wide_prints(rows.select(F.col(text).alias("doc_id"), text).distinct(), "doc_id", text, shingle).select(F.col("doc_id").alias("of_text"), "p")
+        of_text = wide_prints(rows.select(F.col(text).alias("doc_id"), text).distinct(), "doc_id", text, shingle).select(F.col("doc_id").alias("of_text"), _class(F.col("p")).alias("p"))
         kept = rows.join(of_text, F.col(text).eqNullSafe(F.col("of_text"))).join(ids, F.col(ident).eqNullSafe(F.col("kept_id")) & (F.col("p") == F.col("kept_p")))
         order = Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("kept_p"))).orderBy(F.col(text).asc_nulls_last())
         kept = kept.withColumn("place", F.row_number().over(order)).where("place = 1")

@@ -331,3 +331,22 @@ def test_texts_travel_to_families_and_not_their_hashes(spark):
     nodes = spark.createDataFrame([(0, 10, b"\0" * 320), (1, 11, b"\xff" * 320)], "node long, x long, p binary")
     links = simhash.verified_links(spark.createDataFrame([(0, 0), (0, 1)], "family long, node long"), nodes, spark.createDataFrame([(10, "a b"), (11, "c d")], "x long, text string"), 5, 0.8)
     assert links.count() == 0 and links._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # the walk alone
+
+
+def test_sifted_rows_travel_only_if_they_may_be_meant(spark):
+    rows = spark.createDataFrame([(i if i % 50 else None, f"t{i}") for i in range(2000)], "k long, t string")
+    keys = spark.createDataFrame([(i,) for i in range(1, 2000, 20)] + [(None,), (-5,)], "key long")
+    perhaps, alone = simhash.sifted(rows, "k", keys, "key")
+    wanted = {r["key"] for r in keys.collect()}
+    some, others = [r["k"] for r in perhaps.collect()], [r["k"] for r in alone.collect()]
+    assert len(some) + len(others) == 2000 and not wanted & set(others) and wanted - {-5} <= set(some)
+    assert len(some) < 300  # 2,000 keys leave few other bits in common
+    assert {r["k"] for r in simhash.sifted(rows, "k", keys.where("false"), "key")[1].collect()} == {r["k"] for r in rows.collect()}
+
+
+def test_representatives_that_have_no_family_stay_where_they_are(spark):
+    """Wide rows are shuffled only if they may have to go."""
+    texts = [(i, " ".join(f"w{i * 7919 % 1009}x{j}" for j in range(12))) for i in range(40)] + [(50, " ".join(f"w0x{j}" for j in range(12))), (51, None), (52, "")]
+    kept = simhash.keep_representatives(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [*range(40), 51]
+    assert "sieve_bits" in kept._jdf.queryExecution().toString()
